@@ -91,6 +91,8 @@ def dates_array(dates) -> Column:
     """
     if isinstance(dates, Column):
         return dates
+    if isinstance(dates, DailySpine):
+        return dates.array()
     if isinstance(dates, DataFrame):
         return dates.select(F.array_sort(F.collect_set(F.col("date").cast("date")))).scalar()
     ds = sorted({_as_date(d) for d in dates})
@@ -99,16 +101,87 @@ def dates_array(dates) -> Column:
     return F.array(*[F.lit(d) for d in ds])
 
 
-def daily_spine(start, end, *, inclusive: bool = True) -> Column:
-    """ARRAY<DATE> of every day from ``start`` to ``end``; the end day is
-    dropped when ``inclusive`` is false (the reference's ``daterange``)."""
+class DailySpine:
+    """Every day from ``start`` to ``end`` (inclusive) - kept symbolic so a
+    range of it can be generated with ``sequence`` instead of filtering a
+    long array."""
+
+    def __init__(self, start: Column, end: Column):
+        self.start, self.end = start, end
+
+    def array(self) -> Column:
+        return _day_range(self.start, self.end)
+
+    def between(self, lo: Column | None, hi: Column | None) -> Column:
+        s = self.start if lo is None else F.greatest(lo, self.start)
+        e = self.end if hi is None else F.least(F.date_sub(hi, 1), self.end)
+        return _day_range(s, F.coalesce(e, self.end))
+
+
+def _day_range(s: Column, e: Column) -> Column:
+    return F.when(e >= s, F.sequence(s, e, F.expr("INTERVAL 1 DAY"))).otherwise(
+        F.array().cast("array<date>")
+    )
+
+
+def daily_spine(start, end, *, inclusive: bool = True) -> DailySpine:
+    """Every day from ``start`` to ``end``; the end day is dropped when
+    ``inclusive`` is false (the reference's ``daterange``)."""
     s = start if isinstance(start, Column) else F.lit(_as_date(start))
     e = end if isinstance(end, Column) else F.lit(_as_date(end))
     if not inclusive:
         e = F.date_sub(e, 1)
-    return F.when(e >= s, F.sequence(s, e, F.expr("INTERVAL 1 DAY"))).otherwise(
-        F.array().cast("array<date>")
+    return DailySpine(s, e)
+
+
+def spine_between(dates, lo: Column | None, hi: Column | None) -> Column:
+    """Spine dates d with lo <= d < hi (a NULL bound is open)."""
+    if isinstance(dates, DailySpine):
+        return dates.between(lo, hi)
+    arr = dates_array(dates)
+
+    def keep(x):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (lo.isNull() | (x >= lo))
+        if hi is not None:
+            cond = cond & (hi.isNull() | (x < hi))
+        return cond
+
+    return F.filter(arr, keep)
+
+
+def explode_intervals(df: DataFrame, by: Sequence[str], dates, values: Sequence[str], *,
+                      on: str = "date", fill_before: dict | None = None) -> DataFrame:
+    """Turn a step series (one row per change date) into one row per spine
+    date: each row holds its values on [on, next on) within its ``by`` group.
+
+    ``fill_before`` (column -> value) also emits the spine dates before the
+    group's first change with those constant values; otherwise they are
+    absent.  The window is partitioned by ``by``; its size is the number of
+    change dates of one group.
+    """
+    by = list(by)
+    w = Window.partitionBy(*by).orderBy(on)
+    nxt = F.lead(F.col(on)).over(w)
+    first = F.lag(F.col(on)).over(w).isNull()
+    stepped = df.select(*by, on, *values, nxt.alias("__next"), first.alias("__first"))
+    cur = F.transform(
+        spine_between(dates, F.col(on), F.col("__next")),
+        lambda d: F.struct(d.alias(on), *[F.col(v).alias(v) for v in values]),
     )
+    if fill_before is not None:
+        before = F.transform(
+            F.when(F.col("__first"), spine_between(dates, None, F.col(on))).otherwise(
+                F.array().cast("array<date>")
+            ),
+            lambda d: F.struct(
+                d.alias(on),
+                *[F.lit(fill_before[v]).cast(df.schema[v].dataType).alias(v) for v in values],
+            ),
+        )
+        cur = F.concat(before, cur)
+    return stepped.select(*by, F.inline(cur))
 
 
 def month_start_spine(start_year: int | Column, end_year: int | Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.asof import explode_spine
+from tallyframe.operators.asof import explode_intervals
 
 
 def daily_deltas(postings: DataFrame, by: Sequence[str], *, keys: Sequence[str] = ("ledger_id",),
@@ -32,26 +32,17 @@ def running_units(postings: DataFrame, by: Sequence[str] = ("currency",), *,
 def asof_balances(postings: DataFrame, dates, by: Sequence[str] = ("currency",), *,
                   keys: Sequence[str] = ("ledger_id",), from_first: bool = False) -> DataFrame:
     """Units per ``keys + by`` at every spine date (postings dated on or
-    before it).  One row per key and spine date; keys with no posting yet
-    have 0 units, unless ``from_first`` drops the dates before a key's first
-    posting.
+    before it).
+
+    One pass: daily deltas -> running sum with the next change date in the
+    same window -> each change row emits the spine dates of its interval
+    [date, next date).  Keys with no posting yet get 0 units on the earlier
+    spine dates, unless ``from_first`` leaves those dates out.  No union with
+    a separately computed key list, so the postings are read once.
     """
     key = [*keys, *by]
     d = daily_deltas(postings, by, keys=keys)
-    if from_first:
-        first = d.groupBy(*key).agg(F.min("date").alias("__first"))
-        pts = explode_spine(first, dates).where(F.col("date") >= F.col("__first")).drop("__first")
-    else:
-        pts = explode_spine(d.select(*key).distinct(), dates)
-    u = d.select(*key, "date", "delta", F.lit(0).alias("__tag")).unionByName(
-        pts.select(*key, "date", F.lit(None).cast(d.schema["delta"].dataType).alias("delta"),
-                   F.lit(1).alias("__tag"))
-    )
-    w = (Window.partitionBy(*key).orderBy("date", "__tag")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    zero = F.lit(0).cast(d.schema["delta"].dataType)
-    return (
-        u.withColumn("units", F.coalesce(F.sum("delta").over(w), zero))
-        .where(F.col("__tag") == 1)
-        .select(*key, "date", "units")
-    )
+    w = Window.partitionBy(*key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    steps = d.select(*key, "date", F.sum("delta").over(w).alias("units"))
+    return explode_intervals(steps, key, dates, ["units"],
+                             fill_before=None if from_first else {"units": 0})

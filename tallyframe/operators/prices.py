@@ -10,9 +10,10 @@ or inverse rate on or before the date; otherwise a hop through the cost
 currency (currency -> cost currency -> target); otherwise the position is
 left unconverted in its own currency.
 
-Every lookup runs on *distinct* (base, quote, date) probe points - bounded by
-currencies x days - and the rates are equi-joined back to the wide side.  The
-rate table is small; AQE broadcasts it after measuring it.
+Rates are resolved per day from the price table alone (a "rate calendar",
+bounded by currency pairs x days) and equi-joined to the wide side on
+(base, quote, date).  The calendar is small; AQE broadcasts it after
+measuring it, so the wide side is read once and never sorted by currency.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.asof import asof_lookup, latest_value
+from tallyframe.operators.asof import DailySpine, explode_intervals, latest_value
 
 RATE = "decimal(38,18)"
 
@@ -55,20 +56,25 @@ def rate_table(prices: DataFrame, *, inverse: bool = True) -> DataFrame:
     )
 
 
-def asof_rates(rates: DataFrame, points: DataFrame, *, as_of_latest: bool = False) -> DataFrame:
-    """Attach ``rate`` to distinct probe points (base, quote, date): the latest
-    rate on or before the date, or the latest rate overall when
-    ``as_of_latest``.  base == quote gives 1."""
-    pts = points.select("base", "quote", "date").distinct()
-    if as_of_latest:
-        last = latest_value(rates, ["base", "quote"], ["rate"]).drop("date")
-        found = pts.join(last, ["base", "quote"], "left")
-    else:
-        found = asof_lookup(pts, rates, ["base", "quote"], ["rate"])
-    return found.select(
-        "base", "quote", "date",
-        F.when(F.col("base") == F.col("quote"), F.lit(1).cast(RATE)).otherwise(F.col("rate")).alias("rate"),
+def rate_calendar(rates: DataFrame, dates=None) -> tuple[DataFrame, DataFrame | None]:
+    """Rates resolved per day, computed from the price table alone.
+
+    With a spine ``dates``: (base, quote, date, rate) for every spine date on
+    or after a pair's first price; nothing else is needed.
+    Without: a dense daily calendar of each pair from its first price up to
+    the last price date of the whole table, plus a ``tail`` (base, quote,
+    last_date, last_rate) for probe dates beyond that horizon.  Both are
+    bounded by pairs x days and independent of the data being converted, so
+    the wide side is scanned once and only equi-joined.
+    """
+    if dates is not None:
+        return explode_intervals(rates, ["base", "quote"], dates, ["rate"]), None
+    horizon = rates.select(F.max("date")).scalar()
+    dense = explode_intervals(rates, ["base", "quote"], DailySpine(F.lit(None).cast("date"), horizon), ["rate"])
+    tail = latest_value(rates, ["base", "quote"], ["rate"]).select(
+        "base", "quote", F.col("date").alias("last_date"), F.col("rate").alias("last_rate")
     )
+    return dense, tail
 
 
 def convert(
@@ -77,6 +83,7 @@ def convert(
     target: str,
     *,
     date: str | None = "date",
+    spine=None,
     number: str = "number",
     currency: str = "currency",
     via: str | None = "cost_currency",
@@ -86,46 +93,49 @@ def convert(
 ) -> DataFrame:
     """Add ``out_number``/``out_currency``: the position converted to
     ``target`` at the row's ``date`` column (``date=None``: latest price),
-    unchanged when no conversion path exists."""
+    unchanged when no conversion path exists.
+
+    When every row's date is a date of a known spine, pass it as ``spine``
+    so the rate calendar is built only for those dates.
+    """
     rates = rate_table(prices, inverse=inverse)
-    latest = date is None
-    dcol = F.lit(None).cast("date") if latest else F.col(date)
     tgt = F.lit(target)
-    rows = df.withColumn("__d", dcol)
-
-    probes = rows.select(F.col(currency).alias("base"), tgt.alias("quote"), F.col("__d").alias("date"))
+    rows = df
     has_via = via is not None and via in df.columns
+
+    if date is None:
+        last = latest_value(rates, ["base", "quote"], ["rate"]).drop("date")
+
+        def lookup(frame, base_col, quote_col, name):
+            t = last.select(F.col("base").alias("__b"), F.col("quote").alias("__q"), F.col("rate").alias(name))
+            cond = (base_col == F.col("__b")) & (quote_col == F.col("__q"))
+            return frame.join(t, cond, "left").drop("__b", "__q")
+    else:
+        cal, tail = rate_calendar(rates, spine)
+
+        def lookup(frame, base_col, quote_col, name):
+            t = cal.select(F.col("base").alias("__b"), F.col("quote").alias("__q"),
+                           F.col("date").alias("__d"), F.col("rate").alias(name))
+            cond = (base_col == F.col("__b")) & (quote_col == F.col("__q")) & (F.col(date) == F.col("__d"))
+            out = frame.join(t, cond, "left").drop("__b", "__q", "__d")
+            if tail is None:
+                return out
+            tl = tail.select(F.col("base").alias("__b"), F.col("quote").alias("__q"),
+                             "last_date", "last_rate")
+            out = out.join(tl, (base_col == F.col("__b")) & (quote_col == F.col("__q")), "left")
+            fill = F.when(F.col(date) > F.col("last_date"), F.col("last_rate"))
+            return out.withColumn(name, F.coalesce(F.col(name), fill)).drop(
+                "__b", "__q", "last_date", "last_rate")
+
+    same = F.col(currency) == tgt
+    rows = lookup(rows, F.col(currency), tgt, "__r_direct")
     if has_via:
-        hop = rows.where(F.col(via).isNotNull() & (F.col(via) != tgt))
-        probes = probes.unionByName(
-            hop.select(F.col(currency).alias("base"), F.col(via).alias("quote"), F.col("__d").alias("date"))
-        ).unionByName(
-            hop.select(F.col(via).alias("base"), tgt.alias("quote"), F.col("__d").alias("date"))
-        )
-    if latest:
-        probes = probes.withColumn("date", F.lit(None).cast("date"))
-    table = asof_rates(rates, probes, as_of_latest=latest)
-    if latest:
-        table = table.drop("date")
-
-    def attach(frame, base_col, quote_col, name):
-        t = table.select(
-            F.col("base").alias("__b"), F.col("quote").alias("__q"),
-            *([] if latest else [F.col("date").alias("__dd")]), F.col("rate").alias(name),
-        )
-        cond = (F.col(base_col) == F.col("__b")) & (quote_col == F.col("__q"))
-        if not latest:
-            cond = cond & (F.col("__d") == F.col("__dd"))
-        return frame.join(t, cond, "left").drop("__b", "__q", "__dd")
-
-    rows = attach(rows, currency, tgt, "__r_direct")
-    if has_via:
-        rows = attach(rows, currency, F.col(via), "__r1")
-        rows = attach(rows.withColumnRenamed(via, "__via"), "__via", tgt, "__r2").withColumnRenamed("__via", via)
+        rows = lookup(rows, F.col(currency), F.col(via), "__r1")
+        rows = lookup(rows, F.col(via), tgt, "__r2")
         hop_rate = F.when(F.col(via).isNotNull() & (F.col(via) != tgt), F.col("__r1") * F.col("__r2"))
     else:
         hop_rate = F.lit(None)
-    rate = F.coalesce(F.col("__r_direct"), hop_rate)
+    rate = F.when(same, F.lit(1).cast(RATE)).otherwise(F.coalesce(F.col("__r_direct"), hop_rate))
     return rows.select(
         *df.columns,
         F.when(rate.isNotNull(), (F.col(number) * rate)).otherwise(F.col(number)).alias(out_number),

@@ -4,9 +4,10 @@ Plan shape of :func:`networth_series` (the flagship):
 
 1. filter postings by account regex, pre-aggregate to daily deltas per
    (ledger, currency)                        -> shuffle 1 (partial agg)
-2. running sum over deltas + spine points    -> window in the same partitioning
-3. price at each spine date per currency     -> small as-of over distinct
-   (currency, date) points, independent of the postings
+2. running sum + next change date per key    -> one window, same partitioning;
+   each change row emits the spine dates of its [date, next date) interval
+3. price at each spine date per currency     -> the same interval explode over
+   the price table alone, independent of the postings
 4. equi-join units to prices on (currency, date) and sum per (ledger, date)
    -> the price side is tiny (currencies x spine), AQE broadcasts it.
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.accounts import account_match, classify_account
-from tallyframe.operators.asof import asof_lookup, explode_spine
+from tallyframe.operators.asof import explode_intervals
 from tallyframe.operators.balances import asof_balances
 from tallyframe.operators.prices import convert, dedup_prices
 
@@ -34,8 +35,7 @@ def direct_prices_at(prices: DataFrame, dates, target: str) -> DataFrame:
         .where((F.col("quote") == target) & (F.col("currency") != target))
         .select("currency", "date", F.col("amount").alias("price"))
     )
-    pts = explode_spine(px.select("currency").distinct(), dates)
-    return asof_lookup(pts, px, ["currency"], ["price"])
+    return explode_intervals(px, ["currency"], dates, ["price"])
 
 
 def _priced_units(units: DataFrame, prices: DataFrame, dates, target: str) -> DataFrame:
@@ -114,7 +114,7 @@ def networth_converted(
     if "cost_currency" not in p.columns:
         p = p.withColumn("cost_currency", F.lit(None).cast("string"))
     units = asof_balances(p, dates, ["currency", "cost_currency"], keys=keys)
-    conv = convert(units.withColumnRenamed("units", "number"), prices, target)
+    conv = convert(units.withColumnRenamed("units", "number"), prices, target, spine=dates)
     value = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     return conv.groupBy(*keys, "date").agg(
         F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("net_worth")
