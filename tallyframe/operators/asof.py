@@ -165,7 +165,15 @@ def explode_intervals(df: DataFrame, by: Sequence[str], dates, values: Sequence[
     w = Window.partitionBy(*by).orderBy(on)
     nxt = F.lead(F.col(on)).over(w)
     first = F.lag(F.col(on)).over(w).isNull()
-    stepped = df.select(*by, on, *values, nxt.alias("__next"), first.alias("__first"))
+    # Spine bounds are projected into columns first: they may be scalar
+    # subqueries, which Spark does not allow inside higher-order functions.
+    if isinstance(dates, DailySpine):
+        pre = [dates.start.alias("__sp_s"), dates.end.alias("__sp_e")]
+        dates = DailySpine(F.col("__sp_s"), F.col("__sp_e"))
+    else:
+        pre = [dates_array(dates).alias("__sp")]
+        dates = F.col("__sp")
+    stepped = df.select(*by, on, *values, nxt.alias("__next"), first.alias("__first"), *pre)
     cur = F.transform(
         spine_between(dates, F.col(on), F.col("__next")),
         lambda d: F.struct(d.alias(on), *[F.col(v).alias(v) for v in values]),

@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions import accounts as acc
+from tallyframe.operators import flows, gaps, holdings as hold, inventory as inv, tree
 from tallyframe.operators.asof import month_end_spine
 from tallyframe.plans import networth as nw
 from tallyframe.plans.oracle import with_prelude
-from tallyframe.plans.report import money
+from tallyframe.plans.report import money, ratio
 from tallyframe.sources.star import load_star_ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +66,471 @@ def q_networth_series(spark, sf_dir):
     L = ledger(spark, sf_dir)
     out = nw.networth_series(L.postings, L.prices, month_end_spine(START, END), TARGET)
     return out.select("ledger_id", "date", money("net_worth"))
+
+
+# ------------------------------------------------------------ shared SQL
+def sql_units_at(spine_sql: str, where: str, by: str = "currency", *, from_first: bool = False) -> str:
+    """CTEs ``spine``, ``d``, ``r``, ``k``, ``u``: units per (ledger, by) at
+    each spine date."""
+    join_spine = "JOIN spine s ON s.date >= k.first" if from_first else "CROSS JOIN spine s"
+    keys = ", ".join(f"k.{c.strip()}" for c in by.split(","))
+    conds = " AND ".join(f"r.{c.strip()} = k.{c.strip()}" for c in by.split(","))
+    return f"""
+, spine AS ({spine_sql}),
+d AS (SELECT ledger_id, {by}, date, SUM(number) AS delta FROM postings WHERE {where} GROUP BY ALL),
+r AS (SELECT ledger_id, {by}, date, SUM(delta) OVER (PARTITION BY ledger_id, {by} ORDER BY date) AS units FROM d),
+k AS (SELECT ledger_id, {by}, MIN(date) AS first FROM d GROUP BY ALL),
+u AS (SELECT k.ledger_id, {keys}, s.date, COALESCE(r.units, 0) AS units
+      FROM k {join_spine} ASOF LEFT JOIN r ON r.ledger_id = k.ledger_id AND {conds} AND r.date <= s.date)"""
+
+
+SQL_USD_PX = "px AS (SELECT currency, date, amount FROM prices WHERE quote = 'USD' AND currency <> 'USD')"
+SQL_DAYS = ("SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '{a}', DATE '{b}', INTERVAL 1 DAY) t(d)")
+SQL_MONTH_STARTS = ("SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '{a}', DATE '{b}', INTERVAL 1 MONTH) t(d)")
+SQL_ROOT2 = "array_to_string(list_slice(string_split(account, ':'), 1, 2), ':')"
+SQL_CATEGORY = """CASE WHEN regexp_matches(account, '^Assets:.*:(Banks|Cash):') THEN 'Cash and Bank Accounts'
+  WHEN regexp_matches(account, '^Assets:.*:Investments:') THEN 'Investments'
+  WHEN regexp_matches(account, '^Assets:') THEN 'Other Assets'
+  WHEN regexp_matches(account, '^Liabilities:.*:CreditCards:') THEN 'Liabilities/Credit Cards'
+  WHEN regexp_matches(account, '^Liabilities:') THEN 'Other Liabilities' ELSE 'Other' END"""
+# latest USD price per currency (no date limit)
+SQL_LAST_PX = "lpx AS (SELECT currency, arg_max(amount, date) AS amount FROM prices WHERE quote = 'USD' GROUP BY currency)"
+# USD price of each posting's currency on its date (as-of)
+SQL_POSTING_PX = """pp AS (SELECT p.*, CASE WHEN p.currency = 'USD' THEN CAST(1 AS DECIMAL(18,4)) ELSE x.amount END AS rate
+   FROM src p ASOF LEFT JOIN px x ON x.currency = p.currency AND x.date <= p.date)"""
+
+
+def sql_networth(spine_sql: str, where: str, out: str = "net_worth") -> str:
+    return sql_units_at(spine_sql, where) + f""",
+{SQL_USD_PX},
+j AS (SELECT u.*, px.amount FROM u ASOF LEFT JOIN px ON px.currency = u.currency AND px.date <= u.date),
+n AS (SELECT ledger_id, date, SUM(CASE WHEN currency = 'USD' THEN units WHEN units <> 0 AND amount IS NOT NULL
+        THEN units * amount ELSE 0 END) AS v FROM j GROUP BY ledger_id, date)
+"""
+
+
+AS_OF, PREV = "1999-12-31", "1998-12-31"
+YEAR = 2000
+TODAY = "2000-06-30"
+INCOME_ACCOUNTS = ["Income:BUILDING", "Income:MACHINERY", "Income:AUTOMOBILE"]
+SQL_INCOME_ACCOUNTS = "('Income:BUILDING', 'Income:MACHINERY', 'Income:AUTOMOBILE')"
+LEAF = "Expenses:LARGE:Brand4"
+TOLERANCES = {"USD": 1000, "EUR": 500}
+
+SQL_MONTH_ENDS_N = SQL_MONTH_ENDS
+SQL_ASSETS_LIAB = "regexp_matches(account, 'Assets|Liabilities')"
+SQL_ASSETS_LIAB_I = "regexp_matches(account, '(?i)Assets|Liabilities')"
+DAILY_END_EXCL = "2001-08-30"
+
+
+# --------------------------------------------------------------- N2
+@register("networth_detail", sql_units_at(SQL_MONTH_ENDS, SQL_ASSETS_LIAB, "account, currency", from_first=True) + f""",
+{SQL_USD_PX},
+j AS (SELECT u.*, CASE WHEN u.currency = 'USD' THEN CAST(1 AS DECIMAL(18,4)) ELSE px.amount END AS price
+      FROM u ASOF LEFT JOIN px ON px.currency = u.currency AND px.date <= u.date)
+SELECT ledger_id, date, account, currency, CAST(ROUND(units, 2) AS DOUBLE) AS units, CAST(price AS DOUBLE) AS price,
+  CAST(ROUND(units * price, 2) AS DOUBLE) AS value, {SQL_CATEGORY} AS category
+FROM j WHERE units <> 0 AND price IS NOT NULL
+""")
+def q_networth_detail(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    d = nw.networth_detail(L.postings, L.prices, month_end_spine(START, END), TARGET)
+    return d.select("ledger_id", "date", "account", "currency", money("units"),
+                    F.col("price").cast("double").alias("price"), money("value"), "category")
+
+
+# --------------------------------------------------------------- N3
+@register("networth_daily", sql_networth(SQL_DAYS.format(a=START, b=DAILY_END_EXCL), SQL_ASSETS_LIAB)
+          + "SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth FROM n")
+def q_networth_daily(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    out = nw.networth_daily(L.postings, L.prices, START, END, TARGET)
+    return out.select("ledger_id", "date", money("net_worth"))
+
+
+# --------------------------------------------------------------- N4 + W5
+@register("networth_monthly", sql_networth(SQL_MONTH_STARTS.format(a="1995-01-01", b="2001-12-01"), SQL_ASSETS_LIAB_I)
+          + """SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS amount,
+  ROUND(CAST(v AS DOUBLE) / NULLIF(CAST(LAG(v) OVER (PARTITION BY ledger_id ORDER BY date) AS DOUBLE), 0) - 1, 6) AS percent_change
+FROM n""")
+def q_networth_monthly(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    out = nw.networth_monthly(L.postings, L.prices, 1995, 2001, TARGET)
+    return out.select("ledger_id", "date", money("amount"), ratio("percent_change"))
+
+
+# --------------------------------------------------------------- N5
+@register("networth_summator", sql_networth(SQL_DAYS.format(a=START, b=DAILY_END_EXCL), SQL_ASSETS_LIAB)
+          + "SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth FROM n")
+def q_networth_summator(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    out = nw.networth_summator(L.postings, L.prices, START, END, TARGET)
+    return out.select("ledger_id", "date", money("net_worth"))
+
+
+# --------------------------------------------------------------- A2
+@register("networth_at", f"""
+, {SQL_USD_PX},
+h AS (SELECT ledger_id, currency, SUM(number) AS units FROM postings WHERE regexp_matches(account, '(?i)Assets:') GROUP BY ALL),
+lp AS (SELECT currency, arg_max(amount, date) AS amount FROM px WHERE date <= DATE '{TODAY}' GROUP BY currency)
+SELECT ledger_id, CAST(ROUND(SUM(CASE WHEN h.currency = 'USD' THEN units WHEN lp.amount IS NOT NULL THEN units * lp.amount END), 2) AS DOUBLE) AS net_worth
+FROM h LEFT JOIN lp USING (currency) GROUP BY ledger_id
+""")
+def q_networth_at(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    return nw.networth_at(L.postings, L.prices, TODAY, TARGET).select("ledger_id", money("net_worth"))
+
+
+# ------------------------------------------------------------ inventories
+SQL_INV_AT = """SELECT ledger_id, {acct} AS account, currency, cost_number, cost_currency, cost_date, SUM(number) AS number
+ FROM postings WHERE {where} GROUP BY ALL HAVING SUM(number) <> 0"""
+INV_OUT = ("ledger_id, account, currency, CAST(cost_number AS DOUBLE) AS cost_number, cost_currency, cost_date, "
+           "CAST(ROUND(number, 2) AS DOUBLE) AS number")
+
+
+def _inv_out(df):
+    return df.select("ledger_id", "account", "currency", F.col("cost_number").cast("double").alias("cost_number"),
+                     "cost_currency", "cost_date", money("number"))
+
+
+def _root_at(L, as_of):
+    return inv.sum_by_root(L.postings, as_of, "Assets|Liabilities", 2)
+
+
+SQL_ROOT_AT = SQL_INV_AT.format(acct=SQL_ROOT2, where=f"{SQL_ASSETS_LIAB} AND date <= DATE '{{d}}'")
+
+
+@register("inventory_sum", f"SELECT {INV_OUT} FROM ({SQL_INV_AT.format(acct='account', where='TRUE')})")
+def q_inventory_sum(spark, sf_dir):
+    return _inv_out(inv.inventory_sum(ledger(spark, sf_dir).postings))
+
+
+@register("sum_by_root", f"SELECT {INV_OUT} FROM ({SQL_ROOT_AT.format(d=AS_OF)})")
+def q_sum_by_root(spark, sf_dir):
+    return _inv_out(_root_at(ledger(spark, sf_dir), AS_OF))
+
+
+SQL_CONVERTED_AT = f"""
+, inv AS ({SQL_ROOT_AT.format(d=AS_OF)}),
+lp AS (SELECT currency, arg_max(amount, date) AS amount FROM prices WHERE quote = 'USD' AND date <= DATE '{AS_OF}' GROUP BY currency),
+c AS (SELECT inv.ledger_id, inv.account, inv.cost_number IS NOT NULL AS tracked_at_cost,
+   CASE WHEN inv.currency = 'USD' THEN number WHEN lp.amount IS NOT NULL THEN number * lp.amount ELSE number END AS conv,
+   CASE WHEN inv.currency = 'USD' OR lp.amount IS NOT NULL THEN 'USD' ELSE inv.currency END AS currency
+   FROM inv LEFT JOIN lp USING (currency))"""
+
+
+@register("inventory_convert", SQL_CONVERTED_AT + """
+SELECT ledger_id, account, currency, tracked_at_cost, CAST(ROUND(SUM(conv), 2) AS DOUBLE) AS number
+FROM c GROUP BY ALL HAVING SUM(conv) <> 0""")
+def q_inventory_convert(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    c = inv.inventory_convert(_root_at(L, AS_OF), L.prices, TARGET, AS_OF)
+    return c.select("ledger_id", "account", "currency", "tracked_at_cost", money("number"))
+
+
+@register("sum_all", SQL_CONVERTED_AT + """
+SELECT ledger_id, currency, tracked_at_cost, CAST(ROUND(SUM(conv), 2) AS DOUBLE) AS number
+FROM (SELECT ledger_id, account, currency, tracked_at_cost, SUM(conv) AS conv FROM c GROUP BY ALL HAVING SUM(conv) <> 0)
+GROUP BY ALL HAVING SUM(conv) <> 0""")
+def q_sum_all(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    c = inv.inventory_convert(_root_at(L, AS_OF), L.prices, TARGET, AS_OF)
+    return inv.sum_all(c).select("ledger_id", "currency", "tracked_at_cost", money("number"))
+
+
+@register("currency_set", "SELECT DISTINCT ledger_id, currency FROM postings GROUP BY ledger_id, account, currency, "
+          "cost_number, cost_currency, cost_date HAVING SUM(number) <> 0")
+def q_currency_set(spark, sf_dir):
+    return inv.currency_set(inv.inventory_sum(ledger(spark, sf_dir).postings))
+
+
+SQL_DIFF = f"""
+, a AS ({SQL_ROOT_AT.format(d=AS_OF)}), b AS ({SQL_ROOT_AT.format(d=PREV)}),
+diff AS (SELECT ledger_id, account, currency, cost_number, cost_currency, cost_date, SUM(number) AS number FROM
+  (SELECT * FROM a UNION ALL SELECT ledger_id, account, currency, cost_number, cost_currency, cost_date, -number FROM b)
+  GROUP BY ALL)"""
+
+
+def _diff(L):
+    return inv.inventory_diff(_root_at(L, AS_OF), _root_at(L, PREV))
+
+
+@register("inventory_diff", SQL_DIFF + f"\nSELECT {INV_OUT} FROM diff")
+def q_inventory_diff(spark, sf_dir):
+    return _inv_out(_diff(ledger(spark, sf_dir)))
+
+
+@register("clean_empty", SQL_DIFF + f"\nSELECT {INV_OUT} FROM diff WHERE number <> 0")
+def q_clean_empty(spark, sf_dir):
+    return _inv_out(inv.clean_empty(_diff(ledger(spark, sf_dir))))
+
+
+@register("is_empty", SQL_DIFF + "\nSELECT ledger_id, count_if(number <> 0) = 0 AS is_empty FROM diff GROUP BY ledger_id")
+def q_is_empty(spark, sf_dir):
+    return inv.is_empty(_diff(ledger(spark, sf_dir)))
+
+
+@register("currency_positions", f"SELECT {INV_OUT} FROM ({SQL_ROOT_AT.format(d=AS_OF)}) WHERE currency = 'EUR'")
+def q_currency_positions(spark, sf_dir):
+    return _inv_out(inv.currency_positions(_root_at(ledger(spark, sf_dir), AS_OF), "EUR"))
+
+
+SQL_TOL = "CASE currency WHEN 'USD' THEN 1000 WHEN 'EUR' THEN 500 ELSE 0 END"
+
+
+@register("clean_small", f"""
+, i AS ({SQL_ROOT_AT.format(d=AS_OF)}),
+big AS (SELECT ledger_id, account FROM i GROUP BY ALL HAVING bool_or(abs(number) > {SQL_TOL}))
+SELECT {INV_OUT} FROM i SEMI JOIN big USING (ledger_id, account)""")
+def q_clean_small(spark, sf_dir):
+    return _inv_out(inv.clean_small(_root_at(ledger(spark, sf_dir), AS_OF), TOLERANCES))
+
+
+@register("is_small", f"""
+, i AS ({SQL_ROOT_AT.format(d=AS_OF)})
+SELECT ledger_id, bool_and(abs(number) <= 10000) AS is_small FROM i GROUP BY ledger_id""")
+def q_is_small(spark, sf_dir):
+    return inv.is_small(_root_at(ledger(spark, sf_dir), AS_OF), 10000)
+
+
+# ------------------------------------------------------------ expense tree
+SQL_SUMMARY = f"""
+, {SQL_LAST_PX},
+summary AS (SELECT p.ledger_id, year(p.date) AS year, p.account,
+  SUM(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END) AS amount
+  FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency WHERE regexp_matches(p.account, '(?i)^Expenses') GROUP BY ALL),
+yrs AS (SELECT DISTINCT ledger_id, year FROM summary),
+yk AS (SELECT ledger_id, max(year) AS cur, count(*) AS n,
+   max(year) FILTER (WHERE rk = 2) AS y2, max(year) FILTER (WHERE rk = 3) AS y3
+   FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY year DESC) AS rk FROM yrs) GROUP BY ledger_id),
+dflt AS (SELECT ledger_id, cur,
+   CASE WHEN n - 1 >= 2 THEN y3 WHEN n - 1 = 1 THEN y2 WHEN n >= 2 THEN y2 ELSE cur END AS ly,
+   CASE WHEN n - 1 >= 1 THEN y2 ELSE cur END AS ry FROM yk)"""
+
+
+def _summary(L):
+    return tree.expense_by_year_account(L.postings, L.prices, TARGET)
+
+
+@register("expense_by_year_account", SQL_SUMMARY + """
+SELECT ledger_id, year, account, CAST(ROUND(amount, 2) AS DOUBLE) AS amount FROM summary""")
+def q_expense_by_year_account(spark, sf_dir):
+    s = _summary(ledger(spark, sf_dir))
+    return s.select("ledger_id", "year", "account", money("amount"))
+
+
+@register("available_years", SQL_SUMMARY + """
+SELECT y.ledger_id, y.year, y.year = d.cur AS is_current, d.ly AS default_left_year, d.ry AS default_right_year
+FROM yrs y JOIN dflt d USING (ledger_id)""")
+def q_available_years(spark, sf_dir):
+    return tree.available_years(_summary(ledger(spark, sf_dir)))
+
+
+@register("expense_categories", SQL_SUMMARY + """
+SELECT DISTINCT ledger_id, string_split(account, ':')[2] AS category FROM summary
+WHERE starts_with(account, 'Expenses:') AND len(string_split(account, ':')) > 1""")
+def q_expense_categories(spark, sf_dir):
+    return tree.expense_categories(_summary(ledger(spark, sf_dir)))
+
+
+@register("expense_tree", SQL_SUMMARY + """,
+s AS (SELECT s.*, d.ly, d.ry FROM summary s JOIN dflt d USING (ledger_id)
+      WHERE starts_with(account, 'Expenses:') AND string_split(account, ':')[2] NOT IN ('Taxes', 'Interest')),
+e AS (SELECT ledger_id, array_to_string(list_slice(string_split(account, ':'), 1, n), ':') AS path,
+        CASE WHEN year = ly THEN COALESCE(amount, 0) END AS l, CASE WHEN year = ry THEN COALESCE(amount, 0) END AS r
+      FROM s, generate_series(2, len(string_split(account, ':'))) g(n)),
+nodes AS (SELECT ledger_id, path, COALESCE(SUM(l), 0) AS left_amount, COALESCE(SUM(r), 0) AS right_amount FROM e GROUP BY ALL),
+nd AS (SELECT ledger_id, path, string_split(path, ':')[-1] AS name, len(string_split(path, ':')) - 1 AS depth,
+        array_to_string(list_slice(string_split(path, ':'), 1, len(string_split(path, ':')) - 1), ':') AS parent,
+        left_amount, right_amount, right_amount - left_amount AS delta FROM nodes),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ledger_id, parent ORDER BY delta DESC, name DESC) AS sibling_rank FROM nd)
+SELECT ledger_id, path, name, depth, parent, CAST(ROUND(left_amount, 2) AS DOUBLE) AS left_amount,
+  CAST(ROUND(right_amount, 2) AS DOUBLE) AS right_amount, CAST(ROUND(delta, 2) AS DOUBLE) AS delta, sibling_rank FROM ranked
+UNION ALL
+SELECT ledger_id, '__total__', 'TOTAL', 0, NULL, CAST(ROUND(SUM(left_amount), 2) AS DOUBLE), CAST(ROUND(SUM(right_amount), 2) AS DOUBLE),
+  CAST(ROUND(SUM(delta), 2) AS DOUBLE), 0 FROM nd WHERE depth = 1 GROUP BY ledger_id""")
+def q_expense_tree(spark, sf_dir):
+    t = tree.expense_tree(_summary(ledger(spark, sf_dir)))
+    return t.select("ledger_id", "path", "name", "depth", "parent", money("left_amount"), money("right_amount"),
+                    money("delta"), "sibling_rank")
+
+
+@register("drill_down", f"""
+, {SQL_LAST_PX}
+SELECT p.ledger_id, p.date, COALESCE(p.payee, '') AS payee, COALESCE(p.narration, '') AS narration,
+  CAST(ROUND(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END, 2) AS DOUBLE) AS amount
+FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency
+WHERE p.account = '{LEAF}' AND year(p.date) IN (1999, 2000)""")
+def q_drill_down(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    tx = flows.expense_postings(L.postings, L.prices, TARGET)
+    leaves = tree.leaf_accounts(_summary(L))
+    return tree.drill_down(tx, leaves, LEAF, (1999, 2000)).select(
+        "ledger_id", "date", "payee", "narration", money("amount"))
+
+
+@register("expense_postings", f"""
+, {SQL_LAST_PX}
+SELECT p.ledger_id, p.date, year(p.date) AS year, p.account, p.payee, p.narration,
+  CAST(ROUND(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END, 2) AS DOUBLE) AS amount
+FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency WHERE regexp_matches(p.account, '(?i)^Expenses')""")
+def q_expense_postings(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    tx = flows.expense_postings(L.postings, L.prices, TARGET)
+    return tx.select("ledger_id", "date", "year", "account", "payee", "narration", money("amount"))
+
+
+@register("income_postings", """
+SELECT ledger_id, txn_id, line_no, date, year(date) AS year, account, payee, narration,
+  CAST(number AS DOUBLE) AS number, currency FROM postings
+WHERE regexp_matches(account, '(?i)Income') AND date >= DATE '1999-01-01' AND date < DATE '2001-01-01'""")
+def q_income_postings(spark, sf_dir):
+    p = flows.income_postings(ledger(spark, sf_dir).postings, (1999, 2000))
+    return p.select("ledger_id", "txn_id", "line_no", "date", "year", "account", "payee", "narration",
+                    F.col("number").cast("double").alias("number"), "currency")
+
+
+@register("year_bounds", "SELECT ledger_id, year(min(date)) AS first_year, year(max(date)) AS last_year FROM postings GROUP BY ledger_id")
+def q_year_bounds(spark, sf_dir):
+    return flows.year_bounds(ledger(spark, sf_dir).postings)
+
+
+def _sql_period(unit: str) -> str:
+    return f"""
+SELECT ledger_id, CAST(date_trunc('{unit}', date) AS DATE) AS date,
+  CAST(ROUND(COALESCE(SUM(CASE WHEN currency = 'USD' THEN number END), 0), 2) AS DOUBLE) AS amount
+FROM postings WHERE regexp_matches(account, '(?i)Expenses') AND date >= DATE '1995-01-01' AND date < DATE '2002-01-01'
+GROUP BY ALL"""
+
+
+@register("expenses_by_period", _sql_period("month"))
+def q_expenses_by_period(spark, sf_dir):
+    e = flows.expenses_by_period(ledger(spark, sf_dir).postings, "Month", TARGET, years=(1995, 2001))
+    return e.select("ledger_id", "date", money("amount"))
+
+
+@register("expenses_by_period_week", _sql_period("week"))
+def q_expenses_by_week(spark, sf_dir):
+    e = flows.expenses_by_period(ledger(spark, sf_dir).postings, "Week", TARGET, years=(1995, 2001))
+    return e.select("ledger_id", "date", money("amount"))
+
+
+@register("expenses_by_period_quarter", _sql_period("quarter"))
+def q_expenses_by_quarter(spark, sf_dir):
+    e = flows.expenses_by_period(ledger(spark, sf_dir).postings, "Quarter", TARGET, years=(1995, 2001))
+    return e.select("ledger_id", "date", money("amount"))
+
+
+# converted at cost on the posting date
+def _sql_cost_src(where: str) -> str:
+    return f"""
+, {SQL_USD_PX},
+src AS (SELECT ledger_id, date, account,
+   CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END AS number,
+   COALESCE(cost_currency, currency) AS currency FROM postings WHERE {where}),
+{SQL_POSTING_PX}"""
+
+
+SQL_CONV = "CASE WHEN rate IS NOT NULL THEN number * rate END"
+
+
+@register("total_spend", _sql_cost_src("regexp_matches(account, '(?i)Expenses:') AND date >= DATE '2000-01-01'") + f"""
+SELECT ledger_id, CAST(ROUND(SUM({SQL_CONV}), 2) AS DOUBLE) AS balance FROM pp GROUP BY ledger_id""")
+def q_total_spend(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    return flows.total_spend(L.postings, L.prices, "2000-01-01", TARGET).select("ledger_id", money("balance"))
+
+
+@register("income_total", _sql_cost_src(f"account IN {SQL_INCOME_ACCOUNTS} AND year(date) = {YEAR}") + f"""
+SELECT ledger_id, CAST(ROUND(abs(SUM({SQL_CONV})), 2) AS DOUBLE) AS income FROM pp GROUP BY ledger_id""")
+def q_income_total(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    return flows.income_total(L.postings, L.prices, INCOME_ACCOUNTS, YEAR, TARGET).select("ledger_id", money("income"))
+
+
+@register("income_by_day", _sql_cost_src(f"account IN {SQL_INCOME_ACCOUNTS} AND year(date) = {YEAR}") + f""",
+dd AS (SELECT ledger_id, date, abs(SUM({SQL_CONV})) AS amount FROM pp GROUP BY ALL)
+SELECT ledger_id, date, CAST(ROUND(amount, 2) AS DOUBLE) AS amount,
+  CAST(ROUND(SUM(amount) OVER (PARTITION BY ledger_id ORDER BY date), 2) AS DOUBLE) AS income FROM dd""")
+def q_income_by_day(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    d = flows.daily_flow(L.postings, L.prices, YEAR, TARGET, accounts=INCOME_ACCOUNTS, abs_per_day=True, out="income")
+    return d.select("ledger_id", "date", money("amount"), money("income"))
+
+
+@register("spending_by_day", _sql_cost_src(f"regexp_matches(account, '(?i)Expenses:') AND year(date) = {YEAR}") + f""",
+dd AS (SELECT ledger_id, date, SUM({SQL_CONV}) AS amount FROM pp GROUP BY ALL)
+SELECT ledger_id, date, CAST(ROUND(amount, 2) AS DOUBLE) AS amount,
+  CAST(ROUND(SUM(amount) OVER (PARTITION BY ledger_id ORDER BY date), 2) AS DOUBLE) AS spending FROM dd""")
+def q_spending_by_day(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    d = flows.daily_flow(L.postings, L.prices, YEAR, TARGET, account_re="Expenses:", out="spending")
+    return d.select("ledger_id", "date", money("amount"), money("spending"))
+
+
+# ------------------------------------------------------------ holdings
+@register("holdings", """
+, lr AS (SELECT currency, quote, arg_max(amount, date) AS price FROM prices GROUP BY ALL),
+lots AS (SELECT ledger_id, account, cost_date, currency, cost_currency, cost_number, SUM(number) AS units FROM postings
+         WHERE split_part(account, ':', 1) IN ('Assets', 'Liabilities') GROUP BY ALL)
+SELECT ledger_id, account, l.currency, CAST(ROUND(units, 2) AS DOUBLE) AS units, CAST(cost_number AS DOUBLE) AS cost,
+  CAST(price AS DOUBLE) AS price,
+  CAST(ROUND(CASE WHEN cost_number IS NOT NULL THEN units * cost_number ELSE units END, 2) AS DOUBLE) AS book_value,
+  CASE WHEN cost_number IS NOT NULL THEN cost_currency ELSE l.currency END AS book_currency,
+  CAST(ROUND(CASE WHEN cost_number IS NOT NULL AND price IS NOT NULL THEN units * price ELSE units END, 2) AS DOUBLE) AS market_value,
+  CASE WHEN cost_number IS NOT NULL AND price IS NOT NULL THEN cost_currency ELSE l.currency END AS market_currency,
+  cost_date AS acquisition_date
+FROM lots l LEFT JOIN lr ON lr.currency = l.currency AND lr.quote = l.cost_currency""")
+def q_holdings(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    h = hold.holdings(L.postings, L.prices)
+    return h.select("ledger_id", "account", "currency", money("units"), F.col("cost").cast("double").alias("cost"),
+                    F.col("price").cast("double").alias("price"), money("book_value"), "book_currency",
+                    money("market_value"), "market_currency", "acquisition_date")
+
+
+@register("units_by_commodity", """
+SELECT ledger_id, currency, CAST(ROUND(SUM(number), 2) AS DOUBLE) AS units FROM postings
+WHERE regexp_matches(account, '(?i)Assets:') GROUP BY ALL HAVING SUM(number) <> 0""")
+def q_units_by_commodity(spark, sf_dir):
+    u = hold.units_by_commodity(ledger(spark, sf_dir).postings)
+    return u.select("ledger_id", "currency", money("units"))
+
+
+@register("holdings_snapshot", """
+, d AS (SELECT ledger_id, currency, date, SUM(number) AS delta FROM postings
+        WHERE currency NOT IN ('USD', 'IRAUSD', 'VACHR') GROUP BY ALL),
+r AS (SELECT ledger_id, currency, date, SUM(delta) OVER (PARTITION BY ledger_id, currency ORDER BY date) AS units FROM d),
+days AS (SELECT DISTINCT ledger_id, date FROM d),
+cur AS (SELECT DISTINCT ledger_id, currency FROM d),
+g AS (SELECT days.ledger_id, cur.currency, days.date FROM days JOIN cur USING (ledger_id)),
+s AS (SELECT g.ledger_id, g.currency, g.date, r.units FROM g ASOF JOIN r ON r.ledger_id = g.ledger_id AND r.currency = g.currency AND r.date <= g.date)
+SELECT ledger_id, currency, date, CAST(ROUND(units, 2) AS DOUBLE) AS units FROM s WHERE units <> 0""")
+def q_holdings_snapshot(spark, sf_dir):
+    s = hold.holdings_snapshot(ledger(spark, sf_dir).postings)
+    return s.select("ledger_id", "currency", "date", money("units"))
+
+
+# ------------------------------------------------------------ price gaps
+@register("missing_prices", """
+, b AS (SELECT min(date) AS lo, max(date) AS hi FROM prices),
+cs AS (SELECT DISTINCT currency FROM prices),
+g AS (SELECT CAST(d AS DATE) AS date, currency FROM b, cs, generate_series(b.lo, b.hi, INTERVAL 1 DAY) t(d))
+SELECT date, currency FROM g ANTI JOIN (SELECT DISTINCT currency, date FROM prices) p USING (currency, date)""")
+def q_missing_prices(spark, sf_dir):
+    return gaps.missing_prices(ledger(spark, sf_dir).prices)
+
+
+@register("missing_prices_held", """
+, d AS (SELECT ledger_id, currency, date, SUM(number) AS delta FROM postings
+        WHERE regexp_matches(account, '^Assets:') AND currency <> 'USD' GROUP BY ALL),
+r AS (SELECT ledger_id, currency, date, SUM(delta) OVER (PARTITION BY ledger_id, currency ORDER BY date) AS units,
+        LEAD(date) OVER (PARTITION BY ledger_id, currency ORDER BY date) AS nxt FROM d),
+hi AS (SELECT max(date) AS hi FROM prices),
+held AS (SELECT ledger_id, currency, CAST(x AS DATE) AS date FROM r, hi,
+         generate_series(r.date, COALESCE(r.nxt - 1, hi.hi), INTERVAL 1 DAY) t(x)
+         WHERE units <> 0 AND r.date <= hi.hi)
+SELECT ledger_id, date, currency FROM held ANTI JOIN (SELECT DISTINCT currency, date FROM prices) p USING (currency, date)""")
+def q_missing_prices_held(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    return gaps.missing_prices_held(L.postings, L.prices)
