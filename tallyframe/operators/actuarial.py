@@ -85,16 +85,17 @@ def improve(base: DataFrame, improvement: DataFrame, years: int, *, compat: bool
 def life_table(table: DataFrame) -> DataFrame:
     """lx, Lx, Tx, ex per table, in age order.
 
-    lx = radix x product of px over the earlier ages; Lx = (lx + next lx)/2;
-    Tx = sum of Lx from this age on; ex = Tx / lx.  Windows by table_id (150
-    rows each)."""
+    lx = radix x product of px over the earlier ages; nLx (person-years in the
+    year, "Lx") = (lx + next lx)/2; Tx = sum of nLx from this age on;
+    ex = Tx / lx.  Windows by table_id (150 rows each).  The person-years
+    column is ``nLx`` because Spark resolves ``Lx`` and ``lx`` as one name."""
     w = Window.partitionBy("table_id").orderBy("row_idx")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     after = w.rowsBetween(0, Window.unboundedFollowing)
     lx = F.coalesce(F.product("px").over(before), F.lit(1.0)) * RADIX
     t = table.withColumn("lx", lx)
-    t = t.withColumn("Lx", (F.col("lx") + F.lead("lx", 1, 0.0).over(w)) / 2)
-    t = t.withColumn("Tx", F.sum("Lx").over(after))
+    t = t.withColumn("nLx", (F.col("lx") + F.lead("lx", 1, 0.0).over(w)) / 2)
+    t = t.withColumn("Tx", F.sum("nLx").over(after))
     return t.withColumn("ex", F.try_divide(F.col("Tx"), F.col("lx")))
 
 

@@ -38,7 +38,8 @@ def rate_schedule(date: str | Column = "date", steps=RATE_STEPS) -> Column:
 
 
 def money2(c: Column) -> Column:
-    return F.round(c, 2).cast("decimal(18,2)")
+    """A double amount to DECIMAL(18,2), rounded half-up via 6 decimals."""
+    return F.round(c.cast("decimal(38,6)"), 2).cast("decimal(18,2)")
 
 
 def pmt_withdrawal(networth: DataFrame, *, value: str = "net_worth", rate=WITHDRAWAL_RATE,
@@ -54,14 +55,19 @@ def pmt_withdrawal(networth: DataFrame, *, value: str = "net_worth", rate=WITHDR
 
 
 def spend_target(pmt_col: Column, date: str = "date") -> tuple[Column, Column]:
-    """(daily spend, year-to-date target) for an annual payment."""
+    """(daily spend, year-to-date target) for an annual payment.  The target
+    is exact decimal arithmetic, payment x day of year / days in year,
+    rounded half-up to cents."""
     daily = pmt_col.cast("double") / days_in_year(date)
-    return daily, daily * day_of_year(date)
+    target = F.round(pmt_col.cast("decimal(18,2)") * day_of_year(date) / days_in_year(date), 2)
+    return daily, target
 
 
 def tilt(pmt_col: Column, net_worth: Column, target: Column, tilt_amt: float) -> Column:
+    """payment x (net worth / target) ** tilt; NULL unless the ratio is
+    positive (a fractional power of a negative net worth is undefined)."""
     frac = F.try_divide(net_worth.cast("double"), target.cast("double"))
-    return money2(pmt_col.cast("double") * F.pow(frac, F.lit(tilt_amt)))
+    return F.when(frac > 0, money2(pmt_col.cast("double") * F.pow(frac, F.lit(tilt_amt))))
 
 
 def income_target_pv(rate=WITHDRAWAL_RATE, nper=WITHDRAWAL_NPER, income=INCOME_TARGET) -> Column:
@@ -104,8 +110,8 @@ def delta_trend(curves: DataFrame, income: DataFrame, spending: DataFrame, *,
                       least_of("target_portfolio_tilt", "target_spending_tilt").alias("tilt"))
     t = t.join(income.select(*keys, "date", "income"), [*keys, "date"], how)
     t = t.join(spending.select(*keys, "date", "spending"), [*keys, "date"], how)
-    inc = F.col("income").cast("double")
-    sp = F.col("spending").cast("double")
+    inc = F.col("income")
+    sp = F.col("spending")
     return t.select(
         *keys, "date",
         (F.col("tilt") - sp).alias("tilt_trend"),

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import accounts as acc
-from tallyframe.operators import flows, gaps, holdings as hold, inventory as inv, tree
+from tallyframe.operators import actuarial as act, checks, flows, gaps, holdings as hold, inventory as inv, tree
 from tallyframe.operators.asof import month_end_spine
-from tallyframe.plans import networth as nw
+from tallyframe.plans import finance as fin, networth as nw
 from tallyframe.plans.oracle import with_prelude
-from tallyframe.plans.report import money, ratio
-from tallyframe.sources.star import load_star_ledger
+from tallyframe.plans.report import cents, money, ratio
+from tallyframe.sources.star import load_star_ledger, star_balances, star_households
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -534,3 +534,294 @@ SELECT ledger_id, date, currency FROM held ANTI JOIN (SELECT DISTINCT currency,
 def q_missing_prices_held(spark, sf_dir):
     L = ledger(spark, sf_dir)
     return gaps.missing_prices_held(L.postings, L.prices)
+
+
+# ------------------------------------------------------------ finance
+FIN_START, FIN_END = f"{YEAR}-01-01", f"{YEAR + 1}-01-01"
+R, NPER = "CAST(0.031 AS DOUBLE)", "CAST(72.335 AS DOUBLE)"
+SQL_Q = f"pow(1.0 + {R}, {NPER})"
+SQL_PMT_BEGIN = f"(-(-(0.0 + CAST(v AS DOUBLE) * {SQL_Q}) / (((1.0 + {R} * 1.0) * ({SQL_Q} - 1)) / {R})))"
+SQL_PV_INCOME = f"(-(0.0 + CAST(-225000.0 AS DOUBLE) * (((1.0 + {R} * 0.0) * ({SQL_Q} - 1)) / {R})) / {SQL_Q})"
+SQL_DIY = "dayofyear(make_date(year(date), 12, 31))"
+
+
+def sql_target(col: str) -> str:
+    """pmt x day_of_year / days_in_year rounded half-up to cents, in integer
+    cents (DuckDB divides decimals in DOUBLE)."""
+    num = f"(CAST({col} * 100 AS BIGINT) * day_of_year)"
+    return (f"(CAST(sign({num}) * ((2 * abs({num}) + {SQL_DIY}) // (2 * {SQL_DIY})) AS DECIMAL(38,2))"
+            f" * CAST(0.01 AS DECIMAL(3,2)))")
+
+
+def C2(expr: str) -> str:
+    """DuckDB twin of ``report.cents``."""
+    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,6)), 2) AS DOUBLE)"
+
+SQL_CURVES = sql_networth(SQL_DAYS.format(a=FIN_START, b=f"{YEAR}-12-31"), SQL_ASSETS_LIAB) + f""",
+b AS (SELECT ledger_id, date, v, CAST(ROUND(CAST({SQL_PMT_BEGIN} AS DECIMAL(38,6)), 2) AS DECIMAL(18,2)) AS pmt, dayofyear(date) AS day_of_year FROM n),
+c AS (SELECT *,
+  CASE WHEN CAST(v AS DOUBLE) / CAST(7000000 AS DOUBLE) > 0 THEN
+    CAST(ROUND(CAST(CAST(pmt AS DOUBLE) * pow(CAST(v AS DOUBLE) / CAST(7000000 AS DOUBLE), 0.5) AS DECIMAL(38,6)), 2) AS DECIMAL(18,2)) END AS pmt_portfolio_tilt,
+  CASE WHEN CAST(v AS DOUBLE) / {SQL_PV_INCOME} > 0 THEN
+    CAST(ROUND(CAST(CAST(pmt AS DOUBLE) * pow(CAST(v AS DOUBLE) / {SQL_PV_INCOME}, -0.5) AS DECIMAL(38,6)), 2) AS DECIMAL(18,2)) END AS pmt_income_tilt FROM b),
+cv AS (SELECT *, {sql_target('pmt')} AS target, {sql_target('pmt_portfolio_tilt')} AS target_portfolio_tilt,
+  {sql_target('pmt_income_tilt')} AS target_spending_tilt FROM c)"""
+
+
+def _curves(L):
+    n = nw.networth_summator(L.postings, L.prices, FIN_START, FIN_END, TARGET)
+    return fin.withdrawal_curves(n)
+
+
+@register("pmt_withdrawal", SQL_CURVES + """
+SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth, CAST(pmt AS DOUBLE) AS pmt, day_of_year FROM b""")
+def q_pmt_withdrawal(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    n = nw.networth_summator(L.postings, L.prices, FIN_START, FIN_END, TARGET)
+    b = fin.pmt_withdrawal(n)
+    return b.select("ledger_id", "date", money("net_worth"), F.col("pmt").cast("double").alias("pmt"), "day_of_year")
+
+
+@register("withdrawal_curves", SQL_CURVES + f"""
+SELECT ledger_id, date, CAST(pmt AS DOUBLE) AS pmt, CAST(pmt_portfolio_tilt AS DOUBLE) AS pmt_portfolio_tilt,
+  CAST(pmt_income_tilt AS DOUBLE) AS pmt_income_tilt, CAST(ROUND(target, 2) AS DOUBLE) AS target,
+  CAST(ROUND(target_portfolio_tilt, 2) AS DOUBLE) AS target_portfolio_tilt,
+  CAST(ROUND(target_spending_tilt, 2) AS DOUBLE) AS target_spending_tilt FROM cv""")
+def q_withdrawal_curves(spark, sf_dir):
+    c = _curves(ledger(spark, sf_dir))
+    return c.select("ledger_id", "date", *[F.col(x).cast("double").alias(x) for x in
+                                           ("pmt", "pmt_portfolio_tilt", "pmt_income_tilt")],
+                    *[money(x) for x in ("target", "target_portfolio_tilt", "target_spending_tilt")])
+
+
+@register("withdrawal_curves_long", SQL_CURVES + """
+SELECT ledger_id, date, variable, CAST(value AS DOUBLE) AS value FROM
+ (SELECT ledger_id, date, pmt, pmt_portfolio_tilt, pmt_income_tilt FROM c)
+ UNPIVOT INCLUDE NULLS (value FOR variable IN (pmt, pmt_portfolio_tilt, pmt_income_tilt))""")
+def q_withdrawal_curves_long(spark, sf_dir):
+    c = _curves(ledger(spark, sf_dir))
+    u = fin.unpivot_series(c.select("ledger_id", "date", "pmt", "pmt_portfolio_tilt", "pmt_income_tilt"),
+                           ["ledger_id", "date"], ["pmt", "pmt_portfolio_tilt", "pmt_income_tilt"])
+    return u.select("ledger_id", "date", "variable", F.col("value").cast("double").alias("value"))
+
+
+SQL_FLOW_DAYS = f""",
+inc AS (SELECT ledger_id, date, SUM(abs(a)) OVER (PARTITION BY ledger_id ORDER BY date) AS income FROM
+   (SELECT ledger_id, date, SUM({SQL_CONV}) AS a FROM pp WHERE account IN {SQL_INCOME_ACCOUNTS} GROUP BY ALL)),
+spd AS (SELECT ledger_id, date, SUM(a) OVER (PARTITION BY ledger_id ORDER BY date) AS spending FROM
+   (SELECT ledger_id, date, SUM({SQL_CONV}) AS a FROM pp WHERE regexp_matches(account, '(?i)Expenses:') GROUP BY ALL))"""
+
+
+def _flows_sql() -> str:
+    # posting-date conversion source over the year, without re-declaring px
+    return f""",
+src AS (SELECT ledger_id, date, account,
+   CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END AS number,
+   COALESCE(cost_currency, currency) AS currency FROM postings WHERE year(date) = {YEAR}),
+{SQL_POSTING_PX}""" + SQL_FLOW_DAYS
+
+
+@register("delta_trend", SQL_CURVES + _flows_sql() + f"""
+SELECT cv.ledger_id, cv.date,
+  CAST(ROUND(least(target_portfolio_tilt, target_spending_tilt) - spending, 2) AS DOUBLE) AS tilt_trend,
+  CAST(ROUND(least(target_portfolio_tilt, target_spending_tilt) - spending + income, 2) AS DOUBLE) AS tilt_income_trend,
+  CAST(ROUND(target - spending + income, 2) AS DOUBLE) AS notilt_income_trend
+FROM cv JOIN inc USING (ledger_id, date) JOIN spd USING (ledger_id, date)""")
+def q_delta_trend(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    c = _curves(L)
+    inc = flows.daily_flow(L.postings, L.prices, YEAR, TARGET, accounts=INCOME_ACCOUNTS, abs_per_day=True, out="income")
+    sp = flows.daily_flow(L.postings, L.prices, YEAR, TARGET, account_re="Expenses:", out="spending")
+    t = fin.delta_trend(c, inc, sp)
+    return t.select("ledger_id", "date", *[money(x) for x in
+                                           ("tilt_trend", "tilt_income_trend", "notilt_income_trend")])
+
+
+# ------------------------------------------------------------ actuarial
+LIFE_YEAR = 2025
+P90 = 1 - 0.9
+HOUSEHOLD_AGES = (50, 35)
+
+
+def _life(spark):
+    base = act.extend_life_table(act.synthetic_life_tables(spark))
+    g = act.extend_life_table(act.synthetic_improvement(spark))
+    return act.improve(base, g, LIFE_YEAR - act.BASE_TABLE_YEAR)
+
+
+SQL_LIFE = f"""
+, lt_raw AS (SELECT t.table_id, CAST(a.age AS INT) AS row_idx, CAST(a.age AS BIGINT) AS age,
+     CAST(a.age * a.age AS DOUBLE) / t.dv AS qx
+   FROM (VALUES ('male', CAST(16000.0 AS DOUBLE)), ('female', CAST(18000.0 AS DOUBLE))) t(table_id, dv), range(0, 121) a(age)),
+lt_ext AS (SELECT * FROM lt_raw UNION ALL
+   SELECT l.table_id, CAST(120 + i AS INT), CAST(120 + i AS BIGINT), l.qx FROM lt_raw l, range(1, 30) r(i) WHERE l.age = 120),
+lt AS (SELECT table_id, row_idx, age, qx * pow(1 - CAST(0.01 AS DOUBLE), {LIFE_YEAR - 2012}) AS qx,
+       1 - qx * pow(1 - CAST(0.01 AS DOUBLE), {LIFE_YEAR - 2012}) AS px FROM lt_ext),
+pos AS (SELECT table_id, age, px, row_number() OVER (PARTITION BY table_id ORDER BY row_idx) AS pos FROM lt),
+nn AS (SELECT max(pos) FILTER (WHERE table_id = 'male') AS n1, max(pos) FILTER (WHERE table_id = 'female') AS n2 FROM pos),
+st AS (SELECT table_id, age, min(pos) AS s FROM pos GROUP BY ALL)"""
+
+
+def sql_joint(pairs_sql: str) -> str:
+    return f""",
+pairs AS ({pairs_sql}),
+p2 AS (SELECT pairs.*, a.s AS s1, b.s AS s2 FROM pairs JOIN st a ON a.table_id = 'male' AND a.age = pairs.age_1
+       JOIN st b ON b.table_id = 'female' AND b.age = pairs.age_2),
+steps AS (SELECT p2.*, g.t FROM p2, nn, generate_series(0, least(nn.n1 - p2.s1, nn.n2 - p2.s2)) g(t)),
+jj AS (SELECT steps.age_1, steps.age_2, steps.t, a.px AS px1, b.px AS px2 FROM steps
+       JOIN pos a ON a.table_id = 'male' AND a.pos = steps.s1 + steps.t
+       JOIN pos b ON b.table_id = 'female' AND b.pos = steps.s2 + steps.t),
+sv AS (SELECT age_1, age_2, t, COALESCE(product(px1) OVER w, 1.0) AS s1, COALESCE(product(px2) OVER w, 1.0) AS s2 FROM jj
+       WINDOW w AS (PARTITION BY age_1, age_2 ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+firstt AS (SELECT age_1, age_2, min(t) AS t FROM sv WHERE 1 - (1 - s1) * (1 - s2) <= {P90!r} GROUP BY ALL)"""
+
+
+SQL_HH_PAIRS = "SELECT DISTINCT CAST(age_1 AS BIGINT) AS age_1, CAST(age_2 AS BIGINT) AS age_2 FROM households"
+
+
+@register("household_life_expectancy", SQL_LIFE + """,
+lx AS (SELECT table_id, age, COALESCE(product(px) OVER (PARTITION BY table_id ORDER BY row_idx
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) * 100000 AS lx, row_idx FROM lt),
+lxx AS (SELECT *, (lx + LEAD(lx, 1, 0.0) OVER (PARTITION BY table_id ORDER BY row_idx)) / 2 AS nLx FROM lx),
+tx AS (SELECT *, SUM(nLx) OVER (PARTITION BY table_id ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS Tx FROM lxx),
+ex AS (SELECT table_id, age, Tx / lx AS ex FROM tx)
+SELECT h.household_id, h.age_1, h.age_2, ROUND(a.ex, 6) AS ex_1, ROUND(b.ex, 6) AS ex_2
+FROM households h JOIN ex a ON a.table_id = 'male' AND a.age = h.age_1 JOIN ex b ON b.table_id = 'female' AND b.age = h.age_2""")
+def q_household_life_expectancy(spark, sf_dir):
+    lt = act.life_table(_life(spark)).select("table_id", "age", "ex")
+    hh = star_households(spark, sf_dir)
+    m = F.broadcast(lt.where(F.col("table_id") == "male").select(F.col("age").alias("age_1"), F.col("ex").alias("ex_1")))
+    f = F.broadcast(lt.where(F.col("table_id") == "female").select(F.col("age").alias("age_2"), F.col("ex").alias("ex_2")))
+    out = hh.join(m, "age_1").join(f, "age_2")
+    return out.select("household_id", "age_1", "age_2", ratio("ex_1"), ratio("ex_2"))
+
+
+@register("joint_life_percentile", SQL_LIFE + sql_joint(SQL_HH_PAIRS) + """
+SELECT h.household_id, CAST(h.age_1 AS BIGINT) AS age_1, CAST(h.age_2 AS BIGINT) AS age_2, CAST(f.t AS INT) AS years
+FROM households h LEFT JOIN firstt f ON f.age_1 = h.age_1 AND f.age_2 = h.age_2""")
+def q_joint_life_percentile(spark, sf_dir):
+    lt = _life(spark)
+    return act.joint_life_percentile(star_households(spark, sf_dir), lt.where("table_id = 'male'"),
+                                     lt.where("table_id = 'female'"), 0.9)
+
+
+@register("conservative_life_expectancy", SQL_LIFE + sql_joint(SQL_HH_PAIRS) + """
+SELECT h.household_id, CAST(h.age_1 AS BIGINT) AS age_1, CAST(h.age_2 AS BIGINT) AS age_2, CAST(f.t AS INT) AS years,
+  ROUND((f.t + 120 - least(h.age_1, h.age_2)) / 2, 6) AS conservative_years
+FROM households h LEFT JOIN firstt f ON f.age_1 = h.age_1 AND f.age_2 = h.age_2""")
+def q_conservative_life_expectancy(spark, sf_dir):
+    lt = _life(spark)
+    j = act.joint_life_percentile(star_households(spark, sf_dir), lt.where("table_id = 'male'"),
+                                  lt.where("table_id = 'female'"), 0.9)
+    return act.conservative_life_expectancy(j).select("household_id", "age_1", "age_2", "years",
+                                                      ratio("conservative_years"))
+
+
+def _household_le(spark):
+    """Conservative life expectancy of the dashboard household (a scalar)."""
+    lt = _life(spark)
+    one = spark.range(1).select(F.lit(1).alias("household_id"), F.lit(HOUSEHOLD_AGES[0]).alias("age_1"),
+                                F.lit(HOUSEHOLD_AGES[1]).alias("age_2"))
+    j = act.joint_life_percentile(one, lt.where("table_id = 'male'"), lt.where("table_id = 'female'"), 0.9)
+    return act.conservative_life_expectancy(j).select(F.col("conservative_years").cast("double")).scalar()
+
+
+SQL_DASH_LE = SQL_LIFE + sql_joint(f"SELECT CAST({HOUSEHOLD_AGES[0]} AS BIGINT) AS age_1, CAST({HOUSEHOLD_AGES[1]} AS BIGINT) AS age_2") + f""",
+le AS (SELECT CAST((t + 120 - least(age_1, age_2)) / 2 AS DOUBLE) AS le FROM firstt)"""
+SQL_DASH = SQL_DASH_LE + f""",
+{SQL_USD_PX},
+h AS (SELECT ledger_id, currency, SUM(number) AS units FROM postings WHERE regexp_matches(account, '(?i)Assets:') GROUP BY ALL),
+lp AS (SELECT currency, arg_max(amount, date) AS amount FROM px WHERE date <= DATE '{TODAY}' GROUP BY currency),
+nwt AS (SELECT ledger_id, SUM(CASE WHEN h.currency = 'USD' THEN units WHEN lp.amount IS NOT NULL THEN units * lp.amount END) AS v
+        FROM h LEFT JOIN lp USING (currency) GROUP BY ledger_id),
+dr AS (SELECT nwt.ledger_id, CAST(v AS DOUBLE) AS nw, le.le,
+   CASE WHEN DATE '{TODAY}' >= make_date(year(DATE '{TODAY}'), 2, 23) THEN CAST(0.031 AS DOUBLE) ELSE CAST(0.032 AS DOUBLE) END AS er FROM nwt, le),
+dq AS (SELECT *, pow(1.0 + er, le) AS q FROM dr),
+dp AS (SELECT *, -(-(CAST(0.0 AS DOUBLE) + nw * q) / (((1.0 + er * 1.0) * (q - 1)) / er)) AS raw,
+        -(CAST(0.0 AS DOUBLE) + CAST(-225000.0 AS DOUBLE) * (((1.0 + er * 0.0) * (q - 1)) / er)) / q AS inc_pv FROM dq),
+dt AS (SELECT *, least(raw * pow(nw / 750000, 0.5), raw * pow(nw / inc_pv, -0.5)) AS tilt FROM dp)"""
+
+
+@register("tilt_pmt_dashboard", SQL_DASH + f"""
+SELECT ledger_id, DATE '{TODAY}' AS date, er AS rate, floor(tilt / 1000) * 1000 AS tilt_pmt, floor(raw / 1000) * 1000 AS raw_pmt FROM dt""")
+def q_tilt_pmt_dashboard(spark, sf_dir):
+    return _dashboard(spark, sf_dir).select(
+        "ledger_id", "date", "rate", F.col("tilt_pmt").cast("double").alias("tilt_pmt"),
+        F.col("raw_pmt").cast("double").alias("raw_pmt"))
+
+
+def _dashboard(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    n = nw.networth_at(L.postings, L.prices, TODAY, TARGET).withColumn("date", F.lit(TODAY).cast("date"))
+    return fin.tilt_pmt_dashboard(n, _household_le(spark))
+
+
+SQL_YTD = f"""
+src AS (SELECT ledger_id, date, account,
+   CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END AS number,
+   COALESCE(cost_currency, currency) AS currency FROM postings
+   WHERE regexp_matches(account, '(?i)Expenses:') AND date >= DATE '1998-01-01' AND date <= DATE '{TODAY}'),
+{SQL_POSTING_PX},
+ytd AS (SELECT ledger_id, SUM({SQL_CONV}) FILTER (WHERE date >= DATE '{YEAR}-01-01') AS ytd,
+        SUM({SQL_CONV}) FILTER (WHERE NOT regexp_matches(account, '(?i)Expenses:Vacation:')
+          AND account NOT IN ('Expenses:Everyday:Household-Goods', 'Expenses:Everyday:House-Renovation')) AS total
+        FROM pp GROUP BY ledger_id)"""
+
+
+def _ytd(L, start):
+    return flows.total_spend(L.postings, L.prices, start, TARGET, end=TODAY)
+
+
+def _required(L):
+    return flows.total_spend(L.postings, L.prices, "1998-01-01", TARGET, end=TODAY,
+                             exclude_re=["Expenses:Vacation:"],
+                             exclude_accounts=["Expenses:Everyday:Household-Goods",
+                                               "Expenses:Everyday:House-Renovation"])
+
+
+@register("spend_progress", SQL_DASH + ",\n" + SQL_YTD + f"""
+SELECT dt.ledger_id, round(dayofyear(DATE '{TODAY}') / 365 * 100, 0) AS date_pct,
+  round(CAST(ytd AS DOUBLE) / (floor(tilt / 1000) * 1000) * 100, 0) AS tilt_pct,
+  round(dayofyear(DATE '{TODAY}') / 365 * 100, 0) >= round(CAST(ytd AS DOUBLE) / (floor(tilt / 1000) * 1000) * 100, 0) AS on_track
+FROM dt JOIN ytd USING (ledger_id)""")
+def q_spend_progress(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    d = _dashboard(spark, sf_dir).select("ledger_id", "tilt_pmt")
+    y = _ytd(L, f"{YEAR}-01-01").select("ledger_id", F.col("balance").alias("ytd"))
+    j = d.join(y, "ledger_id")
+    doy, spend, ok = fin.spend_progress(F.col("ytd"), F.col("tilt_pmt"), F.lit(TODAY).cast("date"))
+    return j.select("ledger_id", doy.alias("date_pct"), spend.alias("tilt_pct"), ok.alias("on_track"))
+
+
+@register("projected_spend", f", {SQL_USD_PX},\n" + SQL_YTD + f"""
+SELECT ledger_id, CAST(ROUND(ytd, 2) AS DOUBLE) AS ytd_spend,
+  {C2(f"CAST(ytd AS DOUBLE) + CAST(total AS DOUBLE) / CAST(datediff('day', DATE '1998-01-01', DATE '{TODAY}') AS DOUBLE) * (365 - dayofyear(DATE '{TODAY}'))")} AS projected
+FROM ytd""")
+def q_projected_spend(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    y = _ytd(L, f"{YEAR}-01-01").select("ledger_id", F.col("balance").alias("ytd"))
+    t = _required(L).select("ledger_id", F.col("balance").alias("total"))
+    j = y.join(t, "ledger_id")
+    est = fin.projected_spend(F.col("ytd"), F.col("total"), F.lit(TODAY).cast("date"), F.lit("1998-01-01").cast("date"))
+    return j.select("ledger_id", money("ytd", "ytd_spend"), cents(est, "projected"))
+
+
+# ------------------------------------------------------------ S3
+@register("ledger_errors", """
+, dd AS (SELECT ledger_id, account, currency, date, SUM(number) AS delta FROM postings GROUP BY ALL),
+anc AS (SELECT ledger_id, array_to_string(list_slice(string_split(account, ':'), 1, n), ':') AS path, currency, date, delta
+        FROM dd, generate_series(1, len(string_split(account, ':'))) g(n)),
+act AS (SELECT b.ledger_id, b.date, b.account, b.currency, b.number AS expected, COALESCE(SUM(a.delta), 0) AS actual
+        FROM balances b LEFT JOIN anc a ON a.ledger_id = b.ledger_id AND a.path = b.account AND a.currency = b.currency AND a.date < b.date
+        GROUP BY ALL),
+w AS (SELECT ledger_id, txn_id, COALESCE(cost_currency, currency) AS currency, min(date) AS date,
+        SUM(CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END) AS actual FROM postings GROUP BY ALL)
+SELECT ledger_id, 'balance' AS kind, date, account, currency, CAST(expected AS DOUBLE) AS expected,
+  CAST(actual AS DOUBLE) AS actual, CAST(actual - expected AS DOUBLE) AS diff FROM act WHERE abs(actual - expected) > 0.005
+UNION ALL
+SELECT ledger_id, 'unbalanced', date, NULL, currency, 0.0, CAST(actual AS DOUBLE), CAST(actual AS DOUBLE) FROM w WHERE abs(actual) > 0.005""")
+def q_ledger_errors(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    e = checks.ledger_errors(L.postings, star_balances(L.postings))
+    return e.select("ledger_id", "kind", "date", "account", "currency",
+                    *[F.col(c).cast("double").alias(c) for c in ("expected", "actual", "diff")])
