@@ -825,3 +825,52 @@ def q_ledger_errors(spark, sf_dir):
     e = checks.ledger_errors(L.postings, star_balances(L.postings))
     return e.select("ledger_id", "kind", "date", "account", "currency",
                     *[F.col(c).cast("double").alias(c) for c in ("expected", "actual", "diff")])
+
+
+# ------------------------------------------------------------ streaming
+def _stream_dirs(spark, name):
+    import uuid
+
+    from tallyframe.session import scratch_path
+
+    base = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{base}/source", f"{base}/out", f"{base}/checkpoint"
+
+
+@register("incremental_balances", f"""
+SELECT ledger_id, account, currency, CAST(cost_number AS DOUBLE) AS cost_number, cost_currency, cost_date,
+  CAST(ROUND(number, 2) AS DOUBLE) AS number
+FROM ({SQL_INV_AT.format(acct=SQL_ROOT2, where=SQL_ASSETS_LIAB)})""")
+def q_incremental_balances(spark, sf_dir):
+    from tallyframe.streaming.balances import balances_stream, latest_state, run_to_table, write_stream_source
+
+    src, out, ckpt = _stream_dirs(spark, "incremental_balances")
+    postings = ledger(spark, sf_dir).postings
+    write_stream_source(postings, src)
+    stream = spark.readStream.schema(postings.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    run_to_table(balances_stream(stream, root_n=2, account_re="Assets|Liabilities"), out, ckpt)
+    key = ["ledger_id", "account", "currency", "cost_number", "cost_currency", "cost_date"]
+    return _inv_out(latest_state(spark, out, key).where(F.col("number") != 0))
+
+
+@register("streaming_period_expenses", """
+SELECT user_id AS ledger_id, event_type AS account, CAST(date_trunc('month', ts) AS DATE) AS period,
+  CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS amount
+FROM events GROUP BY ALL""")
+def q_streaming_period_expenses(spark, sf_dir):
+    from tallyframe.sources.star import read_table
+    from tallyframe.streaming.balances import latest_state, period_expenses_stream, run_to_table, write_stream_source
+
+    src, out, ckpt = _stream_dirs(spark, "period_expenses")
+    events = read_table(spark, sf_dir, "events").select(
+        "ts", "user_id", "event_type", F.col("value").cast("decimal(18,6)").alias("value"))
+    write_stream_source(events, src)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    # Files arrive in no particular time order here, so no watermark: every
+    # row counts (a watermark would release closed months but drop late rows).
+    agg = period_expenses_stream(stream, "month", ts="ts", ledger="user_id", account="event_type",
+                                 value="value", watermark=None)
+    run_to_table(agg, out, ckpt)
+    res = latest_state(spark, out, ["ledger_id", "account", "period"])
+    return res.select("ledger_id", "account", F.to_date("period").alias("period"),
+                      F.col("amount").cast("double").alias("amount"))
