@@ -120,4 +120,7 @@ def test_load_ledger_text(spark):
     assert rows == [("Assets:Cash", Decimal("-12.5"), "EUR"), ("Expenses:Food", Decimal("12.5"), "EUR")]
     assert t.transactions.first().tags == ["food"]
     assert checks.balance_failures(t.postings, t.balances).count() == 0
-    assert checks.ledger_errors(t.postings, t.balances, t.opens).count() == 0
+    kinds = [r.kind for r in checks.ledger_errors(t.postings, t.balances, t.opens).collect()]
+    assert kinds == ["unopened_account"]  # Expenses:Food is never opened
+    t2 = load_ledger_text(spark, {"l1": text.replace("2020-01-02 *", "2020-01-01 open Expenses:Food\n2020-01-02 *")})
+    assert checks.ledger_errors(t2.postings, t2.balances, t2.opens).count() == 0
