@@ -18,10 +18,10 @@ measuring it, so the wide side is read once and never sorted by currency.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.asof import DailySpine, explode_intervals, latest_value
+from tallyframe.operators.asof import explode_intervals, latest_value
 
 RATE = "decimal(38,18)"
 
@@ -61,16 +61,18 @@ def rate_calendar(rates: DataFrame, dates=None) -> tuple[DataFrame, DataFrame |
 
     With a spine ``dates``: (base, quote, date, rate) for every spine date on
     or after a pair's first price; nothing else is needed.
-    Without: a dense daily calendar of each pair from its first price up to
-    the last price date of the whole table, plus a ``tail`` (base, quote,
-    last_date, last_rate) for probe dates beyond that horizon.  Both are
-    bounded by pairs x days and independent of the data being converted, so
-    the wide side is scanned once and only equi-joined.
+    Without: a dense daily calendar of each pair from its first to its last
+    price date, plus a ``tail`` (base, quote, last_date, last_rate) for probe
+    dates after that.  Both are bounded by pairs x days and independent of
+    the data being converted, so the wide side is scanned once and only
+    equi-joined.
     """
     if dates is not None:
         return explode_intervals(rates, ["base", "quote"], dates, ["rate"]), None
-    horizon = rates.select(F.max("date")).scalar()
-    dense = explode_intervals(rates, ["base", "quote"], DailySpine(F.lit(None).cast("date"), horizon), ["rate"])
+    w = Window.partitionBy("base", "quote").orderBy("date")
+    upto = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date"))
+    dense = rates.select("base", "quote", "rate", "date", upto.alias("upto")).select(
+        "base", "quote", "rate", F.explode(F.sequence(F.col("date"), F.col("upto"))).alias("date"))
     tail = latest_value(rates, ["base", "quote"], ["rate"]).select(
         "base", "quote", F.col("date").alias("last_date"), F.col("rate").alias("last_rate")
     )
@@ -97,44 +99,45 @@ def convert(
 
     When every row's date is a date of a known spine, pass it as ``spine``
     so the rate calendar is built only for those dates.
+
+    The calendar (and tail) DataFrames are joined once per role (direct, and
+    the two hops through ``via``) under different aliases of the *same*
+    plan, so Spark builds and ships each of them once (reused exchange).
     """
     rates = rate_table(prices, inverse=inverse)
     tgt = F.lit(target)
-    rows = df
     has_via = via is not None and via in df.columns
-
     if date is None:
-        last = latest_value(rates, ["base", "quote"], ["rate"]).drop("date")
-
-        def lookup(frame, base_col, quote_col, name):
-            t = last.select(F.col("base").alias("__b"), F.col("quote").alias("__q"), F.col("rate").alias(name))
-            cond = (base_col == F.col("__b")) & (quote_col == F.col("__q"))
-            return frame.join(t, cond, "left").drop("__b", "__q")
+        cal = latest_value(rates, ["base", "quote"], ["rate"]).drop("date")
+        tail = None
     else:
         cal, tail = rate_calendar(rates, spine)
 
-        def lookup(frame, base_col, quote_col, name):
-            t = cal.select(F.col("base").alias("__b"), F.col("quote").alias("__q"),
-                           F.col("date").alias("__d"), F.col("rate").alias(name))
-            cond = (base_col == F.col("__b")) & (quote_col == F.col("__q")) & (F.col(date) == F.col("__d"))
-            out = frame.join(t, cond, "left").drop("__b", "__q", "__d")
-            if tail is None:
-                return out
-            tl = tail.select(F.col("base").alias("__b"), F.col("quote").alias("__q"),
-                             "last_date", "last_rate")
-            out = out.join(tl, (base_col == F.col("__b")) & (quote_col == F.col("__q")), "left")
-            fill = F.when(F.col(date) > F.col("last_date"), F.col("last_rate"))
-            return out.withColumn(name, F.coalesce(F.col(name), fill)).drop(
-                "__b", "__q", "last_date", "last_rate")
-
-    same = F.col(currency) == tgt
-    rows = lookup(rows, F.col(currency), tgt, "__r_direct")
+    def lookup(frame: DataFrame, base_col: str, quote, name: str, tag: str) -> DataFrame:
+        c = cal.alias(f"c_{tag}")
+        q = frame[quote] if isinstance(quote, str) else quote
+        cond = (frame[base_col] == F.col(f"c_{tag}.base")) & (q == F.col(f"c_{tag}.quote"))
+        if date is not None:
+            cond = cond & (frame[date] == F.col(f"c_{tag}.date"))
+        out = frame.join(c, cond, "left").select(*[frame[x] for x in frame.columns],
+                                                 F.col(f"c_{tag}.rate").alias(name))
+        if tail is None:
+            return out
+        t = tail.alias(f"t_{tag}")
+        q = out[quote] if isinstance(quote, str) else quote
+        cond = (out[base_col] == F.col(f"t_{tag}.base")) & (q == F.col(f"t_{tag}.quote"))
+        fill = F.when(out[date] > F.col(f"t_{tag}.last_date"), F.col(f"t_{tag}.last_rate"))
+        return out.join(t, cond, "left").select(
+            *[out[x] for x in out.columns if x != name], F.coalesce(out[name], fill).alias(name))
+
+    rows = lookup(df, currency, tgt, "__r_direct", "d")
     if has_via:
-        rows = lookup(rows, F.col(currency), F.col(via), "__r1")
-        rows = lookup(rows, F.col(via), tgt, "__r2")
+        rows = lookup(rows, currency, via, "__r1", "h1")
+        rows = lookup(rows, via, tgt, "__r2", "h2")
         hop_rate = F.when(F.col(via).isNotNull() & (F.col(via) != tgt), F.col("__r1") * F.col("__r2"))
     else:
         hop_rate = F.lit(None)
+    same = F.col(currency) == tgt
     rate = F.when(same, F.lit(1).cast(RATE)).otherwise(F.coalesce(F.col("__r_direct"), hop_rate))
     return rows.select(
         *df.columns,

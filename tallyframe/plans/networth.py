@@ -174,7 +174,7 @@ def networth_at(postings, prices, as_of, target="USD", account_re="Assets:", *,
     if "cost_currency" not in p.columns:
         p = p.withColumn("cost_currency", F.lit(None).cast("string"))
     inv = p.groupBy(*keys, "currency", "cost_currency").agg(F.sum("number").alias("number"))
-    conv = convert(inv.withColumn("date", F.lit(as_of).cast("date")), prices, target)
+    conv = convert(inv.withColumn("date", F.lit(as_of).cast("date")), prices, target, spine=[as_of])
     value = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     return conv.groupBy(*keys).agg(
         F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("net_worth")

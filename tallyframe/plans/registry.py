@@ -43,8 +43,27 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_INGESTED: dict[tuple[str, str], str] = {}
+
+
 def ledger(spark, sf_dir):
-    return load_star_ledger(spark, sf_dir)
+    """The ledger tables of ``sf_dir``: ingested once per session into the
+    shared checkpoint folder, then read as parquet by every query."""
+    import hashlib
+    import os
+
+    from tallyframe.session import scratch_path
+    from tallyframe.sources.star import materialize_star_ledger, read_star_ledger
+
+    app = spark.sparkContext.applicationId
+    key = (app, os.path.abspath(sf_dir))
+    path = _INGESTED.get(key)
+    if path is None:
+        digest = hashlib.sha1(f"{app}:{key[1]}".encode()).hexdigest()[:16]
+        path = scratch_path(spark, f"ledger-{digest}")
+        materialize_star_ledger(spark, sf_dir, path)
+        _INGESTED[key] = path
+    return read_star_ledger(spark, path)
 
 
 # --------------------------------------------------------------- N1
