@@ -47,13 +47,12 @@ def holdings_ordered(h: DataFrame, *, keys: Sequence[str] = ("ledger_id",)) -> D
 
 
 def units_by_commodity(postings: DataFrame, account_re: str = "Assets:", *,
-                       keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
-    """Total units per commodity over the matching accounts (zero dropped)."""
-    return (
-        postings.where(account_match(account_re, ignore_case=True))
-        .groupBy(*keys, "currency").agg(F.sum("number").alias("units"))
-        .where(F.col("units") != 0)
-    )
+                       keys: Sequence[str] = ("ledger_id",), keep_zero: bool = False) -> DataFrame:
+    """Total units per commodity over the matching accounts (zero dropped
+    unless ``keep_zero``)."""
+    out = (postings.where(account_match(account_re, ignore_case=True))
+           .groupBy(*keys, "currency").agg(F.sum("number").alias("units")))
+    return out if keep_zero else out.where(F.col("units") != 0)
 
 
 def units_pivot(units: DataFrame, currencies: Sequence[str], *, keys: Sequence[str] = ("ledger_id",)) -> DataFrame:

@@ -893,3 +893,61 @@ def q_streaming_period_expenses(spark, sf_dir):
     res = latest_state(spark, out, ["ledger_id", "account", "period"])
     return res.select("ledger_id", "account", F.to_date("period").alias("period"),
                       F.col("amount").cast("double").alias("amount"))
+
+
+# ------------------------------------------------------------ reshaping / display
+@register("latest_points", sql_networth(SQL_DAYS.format(a=START, b=DAILY_END_EXCL), SQL_ASSETS_LIAB) + """
+SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth FROM n
+QUALIFY rank() OVER (PARTITION BY ledger_id ORDER BY date DESC) = 1""")
+def q_latest_points(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    d = nw.networth_daily(L.postings, L.prices, START, END, TARGET)
+    return fin.latest_points(d).select("ledger_id", "date", money("net_worth"))
+
+
+@register("withdrawal_curves_wide", SQL_CURVES + """
+SELECT ledger_id, date, CAST(pmt AS DOUBLE) AS pmt, CAST(pmt_portfolio_tilt AS DOUBLE) AS pmt_portfolio_tilt,
+  CAST(pmt_income_tilt AS DOUBLE) AS pmt_income_tilt FROM c""")
+def q_withdrawal_curves_wide(spark, sf_dir):
+    c = _curves(ledger(spark, sf_dir))
+    names = ["pmt", "pmt_portfolio_tilt", "pmt_income_tilt"]
+    long = fin.unpivot_series(c.select("ledger_id", "date", *names), ["ledger_id", "date"], names)
+    wide = fin.pivot_series(long, ["ledger_id", "date"], names)
+    return wide.select("ledger_id", "date", *[F.col(x).cast("double").alias(x) for x in names])
+
+
+UNIT_CURRENCIES = ["CM0", "CM1", "CM2", "CM3", "CM4", "CM5", "EUR", "HRS", "USD"]
+
+
+@register("units_by_commodity_wide", """
+SELECT ledger_id, """ + ", ".join(
+    f"CAST(ROUND(SUM(number) FILTER (WHERE currency = '{c}'), 2) AS DOUBLE) AS {c}" for c in UNIT_CURRENCIES) + """
+FROM postings WHERE regexp_matches(account, '(?i)Assets:') GROUP BY ledger_id""")
+def q_units_by_commodity_wide(spark, sf_dir):
+    u = hold.units_by_commodity(ledger(spark, sf_dir).postings, keep_zero=True)
+    return hold.units_pivot(u, UNIT_CURRENCIES).select("ledger_id", *[money(c) for c in UNIT_CURRENCIES])
+
+
+@register("drill_down_display", f"""
+, {SQL_LAST_PX},
+x AS (SELECT p.ledger_id, p.date, COALESCE(p.payee, '') AS payee, COALESCE(p.narration, '') AS narration,
+  CAST(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END AS DOUBLE) AS amount
+  FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency
+  WHERE p.account = '{LEAF}' AND year(p.date) IN (1999, 2000))
+SELECT ledger_id, date, payee, narration,
+  (CASE WHEN round_even(COALESCE(amount, 0.0), 0) >= 0 THEN '+' ELSE '-' END)
+    || format('{{:,}}', CAST(abs(round_even(COALESCE(amount, 0.0), 0)) AS BIGINT)) AS amount
+FROM x""")
+def q_drill_down_display(spark, sf_dir):
+    from tallyframe.functions.money import coerce_amount, format_amount
+
+    d = q_drill_down_raw(spark, sf_dir)
+    return d.select("ledger_id", "date", "payee", "narration",
+                    format_amount(coerce_amount("amount"), show_sign=True).alias("amount"))
+
+
+def q_drill_down_raw(spark, sf_dir):
+    L = ledger(spark, sf_dir)
+    tx = flows.expense_postings(L.postings, L.prices, TARGET)
+    leaves = tree.leaf_accounts(_summary(L))
+    return tree.drill_down(tx, leaves, LEAF, (1999, 2000))
