@@ -951,3 +951,94 @@ def q_drill_down_raw(spark, sf_dir):
     tx = flows.expense_postings(L.postings, L.prices, TARGET)
     leaves = tree.leaf_accounts(_summary(L))
     return tree.drill_down(tx, leaves, LEAF, (1999, 2000))
+
+
+
+# ------------------------------------------------------------ S1 text ingest
+_RENDERED: dict[tuple[str, str], str] = {}
+
+
+def _text_ledger(spark, sf_dir):
+    """Render the ledger tables as plaintext ledger files (one folder per
+    ledger, several files each) once per session, and parse them back with
+    the text ingest.  Returns (parsed tables, ledger id column)."""
+    import os
+
+    from tallyframe.sources.ledger_text import load_ledger
+    from tallyframe.sources.star import star_ledger_directives, star_ledger_text
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    src = _RENDERED.get(key)
+    if src is None:
+        src, _, _ = _stream_dirs(spark, "ledger_text")
+        L = ledger(spark, sf_dir)
+        blocks = star_ledger_text(L.postings).unionByName(
+            star_ledger_directives(L.postings, L.prices, star_balances(L.postings)))
+        blocks.write.partitionBy("ledger_id").mode("overwrite").text(src)
+        _RENDERED[key] = src
+    t = load_ledger(spark, src)
+    lid = F.regexp_extract(F.col("ledger_id"), r"ledger_id=(-?\d+)", 1).cast("int").alias("ledger_id")
+    return t, lid
+
+
+@register("load_ledger", """
+SELECT ledger_id, date, payee, narration, account, CAST(number AS DOUBLE) AS number, currency,
+  CAST(cost_number AS DOUBLE) AS cost_number, cost_currency, cost_date FROM postings""")
+def q_load_ledger(spark, sf_dir):
+    """Plaintext ledgers derived from the given tables, ingested with the
+    text parser; the parsed postings equal the postings they came from."""
+    t, lid = _text_ledger(spark, sf_dir)
+    return t.postings.select(lid, "date", "payee", "narration", "account",
+                             F.col("number").cast("double").alias("number"), "currency",
+                             F.col("cost_number").cast("double").alias("cost_number"), "cost_currency", "cost_date")
+
+
+@register("scan_prices", """
+SELECT -1 AS ledger_id, date, currency, CAST(amount AS DOUBLE) AS amount, quote FROM prices""")
+def q_scan_prices(spark, sf_dir):
+    """The price table as read from the ledger text (shared price ledger)."""
+    t, lid = _text_ledger(spark, sf_dir)
+    return t.prices.select(lid, "date", "currency", F.col("amount").cast("double").alias("amount"), "quote")
+
+
+@register("directive_census", """
+SELECT ledger_id, 'transaction' AS directive, TRUE AS known, COUNT(*) AS count FROM
+  (SELECT DISTINCT ledger_id, txn_id, line_no, date, payee, narration FROM postings) GROUP BY ledger_id
+UNION ALL SELECT ledger_id, 'commodity', TRUE, COUNT(DISTINCT currency) FROM postings GROUP BY ledger_id
+UNION ALL SELECT ledger_id, 'balance', TRUE, COUNT(*) FROM balances GROUP BY ledger_id
+UNION ALL SELECT -1, 'price', TRUE, COUNT(*) FROM prices""")
+def q_directive_census(spark, sf_dir):
+    from tallyframe.sources.ledger_text import directive_census
+
+    t, lid = _text_ledger(spark, sf_dir)
+    c = directive_census(t)
+    return c.select(lid, "directive", "known", "count").groupBy("ledger_id", "directive", "known").agg(
+        F.sum("count").alias("count"))
+
+
+@register("commodity_set", "SELECT DISTINCT ledger_id, currency FROM postings")
+def q_commodity_set(spark, sf_dir):
+    from tallyframe.sources.ledger_text import commodity_set
+
+    t, lid = _text_ledger(spark, sf_dir)
+    return commodity_set(t).select(lid, "currency").distinct()
+
+
+@register("ledger_errors_text", """
+, dd AS (SELECT ledger_id, account, currency, date, SUM(number) AS delta FROM postings GROUP BY ALL),
+anc AS (SELECT ledger_id, array_to_string(list_slice(string_split(account, ':'), 1, n), ':') AS path, currency, date, delta
+        FROM dd, generate_series(1, len(string_split(account, ':'))) g(n)),
+act AS (SELECT b.ledger_id, b.date, b.account, b.currency, b.number AS expected, COALESCE(SUM(a.delta), 0) AS actual
+        FROM balances b LEFT JOIN anc a ON a.ledger_id = b.ledger_id AND a.path = b.account AND a.currency = b.currency AND a.date < b.date
+        GROUP BY ALL)
+SELECT ledger_id, 'balance' AS kind, date, account, currency, CAST(expected AS DOUBLE) AS expected,
+  CAST(actual AS DOUBLE) AS actual, CAST(actual - expected AS DOUBLE) AS diff FROM act WHERE abs(actual - expected) > 0.005""")
+def q_ledger_errors_text(spark, sf_dir):
+    """S3 on ingested text: balance assertions checked against the parsed
+    postings; transactions are grouped by their header line."""
+    t, lid = _text_ledger(spark, sf_dir)
+    p = t.postings.withColumn("ledger_id", lid)
+    b = t.balances.withColumn("ledger_id", lid)
+    e = checks.ledger_errors(p, b)
+    return e.select("ledger_id", "kind", "date", "account", "currency",
+                    *[F.col(c).cast("double").alias(c) for c in ("expected", "actual", "diff")])

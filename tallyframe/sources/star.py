@@ -203,3 +203,43 @@ def materialize_star_ledger(spark: SparkSession, sf_dir: str, path: str, *, file
 def read_star_ledger(spark: SparkSession, path: str, base: DataFrame | None = None) -> StarLedger:
     return StarLedger(base=base, postings=spark.read.parquet(f"{path}/postings"),
                       prices=spark.read.parquet(f"{path}/prices"))
+
+
+def star_ledger_text(postings: DataFrame) -> DataFrame:
+    """(ledger_id, block): the star postings rendered as plaintext ledger
+    transaction blocks - a test adapter that gives the text ingest a source
+    derived from the driver's tables.  One block per (txn_id, line_no, date,
+    payee, narration) label; a label has only a handful of legs."""
+    def amount(n, c):
+        return F.concat(n.cast("string"), F.lit(" "), c)
+
+    leg = F.concat(
+        F.lit("  "), F.col("account"), F.lit("  "), amount(F.col("number"), F.col("currency")),
+        F.when(F.col("cost_number").isNotNull(),
+               F.concat(F.lit(" {"), amount(F.col("cost_number"), F.col("cost_currency")), F.lit(", "),
+                        F.col("cost_date").cast("string"), F.lit("}"))).otherwise(F.lit("")),
+    )
+    g = postings.groupBy("ledger_id", "txn_id", "line_no", "date", "payee", "narration").agg(
+        F.array_sort(F.collect_list(leg)).alias("legs"))
+    header = F.concat(F.col("date").cast("string"), F.lit(' * "'), F.col("payee"), F.lit('" "'),
+                      F.col("narration"), F.lit('"'))
+    return g.select("ledger_id", F.concat_ws("\n", header, F.array_join("legs", "\n"), F.lit("")).alias("block"))
+
+
+SHARED_PRICE_LEDGER = -1
+
+
+def star_ledger_directives(postings: DataFrame, prices: DataFrame, balances: DataFrame) -> DataFrame:
+    """(ledger_id, block) for the non-transaction directives: ``commodity``
+    for every currency a ledger uses, ``balance`` assertions per ledger, and
+    ``price`` entries in one shared price ledger (``ledger_id`` -1) that every
+    ledger can read - no ledger x price product is built."""
+    com = postings.select("ledger_id", "currency").distinct().select(
+        "ledger_id", F.concat(F.lit("1900-01-01 commodity "), F.col("currency"), F.lit("\n")).alias("block"))
+    bal = balances.select("ledger_id", F.concat(
+        F.col("date").cast("string"), F.lit(" balance "), F.col("account"), F.lit("  "),
+        F.col("number").cast("string"), F.lit(" "), F.col("currency"), F.lit("\n")).alias("block"))
+    prc = prices.select(F.lit(SHARED_PRICE_LEDGER).alias("ledger_id"), F.concat(
+        F.col("date").cast("string"), F.lit(" price "), F.col("currency"), F.lit("  "),
+        F.col("amount").cast("string"), F.lit(" "), F.col("quote"), F.lit("\n")).alias("block"))
+    return com.unionByName(bal).unionByName(prc)
