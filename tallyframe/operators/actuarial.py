@@ -146,7 +146,11 @@ def joint_life_percentile(households: DataFrame, table_1: DataFrame, table_2: Da
     joint = steps.select(age_1, age_2, "t", (1 - (1 - s1) * (1 - s2)).alias("joint"))
     first = joint.where(F.col("joint") <= 1 - percentile).groupBy(age_1, age_2).agg(F.min("t").alias("t"))
     hh = households.select(*keys, F.col(age_1).cast("long").alias(age_1), F.col(age_2).cast("long").alias(age_2))
-    return hh.join(first, [age_1, age_2], "left").select(*keys, age_1, age_2, F.col("t").cast("int").alias("years"))
+    # ``first`` has at most one row per age pair of the life tables (<= 150^2),
+    # a bound fixed by construction, so it is broadcast: a hot age pair among
+    # billions of households then causes no skewed shuffle partition.
+    return hh.join(F.broadcast(first), [age_1, age_2], "left").select(
+        *keys, age_1, age_2, F.col("t").cast("int").alias("years"))
 
 
 def conservative_life_expectancy(joint: DataFrame, *, age_1: str = "age_1", age_2: str = "age_2",

@@ -160,3 +160,30 @@ def inventory_convert(inventory: DataFrame, prices: DataFrame, target: str, as_o
 
 def accounts_sorted(inventory: DataFrame, *, keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
     return inventory.orderBy(*keys, "account", "currency")
+
+
+class BalanceCursor:
+    """Forward-only ``sum_till_date`` over one set of postings (the batch twin
+    of the streaming balances).
+
+    Each call returns :func:`sum_by_root` as of the date; asking for an
+    earlier date than the previous call raises ``ValueError``, as the
+    incremental summator does.  For many dates at once prefer
+    :func:`tallyframe.operators.balances.asof_balances`, which answers a whole
+    spine in one pass instead of one job per date.
+    """
+
+    def __init__(self, postings: DataFrame, account_re: str, root_n: int = 100, *,
+                 keys: Sequence[str] = ("ledger_id",)):
+        self.postings, self.account_re, self.root_n, self.keys = postings, account_re, root_n, tuple(keys)
+        self.last_date = None
+
+    def sum_till_date(self, date) -> DataFrame:
+        import datetime as dt
+
+        d = date if isinstance(date, dt.date) else dt.date.fromisoformat(str(date))
+        if self.last_date is not None and d < self.last_date:
+            raise ValueError(f"Date {d} is in the past of the last date the summation was requested for "
+                             f"{self.last_date}")
+        self.last_date = d
+        return sum_by_root(self.postings, d, self.account_re, self.root_n, keys=self.keys)

@@ -956,6 +956,7 @@ def q_drill_down_raw(spark, sf_dir):
 
 # ------------------------------------------------------------ S1 text ingest
 _RENDERED: dict[tuple[str, str], str] = {}
+TEXT_BLOCKS_PER_FILE = 200_000
 
 
 def _text_ledger(spark, sf_dir):
@@ -974,7 +975,10 @@ def _text_ledger(spark, sf_dir):
         L = ledger(spark, sf_dir)
         blocks = star_ledger_text(L.postings).unionByName(
             star_ledger_directives(L.postings, L.prices, star_balances(L.postings)))
-        blocks.write.partitionBy("ledger_id").mode("overwrite").text(src)
+        # cap blocks per file so one file (one parse row) stays far below the
+        # 2 GB row limit even when one ledger holds a third of the data
+        blocks.write.partitionBy("ledger_id").option("maxRecordsPerFile", TEXT_BLOCKS_PER_FILE) \
+            .mode("overwrite").text(src)
         _RENDERED[key] = src
     t = load_ledger(spark, src)
     lid = F.regexp_extract(F.col("ledger_id"), r"ledger_id=(-?\d+)", 1).cast("int").alias("ledger_id")

@@ -138,3 +138,58 @@ def test_clean_small_per_currency(spark):
                               "ledger_id int, account string, currency string, number decimal(18,3)")
     kept = {r.account for r in inv.clean_small(p, {"USD": 0.005}).collect()}
     assert kept == {"B", "C"}  # JPY has no tolerance -> 0
+
+
+def test_balance_cursor_is_forward_only(spark):
+    p = spark.createDataFrame([(1, "Assets:A:X", "USD", D(2020, 1, 2), Decimal(5)),
+                               (1, "Assets:A:Y", "USD", D(2020, 1, 5), Decimal(7))],
+                              "ledger_id int, account string, currency string, date date, number decimal(18,2)")
+    cur = inv.BalanceCursor(p, "Assets", root_n=2)
+    assert [r.number for r in cur.sum_till_date(D(2020, 1, 3)).collect()] == [Decimal(5)]
+    assert [r.number for r in cur.sum_till_date(D(2020, 1, 5)).collect()] == [Decimal(12)]
+    with pytest.raises(ValueError):
+        cur.sum_till_date(D(2020, 1, 4))
+
+
+def test_life_table_load_extend_improve(spark):
+    from tallyframe.operators import actuarial as act
+
+    raw = spark.createDataFrame([("m", i, i - 2 if i >= 2 else None, 0.1 + i / 100) for i in range(0, 8)],
+                                "table_id string, row_idx int, age int, qx double")
+    t = act.load_life_table(raw, skip_rows=2)               # header rows dropped
+    assert [r.age for r in t.orderBy("row_idx").collect()] == [0, 1, 2, 3, 4, 5]
+    ext = act.extend_life_table(t, max_age=9)
+    ages = [r.age for r in ext.orderBy("row_idx").collect()]
+    assert ages == list(range(0, 10))
+    compat = [r.age for r in act.extend_life_table(t, max_age=9, compat=True).orderBy("row_idx").collect()]
+    assert compat == [0, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9]      # last age twice, as the reference
+    g = spark.createDataFrame([(a, 0.5) for a in range(0, 10)], "age int, qx double").withColumn("table_id", F.lit("g"))
+    imp = {r.age: r.qx for r in act.improve(ext, g, 1).collect()}
+    assert math.isclose(imp[3], (0.1 + 5 / 100) * 0.5)
+    same = {r.age: r.qx for r in act.improve(ext, g, 1, compat=True).collect()}
+    assert math.isclose(same[3], 0.1 + 5 / 100)
+    lt = act.life_table(ext).orderBy("row_idx").collect()
+    assert lt[0].lx == 100000.0 and all(a.lx >= b.lx for a, b in zip(lt, lt[1:]))
+    sp = act.survival_probs(ext, 3).orderBy("t").collect()
+    assert sp[0].surv_prob == 1.0 and math.isclose(sp[1].surv_prob, 1 - (0.1 + 5 / 100))
+
+
+def test_rate_schedule_and_pct_change(spark):
+    from tallyframe.plans import finance as fin
+    from tallyframe.plans import networth as nw
+
+    df = spark.createDataFrame([(1, D(2020, 2, 22), Decimal(0)), (1, D(2020, 2, 23), Decimal(10)),
+                                (1, D(2020, 2, 24), Decimal(15))], "ledger_id int, date date, v decimal(18,2)")
+    rows = nw.pct_change(df, "v").select("date", fin.rate_schedule("date").alias("r"), "percent_change") \
+        .orderBy("date").collect()
+    assert [r.r for r in rows] == [0.032, 0.031, 0.031]
+    assert rows[0].percent_change is None and rows[1].percent_change is None   # previous is 0 -> NULL
+    assert math.isclose(rows[2].percent_change, 0.5)
+
+
+def test_round_thousand_and_days(spark):
+    r = spark.range(1).select(mf.round_thousand(F.lit(2500.0)).alias("a"), mf.round_thousand(F.lit(3500.0)).alias("b"),
+                              mf.floor_thousand(F.lit(1999.9)).alias("c"),
+                              mf.days_in_year(F.lit(D(2024, 5, 1))).alias("d"),
+                              mf.days_in_year(F.lit(D(2023, 5, 1))).alias("e")).first()
+    assert (r.a, r.b, r.c, r.d, r.e) == (2000, 4000, 1000, 366, 365)   # halves to even, like Python
