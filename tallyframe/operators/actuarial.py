@@ -123,23 +123,24 @@ def joint_life_percentile(households: DataFrame, table_1: DataFrame, table_2: Da
     row of that age, rows aligned by index.
     """
     def indexed(tbl, suffix):
+        # row position within the table and the table's length; one table is
+        # ~150 rows (bounded), so these windows and the broadcasts are small
         w = Window.partitionBy("table_id").orderBy("row_idx")
-        # row position within the table; one table is ~150 rows (bounded)
-        return F.broadcast(tbl.select(F.row_number().over(w).alias(f"pos{suffix}"), F.col("age").alias(f"a{suffix}"),
-                                      F.col("px").alias(f"px{suffix}")))
+        return F.broadcast(tbl.select(
+            F.row_number().over(w).alias(f"pos{suffix}"), F.col("age").alias(f"a{suffix}"),
+            F.col("px").alias(f"px{suffix}"), F.count("*").over(Window.partitionBy("table_id")).alias(f"n{suffix}")))
 
     t1, t2 = indexed(table_1, "1"), indexed(table_2, "2")
-    start1 = t1.groupBy("a1").agg(F.min("pos1").alias("s1")).withColumnRenamed("a1", age_1)
-    start2 = t2.groupBy("a2").agg(F.min("pos2").alias("s2")).withColumnRenamed("a2", age_2)
-    n1 = t1.agg(F.max("pos1")).scalar()
-    n2 = t2.agg(F.max("pos2")).scalar()
+    start1 = t1.groupBy("a1").agg(F.min("pos1").alias("s1"), F.max("n1").alias("n1")).withColumnRenamed("a1", age_1)
+    start2 = t2.groupBy("a2").agg(F.min("pos2").alias("s2"), F.max("n2").alias("n2")).withColumnRenamed("a2", age_2)
     pairs = households.select(F.col(age_1).cast("long").alias(age_1),
                               F.col(age_2).cast("long").alias(age_2)).distinct()
     pairs = pairs.join(F.broadcast(start1), age_1).join(F.broadcast(start2), age_2)
-    length = F.least(n1 - F.col("s1"), n2 - F.col("s2"))
+    length = F.least(F.col("n1") - F.col("s1"), F.col("n2") - F.col("s2"))
     steps = pairs.select(age_1, age_2, "s1", "s2",
                          F.explode(F.sequence(F.lit(0).cast("long"), length.cast("long"))).alias("t"))
-    steps = steps.join(t1, F.col("pos1") == F.col("s1") + F.col("t")).join(t2, F.col("pos2") == F.col("s2") + F.col("t"))
+    steps = steps.join(t1.drop("n1"), F.col("pos1") == F.col("s1") + F.col("t")).join(
+        t2.drop("n2"), F.col("pos2") == F.col("s2") + F.col("t"))
     w = Window.partitionBy(age_1, age_2).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     s1 = F.coalesce(F.product("px1").over(w), F.lit(1.0))
     s2 = F.coalesce(F.product("px2").over(w), F.lit(1.0))

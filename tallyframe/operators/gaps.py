@@ -34,7 +34,9 @@ def missing_prices(prices: DataFrame, start=None, end=None) -> DataFrame:
         "currency", "date",
         F.lead("date").over(w).alias("next"),
         F.lag("date").over(w).isNull().alias("first"),
+        lo.alias("lo"), hi.alias("hi"),          # bounds evaluated once, then columns
     )
+    lo, hi = F.col("lo"), F.col("hi")
     # days strictly between this price and the next (or the end of the range)
     gap_lo = F.greatest(F.date_add("date", 1), lo)
     gap_hi = F.least(F.coalesce(F.date_sub("next", 1), hi), hi)

@@ -736,13 +736,15 @@ def q_conservative_life_expectancy(spark, sf_dir):
                                                       ratio("conservative_years"))
 
 
-def _household_le(spark):
-    """Conservative life expectancy of the dashboard household (a scalar)."""
+def _household_le(spark) -> float:
+    """Conservative life expectancy of the dashboard household.  Like the
+    reference, the dashboard takes it as a number: one bounded value computed
+    by a Spark job over the life tables and read back as a parameter."""
     lt = _life(spark)
     one = spark.range(1).select(F.lit(1).alias("household_id"), F.lit(HOUSEHOLD_AGES[0]).alias("age_1"),
                                 F.lit(HOUSEHOLD_AGES[1]).alias("age_2"))
     j = act.joint_life_percentile(one, lt.where("table_id = 'male'"), lt.where("table_id = 'female'"), 0.9)
-    return act.conservative_life_expectancy(j).select(F.col("conservative_years").cast("double")).scalar()
+    return float(act.conservative_life_expectancy(j).select(F.col("conservative_years").cast("double")).first()[0])
 
 
 SQL_DASH_LE = SQL_LIFE + sql_joint(f"SELECT CAST({HOUSEHOLD_AGES[0]} AS BIGINT) AS age_1, CAST({HOUSEHOLD_AGES[1]} AS BIGINT) AS age_2") + f""",
