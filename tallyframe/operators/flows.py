@@ -130,3 +130,40 @@ def expenses_by_period(postings: DataFrame, unit: str = "Month", currency: str =
     return p.groupBy(*keys, bucket.alias("date")).agg(
         F.coalesce(F.sum(amt), F.lit(0).cast("decimal(28,2)")).alias("amount")
     )
+
+
+def daily_income_spending(postings: DataFrame, prices: DataFrame, year: int, target: str = "USD", *,
+                          income_accounts: Sequence[str], expense_re: str = "Expenses:",
+                          keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
+    """Income (abs per day) and spending per day of ``year`` with their
+    running totals, from one scan and one conversion: both flows are
+    conditional sums of the same converted postings.  ``has_income`` /
+    ``has_spending`` tell whether the day had postings of that flow."""
+    is_inc = F.col("account").isin(list(income_accounts))
+    is_exp = account_match(expense_re, ignore_case=True)
+    p = postings.where(year_range(year) & (is_inc | is_exp)).withColumn("__inc", is_inc).withColumn("__exp", is_exp)
+    conv = convert(at_cost(p), prices, target, date="date")
+    amt = F.when(F.col("conv_currency") == target, F.col("conv_number"))
+    day = conv.groupBy(*keys, "date").agg(
+        F.abs(F.sum(F.when(F.col("__inc"), amt))).alias("income_amount"),
+        F.sum(F.when(F.col("__exp"), amt)).alias("spending_amount"),
+        F.max(F.col("__inc").cast("int")).cast("boolean").alias("has_income"),
+        F.max(F.col("__exp").cast("int")).cast("boolean").alias("has_spending"),
+    )
+    w = Window.partitionBy(*keys, F.year("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return day.withColumn("income", F.sum("income_amount").over(w)).withColumn(
+        "spending", F.sum("spending_amount").over(w))
+
+
+def conditional_cost_sums(postings: DataFrame, prices: DataFrame, target: str, sums: dict, *,
+                          where=None, keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
+    """Several ``sum(convert(cost(position), target, date))`` totals that
+    differ only by a row predicate, from one scan and one conversion:
+    ``sums`` maps output name -> Column predicate."""
+    p = postings if where is None else postings.where(where)
+    flags = {f"__c{i}": cond for i, cond in enumerate(sums.values())}
+    p = p.select("*", *[c.alias(n) for n, c in flags.items()])
+    conv = convert(at_cost(p), prices, target, date="date")
+    amt = F.when(F.col("conv_currency") == target, F.col("conv_number"))
+    return conv.groupBy(*keys).agg(*[F.sum(F.when(F.col(f), amt)).alias(name)
+                                     for name, f in zip(sums, flags)])

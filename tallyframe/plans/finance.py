@@ -100,16 +100,26 @@ def pivot_series(df: DataFrame, ids: Sequence[str], variables: Sequence[str],
     return df.groupBy(*ids).pivot(variable, list(variables)).agg(F.first(value))
 
 
-def delta_trend(curves: DataFrame, income: DataFrame, spending: DataFrame, *,
+def delta_trend(curves: DataFrame, income: DataFrame, spending: DataFrame | None = None, *,
                 keys: Sequence[str] = ("ledger_id",), how: str = "inner") -> DataFrame:
     """How far spending is from the targets each day: tilt - spending,
     tilt - spending + income, raw target - spending + income, where tilt is
     the lower of the two tilted targets.  Inner joins (the reference's) keep
-    only days with both income and spending."""
+    only days with both income and spending.
+
+    ``spending=None``: ``income`` is the combined frame of
+    :func:`tallyframe.operators.flows.daily_income_spending` (one join
+    instead of two)."""
     t = curves.select(*keys, "date", "target", "target_portfolio_tilt", "target_spending_tilt",
                       least_of("target_portfolio_tilt", "target_spending_tilt").alias("tilt"))
-    t = t.join(income.select(*keys, "date", "income"), [*keys, "date"], how)
-    t = t.join(spending.select(*keys, "date", "spending"), [*keys, "date"], how)
+    if spending is None:
+        both = income
+        if how == "inner":
+            both = both.where(F.col("has_income") & F.col("has_spending"))
+        t = t.join(both.select(*keys, "date", "income", "spending"), [*keys, "date"], how)
+    else:
+        t = t.join(income.select(*keys, "date", "income"), [*keys, "date"], how)
+        t = t.join(spending.select(*keys, "date", "spending"), [*keys, "date"], how)
     inc = F.col("income")
     sp = F.col("spending")
     return t.select(

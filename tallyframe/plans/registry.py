@@ -649,9 +649,8 @@ FROM cv JOIN inc USING (ledger_id, date) JOIN spd USING (ledger_id, date)""")
 def q_delta_trend(spark, sf_dir):
     L = ledger(spark, sf_dir)
     c = _curves(L)
-    inc = flows.daily_flow(L.postings, L.prices, YEAR, TARGET, accounts=INCOME_ACCOUNTS, abs_per_day=True, out="income")
-    sp = flows.daily_flow(L.postings, L.prices, YEAR, TARGET, account_re="Expenses:", out="spending")
-    t = fin.delta_trend(c, inc, sp)
+    both = flows.daily_income_spending(L.postings, L.prices, YEAR, TARGET, income_accounts=INCOME_ACCOUNTS)
+    t = fin.delta_trend(c, both)
     return t.select("ledger_id", "date", *[money(x) for x in
                                            ("tilt_trend", "tilt_income_trend", "notilt_income_trend")])
 
@@ -793,13 +792,6 @@ def _ytd(L, start):
     return flows.total_spend(L.postings, L.prices, start, TARGET, end=TODAY)
 
 
-def _required(L):
-    return flows.total_spend(L.postings, L.prices, "1998-01-01", TARGET, end=TODAY,
-                             exclude_re=["Expenses:Vacation:"],
-                             exclude_accounts=["Expenses:Everyday:Household-Goods",
-                                               "Expenses:Everyday:House-Renovation"])
-
-
 @register("spend_progress", SQL_DASH + ",\n" + SQL_YTD + f"""
 SELECT dt.ledger_id, round(dayofyear(DATE '{TODAY}') / 365 * 100, 0) AS date_pct,
   round(CAST(ytd AS DOUBLE) / (floor(tilt / 1000) * 1000) * 100, 0) AS tilt_pct,
@@ -820,9 +812,14 @@ SELECT ledger_id, CAST(ROUND(ytd, 2) AS DOUBLE) AS ytd_spend,
 FROM ytd""")
 def q_projected_spend(spark, sf_dir):
     L = ledger(spark, sf_dir)
-    y = _ytd(L, f"{YEAR}-01-01").select("ledger_id", F.col("balance").alias("ytd"))
-    t = _required(L).select("ledger_id", F.col("balance").alias("total"))
-    j = y.join(t, "ledger_id")
+    excluded = (acc.account_match("Expenses:Vacation:", ignore_case=True)
+                | F.col("account").isin("Expenses:Everyday:Household-Goods", "Expenses:Everyday:House-Renovation"))
+    window = (acc.account_match("Expenses:", ignore_case=True) & (F.col("date") >= F.lit("1998-01-01").cast("date"))
+              & (F.col("date") <= F.lit(TODAY).cast("date")))
+    j = flows.conditional_cost_sums(L.postings, L.prices, TARGET, {
+        "ytd": F.col("date") >= F.lit(f"{YEAR}-01-01").cast("date"),
+        "total": ~excluded,
+    }, where=window)
     est = fin.projected_spend(F.col("ytd"), F.col("total"), F.lit(TODAY).cast("date"), F.lit("1998-01-01").cast("date"))
     return j.select("ledger_id", money("ytd", "ytd_spend"), cents(est, "projected"))
 
