@@ -30,8 +30,8 @@ def _col(c: str | Column) -> Column:
 def account_match(pattern: str, account: str | Column = "account", *, ignore_case: bool = False) -> Column:
     """Unanchored regex search on the account name.
 
-    Query-language filters (``account ~ '...'``) are case-insensitive; the
-    Python-side summators use a case-sensitive ``re.search``.
+    Query-language filters (``account ~ '...'``) are case-insensitive;
+    programmatic filters are case-sensitive regex searches.
     """
     return _col(account).rlike(("(?i)" if ignore_case else "") + pattern)
 

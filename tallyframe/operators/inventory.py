@@ -167,8 +167,7 @@ class BalanceCursor:
     of the streaming balances).
 
     Each call returns :func:`sum_by_root` as of the date; asking for an
-    earlier date than the previous call raises ``ValueError``, as the
-    incremental summator does.  For many dates at once prefer
+    earlier date than the previous call raises ``ValueError``.  For many dates at once prefer
     :func:`tallyframe.operators.balances.asof_balances`, which answers a whole
     spine in one pass instead of one job per date.
     """
@@ -183,7 +182,7 @@ class BalanceCursor:
 
         d = date if isinstance(date, dt.date) else dt.date.fromisoformat(str(date))
         if self.last_date is not None and d < self.last_date:
-            raise ValueError(f"Date {d} is in the past of the last date the summation was requested for "
-                             f"{self.last_date}")
+            raise ValueError(f"sum_till_date({d}) after sum_till_date({self.last_date}): "
+                             "a cursor only moves forward in time")
         self.last_date = d
         return sum_by_root(self.postings, d, self.account_re, self.root_n, keys=self.keys)

@@ -1,7 +1,7 @@
 """Streaming counterparts.
 
-T1 ``incremental_balances``: the reference's summator remembers the last sum
-and only processes new entries.  In Structured Streaming that is a stateful
+T1 ``incremental_balances``: running balances that remember the last sum and
+only process new entries.  In Structured Streaming that is a stateful
 ``groupBy().agg(sum)`` in ``update`` mode: each micro-batch adds its postings
 to the per-key state in the state store (checkpointed in the shared
 checkpoint folder, so a lost executor or a restarted query resumes where it

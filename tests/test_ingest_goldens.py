@@ -1,7 +1,7 @@
 """Text ingest and end-to-end goldens on the demo ledger (FIXTURES.md §3).
 
-The ledger file is read as data from the reference folder; the test is
-skipped when it is not present."""
+Set ``DEMO_LEDGER`` to the demo ledger file; the tests that need it are
+skipped otherwise."""
 
 import datetime as dt
 import os
@@ -15,7 +15,8 @@ from tallyframe.operators import checks, gaps, holdings, tree
 from tallyframe.plans import networth as nw
 from tallyframe.sources.ledger_text import directive_census, load_ledger, load_ledger_text, operating_currencies
 
-pytestmark = pytest.mark.skipif(not os.path.exists(EXAMPLE_LEDGER), reason="demo ledger not available")
+needs_ledger = pytest.mark.skipif(not (EXAMPLE_LEDGER and os.path.exists(EXAMPLE_LEDGER)),
+                                  reason="DEMO_LEDGER not set")
 D = dt.date
 
 
@@ -26,6 +27,7 @@ def ledger(spark):
     return t
 
 
+@needs_ledger
 def test_directive_counts(ledger):
     assert ledger.transactions.count() == 1044
     assert ledger.postings.count() == 3209
@@ -40,16 +42,19 @@ def test_directive_counts(ledger):
     assert census["transaction"] == 1044 and census["price"] == 846
 
 
+@needs_ledger
 def test_options(ledger):
     r = operating_currencies(ledger.options).first()
     assert r.default_currency == "USD"
 
 
+@needs_ledger
 def test_balance_assertions_hold(ledger):
     assert checks.balance_failures(ledger.postings, ledger.balances).count() == 0
     assert checks.unbalanced_transactions(ledger.postings).count() == 0
 
 
+@needs_ledger
 @pytest.mark.parametrize("day,expected", [
     (D(2015, 1, 1), "6041.12"), (D(2015, 12, 31), "43483.50570"),
     (D(2016, 6, 30), "67404.65883"), (D(2017, 9, 8), "117649.48828"),
@@ -59,6 +64,7 @@ def test_networth_goldens(ledger, day, expected):
     assert r.net_worth == Decimal(expected)
 
 
+@needs_ledger
 def test_units_golden(ledger):
     from tallyframe.operators.balances import asof_balances
 
@@ -69,6 +75,7 @@ def test_units_golden(ledger):
     assert {k: Decimal(v) for k, v in exp.items()} == got
 
 
+@needs_ledger
 def test_expense_goldens(ledger):
     s = tree.expense_by_year_account(ledger.postings, ledger.prices, "USD")
     by_year = {r.year: r.total for r in s.groupBy("year").agg(F.sum("amount").alias("total")).collect()}
@@ -84,6 +91,7 @@ def test_expense_goldens(ledger):
     assert "Expenses:Taxes" not in t2 and "Expenses:Food" in t2
 
 
+@needs_ledger
 def test_missing_prices_golden(ledger):
     commodities = ledger.prices.select("currency").distinct().count()
     assert commodities == 6
@@ -91,6 +99,7 @@ def test_missing_prices_golden(ledger):
     assert m.count() == 5040
 
 
+@needs_ledger
 def test_holdings_lots(ledger):
     h = holdings.holdings(ledger.postings, ledger.prices).where(F.col("account").startswith("Assets"))
     lots = h.where("cost IS NOT NULL")
@@ -99,6 +108,7 @@ def test_holdings_lots(ledger):
     assert h.where("cost IS NULL").count() == 5  # plain cash / units positions
 
 
+@needs_ledger
 def test_networth_detail_sums_to_series(ledger):
     days = [D(2015, 6, 30), D(2016, 12, 31), D(2017, 9, 8)]
     series = {r.date: r.net_worth for r in nw.networth_series(ledger.postings, ledger.prices, days).collect()}
