@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.accounts import account_match, account_sortkey, is_balance_sheet
-from tallyframe.operators.asof import DailySpine, explode_intervals, latest_value
+from tallyframe.operators.asof import latest_value
 from tallyframe.operators.prices import rate_table
 
 # Currencies the missing-price notebook leaves out of its
@@ -66,18 +66,25 @@ def holdings_snapshot(postings: DataFrame, ignored: Sequence[str] = IGNORED_SNAP
     """For every day with a posting in a non-ignored currency: the units of
     every such commodity held after that day (all accounts), non-zero only.
 
-    Running units per (key, currency) step at each posting day; each step
-    fills the days up to the next step (or the key's last posting day); the
-    days are then kept only where the key had a posting.
+    The key's posting days are numbered (``row_number`` per key over its
+    distinct days).  A currency's running-units step starts on a posting
+    day and lasts until its next step, so its range of day numbers comes
+    from two equi-joins, and ``sequence`` over that range emits exactly the
+    posting days it covers - no calendar days are generated and dropped.
     """
     p = postings.where(~F.col("currency").isin(list(ignored)))
     d = p.groupBy(*keys, "currency", "date").agg(F.sum("number").alias("delta"))
-    w = Window.partitionBy(*keys, "currency").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    steps = d.select(*keys, "currency", "date", F.sum("delta").over(w).alias("units"))
-    ends = d.groupBy(*keys).agg(F.max("date").alias("__end"))
-    days = d.select(*keys, "date").distinct()
-    steps = steps.join(ends, list(keys))
-    filled = explode_intervals(
-        steps, [*keys, "currency"], DailySpine(F.lit(None).cast("date"), F.col("__end")), ["units", "__end"]
-    ).drop("__end")
-    return filled.join(days, [*keys, "date"], "left_semi").where(F.col("units") != 0)
+    w = Window.partitionBy(*keys, "currency").orderBy("date")
+    steps = d.select(*keys, "currency", "date",
+                     F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("units"),
+                     F.lead("date").over(w).alias("next"))
+    wd = Window.partitionBy(*keys).orderBy("date")
+    days = d.select(*keys, "date").distinct().select(
+        *keys, "date", F.row_number().over(wd).alias("k"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+    lo = days.select(*keys, "date", F.col("k").alias("k_lo"), "n")
+    hi = days.select(*keys, F.col("date").alias("next"), F.col("k").alias("k_hi"))
+    ranged = steps.join(lo, [*keys, "date"]).join(hi, [*keys, "next"], "left")
+    last_k = F.coalesce(F.col("k_hi") - 1, F.col("n"))
+    covered = ranged.where(F.col("units") != 0).select(
+        *keys, "currency", "units", F.explode(F.sequence(F.col("k_lo"), last_k)).alias("k"))
+    return covered.join(days.select(*keys, "k", "date"), [*keys, "k"]).select(*keys, "currency", "date", "units")

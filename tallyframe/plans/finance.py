@@ -101,7 +101,7 @@ def pivot_series(df: DataFrame, ids: Sequence[str], variables: Sequence[str],
 
 
 def delta_trend(curves: DataFrame, income: DataFrame, spending: DataFrame | None = None, *,
-                keys: Sequence[str] = ("ledger_id",), how: str = "inner") -> DataFrame:
+                keys: Sequence[str] = ("ledger_id",), how: str = "inner", fill: bool = False) -> DataFrame:
     """How far spending is from the targets each day: tilt - spending,
     tilt - spending + income, raw target - spending + income, where tilt is
     the lower of the two tilted targets.  Inner joins (the reference's) keep
@@ -109,7 +109,9 @@ def delta_trend(curves: DataFrame, income: DataFrame, spending: DataFrame | None
 
     ``spending=None``: ``income`` is the combined frame of
     :func:`tallyframe.operators.flows.daily_income_spending` (one join
-    instead of two)."""
+    instead of two).  With ``how="left"`` every target day is kept and
+    ``fill`` carries the last running income / spending forward (0 before
+    the first)."""
     t = curves.select(*keys, "date", "target", "target_portfolio_tilt", "target_spending_tilt",
                       least_of("target_portfolio_tilt", "target_spending_tilt").alias("tilt"))
     if spending is None:
@@ -120,6 +122,10 @@ def delta_trend(curves: DataFrame, income: DataFrame, spending: DataFrame | None
     else:
         t = t.join(income.select(*keys, "date", "income"), [*keys, "date"], how)
         t = t.join(spending.select(*keys, "date", "spending"), [*keys, "date"], how)
+    if fill:
+        wf = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        for c in ("income", "spending"):
+            t = t.withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(wf), F.lit(0)))
     inc = F.col("income")
     sp = F.col("spending")
     return t.select(

@@ -193,3 +193,21 @@ def test_round_thousand_and_days(spark):
                               mf.days_in_year(F.lit(D(2024, 5, 1))).alias("d"),
                               mf.days_in_year(F.lit(D(2023, 5, 1))).alias("e")).first()
     assert (r.a, r.b, r.c, r.d, r.e) == (2000, 4000, 1000, 366, 365)   # halves to even, like Python
+
+
+def test_delta_trend_left_fill(spark):
+    from tallyframe.plans import finance as fin
+
+    curves = spark.createDataFrame(
+        [(1, D(2020, 1, d), Decimal(100 * d), Decimal(50 * d), Decimal(60 * d)) for d in (1, 2, 3)],
+        "ledger_id int, date date, target decimal(18,2), target_portfolio_tilt decimal(18,2), "
+        "target_spending_tilt decimal(18,2)")
+    inc = spark.createDataFrame([(1, D(2020, 1, 2), Decimal(10))], "ledger_id int, date date, income decimal(18,2)")
+    sp = spark.createDataFrame([(1, D(2020, 1, 1), Decimal(5)), (1, D(2020, 1, 2), Decimal(7))],
+                               "ledger_id int, date date, spending decimal(18,2)")
+    inner = fin.delta_trend(curves, inc, sp).collect()
+    assert [(r.date, r.tilt_trend) for r in inner] == [(D(2020, 1, 2), Decimal(93))]
+    filled = {r.date: (r.tilt_trend, r.tilt_income_trend) for r in
+              fin.delta_trend(curves, inc, sp, how="left", fill=True).collect()}
+    assert filled[D(2020, 1, 1)] == (Decimal(45), Decimal(45))     # no income yet: 0
+    assert filled[D(2020, 1, 3)] == (Decimal(143), Decimal(153))   # 150 - 7 (+ 10) carried forward
