@@ -1,13 +1,22 @@
 """As-of lookups and date spines.
 
-Spark has no as-of join.  The shape used throughout the library is
-"union + last non-null": tag the series rows and the probe points, union them,
-and carry the latest series value forward with ``last(..., ignorenulls)`` over
-a window partitioned by the lookup key and ordered by date.  Each partition
-holds one key's series plus its probe points, so its size is bounded by the
-number of distinct days, never by the number of postings.  Probe points are
-always *distinct* (key, date) pairs; callers equi-join the answer back to the
-wide side, which keeps skewed keys out of the window.
+Spark has no as-of join.  Two shapes are used, both bounded by days rather
+than by the number of postings:
+
+* :func:`explode_intervals` (the main one): a step series - one row per
+  change date per key, e.g. running units or prices - gets its next change
+  date with ``lead`` in one window; each row then emits the spine dates of
+  its interval ``[date, next)`` (an array ``filter``, or ``sequence`` for a
+  daily spine).  One pass, no union, no cross join; the window holds one key's
+  change dates.
+* :func:`asof_lookup`: "union + last non-null" for probe points that are not
+  on a spine - tag series rows and distinct probe points, union them and carry
+  the latest value forward with ``last(..., ignorenulls)`` over a window
+  partitioned by the key and ordered by date.
+
+Spines are ARRAY<DATE> columns (a parameter list, a generated ``sequence``, or
+a small DataFrame turned into a scalar subquery) or a symbolic
+:class:`DailySpine`.
 """
 
 from __future__ import annotations
