@@ -134,3 +134,42 @@ def test_load_ledger_text(spark):
     assert kinds == ["unopened_account"]  # Expenses:Food is never opened
     t2 = load_ledger_text(spark, {"l1": text.replace("2020-01-02 *", "2020-01-01 open Expenses:Food\n2020-01-02 *")})
     assert checks.ledger_errors(t2.postings, t2.balances, t2.opens).count() == 0
+
+
+def test_options_metadata_and_prices_text(spark):
+    from tallyframe.sources.ledger_text import commodity_set, dash_accounts
+
+    text = """option "title" "Two currencies"
+option "operating_currency" "USD"
+option "operating_currency" "EUR"
+2020-01-01 commodity GLD
+  name: "Gold"
+2020-01-01 open Assets:Investing GLD,USD
+  include_in_dash: "true"
+2020-01-01 open Assets:Checking USD
+2020-01-05 price GLD  150.25 USD
+2020-01-05 price GLD  151.00 USD
+2020-01-06 * "Broker" "Buy gold"
+  Assets:Investing    2 GLD {150.25 USD, 2020-01-06} @ 151.00 USD
+  Assets:Checking  -300.50 USD
+2020-01-07 custom "budget" Expenses:Food "monthly" 100.00 USD
+2020-01-08 event "location" "Paris"
+"""
+    t = load_ledger_text(spark, {"l": text})
+    oc = operating_currencies(t.options).first()
+    assert oc.operating_currency == ["USD", "EUR"] and oc.default_currency == "USD"
+    assert [r.account for r in dash_accounts(t).collect()] == ["Assets:Investing"]
+    assert [r.currency for r in commodity_set(t).collect()] == ["GLD"]
+    assert t.commodities.first().meta == {"name": "Gold"}
+    assert sorted(t.opens.where("account = 'Assets:Investing'").first().currencies) == ["GLD", "USD"]
+    p = {r.account: r for r in t.postings.collect()}
+    lot = p["Assets:Investing"]
+    assert (lot.number, lot.currency, lot.cost_number, lot.cost_currency, lot.cost_date, lot.price_number) == (
+        Decimal(2), "GLD", Decimal("150.25"), "USD", D(2020, 1, 6), Decimal("151"))
+    assert t.prices.count() == 2
+    assert t.customs.first().type == "budget" and t.events.first().value == "Paris"
+    assert checks.unbalanced_transactions(t.postings).count() == 0
+    assert checks.ledger_errors(t.postings, t.balances, t.opens).count() == 0
+    # the same-day price that comes later in the file wins
+    from tallyframe.operators.prices import dedup_prices
+    assert dedup_prices(t.prices).first().amount == Decimal("151")
