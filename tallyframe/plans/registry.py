@@ -332,14 +332,15 @@ def _summary(L):
 
 
 @register("expense_by_year_account", SQL_SUMMARY + """
-SELECT ledger_id, year, account, CAST(ROUND(amount, 2) AS DOUBLE) AS amount FROM summary""")
+SELECT ledger_id, CAST(year AS INTEGER) AS year, account, CAST(ROUND(amount, 2) AS DOUBLE) AS amount FROM summary""")
 def q_expense_by_year_account(spark, sf_dir):
     s = _summary(ledger(spark, sf_dir))
     return s.select("ledger_id", "year", "account", money("amount"))
 
 
 @register("available_years", SQL_SUMMARY + """
-SELECT y.ledger_id, y.year, y.year = d.cur AS is_current, d.ly AS default_left_year, d.ry AS default_right_year
+SELECT y.ledger_id, CAST(y.year AS INTEGER) AS year, y.year = d.cur AS is_current,
+  CAST(d.ly AS INTEGER) AS default_left_year, CAST(d.ry AS INTEGER) AS default_right_year
 FROM yrs y JOIN dflt d USING (ledger_id)""")
 def q_available_years(spark, sf_dir):
     return tree.available_years(_summary(ledger(spark, sf_dir)))
@@ -363,8 +364,8 @@ nd AS (SELECT ledger_id, path, string_split(path, ':')[-1] AS name, len(string_s
         array_to_string(list_slice(string_split(path, ':'), 1, len(string_split(path, ':')) - 1), ':') AS parent,
         left_amount, right_amount, right_amount - left_amount AS delta FROM nodes),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ledger_id, parent ORDER BY delta DESC, name DESC) AS sibling_rank FROM nd)
-SELECT ledger_id, path, name, depth, parent, CAST(ROUND(left_amount, 2) AS DOUBLE) AS left_amount,
-  CAST(ROUND(right_amount, 2) AS DOUBLE) AS right_amount, CAST(ROUND(delta, 2) AS DOUBLE) AS delta, sibling_rank FROM ranked
+SELECT ledger_id, path, name, CAST(depth AS INTEGER) AS depth, parent, CAST(ROUND(left_amount, 2) AS DOUBLE) AS left_amount,
+  CAST(ROUND(right_amount, 2) AS DOUBLE) AS right_amount, CAST(ROUND(delta, 2) AS DOUBLE) AS delta, CAST(sibling_rank AS INTEGER) AS sibling_rank FROM ranked
 UNION ALL
 SELECT ledger_id, '__total__', 'TOTAL', 0, NULL, CAST(ROUND(SUM(left_amount), 2) AS DOUBLE), CAST(ROUND(SUM(right_amount), 2) AS DOUBLE),
   CAST(ROUND(SUM(delta), 2) AS DOUBLE), 0 FROM nd WHERE depth = 1 GROUP BY ledger_id""")
@@ -390,7 +391,7 @@ def q_drill_down(spark, sf_dir):
 
 @register("expense_postings", f"""
 , {SQL_LAST_PX}
-SELECT p.ledger_id, p.date, year(p.date) AS year, p.account, p.payee, p.narration,
+SELECT p.ledger_id, p.date, CAST(year(p.date) AS INTEGER) AS year, p.account, p.payee, p.narration,
   CAST(ROUND(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END, 2) AS DOUBLE) AS amount
 FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency WHERE regexp_matches(p.account, '(?i)^Expenses')""")
 def q_expense_postings(spark, sf_dir):
@@ -400,7 +401,7 @@ def q_expense_postings(spark, sf_dir):
 
 
 @register("income_postings", """
-SELECT ledger_id, txn_id, line_no, date, year(date) AS year, account, payee, narration,
+SELECT ledger_id, txn_id, line_no, date, CAST(year(date) AS INTEGER) AS year, account, payee, narration,
   CAST(number AS DOUBLE) AS number, currency FROM postings
 WHERE regexp_matches(account, '(?i)Income') AND date >= DATE '1999-01-01' AND date < DATE '2001-01-01'""")
 def q_income_postings(spark, sf_dir):
@@ -409,7 +410,7 @@ def q_income_postings(spark, sf_dir):
                     F.col("number").cast("double").alias("number"), "currency")
 
 
-@register("year_bounds", "SELECT ledger_id, year(min(date)) AS first_year, year(max(date)) AS last_year FROM postings GROUP BY ledger_id")
+@register("year_bounds", "SELECT ledger_id, CAST(year(min(date)) AS INTEGER) AS first_year, CAST(year(max(date)) AS INTEGER) AS last_year FROM postings GROUP BY ledger_id")
 def q_year_bounds(spark, sf_dir):
     return flows.year_bounds(ledger(spark, sf_dir).postings)
 
@@ -593,7 +594,7 @@ def _curves(L):
 
 
 @register("pmt_withdrawal", SQL_CURVES + """
-SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth, CAST(pmt AS DOUBLE) AS pmt, day_of_year FROM b""")
+SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth, CAST(pmt AS DOUBLE) AS pmt, CAST(day_of_year AS INTEGER) AS day_of_year FROM b""")
 def q_pmt_withdrawal(spark, sf_dir):
     L = ledger(spark, sf_dir)
     n = nw.networth_summator(L.postings, L.prices, FIN_START, FIN_END, TARGET)

@@ -61,6 +61,20 @@ def normalise(columns, rows):
     return cols, out
 
 
+def spark_type_name(t) -> str:
+    """Spark type -> the DuckDB type name it corresponds to."""
+    from pyspark.sql import types as T
+
+    simple = {T.IntegerType: "INTEGER", T.LongType: "BIGINT", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR",
+              T.DateType: "DATE", T.BooleanType: "BOOLEAN", T.ShortType: "SMALLINT", T.FloatType: "FLOAT"}
+    for k, v in simple.items():
+        if isinstance(t, k):
+            return v
+    if isinstance(t, T.DecimalType):
+        return f"DECIMAL({t.precision},{t.scale})"
+    return str(t)
+
+
 def compare(spark_df, con, sql, max_diffs=5):
     t0 = time.time()
     s_cols = spark_df.columns
@@ -68,6 +82,8 @@ def compare(spark_df, con, sql, max_diffs=5):
     t1 = time.time()
     rel = con.sql(sql)
     d_cols = [c for c in rel.columns]
+    s_types = {f.name: spark_type_name(f.dataType) for f in spark_df.schema.fields}
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     d_rows = rel.fetchall()
     t2 = time.time()
     sc, sr = normalise(s_cols, s_rows)
@@ -75,6 +91,10 @@ def compare(spark_df, con, sql, max_diffs=5):
     problems = []
     if sc != dc:
         problems.append(f"columns differ: spark={sc} duckdb={dc}")
+    else:
+        bad_types = {c: (s_types[c], d_types[c]) for c in sc if s_types[c] != d_types[c]}
+        if bad_types:
+            problems.append(f"types differ: {bad_types}")
     if len(sr) != len(dr):
         problems.append(f"row count differs: spark={len(sr)} duckdb={len(dr)}")
     if not problems:
