@@ -38,22 +38,17 @@ def dedup_prices(prices: DataFrame) -> DataFrame:
 def rate_table(prices: DataFrame, *, inverse: bool = True) -> DataFrame:
     """(base, quote, date, rate): direct rates plus, when ``inverse``, the
     reciprocal of each rate for the opposite direction.  A direct
-    observation wins over an inverted one on the same day."""
+    observation wins over an inverted one on the same day.  Both directions
+    come from one pass over the de-duplicated prices."""
     p = dedup_prices(prices).where(F.col("amount").isNotNull())
-    direct = p.select(
-        F.col("currency").alias("base"), "quote", "date",
-        F.col("amount").cast(RATE).alias("rate"), F.lit(0).alias("inv"),
-    )
+    direct = F.struct(F.col("currency").alias("base"), F.col("quote").alias("quote"),
+                      F.col("amount").cast(RATE).alias("rate"), F.lit(0).alias("inv"))
     if not inverse:
-        return direct.drop("inv")
-    inv = p.where(F.col("amount") != 0).select(
-        F.col("quote").alias("base"), F.col("currency").alias("quote"), "date",
-        (F.lit(1).cast(RATE) / F.col("amount")).cast(RATE).alias("rate"), F.lit(1).alias("inv"),
-    )
-    both = direct.unionByName(inv)
-    return both.groupBy("base", "quote", "date").agg(
-        F.min_by("rate", "inv").alias("rate")
-    )
+        return p.select(F.col("currency").alias("base"), "quote", "date", F.col("amount").cast(RATE).alias("rate"))
+    inv = F.struct(F.col("quote").alias("base"), F.col("currency").alias("quote"),
+                   (F.lit(1).cast(RATE) / F.col("amount")).cast(RATE).alias("rate"), F.lit(1).alias("inv"))
+    both = p.select("date", F.inline(F.when(F.col("amount") != 0, F.array(direct, inv)).otherwise(F.array(direct))))
+    return both.groupBy("base", "quote", "date").agg(F.min_by("rate", "inv").alias("rate"))
 
 
 def rate_calendar(rates: DataFrame, dates=None) -> tuple[DataFrame, DataFrame | None]:
