@@ -211,3 +211,22 @@ def test_delta_trend_left_fill(spark):
               fin.delta_trend(curves, inc, sp, how="left", fill=True).collect()}
     assert filled[D(2020, 1, 1)] == (Decimal(45), Decimal(45))     # no income yet: 0
     assert filled[D(2020, 1, 3)] == (Decimal(143), Decimal(153))   # 150 - 7 (+ 10) carried forward
+
+
+def test_sort_helpers(spark):
+    from tallyframe.operators import holdings as hold
+
+    p = spark.createDataFrame(
+        [(1, "Liabilities:Card", "USD", None, None, None, Decimal(-5)),
+         (1, "Assets:Broker", "GLD", Decimal(10), "USD", D(2020, 2, 1), Decimal(1)),
+         (1, "Assets:Broker", "GLD", Decimal(9), "USD", D(2020, 1, 1), Decimal(2)),
+         (1, "Assets:Bank", "USD", None, None, None, Decimal(7))],
+        "ledger_id int, account string, currency string, cost_number decimal(18,2), cost_currency string, "
+        "cost_date date, number decimal(18,2)")
+    prices = spark.createDataFrame([(D(2020, 3, 1), "GLD", Decimal(12), "USD")],
+                                   "date date, currency string, amount decimal(18,4), quote string")
+    order = [(r.account, r.acquisition_date) for r in hold.holdings_ordered(hold.holdings(p, prices)).collect()]
+    assert order == [("Assets:Bank", None), ("Assets:Broker", D(2020, 1, 1)), ("Assets:Broker", D(2020, 2, 1)),
+                     ("Liabilities:Card", None)]
+    accts = [r.account for r in inv.accounts_sorted(inv.inventory_sum(p)).collect()]
+    assert accts == sorted(accts)
