@@ -162,9 +162,10 @@ def tilt_pmt_dashboard(networth: DataFrame, life_expectancy: Column | float, *,
 
 def spend_progress(ytd_spend: Column, tilt_pmt: Column, date: Column) -> tuple[Column, Column, Column]:
     """(% of the year gone, % of the tilted payment spent, on track) with the
-    reference's 365-day year."""
-    doy_pct = F.round(F.dayofyear(date) / 365 * 100, 0)
-    spend_pct = F.round(F.try_divide(ytd_spend.cast("double"), tilt_pmt.cast("double")) * 100, 0)
+    reference's 365-day year; percentages round half to even, like Python's
+    ``round``."""
+    doy_pct = F.bround(F.dayofyear(date) / 365 * 100, 0)
+    spend_pct = F.bround(F.try_divide(ytd_spend.cast("double"), tilt_pmt.cast("double")) * 100, 0)
     return doy_pct, spend_pct, doy_pct >= spend_pct
 
 

@@ -794,9 +794,9 @@ def _ytd(L, start):
 
 
 @register("spend_progress", SQL_DASH + ",\n" + SQL_YTD + f"""
-SELECT dt.ledger_id, round(dayofyear(DATE '{TODAY}') / 365 * 100, 0) AS date_pct,
-  round(CAST(ytd AS DOUBLE) / (floor(tilt / 1000) * 1000) * 100, 0) AS tilt_pct,
-  round(dayofyear(DATE '{TODAY}') / 365 * 100, 0) >= round(CAST(ytd AS DOUBLE) / (floor(tilt / 1000) * 1000) * 100, 0) AS on_track
+SELECT dt.ledger_id, round_even(dayofyear(DATE '{TODAY}') / 365 * 100, 0) AS date_pct,
+  round_even(CAST(ytd AS DOUBLE) / (floor(tilt / 1000) * 1000) * 100, 0) AS tilt_pct,
+  round_even(dayofyear(DATE '{TODAY}') / 365 * 100, 0) >= round_even(CAST(ytd AS DOUBLE) / (floor(tilt / 1000) * 1000) * 100, 0) AS on_track
 FROM dt JOIN ytd USING (ledger_id)""")
 def q_spend_progress(spark, sf_dir):
     L = ledger(spark, sf_dir)
