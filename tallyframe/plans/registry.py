@@ -52,13 +52,13 @@ def ledger(spark, sf_dir):
     import hashlib
     import os
 
-    from tallyframe.session import scratch_path
+    from tallyframe.session import path_exists, scratch_path
     from tallyframe.sources.star import materialize_star_ledger, read_star_ledger
 
     app = spark.sparkContext.applicationId
     key = (app, os.path.abspath(sf_dir))
     path = _INGESTED.get(key)
-    if path is None:
+    if path is None or not path_exists(spark, f"{path}/postings/_SUCCESS"):
         digest = hashlib.sha1(f"{app}:{key[1]}".encode()).hexdigest()[:16]
         path = scratch_path(spark, f"ledger-{digest}")
         materialize_star_ledger(spark, sf_dir, path)
@@ -965,12 +965,13 @@ def _text_ledger(spark, sf_dir):
     the text ingest.  Returns (parsed tables, ledger id column)."""
     import os
 
+    from tallyframe.session import path_exists
     from tallyframe.sources.ledger_text import load_ledger
     from tallyframe.sources.star import star_ledger_directives, star_ledger_text
 
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     src = _RENDERED.get(key)
-    if src is None:
+    if src is None or not path_exists(spark, f"{src}/_SUCCESS"):
         src, _, _ = _stream_dirs(spark, "ledger_text")
         L = ledger(spark, sf_dir)
         blocks = star_ledger_text(L.postings).unionByName(

@@ -68,3 +68,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     tables and streaming checkpoints."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tallyframe", name)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, through Hadoop's FileSystem API (so
+    local, HDFS and object-store paths all work)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))

@@ -230,3 +230,16 @@ def test_sort_helpers(spark):
                      ("Liabilities:Card", None)]
     accts = [r.account for r in inv.accounts_sorted(inv.inventory_sum(p)).collect()]
     assert accts == sorted(accts)
+
+
+def test_dataframe_spine_equals_list_spine(spark):
+    from tallyframe.plans import networth as nw
+
+    rows = [(1, "Assets:Bank", "USD", D(2021, 1, 1) + dt.timedelta(days=i), Decimal(i)) for i in range(40)]
+    p = spark.createDataFrame(rows, "ledger_id int, account string, currency string, date date, number decimal(18,2)")
+    prices = spark.createDataFrame([], "date date, currency string, amount decimal(18,4), quote string")
+    days = [D(2021, 1, 10), D(2021, 1, 31), D(2021, 2, 9)]
+    as_list = {r.date: r.net_worth for r in nw.networth_series(p, prices, days).collect()}
+    spine_df = spark.createDataFrame([(d,) for d in days], "date date")
+    as_df = {r.date: r.net_worth for r in nw.networth_series(p, prices, spine_df).collect()}
+    assert as_list == as_df == {d: Decimal(sum(range((d - D(2021, 1, 1)).days + 1))) for d in days}
