@@ -73,7 +73,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists, through Hadoop's FileSystem API (so
     local, HDFS and object-store paths all work)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(hpath))
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session
+        local = path[len("file:"):] if path.startswith("file:") else path
+        return os.path.exists(local) if "://" not in path else True
