@@ -34,10 +34,12 @@ def year_bounds(postings: DataFrame, *, keys: Sequence[str] = ("ledger_id",)) ->
 
 
 def at_cost(postings: DataFrame) -> DataFrame:
-    """Replace each position by its amount at cost (``cost(position)``)."""
-    return postings.withColumn("number", cost_number()).withColumn("currency", cost_currency()).withColumn(
-        "cost_currency", F.lit(None).cast("string")
-    )
+    """Replace each position by its amount at cost (``cost(position)``).
+
+    The cost columns are dropped, not set to NULL: a NULL literal as the
+    conversion's via-currency would turn its hop joins into nested loops."""
+    out = postings.withColumn("number", cost_number()).withColumn("currency", cost_currency())
+    return out.drop(*[c for c in ("cost_number", "cost_currency", "cost_date") if c in postings.columns])
 
 
 def income_postings(postings: DataFrame, years: tuple[int, int], account_re: str = "Income") -> DataFrame:

@@ -19,6 +19,7 @@ measuring it, so the wide side is read once and never sorted by currency.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from tallyframe.operators.asof import explode_intervals, latest_value
@@ -101,7 +102,10 @@ def convert(
     """
     rates = rate_table(prices, inverse=inverse)
     tgt = F.lit(target)
-    has_via = via is not None and via in df.columns
+    # a via column that is a NULL literal would make the hop joins nested
+    # loops; only a real column of currencies takes part
+    has_via = (via is not None and via in df.columns
+               and not isinstance(df.schema[via].dataType, T.NullType))
     if date is None:
         cal = latest_value(rates, ["base", "quote"], ["rate"]).drop("date")
         tail = None

@@ -111,10 +111,10 @@ def networth_converted(
     currency), lots taken into account; positions that cannot be converted
     are left out of the ``target`` total."""
     p = postings.where(account_match(account_re, ignore_case=ignore_case))
-    if "cost_currency" not in p.columns:
-        p = p.withColumn("cost_currency", F.lit(None).cast("string"))
-    units = asof_balances(p, dates, ["currency", "cost_currency"], keys=keys)
-    conv = convert(units.withColumnRenamed("units", "number"), prices, target, spine=dates)
+    by = ["currency", "cost_currency"] if "cost_currency" in p.columns else ["currency"]
+    units = asof_balances(p, dates, by, keys=keys)
+    conv = convert(units.withColumnRenamed("units", "number"), prices, target, spine=dates,
+                   via="cost_currency" if "cost_currency" in by else None)
     value = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     return conv.groupBy(*keys, "date").agg(
         F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("net_worth")
@@ -171,10 +171,10 @@ def networth_at(postings, prices, as_of, target="USD", account_re="Assets:", *,
     p = postings.where(account_match(account_re, ignore_case=True))
     if postings_until is not None:
         p = p.where(F.col("date") <= F.lit(postings_until).cast("date"))
-    if "cost_currency" not in p.columns:
-        p = p.withColumn("cost_currency", F.lit(None).cast("string"))
-    inv = p.groupBy(*keys, "currency", "cost_currency").agg(F.sum("number").alias("number"))
-    conv = convert(inv.withColumn("date", F.lit(as_of).cast("date")), prices, target, spine=[as_of])
+    by = ["currency", "cost_currency"] if "cost_currency" in p.columns else ["currency"]
+    inv = p.groupBy(*keys, *by).agg(F.sum("number").alias("number"))
+    conv = convert(inv.withColumn("date", F.lit(as_of).cast("date")), prices, target, spine=[as_of],
+                   via="cost_currency" if "cost_currency" in by else None)
     value = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     return conv.groupBy(*keys).agg(
         F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("net_worth")
