@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators.asof import explode_intervals, latest_value
 
 RATE = "decimal(38,18)"
+CONVERTED = "decimal(38,6)"  # converted amounts: exact for 2-decimal units x 4-decimal prices
 
 
 def dedup_prices(prices: DataFrame) -> DataFrame:
@@ -138,8 +139,15 @@ def convert(
         hop_rate = F.lit(None)
     same = F.col(currency) == tgt
     rate = F.when(same, F.lit(1).cast(RATE)).otherwise(F.coalesce(F.col("__r_direct"), hop_rate))
+    # Both branches are cast to one explicit type: left to type coercion, a
+    # CASE over DECIMAL(38,2) units and a DECIMAL(38,6) product widens by
+    # keeping integer digits and silently rounds every product to cents.
+    num_t = df.schema[number].dataType
+    bounded = (F.col(number).cast(T.DecimalType(min(num_t.precision, 28), num_t.scale))
+               if isinstance(num_t, T.DecimalType) else F.col(number))
     return rows.select(
         *df.columns,
-        F.when(rate.isNotNull(), (F.col(number) * rate)).otherwise(F.col(number)).alias(out_number),
+        F.when(rate.isNotNull(), (bounded * rate).cast(CONVERTED))
+        .otherwise(F.col(number).cast(CONVERTED)).alias(out_number),
         F.when(rate.isNotNull(), tgt).otherwise(F.col(currency)).alias(out_currency),
     )

@@ -38,8 +38,13 @@ def rate_schedule(date: str | Column = "date", steps=RATE_STEPS) -> Column:
 
 
 def money2(c: Column) -> Column:
-    """A double amount to DECIMAL(18,2), rounded half-up via 6 decimals."""
-    return F.round(c.cast("decimal(38,6)"), 2).cast("decimal(18,2)")
+    """A double amount to DECIMAL(18,2), rounded half-up to cents.
+
+    ``floor(x * 100 + 0.5)`` is exact IEEE arithmetic (the same in any
+    engine), and whole cents x 0.01 is exact decimal arithmetic, so no
+    engine-specific double-to-decimal rounding is involved."""
+    cents_ = F.floor(c.cast("double") * 100 + 0.5).cast("decimal(20,0)")
+    return (cents_ * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(18,2)")
 
 
 def pmt_withdrawal(networth: DataFrame, *, value: str = "net_worth", rate=WITHDRAWAL_RATE,

@@ -78,7 +78,7 @@ u AS (SELECT k.ledger_id, k.currency, s.date, COALESCE(r.units, 0) AS units
 px AS (SELECT currency, date, amount FROM prices WHERE quote = 'USD' AND currency <> 'USD'),
 j AS (SELECT u.*, px.amount FROM u ASOF LEFT JOIN px ON px.currency = u.currency AND px.date <= u.date)
 SELECT ledger_id, date,
-  CAST(ROUND(SUM(CASE WHEN currency = 'USD' THEN units WHEN units <> 0 AND amount IS NOT NULL THEN units * amount ELSE 0 END), 2) AS DOUBLE) AS net_worth
+  CAST(ROUND(SUM(CASE WHEN currency = 'USD' THEN CAST(units AS DECIMAL(38,6)) WHEN units <> 0 AND amount IS NOT NULL THEN CAST(CAST(units AS DECIMAL(20,2)) * amount AS DECIMAL(38,6)) ELSE CAST(0 AS DECIMAL(38,6)) END), 2) AS DOUBLE) AS net_worth
 FROM j GROUP BY ledger_id, date
 """)
 def q_networth_series(spark, sf_dir):
@@ -123,8 +123,8 @@ def sql_networth(spine_sql: str, where: str, out: str = "net_worth") -> str:
     return sql_units_at(spine_sql, where) + f""",
 {SQL_USD_PX},
 j AS (SELECT u.*, px.amount FROM u ASOF LEFT JOIN px ON px.currency = u.currency AND px.date <= u.date),
-n AS (SELECT ledger_id, date, SUM(CASE WHEN currency = 'USD' THEN units WHEN units <> 0 AND amount IS NOT NULL
-        THEN units * amount ELSE 0 END) AS v FROM j GROUP BY ledger_id, date)
+n AS (SELECT ledger_id, date, SUM(CASE WHEN currency = 'USD' THEN CAST(units AS DECIMAL(38,6)) WHEN units <> 0 AND amount IS NOT NULL
+        THEN CAST(CAST(units AS DECIMAL(20,2)) * amount AS DECIMAL(38,6)) ELSE CAST(0 AS DECIMAL(38,6)) END) AS v FROM j GROUP BY ledger_id, date)
 """
 
 
@@ -148,7 +148,7 @@ DAILY_END_EXCL = "2001-08-30"
 j AS (SELECT u.*, CASE WHEN u.currency = 'USD' THEN CAST(1 AS DECIMAL(18,4)) ELSE px.amount END AS price
       FROM u ASOF LEFT JOIN px ON px.currency = u.currency AND px.date <= u.date)
 SELECT ledger_id, date, account, currency, CAST(ROUND(units, 2) AS DOUBLE) AS units, CAST(price AS DOUBLE) AS price,
-  CAST(ROUND(units * price, 2) AS DOUBLE) AS value, {SQL_CATEGORY} AS category
+  CAST(ROUND(CAST(units AS DECIMAL(20,2)) * price, 2) AS DOUBLE) AS value, {SQL_CATEGORY} AS category
 FROM j WHERE units <> 0 AND price IS NOT NULL
 """)
 def q_networth_detail(spark, sf_dir):
@@ -192,7 +192,7 @@ def q_networth_summator(spark, sf_dir):
 , {SQL_USD_PX},
 h AS (SELECT ledger_id, currency, SUM(number) AS units FROM postings WHERE regexp_matches(account, '(?i)Assets:') GROUP BY ALL),
 lp AS (SELECT currency, arg_max(amount, date) AS amount FROM px WHERE date <= DATE '{TODAY}' GROUP BY currency)
-SELECT ledger_id, CAST(ROUND(SUM(CASE WHEN h.currency = 'USD' THEN units WHEN lp.amount IS NOT NULL THEN units * lp.amount END), 2) AS DOUBLE) AS net_worth
+SELECT ledger_id, CAST(ROUND(SUM(CASE WHEN h.currency = 'USD' THEN CAST(units AS DECIMAL(38,6)) WHEN lp.amount IS NOT NULL THEN CAST(CAST(units AS DECIMAL(20,2)) * lp.amount AS DECIMAL(38,6)) END), 2) AS DOUBLE) AS net_worth
 FROM h LEFT JOIN lp USING (currency) GROUP BY ledger_id
 """)
 def q_networth_at(spark, sf_dir):
@@ -233,7 +233,7 @@ SQL_CONVERTED_AT = f"""
 , inv AS ({SQL_ROOT_AT.format(d=AS_OF)}),
 lp AS (SELECT currency, arg_max(amount, date) AS amount FROM prices WHERE quote = 'USD' AND date <= DATE '{AS_OF}' GROUP BY currency),
 c AS (SELECT inv.ledger_id, inv.account, inv.cost_number IS NOT NULL AS tracked_at_cost,
-   CASE WHEN inv.currency = 'USD' THEN number WHEN lp.amount IS NOT NULL THEN number * lp.amount ELSE number END AS conv,
+   CASE WHEN inv.currency = 'USD' THEN CAST(number AS DECIMAL(38,6)) WHEN lp.amount IS NOT NULL THEN CAST(CAST(number AS DECIMAL(20,2)) * lp.amount AS DECIMAL(38,6)) ELSE CAST(number AS DECIMAL(38,6)) END AS conv,
    CASE WHEN inv.currency = 'USD' OR lp.amount IS NOT NULL THEN 'USD' ELSE inv.currency END AS currency
    FROM inv LEFT JOIN lp USING (currency))"""
 
@@ -316,7 +316,7 @@ def q_is_small(spark, sf_dir):
 SQL_SUMMARY = f"""
 , {SQL_LAST_PX},
 summary AS (SELECT p.ledger_id, year(p.date) AS year, p.account,
-  SUM(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END) AS amount
+  SUM(CASE WHEN p.currency = 'USD' THEN CAST(p.number AS DECIMAL(38,6)) WHEN lpx.amount IS NOT NULL THEN CAST(p.number * lpx.amount AS DECIMAL(38,6)) END) AS amount
   FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency WHERE regexp_matches(p.account, '(?i)^Expenses') GROUP BY ALL),
 yrs AS (SELECT DISTINCT ledger_id, year FROM summary),
 yk AS (SELECT ledger_id, max(year) AS cur, count(*) AS n,
@@ -378,7 +378,7 @@ def q_expense_tree(spark, sf_dir):
 @register("drill_down", f"""
 , {SQL_LAST_PX}
 SELECT p.ledger_id, p.date, COALESCE(p.payee, '') AS payee, COALESCE(p.narration, '') AS narration,
-  CAST(ROUND(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END, 2) AS DOUBLE) AS amount
+  CAST(ROUND(CASE WHEN p.currency = 'USD' THEN CAST(p.number AS DECIMAL(38,6)) WHEN lpx.amount IS NOT NULL THEN CAST(p.number * lpx.amount AS DECIMAL(38,6)) END, 2) AS DOUBLE) AS amount
 FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency
 WHERE p.account = '{LEAF}' AND year(p.date) IN (1999, 2000)""")
 def q_drill_down(spark, sf_dir):
@@ -392,7 +392,7 @@ def q_drill_down(spark, sf_dir):
 @register("expense_postings", f"""
 , {SQL_LAST_PX}
 SELECT p.ledger_id, p.date, CAST(year(p.date) AS INTEGER) AS year, p.account, p.payee, p.narration,
-  CAST(ROUND(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END, 2) AS DOUBLE) AS amount
+  CAST(ROUND(CASE WHEN p.currency = 'USD' THEN CAST(p.number AS DECIMAL(38,6)) WHEN lpx.amount IS NOT NULL THEN CAST(p.number * lpx.amount AS DECIMAL(38,6)) END, 2) AS DOUBLE) AS amount
 FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency WHERE regexp_matches(p.account, '(?i)^Expenses')""")
 def q_expense_postings(spark, sf_dir):
     L = ledger(spark, sf_dir)
@@ -446,7 +446,7 @@ def _sql_cost_src(where: str) -> str:
     return f"""
 , {SQL_USD_PX},
 src AS (SELECT ledger_id, date, account,
-   CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END AS number,
+   CASE WHEN cost_number IS NOT NULL THEN CAST(number * cost_number AS DECIMAL(20,4)) ELSE CAST(number AS DECIMAL(20,4)) END AS number,
    COALESCE(cost_currency, currency) AS currency FROM postings WHERE {where}),
 {SQL_POSTING_PX}"""
 
@@ -495,9 +495,9 @@ lots AS (SELECT ledger_id, account, cost_date, currency, cost_currency, cost_num
          WHERE split_part(account, ':', 1) IN ('Assets', 'Liabilities') GROUP BY ALL)
 SELECT ledger_id, account, l.currency, CAST(ROUND(units, 2) AS DOUBLE) AS units, CAST(cost_number AS DOUBLE) AS cost,
   CAST(price AS DOUBLE) AS price,
-  CAST(ROUND(CASE WHEN cost_number IS NOT NULL THEN units * cost_number ELSE units END, 2) AS DOUBLE) AS book_value,
+  CAST(ROUND(CASE WHEN cost_number IS NOT NULL THEN CAST(CAST(units AS DECIMAL(20,2)) * cost_number AS DECIMAL(38,6)) ELSE CAST(units AS DECIMAL(38,6)) END, 2) AS DOUBLE) AS book_value,
   CASE WHEN cost_number IS NOT NULL THEN cost_currency ELSE l.currency END AS book_currency,
-  CAST(ROUND(CASE WHEN cost_number IS NOT NULL AND price IS NOT NULL THEN units * price ELSE units END, 2) AS DOUBLE) AS market_value,
+  CAST(ROUND(CASE WHEN cost_number IS NOT NULL AND price IS NOT NULL THEN CAST(CAST(units AS DECIMAL(20,2)) * price AS DECIMAL(38,6)) ELSE CAST(units AS DECIMAL(38,6)) END, 2) AS DOUBLE) AS market_value,
   CASE WHEN cost_number IS NOT NULL AND price IS NOT NULL THEN cost_currency ELSE l.currency END AS market_currency,
   cost_date AS acquisition_date
 FROM lots l LEFT JOIN lr ON lr.currency = l.currency AND lr.quote = l.cost_currency""")
@@ -575,15 +575,20 @@ def sql_target(col: str) -> str:
 
 def C2(expr: str) -> str:
     """DuckDB twin of ``report.cents``."""
-    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,6)), 2) AS DOUBLE)"
+    return f"(floor(CAST({expr} AS DOUBLE) * 100 + 0.5) / 100)"
+
+
+def M2(expr: str) -> str:
+    """DuckDB twin of ``finance.money2``."""
+    return f"CAST(CAST(floor(CAST({expr} AS DOUBLE) * 100 + 0.5) AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
 
 SQL_CURVES = sql_networth(SQL_DAYS.format(a=FIN_START, b=f"{YEAR}-12-31"), SQL_ASSETS_LIAB) + f""",
-b AS (SELECT ledger_id, date, v, CAST(ROUND(CAST({SQL_PMT_BEGIN} AS DECIMAL(38,6)), 2) AS DECIMAL(18,2)) AS pmt, dayofyear(date) AS day_of_year FROM n),
+b AS (SELECT ledger_id, date, v, {M2(SQL_PMT_BEGIN)} AS pmt, dayofyear(date) AS day_of_year FROM n),
 c AS (SELECT *,
   CASE WHEN CAST(v AS DOUBLE) / CAST(7000000 AS DOUBLE) > 0 THEN
-    CAST(ROUND(CAST(CAST(pmt AS DOUBLE) * pow(CAST(v AS DOUBLE) / CAST(7000000 AS DOUBLE), 0.5) AS DECIMAL(38,6)), 2) AS DECIMAL(18,2)) END AS pmt_portfolio_tilt,
+    {M2('CAST(pmt AS DOUBLE) * pow(CAST(v AS DOUBLE) / CAST(7000000 AS DOUBLE), 0.5)')} END AS pmt_portfolio_tilt,
   CASE WHEN CAST(v AS DOUBLE) / {SQL_PV_INCOME} > 0 THEN
-    CAST(ROUND(CAST(CAST(pmt AS DOUBLE) * pow(CAST(v AS DOUBLE) / {SQL_PV_INCOME}, -0.5) AS DECIMAL(38,6)), 2) AS DECIMAL(18,2)) END AS pmt_income_tilt FROM b),
+    {M2(f'CAST(pmt AS DOUBLE) * pow(CAST(v AS DOUBLE) / {SQL_PV_INCOME}, -0.5)')} END AS pmt_income_tilt FROM b),
 cv AS (SELECT *, {sql_target('pmt')} AS target, {sql_target('pmt_portfolio_tilt')} AS target_portfolio_tilt,
   {sql_target('pmt_income_tilt')} AS target_spending_tilt FROM c)"""
 
@@ -636,7 +641,7 @@ def _flows_sql() -> str:
     # posting-date conversion source over the year, without re-declaring px
     return f""",
 src AS (SELECT ledger_id, date, account,
-   CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END AS number,
+   CASE WHEN cost_number IS NOT NULL THEN CAST(number * cost_number AS DECIMAL(20,4)) ELSE CAST(number AS DECIMAL(20,4)) END AS number,
    COALESCE(cost_currency, currency) AS currency FROM postings WHERE year(date) = {YEAR}),
 {SQL_POSTING_PX}""" + SQL_FLOW_DAYS
 
@@ -753,7 +758,7 @@ SQL_DASH = SQL_DASH_LE + f""",
 {SQL_USD_PX},
 h AS (SELECT ledger_id, currency, SUM(number) AS units FROM postings WHERE regexp_matches(account, '(?i)Assets:') GROUP BY ALL),
 lp AS (SELECT currency, arg_max(amount, date) AS amount FROM px WHERE date <= DATE '{TODAY}' GROUP BY currency),
-nwt AS (SELECT ledger_id, SUM(CASE WHEN h.currency = 'USD' THEN units WHEN lp.amount IS NOT NULL THEN units * lp.amount END) AS v
+nwt AS (SELECT ledger_id, SUM(CASE WHEN h.currency = 'USD' THEN CAST(units AS DECIMAL(38,6)) WHEN lp.amount IS NOT NULL THEN CAST(CAST(units AS DECIMAL(20,2)) * lp.amount AS DECIMAL(38,6)) END) AS v
         FROM h LEFT JOIN lp USING (currency) GROUP BY ledger_id),
 dr AS (SELECT nwt.ledger_id, CAST(v AS DOUBLE) AS nw, le.le,
    CASE WHEN DATE '{TODAY}' >= make_date(year(DATE '{TODAY}'), 2, 23) THEN CAST(0.031 AS DOUBLE) ELSE CAST(0.032 AS DOUBLE) END AS er FROM nwt, le),
@@ -779,7 +784,7 @@ def _dashboard(spark, sf_dir):
 
 SQL_YTD = f"""
 src AS (SELECT ledger_id, date, account,
-   CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END AS number,
+   CASE WHEN cost_number IS NOT NULL THEN CAST(number * cost_number AS DECIMAL(20,4)) ELSE CAST(number AS DECIMAL(20,4)) END AS number,
    COALESCE(cost_currency, currency) AS currency FROM postings
    WHERE regexp_matches(account, '(?i)Expenses:') AND date >= DATE '1998-01-01' AND date <= DATE '{TODAY}'),
 {SQL_POSTING_PX},
@@ -834,7 +839,7 @@ act AS (SELECT b.ledger_id, b.date, b.account, b.currency, b.number AS expected,
         FROM balances b LEFT JOIN anc a ON a.ledger_id = b.ledger_id AND a.path = b.account AND a.currency = b.currency AND a.date < b.date
         GROUP BY ALL),
 w AS (SELECT ledger_id, txn_id, COALESCE(cost_currency, currency) AS currency, min(date) AS date,
-        SUM(CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END) AS actual FROM postings GROUP BY ALL)
+        SUM(CASE WHEN cost_number IS NOT NULL THEN CAST(number * cost_number AS DECIMAL(38,6)) ELSE CAST(number AS DECIMAL(38,6)) END) AS actual FROM postings GROUP BY ALL)
 SELECT ledger_id, 'balance' AS kind, date, account, currency, CAST(expected AS DOUBLE) AS expected,
   CAST(actual AS DOUBLE) AS actual, CAST(actual - expected AS DOUBLE) AS diff FROM act WHERE abs(actual - expected) > 0.005
 UNION ALL
@@ -931,7 +936,7 @@ def q_units_by_commodity_wide(spark, sf_dir):
 @register("drill_down_display", f"""
 , {SQL_LAST_PX},
 x AS (SELECT p.ledger_id, p.date, COALESCE(p.payee, '') AS payee, COALESCE(p.narration, '') AS narration,
-  CAST(CASE WHEN p.currency = 'USD' THEN p.number WHEN lpx.amount IS NOT NULL THEN p.number * lpx.amount END AS DOUBLE) AS amount
+  CAST(CASE WHEN p.currency = 'USD' THEN CAST(p.number AS DECIMAL(38,6)) WHEN lpx.amount IS NOT NULL THEN CAST(p.number * lpx.amount AS DECIMAL(38,6)) END AS DOUBLE) AS amount
   FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency
   WHERE p.account = '{LEAF}' AND year(p.date) IN (1999, 2000))
 SELECT ledger_id, date, payee, narration,
@@ -956,7 +961,7 @@ def q_drill_down_raw(spark, sf_dir):
 
 # ------------------------------------------------------------ S1 text ingest
 _RENDERED: dict[tuple[str, str], str] = {}
-TEXT_BLOCKS_PER_FILE = 200_000
+TEXT_BLOCKS_PER_FILE = 50_000
 
 
 def _text_ledger(spark, sf_dir):

@@ -24,9 +24,9 @@ def ratio(c: str | Column, name: str | None = None, places: int = 6) -> Column:
 
 
 def cents(c: str | Column, name: str | None = None) -> Column:
-    """A double rounded half-up to cents through DECIMAL(38,6): both engines
-    convert a double to a 6-decimal DECIMAL the same way and round decimals
-    exactly, where rounding the double directly can differ at a half cent."""
+    """A double rounded half-up to cents as ``floor(x * 100 + 0.5) / 100``:
+    plain IEEE arithmetic, identical in every engine, where engines' own
+    double rounding and double-to-decimal casts can differ at a half cent."""
     col = F.col(c) if isinstance(c, str) else c
-    out = F.round(col.cast("decimal(38,6)"), 2).cast("double")
+    out = F.floor(col.cast("double") * 100 + 0.5) / 100
     return out.alias(name or (c if isinstance(c, str) else "value"))

@@ -36,6 +36,7 @@ def get_spark(
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    conf.setdefault("spark.driver.memory", "8g")   # local mode: the driver is the executor
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
