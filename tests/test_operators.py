@@ -243,3 +243,18 @@ def test_dataframe_spine_equals_list_spine(spark):
     spine_df = spark.createDataFrame([(d,) for d in days], "date date")
     as_df = {r.date: r.net_worth for r in nw.networth_series(p, prices, spine_df).collect()}
     assert as_list == as_df == {d: Decimal(sum(range((d - D(2021, 1, 1)).days + 1))) for d in days}
+
+
+def test_convert_keeps_sub_cent_precision(spark):
+    from pyspark.sql import types as T
+
+    prices = spark.createDataFrame([(D(2020, 1, 1), "AAA", Decimal("1.2345"), "USD")],
+                                   "date date, currency string, amount decimal(18,4), quote string")
+    # wide sum types like a running total's DECIMAL(38,2) must not push the
+    # converted amount down to cents
+    rows = spark.createDataFrame([(1, "AAA", D(2020, 1, 2), Decimal("10.01")), (2, "USD", D(2020, 1, 2), Decimal("3.5"))],
+                                 "id int, currency string, date date, number decimal(38,2)")
+    out = px.convert(rows, prices, "USD")
+    assert out.schema["conv_number"].dataType == T.DecimalType(38, 6)
+    got = {r.id: r.conv_number for r in out.collect()}
+    assert got == {1: Decimal("12.357345"), 2: Decimal("3.5")}
