@@ -173,3 +173,16 @@ option "operating_currency" "EUR"
     # the same-day price that comes later in the file wins
     from tallyframe.operators.prices import dedup_prices
     assert dedup_prices(t.prices).first().amount == Decimal("151")
+
+
+def test_currency_not_allowed_and_failed_balance(spark):
+    text = """2020-01-01 open Assets:Cash EUR
+2020-01-01 open Expenses:Food
+2020-01-02 * "Shop" "Paid in the wrong currency"
+  Expenses:Food   5.00 USD
+  Assets:Cash    -5.00 USD
+2020-01-03 balance Assets:Cash  -4.00 USD
+"""
+    t = load_ledger_text(spark, {"l": text})
+    kinds = sorted((r.kind, r.account or "") for r in checks.ledger_errors(t.postings, t.balances, t.opens).collect())
+    assert kinds == [("balance", "Assets:Cash"), ("currency_not_allowed", "Assets:Cash")]
