@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import ensure_checkpoint_dir
@@ -172,3 +172,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels
+
+
+# -------------------------------------------------------- distributed prefix
+
+
+def global_prefix(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before it in ``order``:
+    range-partitioned, summed within partitions, and shifted by the partitions
+    before (one row per partition meets in one task)."""
+    placed = stored(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_v", value.cast("bigint")), "prefix")
+    before = (Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(*before)
+    across = Window.orderBy("_p").rowsBetween(*before)
+    shift = placed.groupBy(F.col("_pid").alias("_p")).agg(F.sum("_v").alias("_s")) \
+        .select("_p", F.coalesce(F.sum("_s").over(across), F.lit(0)).alias("_shift"))
+    return placed.withColumn("_at", F.coalesce(F.sum("_v").over(local), F.lit(0))) \
+        .join(shift, F.col("_pid") == F.col("_p")) \
+        .withColumn(name, F.col("_at") + F.col("_shift")).drop("_pid", "_p", "_v", "_at", "_shift")

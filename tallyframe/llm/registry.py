@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import chat_format, warc_derive
+from tallyframe.llm import chat_format, mixing, secrets, warc_derive
 
 MODULES = {
+    "op1_secret_scan": secrets,
+    "op2_source_mix": mixing,
     "op3_chat_format": chat_format,
     "op6_warc_derive": warc_derive,
 }
