@@ -79,6 +79,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C55  # odd: invertible modulo 2^64
 _P_INV = pow(_P, -1, 1 << 64)
+_PIECE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -122,14 +123,80 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends[:-1] &= ~inside[1:]
     ends[edges - 1] = inside[edges - 1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    power = _powers(_P, len(data))
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power, out=prefix[1:])
-    raw = (prefix[last] - prefix[first]) * _powers(_P_INV, len(data))[first]
+    raw, at, n = np.empty(len(first), np.uint64), 0, min(_PIECE, len(data))
+    powers, inverses = _powers(_P, n), _powers(_P_INV, n)
+    while at < len(first):  # pieces of a few MB: bounded memory for any text
+        to = max(at + 1, int(np.searchsorted(last, first[at] + _PIECE, side="right")))
+        lo, hi = first[at], last[to - 1]
+        power, inverse = (powers, inverses) if hi - lo <= n else (_powers(_P, hi - lo), _powers(_P_INV, hi - lo))
+        prefix = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((_LOWER[data[lo:hi]].astype(np.uint64) + np.uint64(1)) * power[:hi - lo], out=prefix[1:])
+        raw[at:to] = (prefix[last[at:to] - lo] - prefix[first[at:to] - lo]) * inverse[first[at:to] - lo]
+        at = to
     counts = np.diff(np.searchsorted(first, offsets))
     return mix64(raw + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
 
 
+def pairs_in_groups(sizes: np.ndarray, most: int):
+    """All pairs i < j of row numbers within consecutive groups of the given
+    sizes, as blocks of about ``most`` pairs."""
+    ends = np.cumsum(sizes)
+    partners = np.repeat(ends, sizes) - np.arange(ends[-1] if len(ends) else 0) - 1
+    upto = np.cumsum(partners)
+    at, n = 0, len(partners)
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right"))))
+        many = partners[at:to]
+        i = np.repeat(np.arange(at, to), many)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        if len(i):
+            yield i, j
+        at = to
+
+
+def pair_blocks(df: DataFrame, keys: list[str], member: str, chunk: int) -> DataFrame:
+    """Deal the rows of each group (``keys``) out to blocks for comparing all
+    members: a group of up to ``chunk`` rows is one block; a larger one is cut
+    into m chunks by the member's hash and each row goes to the m blocks that
+    pair its chunk with another (or itself).  Adds _bi, _bj (the block) and _c
+    (the row's chunk)."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk) \
+        .select(*keys, F.ceil(F.col("_n") / chunk).cast("int").alias("_m"))
+    dealt = df.join(hot, keys, "left").withColumn("_m", F.coalesce("_m", F.lit(1))) \
+        .withColumn("_c", F.pmod(F.xxhash64(member), F.col("_m")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    return dealt.withColumn("_o", other).withColumn("_bi", F.least("_c", "_o")) \
+        .withColumn("_bj", F.greatest("_c", "_o")).drop("_o", "_m")
+
+
+def blocks_of(batches, columns: list[str], least_rows: int = 65536):
+    """Record batches sorted by ``columns`` -> pyarrow tables that hold whole
+    groups only, with the groups' sizes."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(t: pa.Table, last: bool):
+        same = np.ones(max(0, t.num_rows - 1), bool)
+        for c in columns:
+            v = t.column(c).to_numpy()
+            same &= v[1:] == v[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(~same) + 1, [t.num_rows]])
+        whole = t.num_rows if last else int(edges[-2])
+        return whole, np.diff(edges if last else edges[:-1])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= least_rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            whole, sizes = cut(t, False)
+            if whole:
+                yield t.slice(0, whole), sizes
+            held = t.slice(whole).to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, cut(t, True)[1]
+
+
 # ------------------------------------------------------ connected components
 
 

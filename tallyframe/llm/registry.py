@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import chat_format, mixing, secrets, warc_derive
+from tallyframe.llm import chat_format, mixing, near_dup, secrets, warc_derive
 
 MODULES = {
     "op1_secret_scan": secrets,
     "op2_source_mix": mixing,
     "op3_chat_format": chat_format,
     "op6_warc_derive": warc_derive,
+    "op9_minhash_near_dup": near_dup,
 }
 QUERIES = {name: m.query for name, m in MODULES.items()}
 ORACLES = {name: m.SQL for name, m in MODULES.items() if getattr(m, "SQL", None)}

@@ -9,7 +9,8 @@ reaches ``threshold`` and which no base span contains is a ``markov`` span.
 The models are trained from labelled samples (text, label): label 1, the
 values found by the format rules and digests of the sampled texts written in
 hex, base64, base62 and upper-case alphabets; label 0, the words around them,
-plain, joined as snake_case and CamelCase, and numbered (word_1234567890).  The samples come from
+plain, joined as snake_case, CamelCase, CONSTANT_CASE, by - / and =, and
+numbered (word_1234567890).  The samples come from
 ``SAMPLE_DOCS`` documents in hash order (a bounded, documented sample).  The
 model is one table of transition scores of fixed size, a literal in the scan.
 
@@ -78,7 +79,8 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     def joined(ws: Column) -> Column:
         pairs = F.zip_with(ws, F.slice(ws, F.lit(2), F.size(ws)), lambda x, y: F.array(
             F.concat(x, F.lit("_"), y), F.concat(F.initcap(x), F.initcap(y)),
-            F.concat(x, F.lit("_"), F.crc32(y).cast("string"))))
+            F.concat(x, F.lit("-"), y), F.concat(x, F.lit("/"), y), F.concat(x, F.lit("="), y),
+            F.upper(F.concat(x, F.lit("_"), y)), F.concat(x, F.lit("_"), F.crc32(y).cast("string"))))
         return F.concat(ws, F.filter(F.flatten(F.slice(pairs, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0)))),
                                      lambda s: s.isNotNull()))
 
