@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import chat_format, mixing, near_dup, secrets, warc_derive
+from tallyframe.llm import chat_format, mixing, near_dup, quality, secrets, warc_derive
 
 MODULES = {
     "op1_secret_scan": secrets,
     "op2_source_mix": mixing,
     "op3_chat_format": chat_format,
+    "op4_pu_quality": quality,
     "op6_warc_derive": warc_derive,
     "op9_minhash_near_dup": near_dup,
 }
