@@ -143,5 +143,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block_to
         .unionByName(placed.where("size = 0").select(*doc, F.lit(0).cast("bigint").alias("taken")))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: each document as often as its words are
+    taken, to the nearest whole document (a source's cut falls within one
+    document); documents that are not taken go."""
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    keys = stored(mix(docs, **options).groupBy("key").agg(F.sum(copies).cast("int").alias("_copies"), F.count("*").alias("_rows"))
+                  .where("_copies > 0").withColumnRenamed("key", "_key"), "mix-copies")
+    found = docs.withColumn("_key", document_key())
+    once = found.join(keys.where("_rows = 1"), "_key")
+    more = found.join(keys.where("_rows > 1"), "_key").dropDuplicates(["_key"])  # repeated rows share their copies
+    return once.unionByName(more).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

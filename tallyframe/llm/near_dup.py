@@ -83,20 +83,26 @@ def _slices(batch: pa.RecordBatch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
+def content_key() -> Column:
+    """Names a row's id and text; equal for repeated rows only."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n_shingles, sig (array<short>; null without shingles)."""
+    """doc_id, key, cls, n_shingles, sig (array<short>; null without shingles)."""
 
     def run(batches):
         for whole in batches:
             for batch in _slices(whole):
                 sets = list(shingles(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array([class_of(s) for s in sets], pa.int64()),
+                    batch.column("doc_id"), batch.column("key"), pa.array([class_of(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int16()))],
-                    names=["doc_id", "cls", "n_shingles", "sig"])
+                    names=["doc_id", "key", "cls", "n_shingles", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n_shingles long, sig array<short>")
+    return docs.select("doc_id", "text", content_key().alias("key")) \
+        .mapInArrow(run, "doc_id long, key long, cls long, n_shingles long, sig array<short>")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -198,19 +204,37 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, cls, n_shingles, component_id, kept."""
+    """One row per document: doc_id, key (see content_key), cls, n_shingles,
+    root (names the group; null for a row that links with nothing by
+    definition), component_id, kept."""
     rows = stored(sketch(docs), "dup-sketch")
     classes = stored(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "dup-classes")
     comp = connected_components(link_classes(classes, docs)).select(F.col("node").alias("cls"), "root")
     named = classes.select("cls", "rep").join(comp, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("cls", "component_id")
+    named = named.join(least, "root").select("cls", "root", "component_id")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return rows.drop("sig").join(named, "cls", "left") \
+    return rows.drop("sig").join(named, "cls", "left").withColumn("root", F.when(~alone, F.col("root"))) \
         .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group: of the rows with the group's
+    smallest doc_id, the one with the smallest key."""
+    rows = near_duplicates(docs)
+    chosen = rows.where("kept AND root IS NOT NULL").groupBy("root").agg(F.min("key").alias("_key")).select("_key", F.lit(True).alias("_one"))
+    alone = rows.where("root IS NULL").select(F.col("key").alias("_key"), F.lit(False).alias("_one")).distinct()
+    keys = stored(chosen.unionByName(alone), "dup-kept")
+    found = docs.withColumn("_key", content_key()).join(keys, "_key")
+    # repeated rows are the only ones that share a key
+    repeated = rows.where("root IS NOT NULL").groupBy(F.col("key").alias("_key")).count().where("count > 1").select("_key")
+    repeated = stored(repeated, "dup-repeated")
+    once = found.join(repeated, "_key", "left_anti")
+    more = found.where("_one").join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(more).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

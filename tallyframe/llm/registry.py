@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import chat_format, mixing, near_dup, quality, secrets, warc_derive
+import corpus_pipeline
+from tallyframe.llm import chat_format, mixing, near_dup, pieces, quality, secrets, warc_derive
 
 MODULES = {
     "op1_secret_scan": secrets,
@@ -10,7 +11,8 @@ MODULES = {
     "op3_chat_format": chat_format,
     "op4_pu_quality": quality,
     "op6_warc_derive": warc_derive,
+    "op7_sentencepiece": pieces,
     "op9_minhash_near_dup": near_dup,
 }
-QUERIES = {name: m.query for name, m in MODULES.items()}
+QUERIES = {name: m.query for name, m in MODULES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: m.SQL for name, m in MODULES.items() if getattr(m, "SQL", None)}
