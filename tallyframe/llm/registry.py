@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyframe.llm import chat_format, mixing, near_dup, pieces, quality, secrets, warc_derive
+from tallyframe.llm import chat_format, mixing, near_dup, pieces, quality, secrets, vector_dup, warc_derive
 
 MODULES = {
     "op1_secret_scan": secrets,
@@ -12,6 +12,7 @@ MODULES = {
     "op4_pu_quality": quality,
     "op6_warc_derive": warc_derive,
     "op7_sentencepiece": pieces,
+    "op8_vector_near_dup": vector_dup,
     "op9_minhash_near_dup": near_dup,
 }
 QUERIES = {name: m.query for name, m in MODULES.items()} | {"pipeline": corpus_pipeline.run}
