@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyframe.llm import chat_format, mixing, near_dup, pieces, quality, secrets, vector_dup, warc_derive
+from tallyframe.llm import chat_format, hamming_ann, mixing, near_dup, pieces, quality, secrets, vector_dup, warc_derive
 
 MODULES = {
     "op1_secret_scan": secrets,
     "op2_source_mix": mixing,
     "op3_chat_format": chat_format,
     "op4_pu_quality": quality,
+    "op5_multi_index_ann": hamming_ann,
     "op6_warc_derive": warc_derive,
     "op7_sentencepiece": pieces,
     "op8_vector_near_dup": vector_dup,
