@@ -6,7 +6,9 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_harness import compare, duckdb_con
 
-NAMES = sorted(E.queries())
+from tallyframe.plans.registry import ORACLES, QUERIES
+
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,14 +17,14 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    missing = [n for n in NAMES if n not in E.oracle_sql()]
+    missing = [n for n in NAMES if n not in ORACLES]
     assert missing == [] or all(n.startswith("stream") for n in missing), missing
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    sql = E.oracle_sql().get(name)
-    df = E.queries()[name](spark, SF_SMALL)
+    sql = ORACLES.get(name)
+    df = QUERIES[name](spark, SF_SMALL)
     if sql is None:
         assert df.count() >= 0
         return
