@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import mixing, near_dup, pieces, quality, secrets
-from tallyframe.llm.common import stored, table
+from tallyframe.llm.common import pack, stored, table, unpack
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score(pack(docs, "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return unpack(scored.where("predicted = 1"), docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by [SECRET]."""
-    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
-    return secrets.redact(found).select(*docs.columns)
+    found = secrets.scan(pack(docs, "text", "n_chars"), secrets.train(secrets.labelled_samples(docs)))
+    return unpack(secrets.redact(found), docs.columns, text=F.col("text"), n_chars=F.col("n_chars"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

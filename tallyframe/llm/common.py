@@ -28,6 +28,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pack(df: DataFrame, *needed) -> DataFrame:
+    """The needed columns, and all columns of ``df`` as the struct ``_in``, so
+    that no name of theirs can clash with one an operator adds."""
+    return df.select(*needed, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in"))
+
+
+def unpack(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The packed columns again, some of them changed."""
+    return df.select(*(changed.get(c, F.col("_in").getField(c)).alias(c) for c in columns))
+
+
 # ---------------------------------------------------------------- native SQL
 
 _BLOCK = 128

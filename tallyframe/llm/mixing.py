@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import global_prefix, stored, table
+from tallyframe.llm.common import global_prefix, pack, stored, table, unpack
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)       # by the source's rank, repeating
@@ -150,10 +150,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     keys = stored(mix(docs, **options).groupBy("key").agg(F.sum(copies).cast("int").alias("_copies"), F.count("*").alias("_rows"))
                   .where("_copies > 0").withColumnRenamed("key", "_key"), "mix-copies")
-    found = docs.withColumn("_key", document_key())
+    found = pack(docs, document_key().alias("_key"))
     once = found.join(keys.where("_rows = 1"), "_key")
     more = found.join(keys.where("_rows > 1"), "_key").dropDuplicates(["_key"])  # repeated rows share their copies
-    return once.unionByName(more).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return unpack(once.unionByName(more).select("_in", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,8 +156,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with score and predicted."""
-    keep = docs.columns
+    """``docs`` with score and predicted (columns of these names are replaced)."""
+    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in keep))
 
     def run(batches):
         for whole in batches:

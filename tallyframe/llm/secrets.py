@@ -17,7 +17,7 @@ model is one table of transition scores of fixed size, a literal in the scan.
 Defined cases: a null text counts as empty; empty texts have no spans;
 positions are code points, stop exclusive; ties in start are ordered by kind
 (assign, access, hex, markov); repeated rows are scanned each; other columns
-of the input are kept; an empty table gives an empty result.
+of the input are kept, those named like an output replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations

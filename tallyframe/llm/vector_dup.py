@@ -224,3 +224,20 @@ def vector_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TA
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# compares all pairs of vectors: for the small sizes only
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9
+), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON m.a = vec_id LEFT JOIN k ON k.a = vec_id
+"""

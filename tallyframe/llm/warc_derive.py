@@ -10,7 +10,8 @@ derived from content, so a rerun or a recomputed task makes the same records.
 
 Defined cases: a null payload counts as empty, a null URI or header block as
 absent (no WARC-Target-URI line, empty source headers); repeated rows give
-repeated records with the same ids; an empty table gives an empty result.
+repeated records with the same ids; other columns of the responses are kept,
+those named like an output replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ STRIP = [(r"(?s)<!--.*?-->", " "), (r"(?is)<script\b.*?</script\s*>", " "), (r"(
          (r"(?s)<[!/?a-zA-Z][^>]*>", ""), (r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
 
 
+OUT = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length",
+       "block_digest", "source_payload_digest", "source_block_digest", "source_headers", "block", "warc_headers"]
+
+
 def _numeric(text: Column) -> Column:
     """Decode &#N; and &#xH; (only evaluated for texts that hold one)."""
     pattern = r"&#([0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"
@@ -86,7 +91,8 @@ def derive(responses: DataFrame) -> DataFrame:
     warc_date, content_type, content_length, block_digest,
     source_payload_digest, source_block_digest, source_headers, block and
     warc_headers (the record's header block as written to a file)."""
-    keep = [c for c in responses.columns if c not in ("record_id", "target_uri", "warc_date", "http_headers", "payload")]
+    own = {"http_headers", "payload", "text", "conversion_id", "metadata_id", *(c for c in OUT if c != "page_id")}
+    keep = [c for c in responses.columns if c not in own]
     payload, headers = F.coalesce("payload", F.lit("")), F.coalesce("http_headers", F.lit(""))
     src = responses.select(
         *keep, F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
@@ -124,10 +130,6 @@ def write_records(records: DataFrame, path: str, compression: str = "gzip") -> N
         .write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
 
 
-OUT = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length",
-       "block_digest", "source_payload_digest", "source_block_digest", "source_headers", "block", "warc_headers"]
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversion and metadata records of every page."""
     return derive(responses_from_pages(table(spark, sf_dir, "pages"))).select(*OUT)
