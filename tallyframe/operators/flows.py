@@ -1,7 +1,8 @@
 """Income and spending flows.
 
-All of them are filter -> (conversion by equi-join to the rate calendar) ->
-``groupBy`` with map-side partial aggregation.  Year filters are rewritten as
+All of them are filter -> ``groupBy`` (keys, date, currency) with map-side
+partial aggregation -> conversion of the few rows left by equi-join to the
+rate calendar -> final sum.  Year filters are rewritten as
 date ranges so parquet statistics can prune row groups.
 """
 
@@ -54,7 +55,7 @@ def expense_postings(postings: DataFrame, prices: DataFrame, target: str = "USD"
     """date, year, account, payee, narration and the posting converted to
     ``target`` at the latest price (``convert(position, 'USD')``)."""
     p = postings.where(account_match(account_re, ignore_case=True))
-    conv = convert(p, prices, target, date=None)
+    conv = convert(p, prices, target, date=None, row_level=True)
     return conv.select(
         *[c for c in ("ledger_id",) if c in p.columns], "date", F.year("date").alias("year"), "account",
         "payee", "narration",
@@ -64,10 +65,13 @@ def expense_postings(postings: DataFrame, prices: DataFrame, target: str = "USD"
 
 def converted_cost_sum(postings: DataFrame, prices: DataFrame, target: str, *, group: Sequence[str],
                        keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
-    """``sum(convert(cost(position), target, date))``: each posting at cost,
-    converted at its own date; only the ``target`` part is summed (NULL when
-    nothing converts)."""
-    conv = convert(at_cost(postings), prices, target, date="date")
+    """``sum(convert(cost(position), target, date))``: postings at cost,
+    converted at their date; only the ``target`` part is summed (NULL when
+    nothing converts).  Postings of one date and currency share their rate, so
+    they are summed before the conversion."""
+    by = [*keys, *(c for c in group if c != "date"), "date", "currency"]
+    daily = at_cost(postings).groupBy(*by).agg(F.sum("number").alias("number"))
+    conv = convert(daily, prices, target, date="date", keys=keys)
     amount = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     return conv.groupBy(*keys, *group).agg(F.sum(amount).alias("amount"))
 
@@ -144,7 +148,8 @@ def daily_income_spending(postings: DataFrame, prices: DataFrame, year: int, tar
     is_inc = F.col("account").isin(list(income_accounts))
     is_exp = account_match(expense_re, ignore_case=True)
     p = postings.where(year_range(year) & (is_inc | is_exp)).withColumn("__inc", is_inc).withColumn("__exp", is_exp)
-    conv = convert(at_cost(p), prices, target, date="date")
+    daily = at_cost(p).groupBy(*keys, "date", "currency", "__inc", "__exp").agg(F.sum("number").alias("number"))
+    conv = convert(daily, prices, target, date="date", keys=keys)
     amt = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     day = conv.groupBy(*keys, "date").agg(
         F.abs(F.sum(F.when(F.col("__inc"), amt))).alias("income_amount"),
@@ -165,7 +170,8 @@ def conditional_cost_sums(postings: DataFrame, prices: DataFrame, target: str, s
     p = postings if where is None else postings.where(where)
     flags = {f"__c{i}": cond for i, cond in enumerate(sums.values())}
     p = p.select("*", *[c.alias(n) for n, c in flags.items()])
-    conv = convert(at_cost(p), prices, target, date="date")
+    daily = at_cost(p).groupBy(*keys, "date", "currency", *flags).agg(F.sum("number").alias("number"))
+    conv = convert(daily, prices, target, date="date", keys=keys)
     amt = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     return conv.groupBy(*keys).agg(*[F.sum(F.when(F.col(f), amt)).alias(name)
                                      for name, f in zip(sums, flags)])

@@ -14,24 +14,27 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.accounts import account_match
 from tallyframe.operators.asof import DailySpine, explode_intervals
+from tallyframe.operators.prices import price_keys
 
 
-def price_date_bounds(prices: DataFrame) -> DataFrame:
-    """First and last price date of the table (min/max, equal to the first
-    and last rows because entries are date-sorted)."""
-    return prices.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-
-
-def missing_prices(prices: DataFrame, start=None, end=None) -> DataFrame:
-    """(date, currency) for every day in [start, end] on which a currency of
-    the price table has no price.  ``start``/``end`` default to the first
-    and last price dates of the whole table."""
-    days = prices.select("currency", "date").distinct()
-    lo = F.lit(start).cast("date") if start is not None else prices.select(F.min("date")).scalar()
-    hi = F.lit(end).cast("date") if end is not None else prices.select(F.max("date")).scalar()
-    w = Window.partitionBy("currency").orderBy("date")
+def missing_prices(prices: DataFrame, start=None, end=None, *, keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
+    """([keys,] date, currency) for every day in [start, end] on which a
+    currency of the price table has no price.  ``start``/``end`` default to
+    the first and last price dates of the table, per ledger where the table
+    holds each ledger's own prices."""
+    own = price_keys(prices, keys)
+    days = prices.select(*own, "currency", "date").distinct()
+    if own:
+        bounds = days.groupBy(*own).agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"))
+        days = days.join(bounds, own)
+        lo, hi = F.col("__lo"), F.col("__hi")
+    else:
+        lo, hi = prices.select(F.min("date")).scalar(), prices.select(F.max("date")).scalar()
+    lo = F.lit(start).cast("date") if start is not None else lo
+    hi = F.lit(end).cast("date") if end is not None else hi
+    w = Window.partitionBy(*own, "currency").orderBy("date")
     steps = days.select(
-        "currency", "date",
+        *own, "currency", "date",
         F.lead("date").over(w).alias("next"),
         F.lag("date").over(w).isNull().alias("first"),
         lo.alias("lo"), hi.alias("hi"),          # bounds evaluated once, then columns
@@ -46,7 +49,7 @@ def missing_prices(prices: DataFrame, start=None, end=None) -> DataFrame:
     head = F.when(F.col("first") & (head_hi >= lo), F.sequence(lo, head_hi)).otherwise(
         F.array().cast("array<date>")
     )
-    return steps.select(F.explode(F.concat(head, between)).alias("date"), "currency")
+    return steps.select(*own, F.explode(F.concat(head, between)).alias("date"), "currency")
 
 
 def missing_prices_held(postings: DataFrame, prices: DataFrame, *, target: str = "USD",
@@ -54,7 +57,8 @@ def missing_prices_held(postings: DataFrame, prices: DataFrame, *, target: str =
     """Missing price days restricted to the days a commodity is held (units
     of the matching accounts != 0 at the end of the day), per key.  Running
     units give holding intervals; the held days are anti-joined with the
-    price days on (currency, date)."""
+    price days on ([keys,] currency, date).  Days are listed up to the last
+    price date of the whole table."""
     p = postings.where(account_match(account_re) & (F.col("currency") != target))
     d = p.groupBy(*keys, "currency", "date").agg(F.sum("number").alias("delta"))
     w = Window.partitionBy(*keys, "currency").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -63,5 +67,5 @@ def missing_prices_held(postings: DataFrame, prices: DataFrame, *, target: str =
     held = explode_intervals(
         steps, [*keys, "currency"], DailySpine(F.lit(None).cast("date"), hi), ["units"]
     ).where(F.col("units") != 0)
-    priced = prices.select("currency", "date").distinct()
-    return held.join(priced, ["currency", "date"], "left_anti").select(*keys, "date", "currency")
+    on = [*price_keys(prices, keys), "currency", "date"]
+    return held.join(prices.select(*on).distinct(), on, "left_anti").select(*keys, "date", "currency")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.accounts import account_match, account_sortkey, is_balance_sheet
-from tallyframe.operators.asof import latest_value
-from tallyframe.operators.prices import rate_table
+from tallyframe.operators.prices import broadcast_if_small, latest_rates, price_keys, rate_table
 
 # Currencies the missing-price notebook leaves out of its
 # holdings snapshot.
@@ -25,10 +24,12 @@ def holdings(postings: DataFrame, prices: DataFrame, *, keys: Sequence[str] = ("
     lots = p.groupBy(*keys, "account", "cost_date", "currency", "cost_currency", "cost_number").agg(
         F.sum("number").alias("units")
     )
-    last = latest_value(rate_table(prices), ["base", "quote"], ["rate"]).select(
-        F.col("base").alias("currency"), F.col("quote").alias("cost_currency"), F.col("rate").alias("price")
-    )
-    j = lots.join(last, ["currency", "cost_currency"], "left")
+    rates = latest_rates(rate_table(prices, keys=keys), keys)
+    own = price_keys(rates, keys)
+    last = broadcast_if_small(rates.select(
+        *own, F.col("base").alias("currency"), F.col("quote").alias("cost_currency"), F.col("rate").alias("price")
+    ))
+    j = lots.join(last, [*own, "currency", "cost_currency"], "left")
     has_cost = F.col("cost_number").isNotNull()
     priced = has_cost & F.col("price").isNotNull()
     return j.select(

@@ -148,7 +148,7 @@ def inventory_convert(inventory: DataFrame, prices: DataFrame, target: str, as_o
     if as_of is not None:
         inv = inv.withColumn("date", F.lit(as_of).cast("date"))
     conv = convert(inv, prices, target, date=None if as_of is None else "date",
-                   spine=None if as_of is None else [as_of])
+                   spine=None if as_of is None else [as_of], keys=keys)
     tracked = (F.col("cost_number").isNotNull() if "cost_number" in inventory.columns else F.lit(False))
     return (
         conv.groupBy(*keys, "account", F.col("conv_currency").alias("currency"),

@@ -26,10 +26,20 @@ def expense_by_year_account(postings: DataFrame, prices: DataFrame, target: str
                             account_re: str = "^Expenses", keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
     """``SUM(convert(position, target))`` by year and account, converted at the
     latest price; NULL when nothing in the group converts."""
-    p = postings.where(account_match(account_re, ignore_case=True))
-    conv = convert(p, prices, target, date=None)
+    p = postings.where(account_match(account_re, ignore_case=True)).withColumn("year", F.year("date"))
+    via = [c for c in ("cost_currency",) if c in p.columns]
+    units = p.groupBy(*keys, "year", "account", "currency", *via).agg(F.sum("number").alias("number"))
+    conv = convert(units, prices, target, date=None, keys=keys)
     amount = F.when(F.col("conv_currency") == target, F.col("conv_number"))
-    return conv.groupBy(*keys, F.year("date").alias("year"), "account").agg(F.sum(amount).alias("amount"))
+    return conv.groupBy(*keys, "year", "account").agg(F.sum(amount).alias("amount"))
+
+
+def expense_accounts(postings: DataFrame, *, account_re: str = "^Expenses",
+                     keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
+    """(keys, year, account) of the expense postings: all that the lists of
+    years, categories and leaves need, without any price."""
+    p = postings.where(account_match(account_re, ignore_case=True))
+    return p.select(*keys, F.year("date").alias("year"), "account").distinct()
 
 
 def available_years(summary: DataFrame, *, keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
@@ -75,7 +85,7 @@ def category_enabled(exclude: Sequence[str], invert: bool = False) -> Column:
 def expense_tree(summary: DataFrame, left_year: int | str | Column | None = None,
                  right_year: int | str | Column | None = None, *, exclude: Sequence[str] | None = None,
                  invert: bool = False, keys: Sequence[str] = ("ledger_id",),
-                 with_total: bool = True) -> DataFrame:
+                 with_total: bool = True, years: DataFrame | None = None) -> DataFrame:
     """Every expense node (each prefix path from ``Expenses:X`` down to the
     leaves) with its left-year and right-year totals, the delta, its parent,
     depth and sibling rank (delta, then name, both descending).  A ``TOTAL``
@@ -83,13 +93,15 @@ def expense_tree(summary: DataFrame, left_year: int | str | Column | None = None
 
     Years default to each ledger's default comparison pair.  ``exclude``
     defaults to Taxes and Interest; ``invert`` keeps only those categories.
+    ``years``: where the years come from (default ``summary``;
+    :func:`expense_accounts` saves its conversion).
     """
     s = summary.where(F.col("account").startswith("Expenses:"))
     if exclude is None:
         exclude = DEFAULT_EXCLUDED
     s = s.where(category_enabled(exclude, invert))
     if left_year is None or right_year is None:
-        d = available_years(summary, keys=keys).select(*keys, "default_left_year", "default_right_year").distinct()
+        d = available_years(summary if years is None else years, keys=keys).select(*keys, "default_left_year", "default_right_year").distinct()
         s = s.join(d, list(keys))
         ly, ry = F.col("default_left_year"), F.col("default_right_year")
     else:

@@ -24,23 +24,23 @@ from pyspark.sql import functions as F
 from tallyframe.functions.accounts import account_match, classify_account
 from tallyframe.operators.asof import explode_intervals
 from tallyframe.operators.balances import asof_balances
-from tallyframe.operators.prices import convert, dedup_prices
+from tallyframe.operators.prices import convert, dedup_prices, price_keys
 
 
-def direct_prices_at(prices: DataFrame, dates, target: str) -> DataFrame:
-    """(currency, date, price): latest direct price in ``target`` on or before
+def direct_prices_at(prices: DataFrame, dates, target: str, keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
+    """([keys,] currency, date, price): latest direct price in ``target`` on or before
     each spine date, for every currency priced in ``target``."""
     px = (
-        dedup_prices(prices)
+        dedup_prices(prices, keys)
         .where((F.col("quote") == target) & (F.col("currency") != target))
-        .select("currency", "date", F.col("amount").alias("price"))
+        .select(*price_keys(prices, keys), "currency", "date", F.col("amount").alias("price"))
     )
-    return explode_intervals(px, ["currency"], dates, ["price"])
+    return explode_intervals(px, [*price_keys(prices, keys), "currency"], dates, ["price"])
 
 
-def _priced_units(units: DataFrame, prices: DataFrame, dates, target: str) -> DataFrame:
-    px = direct_prices_at(prices, dates, target)
-    j = units.join(px, ["currency", "date"], "left")
+def _priced_units(units: DataFrame, prices: DataFrame, dates, target: str, keys: Sequence[str]) -> DataFrame:
+    px = direct_prices_at(prices, dates, target, keys)
+    j = units.join(px, [*price_keys(prices, keys), "currency", "date"], "left")
     price = F.when(F.col("currency") == target, F.lit(1).cast(j.schema["price"].dataType)).otherwise(
         F.col("price")
     )
@@ -65,7 +65,7 @@ def networth_series(
     """
     p = postings.where(account_match(account_re, ignore_case=ignore_case))
     units = asof_balances(p, dates, ["currency"], keys=keys)
-    v = _priced_units(units, prices, dates, target)
+    v = _priced_units(units, prices, dates, target, keys)
     value = F.when((F.col("units") != 0) & F.col("price").isNotNull(), F.col("units") * F.col("price"))
     return v.groupBy(*keys, "date").agg(
         F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("net_worth")
@@ -89,7 +89,7 @@ def networth_detail(
     generated (change points only, no spine x all-accounts grid)."""
     p = postings.where(account_match(account_re, ignore_case=ignore_case))
     units = asof_balances(p, dates, ["account", "currency"], keys=keys, from_first=True)
-    v = _priced_units(units, prices, dates, target)
+    v = _priced_units(units, prices, dates, target, keys)
     return v.where((F.col("units") != 0) & F.col("price").isNotNull()).select(
         *keys, "date", "account", "currency", "units", "price",
         (F.col("units") * F.col("price")).alias("value"),
@@ -114,7 +114,7 @@ def networth_converted(
     by = ["currency", "cost_currency"] if "cost_currency" in p.columns else ["currency"]
     units = asof_balances(p, dates, by, keys=keys)
     conv = convert(units.withColumnRenamed("units", "number"), prices, target, spine=dates,
-                   via="cost_currency" if "cost_currency" in by else None)
+                   via="cost_currency" if "cost_currency" in by else None, keys=keys)
     value = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     return conv.groupBy(*keys, "date").agg(
         F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("net_worth")
@@ -174,7 +174,7 @@ def networth_at(postings, prices, as_of, target="USD", account_re="Assets:", *,
     by = ["currency", "cost_currency"] if "cost_currency" in p.columns else ["currency"]
     inv = p.groupBy(*keys, *by).agg(F.sum("number").alias("number"))
     conv = convert(inv.withColumn("date", F.lit(as_of).cast("date")), prices, target, spine=[as_of],
-                   via="cost_currency" if "cost_currency" in by else None)
+                   via="cost_currency" if "cost_currency" in by else None, keys=keys)
     value = F.when(F.col("conv_currency") == target, F.col("conv_number"))
     return conv.groupBy(*keys).agg(
         F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("net_worth")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import accounts as acc
 from tallyframe.operators import actuarial as act, checks, flows, gaps, holdings as hold, inventory as inv, tree
 from tallyframe.operators.asof import month_end_spine
+from tallyframe.operators.prices import convert
 from tallyframe.plans import finance as fin, networth as nw
 from tallyframe.plans.oracle import with_prelude
 from tallyframe.plans.report import cents, money, ratio
@@ -343,14 +344,14 @@ SELECT y.ledger_id, CAST(y.year AS INTEGER) AS year, y.year = d.cur AS is_curren
   CAST(d.ly AS INTEGER) AS default_left_year, CAST(d.ry AS INTEGER) AS default_right_year
 FROM yrs y JOIN dflt d USING (ledger_id)""")
 def q_available_years(spark, sf_dir):
-    return tree.available_years(_summary(ledger(spark, sf_dir)))
+    return tree.available_years(tree.expense_accounts(ledger(spark, sf_dir).postings))
 
 
 @register("expense_categories", SQL_SUMMARY + """
 SELECT DISTINCT ledger_id, string_split(account, ':')[2] AS category FROM summary
 WHERE starts_with(account, 'Expenses:') AND len(string_split(account, ':')) > 1""")
 def q_expense_categories(spark, sf_dir):
-    return tree.expense_categories(_summary(ledger(spark, sf_dir)))
+    return tree.expense_categories(tree.expense_accounts(ledger(spark, sf_dir).postings))
 
 
 @register("expense_tree", SQL_SUMMARY + """,
@@ -370,7 +371,8 @@ UNION ALL
 SELECT ledger_id, '__total__', 'TOTAL', 0, NULL, CAST(ROUND(SUM(left_amount), 2) AS DOUBLE), CAST(ROUND(SUM(right_amount), 2) AS DOUBLE),
   CAST(ROUND(SUM(delta), 2) AS DOUBLE), 0 FROM nd WHERE depth = 1 GROUP BY ledger_id""")
 def q_expense_tree(spark, sf_dir):
-    t = tree.expense_tree(_summary(ledger(spark, sf_dir)))
+    L = ledger(spark, sf_dir)
+    t = tree.expense_tree(_summary(L), years=tree.expense_accounts(L.postings))
     return t.select("ledger_id", "path", "name", "depth", "parent", money("left_amount"), money("right_amount"),
                     money("delta"), "sibling_rank")
 
@@ -384,7 +386,7 @@ WHERE p.account = '{LEAF}' AND year(p.date) IN (1999, 2000)""")
 def q_drill_down(spark, sf_dir):
     L = ledger(spark, sf_dir)
     tx = flows.expense_postings(L.postings, L.prices, TARGET)
-    leaves = tree.leaf_accounts(_summary(L))
+    leaves = tree.leaf_accounts(tree.expense_accounts(L.postings))
     return tree.drill_down(tx, leaves, LEAF, (1999, 2000)).select(
         "ledger_id", "date", "payee", "narration", money("amount"))
 
@@ -531,6 +533,62 @@ def q_holdings_snapshot(spark, sf_dir):
     return s.select("ledger_id", "currency", "date", money("units"))
 
 
+# ------------------------------------------------------------ conversions off the direct USD path
+# Rounding in words: an inverse rate is 1 / amount to 18 decimals, half up; a
+# hop rate is the exact product of its two rates; a converted amount is
+# rounded half up to 6 decimals.  The oracles count in integers (HUGEINT),
+# because DuckDB divides decimals as doubles.
+def sql_times(units: str, *rates: tuple[str, int]) -> str:
+    """units (2 decimals) x rates (expression, decimals) in millionths, half up."""
+    scale = 2 + sum(d for _, d in rates)
+    x = f"CAST({units} * 100 AS HUGEINT)" + "".join(f" * {r}" for r, _ in rates)
+    return (f"CASE WHEN {units} < 0 THEN -1 ELSE 1 END * ((abs({x}) + CAST('{5 * 10 ** (scale - 7)}' AS HUGEINT))"
+            f" // CAST('{10 ** (scale - 6)}' AS HUGEINT))")
+
+
+SQL_EUR = sql_units_at(SQL_MONTH_ENDS, SQL_ASSETS_LIAB, "currency") + f""",
+{SQL_USD_PX},
+eur AS (SELECT date, (CAST('10000000000000000000000' AS HUGEINT) + CAST(amount * 10000 AS HUGEINT) // 2)
+          // CAST(amount * 10000 AS HUGEINT) AS inv FROM px WHERE currency = 'EUR'),
+j AS (SELECT u.*, px.amount FROM u ASOF LEFT JOIN px ON px.currency = u.currency AND px.date <= u.date),
+e AS (SELECT j.*, eur.inv FROM j ASOF LEFT JOIN eur ON eur.date <= j.date),
+n AS (SELECT ledger_id, date, CASE WHEN currency = 'EUR' THEN CAST(units * 1000000 AS HUGEINT)
+        WHEN currency = 'USD' THEN {sql_times("units", ("inv", 18))}
+        ELSE {sql_times("units", ("CAST(amount * 10000 AS HUGEINT)", 4), ("inv", 18))} END AS v FROM e)
+SELECT ledger_id, date, CAST(ROUND(CAST(SUM(COALESCE(v, 0)) AS DECIMAL(38,0)) / 1000000, 2) AS DOUBLE) AS net_worth
+FROM n GROUP BY ledger_id, date"""
+
+
+@register("networth_eur", SQL_EUR)
+def q_networth_eur(spark, sf_dir):
+    """Target EUR: USD by the inverse of EUR/USD, commodities through their
+    cost currency (CM to USD to EUR)."""
+    L = ledger(spark, sf_dir)
+    out = nw.networth_converted(L.postings, L.prices, month_end_spine(START, END), "EUR")
+    return out.select("ledger_id", "date", cents("net_worth"))
+
+
+@register("convert_hop_small_rate", f"""
+, {SQL_LAST_PX},
+u AS (SELECT ledger_id, currency, SUM(number) AS units FROM postings WHERE starts_with(currency, 'CM') GROUP BY ALL)
+SELECT u.ledger_id, u.currency, 'USD' AS conv_currency,
+  CAST(CAST({sql_times("units", ("CAST(amount * 10000 AS HUGEINT)", 9), ("6", 5))} AS DECIMAL(38,0)) / 1000000 AS DOUBLE) AS conv_number
+FROM u JOIN lpx USING (currency)""")
+def q_convert_hop_small_rate(spark, sf_dir):
+    """Commodities priced in a currency worth 0.00006 USD, a hundred
+    thousandth of their price: both rates of the hop are small."""
+    L = ledger(spark, sf_dir)
+    in_small = L.prices.where((F.col("quote") == "USD") & F.col("currency").startswith("CM")).select(
+        "date", "currency", (F.col("amount") * F.lit("0.00001").cast("decimal(6,5)")).cast("decimal(18,9)").alias("amount"),
+        F.lit("IDR").alias("quote"))
+    small = L.prices.agg(F.min("date").alias("date")).select(
+        "date", F.lit("IDR").alias("currency"), F.lit("0.00006").cast("decimal(18,9)").alias("amount"), F.lit("USD").alias("quote"))
+    units = L.postings.where(F.col("currency").startswith("CM")).groupBy("ledger_id", "currency").agg(
+        F.sum("number").alias("number")).withColumn("cost_currency", F.lit("IDR"))
+    out = convert(units, in_small.unionByName(small), TARGET, date=None, inverse=False)
+    return out.select("ledger_id", "currency", "conv_currency", F.col("conv_number").cast("double").alias("conv_number"))
+
+
 # ------------------------------------------------------------ price gaps
 @register("missing_prices", """
 , b AS (SELECT min(date) AS lo, max(date) AS hi FROM prices),
@@ -954,7 +1012,7 @@ def q_drill_down_display(spark, sf_dir):
 def q_drill_down_raw(spark, sf_dir):
     L = ledger(spark, sf_dir)
     tx = flows.expense_postings(L.postings, L.prices, TARGET)
-    leaves = tree.leaf_accounts(_summary(L))
+    leaves = tree.leaf_accounts(tree.expense_accounts(L.postings))
     return tree.drill_down(tx, leaves, LEAF, (1999, 2000))
 
 

@@ -4,6 +4,7 @@
 import datetime as dt
 import math
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -258,3 +259,52 @@ def test_convert_keeps_sub_cent_precision(spark):
     assert out.schema["conv_number"].dataType == T.DecimalType(38, 6)
     got = {r.id: r.conv_number for r in out.collect()}
     assert got == {1: Decimal("12.357345"), 2: Decimal("3.5")}
+
+
+def test_prices_belong_to_their_ledger(spark):
+    """Two ledgers price X differently; a shared list is an explicit choice."""
+    from tallyframe.operators.prices import shared_prices
+    from tallyframe.plans.networth import networth_converted, networth_series
+
+    posts = spark.createDataFrame([("a", "Assets:B", "X", "1"), ("b", "Assets:B", "X", "1"), ("a", "Assets:B", "USD", "-1"),
+                                   ("b", "Assets:B", "USD", "-1")], "ledger_id string, account string, currency string, number string")
+    posts = posts.selectExpr("*", "date'2020-01-01' AS date").withColumn("number", F.col("number").cast("decimal(24,8)"))
+    px = spark.createDataFrame([("a", "X", "10"), ("b", "X", "99")], "ledger_id string, currency string, amount string").selectExpr(
+        "ledger_id", "date'2019-01-01' AS date", "currency", "cast(amount AS decimal(24,8)) AS amount", "'USD' AS quote", "1 AS line_no")
+    day = [dt.date(2020, 6, 1)]
+    for f in (networth_series, networth_converted):
+        assert {r[0]: float(r[2]) for r in f(posts, px, day).collect()} == {"a": 9, "b": 98}
+    one = shared_prices(px.where("ledger_id = 'b'"))
+    assert {r[0]: float(r[2]) for r in networth_series(posts, one, day).collect()} == {"a": 98, "b": 98}
+
+
+def test_hop_of_small_and_large_rates(spark):
+    from tallyframe.operators.prices import convert
+
+    px = spark.createDataFrame([("FUND", "0.0123", "IDR"), ("IDR", "0.00006", "USD"), ("BIG", "20000000", "IDR")],
+                               "currency string, amount string, quote string").selectExpr(
+        "date'2020-01-01' AS date", "currency", "cast(amount AS decimal(24,8)) AS amount", "quote")
+    pos = spark.createDataFrame([("FUND", "1000000000"), ("BIG", "3")], "currency string, number string").selectExpr(
+        "currency", "cast(number AS decimal(24,8)) AS number", "'IDR' AS cost_currency")
+    got = {r["currency"]: float(r["conv_number"]) for r in convert(pos, px, "USD", date=None).collect()}
+    assert got == {"FUND": 738.0, "BIG": 3600.0}
+
+
+def test_no_posting_is_shuffled_by_currency(spark):
+    """Without static broadcasts (as with large tables) every exchange below a
+    rate join is of aggregated rows."""
+    from conftest import SF_SMALL
+    from tallyframe.plans.registry import QUERIES
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("total_spend", "income_by_day", "spending_by_day", "projected_spend", "expense_by_year_account",
+                     "expense_tree", "expense_postings", "holdings"):
+            plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString().split("\n")
+            for at, line in enumerate(plan):
+                if "Exchange hashpartitioning(currency" in line or "Exchange hashpartitioning(date" in line:
+                    below = next(x for x in plan[at + 1:] if not re.search(r"Project|Filter|InputAdapter|WholeStage", x))
+                    assert re.search("Aggregate|Generate|Window", below) or "FileScan" not in below, (name, line, below)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
