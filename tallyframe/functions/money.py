@@ -26,6 +26,19 @@ def cost_currency(currency="currency", cost_currency="cost_currency") -> Column:
     return F.coalesce(_c(cost_currency), _c(currency))
 
 
+def weight_number() -> Column:
+    """What a posting counts toward its transaction's balance: units at cost,
+    else at price, else the units."""
+    n, price = F.col("number"), F.col("price_number")
+    return F.when(F.col("cost_number").isNotNull(), n * F.col("cost_number")) \
+        .when(price.isNotNull() & F.col("price_is_total"), F.signum(n) * price) \
+        .when(price.isNotNull(), n * price).otherwise(n)
+
+
+def weight_currency() -> Column:
+    return F.coalesce("cost_currency", "price_currency", "currency")
+
+
 def coerce_amount(x) -> Column:
     """NULL -> 0.0 as a double."""
     return F.coalesce(_c(x).cast("double"), F.lit(0.0))
@@ -53,11 +66,6 @@ def least_of(*cols) -> Column:
     return F.least(*[_c(c) for c in cols])
 
 
-def tilt_factor(net_worth, target, tilt) -> Column:
-    """(net worth / target) ** tilt, NULL when target is zero."""
-    return F.pow(F.try_divide(_c(net_worth).cast("double"), _c(target).cast("double")), _c(tilt))
-
-
 def _annuity_fact(rate: Column, nper: Column, when: Column) -> Column:
     q = F.pow(F.lit(1.0) + rate, nper)
     return F.when(rate == 0, nper).otherwise((F.lit(1.0) + rate * when) * (q - 1) / rate)
@@ -96,7 +104,3 @@ def format_amount(x, show_sign: bool = False) -> Column:
     if not show_sign:
         return F.when(rounded < 0, F.concat(F.lit("-"), body)).otherwise(body)
     return F.concat(F.when(rounded >= 0, F.lit("+")).otherwise(F.lit("-")), body)
-
-
-def to_decimal2(x) -> Column:
-    return _c(x).cast("decimal(18,2)")

@@ -1019,7 +1019,7 @@ def q_drill_down_raw(spark, sf_dir):
 
 # ------------------------------------------------------------ S1 text ingest
 _RENDERED: dict[tuple[str, str], str] = {}
-TEXT_BLOCKS_PER_FILE = 50_000
+_PARSED: dict[str, object] = {}
 
 
 def _text_ledger(spark, sf_dir):
@@ -1030,7 +1030,7 @@ def _text_ledger(spark, sf_dir):
 
     from tallyframe.session import path_exists
     from tallyframe.sources.ledger_text import load_ledger
-    from tallyframe.sources.star import star_ledger_directives, star_ledger_text
+    from tallyframe.sources.star import star_bad_lines, star_ledger_directives, star_ledger_opens, star_ledger_text
 
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     src = _RENDERED.get(key)
@@ -1038,13 +1038,13 @@ def _text_ledger(spark, sf_dir):
         src, _, _ = _stream_dirs(spark, "ledger_text")
         L = ledger(spark, sf_dir)
         blocks = star_ledger_text(L.postings).unionByName(
-            star_ledger_directives(L.postings, L.prices, star_balances(L.postings)))
-        # cap blocks per file so one file (one parse row) stays far below the
-        # 2 GB row limit even when one ledger holds a third of the data
-        blocks.write.partitionBy("ledger_id").option("maxRecordsPerFile", TEXT_BLOCKS_PER_FILE) \
-            .mode("overwrite").text(src)
+            star_ledger_directives(L.postings, L.prices, star_balances(L.postings))).unionByName(
+            star_ledger_opens(L.postings)).unionByName(star_bad_lines(L.postings))
+        blocks.write.partitionBy("ledger_id").mode("overwrite").text(src)
         _RENDERED[key] = src
-    t = load_ledger(spark, src)
+    if src not in _PARSED:  # the lines are scanned and written once a session
+        _PARSED[src] = load_ledger(spark, src)
+    t = _PARSED[src]
     lid = F.regexp_extract(F.col("ledger_id"), r"ledger_id=(-?\d+)", 1).cast("int").alias("ledger_id")
     return t, lid
 
@@ -1069,12 +1069,22 @@ def q_scan_prices(spark, sf_dir):
     return t.prices.select(lid, "date", "currency", F.col("amount").cast("double").alias("amount"), "quote")
 
 
-@register("directive_census", """
-SELECT ledger_id, 'transaction' AS directive, TRUE AS known, COUNT(*) AS count FROM
+SQL_BAD = "bad AS (SELECT DISTINCT ledger_id, txn_id FROM postings WHERE txn_id % 97 = 0)"
+SQL_OPENS = """opens AS (SELECT ledger_id, account, CASE WHEN starts_with(account, 'Liabilities:') THEN ['USD'] ELSE ccys END AS ccys FROM
+  (SELECT ledger_id, account, list(DISTINCT currency) AS ccys FROM postings WHERE account <> 'Income:MACHINERY' GROUP BY ledger_id, account))"""
+
+
+@register("directive_census", f"""
+, {SQL_BAD}, {SQL_OPENS},
+c AS (SELECT ledger_id, 'transaction' AS directive, TRUE AS known, COUNT(*) AS n FROM
   (SELECT DISTINCT ledger_id, txn_id, line_no, date, payee, narration FROM postings) GROUP BY ledger_id
 UNION ALL SELECT ledger_id, 'commodity', TRUE, COUNT(DISTINCT currency) FROM postings GROUP BY ledger_id
+UNION ALL SELECT ledger_id, 'open', TRUE, COUNT(*) FROM opens GROUP BY ledger_id
 UNION ALL SELECT ledger_id, 'balance', TRUE, COUNT(*) FROM balances GROUP BY ledger_id
-UNION ALL SELECT -1, 'price', TRUE, COUNT(*) FROM prices""")
+UNION ALL SELECT -1, 'price', TRUE, COUNT(*) FROM prices
+UNION ALL SELECT ledger_id, CASE txn_id % 6 WHEN 2 THEN 'pad' WHEN 3 THEN 'price' WHEN 4 THEN 'balance' ELSE 'frobnicate' END,
+  txn_id % 6 <> 5, 1 FROM bad WHERE txn_id % 6 >= 2)
+SELECT ledger_id, directive, known, CAST(SUM(n) AS BIGINT) AS count FROM c GROUP BY ALL""")
 def q_directive_census(spark, sf_dir):
     from tallyframe.sources.ledger_text import directive_census
 
@@ -1084,6 +1094,45 @@ def q_directive_census(spark, sf_dir):
         F.sum("count").alias("count"))
 
 
+@register("ingest_rejects", f"""
+, {SQL_BAD}
+SELECT ledger_id, CASE txn_id % 6 WHEN 0 THEN 'bad_date' WHEN 1 THEN 'unparsed_line' WHEN 2 THEN 'not_applied' WHEN 3 THEN 'unparsed_price'
+    WHEN 4 THEN 'unparsed_balance' ELSE 'unknown_directive' END AS kind,
+  CASE txn_id % 6 WHEN 0 THEN '2000-02-30 * "bad ' || txn_id || '"' WHEN 1 THEN 'not a directive ' || txn_id
+    WHEN 2 THEN '2000-01-01 pad Assets:Cash' || txn_id || ' Equity:Opening' WHEN 3 THEN '2000-01-01 price GLD 100/' || txn_id || ' USD'
+    WHEN 4 THEN '2000-01-01 balance Assets:Cash ten' || txn_id || ' USD' ELSE '2000-01-01 frobnicate ' || txn_id END AS message
+FROM bad""")
+def q_ingest_rejects(spark, sf_dir):
+    """Every line that is not understood or not applied, one row each."""
+    t, lid = _text_ledger(spark, sf_dir)
+    return t.errors.select(lid, "kind", "message")
+
+
+@register("operating_currencies", """
+SELECT DISTINCT ledger_id, CASE WHEN ledger_id % 2 = 0 THEN 'USD,EUR' ELSE 'USD' END AS operating_currency,
+  'USD' AS default_currency FROM postings""")
+def q_operating_currencies(spark, sf_dir):
+    """The option lines of each ledger."""
+    from tallyframe.sources.ledger_text import operating_currencies
+
+    t, lid = _text_ledger(spark, sf_dir)
+    oc = operating_currencies(t.options.withColumn("ledger_id", lid))
+    return oc.withColumn("operating_currency", F.array_join("operating_currency", ","))
+
+
+SQL_DASH_POSTINGS = "SELECT ledger_id, date, account, CAST(number AS DOUBLE) AS number, currency FROM postings WHERE contains(account, ':Banks:')"
+
+
+@register("dash_postings", SQL_DASH_POSTINGS)
+def q_dash_postings(spark, sf_dir):
+    """The postings of the accounts opened with include_in_dash."""
+    from tallyframe.sources.ledger_text import dash_accounts, dash_postings
+
+    t, lid = _text_ledger(spark, sf_dir)
+    p = dash_postings(t.postings.withColumn("ledger_id", lid), dash_accounts(t).withColumn("ledger_id", lid))
+    return p.select("ledger_id", "date", "account", F.col("number").cast("double").alias("number"), "currency")
+
+
 @register("commodity_set", "SELECT DISTINCT ledger_id, currency FROM postings")
 def q_commodity_set(spark, sf_dir):
     from tallyframe.sources.ledger_text import commodity_set
@@ -1092,21 +1141,31 @@ def q_commodity_set(spark, sf_dir):
     return commodity_set(t).select(lid, "currency").distinct()
 
 
-@register("ledger_errors_text", """
-, dd AS (SELECT ledger_id, account, currency, date, SUM(number) AS delta FROM postings GROUP BY ALL),
+@register("ledger_errors_text", f"""
+, {SQL_OPENS},
+dd AS (SELECT ledger_id, account, currency, date, SUM(number) AS delta FROM postings GROUP BY ALL),
 anc AS (SELECT ledger_id, array_to_string(list_slice(string_split(account, ':'), 1, n), ':') AS path, currency, date, delta
         FROM dd, generate_series(1, len(string_split(account, ':'))) g(n)),
 act AS (SELECT b.ledger_id, b.date, b.account, b.currency, b.number AS expected, COALESCE(SUM(a.delta), 0) AS actual
         FROM balances b LEFT JOIN anc a ON a.ledger_id = b.ledger_id AND a.path = b.account AND a.currency = b.currency AND a.date < b.date
         GROUP BY ALL)
 SELECT ledger_id, 'balance' AS kind, date, account, currency, CAST(expected AS DOUBLE) AS expected,
-  CAST(actual AS DOUBLE) AS actual, CAST(actual - expected AS DOUBLE) AS diff FROM act WHERE abs(actual - expected) > 0.005""")
+  CAST(actual AS DOUBLE) AS actual, CAST(actual - expected AS DOUBLE) AS diff FROM act WHERE abs(actual - expected) > 0.005
+UNION ALL
+SELECT ledger_id, 'unbalanced', min(date), NULL, ccy, 0, CAST(SUM(w) AS DOUBLE), CAST(SUM(w) AS DOUBLE) FROM
+  (SELECT *, CASE WHEN cost_number IS NOT NULL THEN number * cost_number ELSE number END AS w, COALESCE(cost_currency, currency) AS ccy FROM postings)
+GROUP BY ledger_id, txn_id, line_no, date, payee, narration, ccy HAVING abs(SUM(w)) > 0.005
+UNION ALL
+SELECT p.ledger_id, CASE WHEN o.account IS NULL THEN 'unopened_account' ELSE 'currency_not_allowed' END, p.date, p.account, p.currency,
+  NULL, CAST(p.number AS DOUBLE), NULL
+FROM postings p LEFT JOIN opens o USING (ledger_id, account) WHERE o.account IS NULL OR NOT list_contains(o.ccys, p.currency)""")
 def q_ledger_errors_text(spark, sf_dir):
-    """S3 on ingested text: balance assertions checked against the parsed
-    postings; transactions are grouped by their header line."""
+    """S3 on ingested text: balance assertions, open directives and
+    transaction balances checked against the parsed postings; a transaction
+    is its header line's (file, line)."""
     t, lid = _text_ledger(spark, sf_dir)
     p = t.postings.withColumn("ledger_id", lid)
     b = t.balances.withColumn("ledger_id", lid)
-    e = checks.ledger_errors(p, b)
+    e = checks.ledger_errors(p, b, t.opens.withColumn("ledger_id", lid))
     return e.select("ledger_id", "kind", "date", "account", "currency",
                     *[F.col(c).cast("double").alias(c) for c in ("expected", "actual", "diff")])

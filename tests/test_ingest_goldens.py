@@ -186,3 +186,87 @@ def test_currency_not_allowed_and_failed_balance(spark):
     t = load_ledger_text(spark, {"l": text})
     kinds = sorted((r.kind, r.account or "") for r in checks.ledger_errors(t.postings, t.balances, t.opens).collect())
     assert kinds == [("balance", "Assets:Cash"), ("currency_not_allowed", "Assets:Cash")]
+
+
+PROBES = """option "title" "probes"
+2020-01-01 open Assets:A
+2020/01/02 * "Slash" "date"
+  Assets:A   1 USD
+  Income:B  -1 USD
+2020-02-30 * "No" "such day"
+  Assets:A   1 USD
+2020-01-03 * "Double" "cost"
+  Assets:A   4 GLD {{100 USD}}
+  Assets:C  -100 USD
+2020-01-03 * "Date only" "cost"
+  Assets:A   4 GLD {2020-01-01}
+  Assets:C  -100 USD
+2020-01-03 * "Label only" "cost"
+  Assets:A   4 GLD {"lot1"}
+  Assets:C  -100 USD
+2020-01-03 * "Expression" "amount"
+  Assets:A   (100/4) USD
+  Assets:C   -20 USD
+2020-01-03 * "Too" "precise"
+  Assets:A   0.0000000049 BTC
+  Assets:C  -1 USD
+2020-01-03 * "Two" "residuals"
+  Assets:A   1 USD
+  Assets:A   1 EUR
+  Assets:C
+2020-01-04 * "At" "price"
+  Assets:A   100 EUR @ 1.10 USD
+  Assets:C  -110 USD
+2020-01-05 * "Pay #5 bill" ; see "z" #tag
+  Assets:A   1 USD
+  Assets:C  -1 USD
+2020-01-06 balance Assets:C  -20 ~ 500 USD
+2020-01-06 price GLD 100/3 USD
+2020-01-07 pad Assets:A Equity:B
+2020-01-07 close Assets:A
+include "other.ledger"
+what is this
+  stray: indented
+; a comment
+"""
+
+
+def test_no_line_stops_or_vanishes(spark):
+    t = load_ledger_text(spark, {"l": PROBES})
+    errors = sorted((r.line_no, r.kind) for r in t.errors.collect())
+    assert errors == [(6, "bad_date"), (12, "unparsed_cost"), (15, "unparsed_cost"), (18, "unparsed_amount"), (21, "unparsed_amount"),
+                      (26, "unresolved_amount"), (34, "unparsed_price"), (35, "not_applied"), (36, "not_applied"), (37, "not_applied"),
+                      (38, "unparsed_line")]
+    rows = {(r.narration or r.payee, r.account, r.currency): r for r in t.postings.collect()}
+    assert rows[("date", "Assets:A", "USD")].date == D(2020, 1, 2)
+    assert rows[("cost", "Assets:A", "GLD")] and any(r.cost_number == Decimal(25) for r in t.postings.collect())
+    assert rows[("amount", "Assets:A", None)].number is None and rows[("amount", "Assets:C", "USD")].number == -20
+    assert t.transactions.where("payee IS NULL").first().narration == "Pay #5 bill"
+    assert t.transactions.where("narration = 'Pay #5 bill'").first().tags == []
+    assert not {100, 110} & {abs(r.diff) for r in checks.unbalanced_transactions(t.postings).where("date = '2020-01-04'").collect()}
+    assert checks.balance_failures(t.postings, t.balances).count() == 0  # within its own tolerance
+    assert t.prices.count() == 0
+
+
+def test_files_and_splits(spark, tmp_path):
+    """Two files of one ledger keep their transactions apart; a file read in
+    many splits gives the same tables as one read whole."""
+    bad = '2020-01-01 * "x" "y"\n  Assets:A   1 USD\n  Assets:B  -{} USD\n'
+    (tmp_path / "l").mkdir()
+    for k in (0, 2):
+        (tmp_path / "l" / f"{k}.ledger").write_text(bad.format(k))
+    t = load_ledger(spark, str(tmp_path / "l"))
+    assert sorted(float(r.diff) for r in checks.unbalanced_transactions(t.postings.withColumn("ledger_id", F.lit(1))).collect()) == [-1, 1]
+    big = "".join(f'2020-01-{1 + k % 28:02d} * "p{k}" "n{k}"\n  ; note\n  Assets:A   {k}.5 USD\n\n  Assets:B\n' for k in range(400))
+    (tmp_path / "big.ledger").write_text("odd line\n" + big)
+    whole = load_ledger_text(spark, {"l": "odd line\n" + big})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        parts = load_ledger(spark, str(tmp_path / "big.ledger"))
+        for table in ("postings", "transactions", "errors", "directives"):
+            a, b = (sorted(map(str, getattr(x, table).drop("ledger_id", "file").collect())) for x in (whole, parts))
+            assert a == b, table
+        assert parts.postings.count() == 800 and parts.errors.count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
