@@ -50,10 +50,6 @@ def account_component(i: int, account: str | Column = "account") -> Column:
     return F.get(account_parts(account), i)
 
 
-def account_depth(account: str | Column = "account") -> Column:
-    return F.size(account_parts(account))
-
-
 def account_type_rank(account: str | Column = "account") -> Column:
     """0 Assets, 1 Liabilities, 2 Equity, 3 Income, 4 Expenses, 5 otherwise."""
     first = account_component(0, account)
@@ -87,11 +83,6 @@ def classify_account(
     return expr
 
 
-def category_order(rules: Sequence[tuple[str, str]] | None = None) -> dict[str, int]:
-    rules = DEFAULT_ACCOUNT_CATEGORIES if rules is None else rules
-    return {name: i for i, (name, _) in enumerate(rules)}
-
-
 def ancestor_paths(account: str | Column = "account", min_depth: int = 2) -> Column:
     """ARRAY of every prefix path of the account from ``min_depth`` components
     down to the account itself: ``A:B:C`` -> ``[A:B, A:B:C]`` for depth 2."""

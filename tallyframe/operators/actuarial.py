@@ -42,6 +42,15 @@ def synthetic_improvement(spark: SparkSession) -> DataFrame:
                        F.lit(SYNTHETIC_IMPROVEMENT).alias("qx"))
 
 
+def read_life_table(spark: SparkSession, path: str) -> DataFrame:
+    """(table_id, row_idx, age, qx) as text from a CSV file; header lines, of
+    any number, are those that do not parse as a row."""
+    parts = F.split("value", ",")
+    rows = spark.read.text(path).where(F.size(parts) == 4).select(
+        *(F.trim(F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(("table_id", "row_idx", "age", "qx"))))
+    return rows.where(F.col("qx").try_cast("double").isNotNull())
+
+
 def load_life_table(raw: DataFrame, skip_rows: int = 0) -> DataFrame:
     """(table_id, row_idx, age, qx) from a CSV/parquet read: drop header rows,
     cast types."""
@@ -111,6 +120,18 @@ def survival_probs(table: DataFrame, start_age: int) -> DataFrame:
     )
 
 
+def survival_curves(table: DataFrame, start_ages: DataFrame) -> DataFrame:
+    """:func:`survival_probs` of one table for each of ``start_ages``
+    (start_age; at most one per age of the table)."""
+    w = Window.partitionBy("start_age").orderBy("row_idx")
+    t = start_ages.select(
+        "start_age", F.explode(F.sequence(F.col("start_age"), F.lit(MAX_AGE).cast("long"))).alias("age")).join(
+        F.broadcast(table), "age")  # a life table has 150 rows
+    return t.select(
+        "start_age", "age", (F.row_number().over(w) - 1).alias("t"),
+        F.coalesce(F.product("px").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)).alias("surv_prob"))
+
+
 def joint_life_percentile(households: DataFrame, table_1: DataFrame, table_2: DataFrame,
                           percentile: float = 0.9, *, keys: Sequence[str] = ("household_id",),
                           age_1: str = "age_1", age_2: str = "age_2") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import accounts as acc
@@ -50,11 +50,18 @@ _INGESTED: dict[tuple[str, str], str] = {}
 def ledger(spark, sf_dir):
     """The ledger tables of ``sf_dir``: ingested once per session into the
     shared checkpoint folder, then read as parquet by every query."""
+    from tallyframe.sources.star import read_star_ledger
+
+    return read_star_ledger(spark, ledger_path(spark, sf_dir))
+
+
+def ledger_path(spark, sf_dir) -> str:
+    """Folder of the ingested tables of ``sf_dir``."""
     import hashlib
     import os
 
     from tallyframe.session import path_exists, scratch_path
-    from tallyframe.sources.star import materialize_star_ledger, read_star_ledger
+    from tallyframe.sources.star import materialize_star_ledger
 
     app = spark.sparkContext.applicationId
     key = (app, os.path.abspath(sf_dir))
@@ -64,7 +71,7 @@ def ledger(spark, sf_dir):
         path = scratch_path(spark, f"ledger-{digest}")
         materialize_star_ledger(spark, sf_dir, path)
         _INGESTED[key] = path
-    return read_star_ledger(spark, path)
+    return path
 
 
 # --------------------------------------------------------------- N1
@@ -799,15 +806,14 @@ def q_conservative_life_expectancy(spark, sf_dir):
                                                       ratio("conservative_years"))
 
 
-def _household_le(spark) -> float:
-    """Conservative life expectancy of the dashboard household.  Like the
-    reference, the dashboard takes it as a number: one bounded value computed
-    by a Spark job over the life tables and read back as a parameter."""
+def _household_le(spark):
+    """Conservative life expectancy of the dashboard household, a scalar
+    subquery over the life tables."""
     lt = _life(spark)
     one = spark.range(1).select(F.lit(1).alias("household_id"), F.lit(HOUSEHOLD_AGES[0]).alias("age_1"),
                                 F.lit(HOUSEHOLD_AGES[1]).alias("age_2"))
     j = act.joint_life_percentile(one, lt.where("table_id = 'male'"), lt.where("table_id = 'female'"), 0.9)
-    return float(act.conservative_life_expectancy(j).select(F.col("conservative_years").cast("double")).first()[0])
+    return act.conservative_life_expectancy(j).select(F.col("conservative_years").cast("double")).scalar()
 
 
 SQL_DASH_LE = SQL_LIFE + sql_joint(f"SELECT CAST({HOUSEHOLD_AGES[0]} AS BIGINT) AS age_1, CAST({HOUSEHOLD_AGES[1]} AS BIGINT) AS age_2") + f""",
@@ -916,7 +922,7 @@ def _stream_dirs(spark, name):
     from tallyframe.session import scratch_path
 
     base = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-    return f"{base}/source", f"{base}/out", f"{base}/checkpoint"
+    return f"{base}/out", f"{base}/checkpoint"
 
 
 @register("incremental_balances", f"""
@@ -924,12 +930,14 @@ SELECT ledger_id, account, currency, CAST(cost_number AS DOUBLE) AS cost_number,
   CAST(ROUND(number, 2) AS DOUBLE) AS number
 FROM ({SQL_INV_AT.format(acct=SQL_ROOT2, where=SQL_ASSETS_LIAB)})""")
 def q_incremental_balances(spark, sf_dir):
-    from tallyframe.streaming.balances import balances_stream, latest_state, run_to_table, write_stream_source
-
-    src, out, ckpt = _stream_dirs(spark, "incremental_balances")
-    postings = ledger(spark, sf_dir).postings
-    write_stream_source(postings, src)
-    stream = spark.readStream.schema(postings.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    """The ingested folder itself is the stream's source, a quarter of its
+    files per batch."""
+    from tallyframe.streaming.balances import balances_stream, latest_state, run_to_table
+
+    out, ckpt = _stream_dirs(spark, "incremental_balances")
+    src = f"{ledger_path(spark, sf_dir)}/postings"
+    each = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", each).parquet(src)
     run_to_table(balances_stream(stream, root_n=2, account_re="Assets|Liabilities"), out, ckpt)
     key = ["ledger_id", "account", "currency", "cost_number", "cost_currency", "cost_date"]
     return _inv_out(latest_state(spark, out, key).where(F.col("number") != 0))
@@ -940,18 +948,17 @@ SELECT user_id AS ledger_id, event_type AS account, CAST(date_trunc('month', ts)
   CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS amount
 FROM events GROUP BY ALL""")
 def q_streaming_period_expenses(spark, sf_dir):
-    from tallyframe.sources.star import read_table
-    from tallyframe.streaming.balances import latest_state, period_expenses_stream, run_to_table, write_stream_source
-
-    src, out, ckpt = _stream_dirs(spark, "period_expenses")
-    events = read_table(spark, sf_dir, "events").select(
-        "ts", "user_id", "event_type", F.col("value").cast("decimal(18,6)").alias("value"))
-    write_stream_source(events, src)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    # Files arrive in no particular time order here, so no watermark: every
-    # row counts (a watermark would release closed months but drop late rows).
-    agg = period_expenses_stream(stream, "month", ts="ts", ledger="user_id", account="event_type",
-                                 value="value", watermark=None)
+    """The events table itself is the stream's source.  What is there when
+    a run starts is one batch, so the watermark (which releases closed months)
+    only drops rows that come more than 31 days behind an earlier run."""
+    from tallyframe.streaming.balances import latest_state, period_expenses_stream, run_to_table
+
+    out, ckpt = _stream_dirs(spark, "period_expenses")
+    src = f"{sf_dir}/events.parquet"
+    # (a pattern, because the table may be one file, and a stream's path must else be a folder)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(f"{src}*").select(
+        F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.col("value").cast("decimal(18,6)").alias("value"))
+    agg = period_expenses_stream(stream, "month", ts="ts", ledger="user_id", account="event_type", value="value")
     run_to_table(agg, out, ckpt)
     res = latest_state(spark, out, ["ledger_id", "account", "period"])
     return res.select("ledger_id", "account", F.to_date("period").alias("period"),
@@ -1027,15 +1034,16 @@ def _text_ledger(spark, sf_dir):
     ledger, several files each) once per session, and parse them back with
     the text ingest.  Returns (parsed tables, ledger id column)."""
     import os
+    import uuid
 
-    from tallyframe.session import path_exists
+    from tallyframe.session import path_exists, scratch_path
     from tallyframe.sources.ledger_text import load_ledger
     from tallyframe.sources.star import star_bad_lines, star_ledger_directives, star_ledger_opens, star_ledger_text
 
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     src = _RENDERED.get(key)
     if src is None or not path_exists(spark, f"{src}/_SUCCESS"):
-        src, _, _ = _stream_dirs(spark, "ledger_text")
+        src = scratch_path(spark, f"ledger-text-{uuid.uuid4().hex[:12]}")
         L = ledger(spark, sf_dir)
         blocks = star_ledger_text(L.postings).unionByName(
             star_ledger_directives(L.postings, L.prices, star_balances(L.postings))).unionByName(
@@ -1169,3 +1177,140 @@ def q_ledger_errors_text(spark, sf_dir):
     e = checks.ledger_errors(p, b, t.opens.withColumn("ledger_id", lid))
     return e.select("ledger_id", "kind", "date", "account", "currency",
                     *[F.col(c).cast("double").alias(c) for c in ("expected", "actual", "diff")])
+
+
+# ------------------------------------------------------------ ordered outputs
+def ranked_accounts(df: DataFrame, order, name: str = "account_rank") -> DataFrame:
+    """``df`` with its account's position among its ledger's accounts: ranked
+    over the distinct accounts, not over the rows."""
+    w = Window.partitionBy("ledger_id").orderBy(order)
+    return df.join(df.select("ledger_id", "account").distinct().withColumn(name, F.row_number().over(w)), ["ledger_id", "account"])
+
+
+@register("holdings_order", f"""
+, h AS (SELECT ledger_id, account, currency, cost_date, cost_number, SUM(number) AS units,
+   CASE WHEN starts_with(account, 'Assets') THEN '0-' ELSE '1-' END || account AS sortkey
+ FROM postings WHERE {SQL_ASSETS_LIAB} GROUP BY ALL)
+SELECT ledger_id, account, currency, cost_date AS acquisition_date, CAST(cost_number AS DOUBLE) AS cost, CAST(ROUND(units, 2) AS DOUBLE) AS units,
+  sortkey, CAST(dense_rank() OVER (PARTITION BY ledger_id ORDER BY sortkey) AS INTEGER) AS account_rank,
+  CAST(rank() OVER (PARTITION BY ledger_id, account ORDER BY currency, cost_date NULLS FIRST) AS INTEGER) AS lot_rank
+FROM h""")
+def q_holdings_order(spark, sf_dir):
+    """O1: holdings by account sort key, then currency and acquisition date."""
+    L = ledger(spark, sf_dir)
+    h = ranked_accounts(hold.holdings(L.postings, L.prices), acc.account_sortkey("account"))
+    lot = Window.partitionBy("ledger_id", "account").orderBy("currency", F.col("acquisition_date").asc_nulls_first())
+    return h.select("ledger_id", "account", "currency", "acquisition_date", F.col("cost").cast("double").alias("cost"),
+                    money("units"), "sortkey", "account_rank", F.rank().over(lot).alias("lot_rank"))
+
+
+@register("trend_order", SQL_CURVES + _flows_sql() + """
+SELECT cv.ledger_id, cv.date, CAST(row_number() OVER (PARTITION BY cv.ledger_id ORDER BY cv.date) AS INTEGER) AS day_rank,
+  CAST(ROUND(least(target_portfolio_tilt, target_spending_tilt) - spending, 2) AS DOUBLE) AS tilt_trend
+FROM cv JOIN inc USING (ledger_id, date) JOIN spd USING (ledger_id, date)""")
+def q_trend_order(spark, sf_dir):
+    """O3: the trend in date order (one row per day and ledger)."""
+    w = Window.partitionBy("ledger_id").orderBy("date")
+    return q_delta_trend(spark, sf_dir).select("ledger_id", "date", F.row_number().over(w).alias("day_rank"), "tilt_trend")
+
+
+@register("accounts_sorted", f"""
+, a AS (SELECT DISTINCT ledger_id, account FROM postings WHERE {SQL_ASSETS_LIAB})
+SELECT ledger_id, account, CAST(row_number() OVER (PARTITION BY ledger_id ORDER BY account) AS INTEGER) AS account_rank FROM a""")
+def q_accounts_sorted(spark, sf_dir):
+    """The accounts of an inventory in name order."""
+    p = ledger(spark, sf_dir).postings.where(acc.account_match("Assets|Liabilities"))
+    return ranked_accounts(p.select("ledger_id", "account").distinct(), F.col("account"))
+
+
+@register("missing_order", """
+, b AS (SELECT min(date) AS lo, max(date) AS hi FROM prices),
+cs AS (SELECT DISTINCT currency FROM prices),
+g AS (SELECT CAST(d AS DATE) AS date, currency FROM b, cs, generate_series(b.lo, b.hi, INTERVAL 1 DAY) t(d)),
+m AS (SELECT date, currency FROM g ANTI JOIN (SELECT DISTINCT currency, date FROM prices) p USING (currency, date))
+SELECT date, currency, CAST(dense_rank() OVER (ORDER BY date) AS INTEGER) AS day_rank,
+  CAST(row_number() OVER (PARTITION BY date ORDER BY currency) AS INTEGER) AS currency_rank FROM m""")
+def q_missing_order(spark, sf_dir):
+    """Missing price days by date, then currency; days are ranked over the
+    calendar's days per year, so no task holds more than one year's."""
+    m = gaps.missing_prices(ledger(spark, sf_dir).prices)
+    days = m.select("date").distinct().withColumn("y", F.year("date"))
+    years = days.groupBy("y").agg(F.count("*").alias("n"))
+    before = years.select(
+        "y", F.coalesce(F.sum("n").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = days.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("date"))).join(before, "y").select(
+        "date", (F.col("k") + F.col("before")).cast("int").alias("day_rank"))
+    return m.join(ranked, "date").withColumn("currency_rank", F.row_number().over(Window.partitionBy("date").orderBy("currency")))
+
+
+# ------------------------------------------------------------ S9, S13, W10, X13, A8 Year, F6 invert
+LIFE_HEADER = 3
+
+
+@register("life_table_file", SQL_LIFE + """
+SELECT h.household_id, h.age_1, ROUND(r.qx, 9) AS qx FROM households h JOIN lt_raw r ON r.table_id = 'male' AND r.age = h.age_1""")
+def q_life_table_file(spark, sf_dir):
+    """A life table read from a CSV file with header lines, looked up for
+    every household."""
+    from tallyframe.session import scratch_path
+
+    path = scratch_path(spark, "life-table")
+    t = act.synthetic_life_tables(spark)
+    head = spark.range(LIFE_HEADER).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("# header "), F.col("id").cast("string")).alias("value"))
+    body = t.select((F.col("row_idx") + LIFE_HEADER).alias("k"), F.concat_ws(",", "table_id", "row_idx", "age", "qx").alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)  # 250 lines
+    read = act.load_life_table(act.read_life_table(spark, path))
+    male = F.broadcast(read.where("table_id = 'male'").select(F.col("age").alias("age_1"), "qx"))
+    return star_households(spark, sf_dir).join(male, "age_1").select("household_id", "age_1", F.round("qx", 9).alias("qx"))
+
+
+@register("survival_probs", SQL_LIFE + """,
+s AS (SELECT a.age AS start_age, p.age, COALESCE(product(px) OVER (PARTITION BY a.age ORDER BY p.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS sp,
+   row_number() OVER (PARTITION BY a.age ORDER BY p.pos) - 1 AS t
+ FROM (SELECT DISTINCT CAST(age_1 AS BIGINT) AS age FROM households) a JOIN pos p ON p.table_id = 'male' AND p.age >= a.age)
+SELECT h.household_id, h.age_1, CAST(t AS INTEGER) AS t, ROUND(sp, 6) AS surv_prob FROM households h JOIN s ON s.start_age = h.age_1 AND t IN (1, 10, 25)""")
+def q_survival_probs(spark, sf_dir):
+    """Survival 1, 10 and 25 years ahead for every household's first age."""
+    hh = star_households(spark, sf_dir)
+    curves = act.survival_curves(_life(spark).where("table_id = 'male'"), hh.select(F.col("age_1").cast("long").alias("start_age")).distinct())
+    at = curves.where(F.col("t").isin(1, 10, 25)).select(F.col("start_age").alias("age_1"), "t", "surv_prob")
+    return hh.join(at, "age_1").select("household_id", "age_1", "t", ratio("surv_prob"))
+
+
+@register("rate_schedule", """
+SELECT DISTINCT date, CASE WHEN date >= make_date(year(date), 2, 23) THEN CAST(0.031 AS DOUBLE) ELSE CAST(0.032 AS DOUBLE) END AS rate FROM postings""")
+def q_rate_schedule(spark, sf_dir):
+    """S13 on both sides of Feb 23: the rate of every posting date."""
+    return ledger(spark, sf_dir).postings.select("date").distinct().select("date", fin.rate_schedule("date").cast("double").alias("rate"))
+
+
+@register("round_thousand", f"""
+SELECT ledger_id, CAST(round_even(SUM(number), -3) AS BIGINT) AS thousands FROM postings WHERE {SQL_ASSETS_LIAB} AND currency = 'USD' GROUP BY ledger_id""")
+def q_round_thousand(spark, sf_dir):
+    """USD assets and liabilities to the nearest thousand."""
+    from tallyframe.functions.money import round_thousand
+
+    p = ledger(spark, sf_dir).postings.where(acc.account_match("Assets|Liabilities") & (F.col("currency") == "USD"))
+    return p.groupBy("ledger_id").agg(F.sum("number").alias("n")).select("ledger_id", round_thousand("n").alias("thousands"))
+
+
+@register("expenses_by_period_year", _sql_period("year"))
+def q_expenses_by_year(spark, sf_dir):
+    e = flows.expenses_by_period(ledger(spark, sf_dir).postings, "Year", TARGET, years=(1995, 2001))
+    return e.select("ledger_id", "date", money("amount"))
+
+
+@register("expense_tree_invert", SQL_SUMMARY + """,
+s AS (SELECT s.*, d.ly, d.ry FROM summary s JOIN dflt d USING (ledger_id)
+      WHERE starts_with(account, 'Expenses:') AND string_split(account, ':')[2] = 'LARGE'),
+e AS (SELECT ledger_id, array_to_string(list_slice(string_split(account, ':'), 1, n), ':') AS path,
+        CASE WHEN year = ly THEN COALESCE(amount, 0) END AS l, CASE WHEN year = ry THEN COALESCE(amount, 0) END AS r
+      FROM s, generate_series(2, len(string_split(account, ':'))) g(n))
+SELECT ledger_id, path, CAST(ROUND(COALESCE(SUM(l), 0), 2) AS DOUBLE) AS left_amount, CAST(ROUND(COALESCE(SUM(r), 0), 2) AS DOUBLE) AS right_amount
+FROM e GROUP BY ALL""")
+def q_expense_tree_invert(spark, sf_dir):
+    """F6 inverted: only the chosen categories."""
+    L = ledger(spark, sf_dir)
+    years = tree.expense_accounts(L.postings)
+    t = tree.expense_tree(_summary(L), exclude=["LARGE"], invert=True, years=years, with_total=False)
+    return t.select("ledger_id", "path", money("left_amount"), money("right_amount"))

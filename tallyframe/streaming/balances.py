@@ -12,7 +12,9 @@ T2 ``period_expenses``: the expenses-by-period report over a stream, keyed by
 a calendar bucket (``date_trunc``; ``window()`` cannot express months), with
 a watermark so the state of closed periods is released.
 
-Both sinks use ``foreachBatch`` to append each batch's changed rows, tagged
+State is one entry per key (account, currency and lot; or account and
+period), on a large cluster best kept in the RocksDB state store
+(``spark.sql.streaming.stateStore.providerClass``).  Both sinks use ``foreachBatch`` to append each batch's changed rows, tagged
 with the batch id, to a parquet table; :func:`latest_state` reads that table
 back as the current result (the last version of each key).  Nothing is
 collected to the driver.
@@ -20,10 +22,9 @@ collected to the driver.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.accounts import account_match, account_root
@@ -71,15 +72,6 @@ def run_to_table(agg: DataFrame, out_path: str, checkpoint: str) -> None:
 def latest_state(spark: SparkSession, out_path: str, key: Sequence[str]) -> DataFrame:
     """Current value of every key: its row from the latest batch."""
     t = spark.read.parquet(out_path)
-    w = Window.partitionBy(*key).orderBy(F.col("batch_id").desc())
-    return t.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "batch_id")
-
-
-def write_stream_source(df: DataFrame, path: str, n_files: int = 8) -> None:
-    """Write a table as a file-stream source of ``n_files`` files, so a
-    stream reading it with ``maxFilesPerTrigger`` sees several batches."""
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
-
-
-def stream_dir(base: str, name: str) -> str:
-    return os.path.join(base, name)
+    rest = [c for c in t.columns if c not in (*key, "batch_id")]
+    last = t.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("__v"))
+    return last.select(*key, *(F.col(f"__v.{c}").alias(c) for c in rest))
