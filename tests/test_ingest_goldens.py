@@ -270,3 +270,33 @@ def test_files_and_splits(spark, tmp_path):
         assert parts.postings.count() == 800 and parts.errors.count() == 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_sample_ledger(spark):
+    """Every directive of the small ledger beside this file, and its values."""
+    from tallyframe.sources.ledger_text import commodity_set, dash_accounts, dash_postings
+
+    t = load_ledger(spark, os.path.join(os.path.dirname(__file__), "sample.ledger"))
+    census = {(r.directive, r.known): r["count"] for r in directive_census(t).collect()}
+    assert census == {("open", True): 5, ("commodity", True): 1, ("transaction", True): 3, ("price", True): 2, ("balance", True): 1,
+                      ("event", True): 1, ("custom", True): 1, ("close", True): 1, ("note", True): 1, ("document", True): 1,
+                      ("pad", True): 1, ("query", True): 1}
+    assert sorted(r.message.split()[1] for r in t.errors.where("kind = 'not_applied'").collect()) == ["close", "document", "note", "pad", "query"]
+    assert t.errors.count() == 5
+    assert {(r.flag, r.payee, r.narration, *r.tags) for r in t.transactions.collect()} == {
+        ("*", "Employer", "Pay", "salary"), ("*", "Broker", "Buy"), ("!", "Cafe", "Lunch")}
+    elided = {r.account: r.number for r in t.postings.where("account IN ('Income:Work', 'Liabilities:Card')").collect()}
+    assert elided == {"Income:Work": Decimal(-1000), "Liabilities:Card": Decimal("-30.5")}
+    days = [D(2020, 1, 1), D(2020, 1, 4), D(2020, 1, 6)]
+    got = {r.date: r.net_worth for r in nw.networth_series(t.postings, t.prices, days, "USD").collect()}
+    assert got == {days[0]: 0, days[1]: 1000, days[2]: Decimal("989.5")}
+    lot = holdings.holdings(t.postings, t.prices).where("currency = 'GLD'").first()
+    assert (lot.units, lot.cost, lot.price, lot.book_value, lot.market_value, lot.acquisition_date) == (2, 100, 110, 200, 220, D(2020, 1, 3))
+    assert [(r.date, r.currency) for r in gaps.missing_prices(t.prices).orderBy("date").collect()] == [
+        (D(2020, 1, 4), "GLD"), (D(2020, 1, 5), "GLD")]
+    assert checks.ledger_errors(t.postings, t.balances, t.opens).count() == 0
+    assert [r.currency for r in commodity_set(t).collect()] == ["GLD"] and t.commodities.first().meta == {"name": "Gold"}
+    assert [r.currency for r in dash_postings(t.postings, dash_accounts(t)).collect()] == ["GLD"]
+    assert operating_currencies(t.options).first().default_currency == "USD"
+    assert [r.amount for r in tree.expense_by_year_account(t.postings, t.prices, "USD").collect()] == [Decimal("30.5")]
+    assert t.events.first().value == "Paris" and t.customs.first().type == "budget"
