@@ -20,7 +20,7 @@ from tallyframe.operators.prices import convert
 from tallyframe.plans import finance as fin, networth as nw
 from tallyframe.plans.oracle import with_prelude
 from tallyframe.plans.report import cents, money, ratio
-from tallyframe.sources.star import load_star_ledger, star_balances, star_households
+from tallyframe.sources.star import star_balances, star_households
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -121,16 +121,24 @@ def star_postings(base: DataFrame) -> DataFrame:
     )
 
 
-def star_prices(base: DataFrame) -> DataFrame:
-    """Commodity prices on ship dates (with real gaps) and one EUR rate a month."""
+def star_prices(spark: SparkSession, sf_dir: str, postings: DataFrame) -> DataFrame:
+    """Commodity prices on ship dates (with real gaps) and one EUR rate a
+    month, on the first posting date of the month.  Reads two columns of
+    lineitem and of part, and the dates of the (written) postings - not the
+    star join again."""
+    key = F.col("l_partkey")
+    items = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate").where((key % 4 == 0) | (key % 4 == 1))
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     cm = (
-        base.where((F.col("partkey") % 4 == 0) | (F.col("partkey") % 4 == 1))
-        .groupBy(F.col("ship_date").alias("date"), F.col("cmdty").alias("currency"))
-        .agg(F.max("unit_cost").cast(M4).alias("amount"))
+        items.groupBy("l_partkey", "l_shipdate").agg(F.lit(1).alias("one"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("l_shipdate").cast("date").alias("date"),
+                 F.concat(F.lit("CM"), (key % 6).cast("string")).alias("currency"))
+        .agg(F.max(F.col("p_retailprice").cast(M2)).cast(M4).alias("amount"))
         .withColumn("quote", F.lit("USD"))
     )
     eur = (
-        base.groupBy(F.year("date").alias("y"), F.month("date").alias("m"))
+        postings.groupBy(F.year("date").alias("y"), F.month("date").alias("m"))
         .agg(F.min("date").alias("date"))
         .select(
             "date",
@@ -171,16 +179,10 @@ def star_households(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass
 class StarLedger:
-    base: DataFrame
     postings: DataFrame
     prices: DataFrame
 
 
-def load_star_ledger(spark: SparkSession, sf_dir: str) -> StarLedger:
-    base = star_base(spark, sf_dir)
-    return StarLedger(base=base, postings=star_postings(base), prices=star_prices(base))
-
-
 def materialize_star_ledger(spark: SparkSession, sf_dir: str, path: str, *, files: int | None = None,
                             max_rows_per_file: int = 5_000_000) -> StarLedger:
     """Ingest once: write the ledger views as parquet tables under ``path``
@@ -198,16 +200,16 @@ def materialize_star_ledger(spark: SparkSession, sf_dir: str, path: str, *, file
     (overwrite).
     """
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    led = load_star_ledger(spark, sf_dir)
-    (led.postings.repartition(files).sortWithinPartitions("date")
+    (star_postings(star_base(spark, sf_dir)).repartition(files).sortWithinPartitions("date")
      .write.option("maxRecordsPerFile", max_rows_per_file).mode("overwrite").parquet(f"{path}/postings"))
-    (led.prices.repartition(max(1, files // 4)).sortWithinPartitions("currency", "date")
+    postings = spark.read.parquet(f"{path}/postings")
+    (star_prices(spark, sf_dir, postings).repartition(max(1, files // 4)).sortWithinPartitions("currency", "date")
      .write.option("maxRecordsPerFile", max_rows_per_file).mode("overwrite").parquet(f"{path}/prices"))
-    return read_star_ledger(spark, path, led.base)
+    return read_star_ledger(spark, path)
 
 
-def read_star_ledger(spark: SparkSession, path: str, base: DataFrame | None = None) -> StarLedger:
-    return StarLedger(base=base, postings=spark.read.parquet(f"{path}/postings"),
+def read_star_ledger(spark: SparkSession, path: str) -> StarLedger:
+    return StarLedger(postings=spark.read.parquet(f"{path}/postings"),
                       prices=spark.read.parquet(f"{path}/prices"))
 
 
