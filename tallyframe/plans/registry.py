@@ -591,7 +591,7 @@ def q_convert_hop_small_rate(spark, sf_dir):
     small = L.prices.agg(F.min("date").alias("date")).select(
         "date", F.lit("IDR").alias("currency"), F.lit("0.00006").cast("decimal(18,9)").alias("amount"), F.lit("USD").alias("quote"))
     units = L.postings.where(F.col("currency").startswith("CM")).groupBy("ledger_id", "currency").agg(
-        F.sum("number").alias("number")).withColumn("cost_currency", F.lit("IDR"))
+        F.sum("number").alias("number")).withColumn("cost_currency", F.regexp_replace("currency", "^CM.*", "IDR"))
     out = convert(units, in_small.unionByName(small), TARGET, date=None, inverse=False)
     return out.select("ledger_id", "currency", "conv_currency", F.col("conv_number").cast("double").alias("conv_number"))
 
@@ -810,8 +810,9 @@ def _household_le(spark):
     """Conservative life expectancy of the dashboard household, a scalar
     subquery over the life tables."""
     lt = _life(spark)
-    one = spark.range(1).select(F.lit(1).alias("household_id"), F.lit(HOUSEHOLD_AGES[0]).alias("age_1"),
-                                F.lit(HOUSEHOLD_AGES[1]).alias("age_2"))
+    # (sums with the row's id, because a join on literals would be a nested loop)
+    one = spark.range(1).select(F.col("id").alias("household_id"), (F.col("id") + HOUSEHOLD_AGES[0]).alias("age_1"),
+                                (F.col("id") + HOUSEHOLD_AGES[1]).alias("age_2"))
     j = act.joint_life_percentile(one, lt.where("table_id = 'male'"), lt.where("table_id = 'female'"), 0.9)
     return act.conservative_life_expectancy(j).select(F.col("conservative_years").cast("double")).scalar()
 
@@ -1228,19 +1229,15 @@ def q_accounts_sorted(spark, sf_dir):
 cs AS (SELECT DISTINCT currency FROM prices),
 g AS (SELECT CAST(d AS DATE) AS date, currency FROM b, cs, generate_series(b.lo, b.hi, INTERVAL 1 DAY) t(d)),
 m AS (SELECT date, currency FROM g ANTI JOIN (SELECT DISTINCT currency, date FROM prices) p USING (currency, date))
-SELECT date, currency, CAST(dense_rank() OVER (ORDER BY date) AS INTEGER) AS day_rank,
+SELECT date, currency, CAST(dense_rank() OVER (PARTITION BY year(date) ORDER BY date) AS INTEGER) AS day_rank,
   CAST(row_number() OVER (PARTITION BY date ORDER BY currency) AS INTEGER) AS currency_rank FROM m""")
 def q_missing_order(spark, sf_dir):
-    """Missing price days by date, then currency; days are ranked over the
-    calendar's days per year, so no task holds more than one year's."""
+    """Missing price days by date, then currency; days are numbered within
+    their year."""
     m = gaps.missing_prices(ledger(spark, sf_dir).prices)
-    days = m.select("date").distinct().withColumn("y", F.year("date"))
-    years = days.groupBy("y").agg(F.count("*").alias("n"))
-    before = years.select(
-        "y", F.coalesce(F.sum("n").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = days.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("date"))).join(before, "y").select(
-        "date", (F.col("k") + F.col("before")).cast("int").alias("day_rank"))
-    return m.join(ranked, "date").withColumn("currency_rank", F.row_number().over(Window.partitionBy("date").orderBy("currency")))
+    day = Window.partitionBy(F.year("date")).orderBy("date")
+    days = m.select("date").distinct().withColumn("day_rank", F.row_number().over(day))
+    return m.join(days, "date").withColumn("currency_rank", F.row_number().over(Window.partitionBy("date").orderBy("currency")))
 
 
 # ------------------------------------------------------------ S9, S13, W10, X13, A8 Year, F6 invert
