@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)       # by the source's rank, repeating
 MAX_EPOCHS = 3
 BLOCK_TOKENS = 1024
-CHUNK = 65536             # rows or slots ranked in one task
+CHUNK = 8192              # rows or slots ranked in one task
 PERIOD = 1 << 31
 GOLDEN = 1327217885       # odd, nearest to PERIOD / phi: t * GOLDEN mod PERIOD visits every point once
 
