@@ -10,6 +10,8 @@ to keep them.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.accounts import account_match, account_root
 from tallyframe.operators.prices import convert
+from tallyframe.session import scratch_path
 
 LOT = ["cost_number", "cost_currency", "cost_date"]
 
@@ -166,8 +169,11 @@ class BalanceCursor:
     """Forward-only ``sum_till_date`` over one set of postings (the batch twin
     of the streaming balances).
 
-    Each call returns :func:`sum_by_root` as of the date; asking for an
-    earlier date than the previous call raises ``ValueError``.  For many dates at once prefer
+    The running inventory is a written table (one row per account root,
+    currency and lot, zeros included) in the shared checkpoint folder; a call
+    reads it and the postings after the last date only, up to the new one,
+    and writes their sum.  Asking for an earlier date than the previous call
+    raises ``ValueError``.  For many dates at once prefer
     :func:`tallyframe.operators.balances.asof_balances`, which answers a whole
     spine in one pass instead of one job per date.
     """
@@ -175,14 +181,20 @@ class BalanceCursor:
     def __init__(self, postings: DataFrame, account_re: str, root_n: int = 100, *,
                  keys: Sequence[str] = ("ledger_id",)):
         self.postings, self.account_re, self.root_n, self.keys = postings, account_re, root_n, tuple(keys)
-        self.last_date = None
+        self.last_date, self.state = None, None
 
     def sum_till_date(self, date) -> DataFrame:
-        import datetime as dt
-
         d = date if isinstance(date, dt.date) else dt.date.fromisoformat(str(date))
         if self.last_date is not None and d < self.last_date:
             raise ValueError(f"sum_till_date({d}) after sum_till_date({self.last_date}): "
                              "a cursor only moves forward in time")
-        self.last_date = d
-        return sum_by_root(self.postings, d, self.account_re, self.root_n, keys=self.keys)
+        new = self.postings if self.last_date is None else self.postings.where(F.col("date") > F.lit(self.last_date))
+        total = inventory_sum(new, keys=self.keys, as_of=d, account_re=self.account_re, root_n=self.root_n, keep_zero=True)
+        if self.state is not None:
+            both = self.state.unionByName(total)
+            total = both.groupBy(*[c for c in both.columns if c != "number"]).agg(F.sum("number").alias("number"))
+        spark, schema = self.postings.sparkSession, total.schema
+        path = scratch_path(spark, f"cursor-{uuid.uuid4().hex}")
+        total.write.parquet(path)
+        self.state, self.last_date = spark.read.schema(schema).parquet(path), d
+        return self.state.where(F.col("number") != 0)
