@@ -10,8 +10,8 @@ A code is split into substrings of WIDTH bits, each indexed by value.  Two
 codes within Hamming radius r have, by the pigeonhole principle, a substring
 that differs in at most r / (number of substrings) bits; probing all values
 that close in every substring's index retrieves every code within r, and
-those are reranked by the inner product of the original vectors in double
-precision.  The radius grows until it covers, with CONFIDENT standard
+those are reranked by the inner product of the original vectors, in single
+precision first, in double precision for all that come near the best k.  The radius grows until it covers, with CONFIDENT standard
 deviations to spare, the Hamming distance that vectors as near as the k-th
 best found would have; if fewer than k vectors are found, it grows to the
 whole code, so a query always gets k answers if there are k candidates.
@@ -42,7 +42,7 @@ from tallyframe.llm.vector_dup import matrix, usable
 
 SAMPLE, ROTATIONS, WIDTH = 20_000, 2, 16
 SHARD, QUERIES = 16_384, 4_096
-CONFIDENT = 2.0
+CONFIDENT = 1.645     # standard deviations: 95 % of the vectors as near as the k-th best
 _ONES = np.array([bin(v).count("1") for v in range(1 << WIDTH)], np.uint8)
 
 
@@ -78,54 +78,68 @@ def encode(y: np.ndarray, model: dict) -> np.ndarray:
 
 
 class Index:
-    """The substring indexes of one shard."""
+    """The substring indexes of one shard: for each substring its values with
+    the rows that have them, and the value of each row."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, vectors: np.ndarray):
+        self.codes, self.vectors = codes, vectors.astype(np.float32)
+        self.words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 4)))).view(np.uint64)
         self.tables = []
         for k in range(codes.shape[1]):
             order = np.argsort(codes[:, k], kind="stable")
-            values, first = np.unique(codes[order, k], return_index=True)
-            self.tables.append((order, values, first, np.append(first[1:], len(order))))
+            values, first, inverse = np.unique(codes[:, k], return_index=True, return_inverse=True)
+            counts = np.bincount(inverse, minlength=len(values))
+            last = np.cumsum(counts)
+            self.tables.append((order, values, last - counts, counts, inverse.reshape(-1)))
 
     def within(self, code: np.ndarray, radius: int, seen: np.ndarray) -> np.ndarray:
         """Rows whose code is within ``radius`` and that are not ``seen``."""
         errors = radius // len(self.tables)
         hit = np.zeros(len(self.codes), bool)
-        for k, (order, values, first, last) in enumerate(self.tables):
-            # of the values to probe, those that occur
-            near = np.flatnonzero(_ONES[values ^ code[k]] <= errors)
-            many = last[near] - first[near]
-            at = np.repeat(first[near] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            hit[order[at]] = True
+        for k, (order, values, first, counts, value_of) in enumerate(self.tables):
+            near = _ONES[values ^ code[k]] <= errors  # of the values to probe, those that occur
+            some = np.flatnonzero(near)
+            if len(some) * 8 > len(values):  # most rows are in them: go by row
+                hit |= near[value_of]
+            else:
+                many = counts[some]
+                hit[order[np.repeat(first[some] - np.cumsum(many) + many, many) + np.arange(many.sum())]] = True
         rows = np.flatnonzero(hit & ~seen)
-        return rows[_ONES[self.codes[rows] ^ code].sum(axis=1, dtype=np.int64) <= radius]
+        word = np.pad(code, (0, -len(code) % 4)).view(np.uint64)
+        return rows[np.bitwise_count(self.words[rows] ^ word).sum(axis=1, dtype=np.int64) <= radius]
 
 
 def search(x: np.ndarray, ids: np.ndarray, index: Index, q: np.ndarray, q_id: int, code: np.ndarray, bits: int,
-           largest: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and scores of the best k found for one query."""
+           largest: float, k: int, radius: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row numbers and scores of the best k found for one query, and the radius
+    that was needed.  ``radius``: where to begin; beginning too high costs
+    time, never a neighbour."""
     seen = ids == q_id
-    rows, scores = np.zeros(0, np.int64), np.zeros(0)
-    steps, norm, radius = len(index.tables), np.sqrt((q * q).sum()), 0
+    rows, rough = np.zeros(0, np.int64), np.zeros(0, np.float32)
+    steps, norm = len(index.tables), np.sqrt((q * q).sum())
+    x32, q32 = index.vectors, q.astype(np.float32)
     while True:
         radius = min(radius, bits)
         new = index.within(code, radius, seen)
         seen[new] = True
         rows = np.concatenate([rows, new])
-        scores = np.concatenate([scores, (x[new].astype(np.float64) * q).sum(axis=1)])
+        rough = np.concatenate([rough, x32[new] @ q32])
         if radius >= bits:
+            needed = bits
             break
         needed = bits
-        if len(scores) >= k:
-            worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+        if len(rough) >= k:
+            worst = np.partition(rough, len(rough) - k)[len(rough) - k]
             p = math.acos(min(1.0, max(-1.0, worst / norm / largest))) / math.pi
-            needed = p * bits + CONFIDENT * math.sqrt(p * (1 - p) * bits)
+            needed = min(bits, math.ceil(p * bits + CONFIDENT * math.sqrt(p * (1 - p) * bits)))
         if radius >= needed:
             break
-        radius = max(radius + 2 * steps, 1) if len(scores) < k else max(radius + 1, min(math.ceil(needed), radius + steps))
+        radius = radius + steps if len(rough) < k else min(needed, radius + steps)
+    if len(rough) > k:  # single precision leaves out what is clearly worse than the k-th best
+        rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-4 * norm * largest]
+    scores = (x[rows] * q).sum(axis=1)
     best = np.lexsort((ids[rows], -scores))[:k]
-    return rows[best], scores[best]
+    return rows[best], scores[best], needed
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -167,9 +181,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         stack = lambda f, c, kind: np.frombuffer(b"".join(f[c]), kind).reshape(len(f), -1)
         x, codes, ids = stack(shard, "vec", np.float64), stack(shard, "code", np.uint16), shard["vec_id"].to_numpy()
         qx, qc = stack(queries, "vec", np.float64), stack(queries, "code", np.uint16)
-        at, out = Index(codes), []
-        for q_id, q, code in zip(queries["vec_id"], qx, qc):
-            found, scores = search(x, ids, at, q, q_id, code, model["bits"], model["largest"], k)
+        at, out, needed = Index(codes, x), [], []
+        for n in np.argsort(queries["vec_id"].to_numpy(), kind="stable"):
+            q_id = queries["vec_id"].iloc[n]
+            begin = int(np.median(needed[-64:])) if needed else 0  # what the queries before needed
+            found, scores, radius = search(x, ids, at, qx[n], q_id, qc[n], model["bits"], model["largest"], k, begin)
+            needed.append(radius)
             out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[found], "score": scores}))
         return pd.concat(out)
 
