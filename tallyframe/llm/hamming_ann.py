@@ -42,7 +42,7 @@ from tallyframe.llm.vector_dup import matrix, usable
 
 SAMPLE, ROTATIONS, WIDTH = 20_000, 2, 16
 SHARD, QUERIES = 16_384, 4_096
-CONFIDENT = 1.645     # standard deviations: 95 % of the vectors as near as the k-th best
+CONFIDENT = 2.0
 _ONES = np.array([bin(v).count("1") for v in range(1 << WIDTH)], np.uint8)
 
 
