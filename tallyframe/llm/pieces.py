@@ -31,12 +31,13 @@ other columns of the input are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import stored, table
+from tallyframe.llm.common import pack, stored, table, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 32_768, 256
@@ -67,7 +68,7 @@ class Pieces:
                 if best == -float("inf"):
                     break
                 parts[-k:-k + 2] = [parts[-k] + parts[-k + 1]]
-            if len(self.split) > 500_000:
+            if len(self.split) > 100_000:
                 self.split.clear()
             self.split[s] = tuple(parts)
         return self.split[s]
@@ -238,6 +239,19 @@ def _edges(rows: list, entry: str | None = None, exit_: str | None = None) -> li
     return out[::-1]
 
 
+def piece_bytes(proto: bytes) -> list[bytes]:
+    """What each id adds to a decoded text."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    out = []
+    for i in range(sp.get_piece_size()):
+        piece = sp.id_to_piece(i)
+        out.append(bytes([int(piece[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else
+                   " \u2047 ".encode() if sp.is_unknown(i) else piece.replace(SPACE, " ").encode())
+    return out
+
+
 PAIRS = "array<struct<x: string, y: string>>"
 
 
@@ -307,9 +321,11 @@ def _encode_giants(giants: DataFrame, proto: bytes) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """``docs`` with ids (array<int>)."""
+    """``docs`` with ids (array<int>; a column of this name is replaced)."""
     with open(model, "rb") as f:
         proto = f.read()
+    columns = [c for c in docs.columns if c != "ids"]
+    docs = pack(docs, "text")
     keep = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -318,8 +334,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 ids = pa.array(sp.encode(texts, num_threads=1), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=[*keep, "ids"])
@@ -328,25 +344,30 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     short = docs.where(~F.coalesce(long, F.lit(False))).mapInArrow(run, f"{kinds}, ids array<int>")
     giants = stored(docs.where(long).withColumn("_row", F.monotonically_increasing_id()), "giants")
     ids = _encode_giants(giants.select(F.col("_row").alias("row"), "text"), proto)
-    return short.unionByName(giants.join(ids, F.col("_row") == F.col("row")).drop("_row", "row"))
+    return unpack(short.unionByName(giants.join(ids, F.col("_row") == F.col("row")).drop("_row", "row")), [*columns, "ids"],
+                  ids=F.col("ids"))
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """``rows`` (with ids) with decoded, the text of the ids."""
+    """``rows`` (with ids) with decoded, the text of the ids (a column of this
+    name is replaced)."""
     with open(model, "rb") as f:
         proto = f.read()
+    rows = rows.drop("decoded")
     keep = rows.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        piece = piece_bytes(proto).__getitem__
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                out = pa.array(sp.decode([x or [] for x in batch.column("ids").to_pylist()]), pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], names=[*keep, "decoded"])
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                ids = batch.column("ids")
+                ends = np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
+                parts = list(map(piece, ids.flatten().to_pylist() if ids.null_count else ids.flatten().to_numpy().tolist()))
+                out = [b"".join(parts[a:b]).decode(errors="replace").removeprefix(" ") for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())],
+                                                 names=[*keep, "decoded"])
 
     return rows.mapInArrow(run, f"{kinds}, decoded string")
 
