@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import mix64, stored, table, word_hashes
+from tallyframe.llm.common import mix64, slices, stored, table, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 CONTEXT_SHARE = 1 / 500
@@ -81,10 +81,9 @@ def pair_hash(w: np.ndarray, u: np.ndarray) -> np.ndarray:
     return mix64(w + mix64(u.astype(np.uint64)))
 
 
-def _batches(batches, rows: int = 512):
+def _batches(batches):
     for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
+        yield from slices(whole)
 
 
 def _merged(parts: list) -> list:
@@ -379,7 +378,7 @@ def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
     def easy(batches):
         for batch in _batches(batches):
             w, u, counts, doc, pair, at, is_hot, p, base = split(batch)
-            sums = lambda x: np.bincount(doc[is_hot], x, len(counts))  # noqa: E731, B023
+            sums = lambda x: np.bincount(doc[is_hot], x, len(counts)).astype(float)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("key"), pa.array(counts), pa.array(sums(None).astype(np.int64)),
                 pa.array(sums(base[at[is_hot]])), pa.array(sums(p[at[is_hot]]))],
