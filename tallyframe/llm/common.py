@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +149,20 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix64(raw + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
+    """Pieces of a record batch that hold about ``most`` bytes (or values of a
+    list column) each, so that memory does not grow with the texts' lengths."""
+    values = batch.column(column)
+    size = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    upto = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pairs_in_groups(sizes: np.ndarray, most: int):
     """All pairs i < j of row numbers within consecutive groups of the given
     sizes, as blocks of about ``most`` pairs."""

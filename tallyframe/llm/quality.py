@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.llm.common import table, utf8, word_hashes
+from tallyframe.llm.common import slices, table, utf8, word_hashes
 
 MOST_POSITIVE = MOST_UNLABELLED = 20_000
 FOLDS, HELD_OUT = 3, 1
@@ -82,11 +83,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _decay(p: np.ndarray) -> float:
+    """Weight of the squared norm: the fewer positives, the more."""
+    return 1e-3 + 1 / max(1, len(p))
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives among ``u``, from positives ``p``."""
     x, y = np.concatenate([p[::2], u[::2]]), np.concatenate([np.ones(len(p[::2])), np.zeros(len(u[::2]))])
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w = _descend(lambda w: x.T @ (weight * (_sigmoid(x @ w) - y)) + 1e-3 * w, x.shape[1])
+    w = _descend(lambda w: x.T @ (weight * (_sigmoid(x @ w) - y)) + _decay(p) * w, x.shape[1])
     sp, su = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
     if not len(sp) or not len(su):
         return 0.5
@@ -110,7 +116,7 @@ def fit(p: np.ndarray, u: np.ndarray) -> dict:
         on_p = -prior * (p.T @ _sigmoid(-fp)) / len(p)
         on_n = (u.T @ _sigmoid(fu)) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
         risk_n = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        decay = 1e-4 * w
+        decay = _decay(p) * w
         return on_p + on_n + decay if risk_n >= 0 else decay - on_n
 
     return {"mean": mean, "std": std, "w": _descend(grad, N_FEATURES + 1), "prior": prior}
@@ -140,11 +146,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
     picked = F.broadcast(picked)  # at most MOST_POSITIVE + MOST_UNLABELLED rows
 
     def run(batches):
-        for batch in batches:
-            x = features(batch.column("text")).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("p"), batch.column("q"), batch.column("k"),
-                pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "p", "q", "k", "x"])
+        for whole in batches:
+            for batch in slices(whole):
+                x = features(batch.column("text")).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id"), batch.column("p"), batch.column("q"), batch.column("k"),
+                    pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "p", "q", "k", "x"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k")).join(picked, "doc_id") \
         .mapInArrow(run, "doc_id long, p int, q int, k long, x binary") \
@@ -162,15 +169,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole):
                 s = predict(model, features(batch.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                     names=[*keep, "score", "predicted"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
