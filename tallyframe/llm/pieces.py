@@ -34,10 +34,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.llm.common import pack, stored, table, unpack
+from tallyframe.llm.common import pack, slices, stored, table, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 32_768, 256
@@ -325,25 +327,26 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     with open(model, "rb") as f:
         proto = f.read()
     columns = [c for c in docs.columns if c != "ids"]
-    docs = pack(docs, "text")
-    keep = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs = pack(docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    text = F.col("_in").getField("text")
 
     def run(batches):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            packed = whole.column("_in")
+            whole = pa.RecordBatch.from_arrays([packed, pc.struct_field(packed, "text")], names=["_in", "text"])
+            for batch in slices(whole, most=1 << 20):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 ids = pa.array(sp.encode(texts, num_threads=1), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=[*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("_in"), ids], names=["_in", "ids"])
 
-    long = F.length("text") > CHUNK
-    short = docs.where(~F.coalesce(long, F.lit(False))).mapInArrow(run, f"{kinds}, ids array<int>")
+    long = F.length(text) > CHUNK
+    short = docs.where(~F.coalesce(long, F.lit(False))).mapInArrow(run, schema)
     giants = stored(docs.where(long).withColumn("_row", F.monotonically_increasing_id()), "giants")
-    ids = _encode_giants(giants.select(F.col("_row").alias("row"), "text"), proto)
+    ids = _encode_giants(giants.select(F.col("_row").alias("row"), text.alias("text")), proto)
     return unpack(short.unionByName(giants.join(ids, F.col("_row") == F.col("row")).drop("_row", "row")), [*columns, "ids"],
                   ids=F.col("ids"))
 
@@ -355,13 +358,12 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
         proto = f.read()
     rows = rows.drop("decoded")
     keep = rows.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
         piece = piece_bytes(proto).__getitem__
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, "ids", 1 << 20):
                 ids = batch.column("ids")
                 ends = np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
                 parts = list(map(piece, ids.flatten().to_pylist() if ids.null_count else ids.flatten().to_numpy().tolist()))
@@ -369,7 +371,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())],
                                                  names=[*keep, "decoded"])
 
-    return rows.mapInArrow(run, f"{kinds}, decoded string")
+    return rows.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
