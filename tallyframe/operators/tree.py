@@ -85,7 +85,7 @@ def category_enabled(exclude: Sequence[str], invert: bool = False) -> Column:
 def expense_tree(summary: DataFrame, left_year: int | str | Column | None = None,
                  right_year: int | str | Column | None = None, *, exclude: Sequence[str] | None = None,
                  invert: bool = False, keys: Sequence[str] = ("ledger_id",),
-                 with_total: bool = True, years: DataFrame | None = None) -> DataFrame:
+                 with_total: bool = True) -> DataFrame:
     """Every expense node (each prefix path from ``Expenses:X`` down to the
     leaves) with its left-year and right-year totals, the delta, its parent,
     depth and sibling rank (delta, then name, both descending).  A ``TOTAL``
@@ -93,17 +93,21 @@ def expense_tree(summary: DataFrame, left_year: int | str | Column | None = None
 
     Years default to each ledger's default comparison pair.  ``exclude``
     defaults to Taxes and Interest; ``invert`` keeps only those categories.
-    ``years``: where the years come from (default ``summary``;
-    :func:`expense_accounts` saves its conversion).
+    The default pair comes from a window over the summary (accounts x years
+    rows per ledger), so the summary is computed once.
     """
-    s = summary.where(F.col("account").startswith("Expenses:"))
+    s = summary
+    if left_year is None or right_year is None:
+        ys = F.collect_set("year").over(Window.partitionBy(*keys))
+        s = s.withColumn("__ys", F.sort_array(ys, asc=False))
+    s = s.where(F.col("account").startswith("Expenses:"))
     if exclude is None:
         exclude = DEFAULT_EXCLUDED
     s = s.where(category_enabled(exclude, invert))
     if left_year is None or right_year is None:
-        d = available_years(summary if years is None else years, keys=keys).select(*keys, "default_left_year", "default_right_year").distinct()
-        s = s.join(d, list(keys))
-        ly, ry = F.col("default_left_year"), F.col("default_right_year")
+        # the last two completed years, or what there is of them
+        y = lambda k: F.get("__ys", F.least(F.lit(k), F.size("__ys") - 1))
+        ly, ry = y(2), y(1)
     else:
         ly = left_year if isinstance(left_year, Column) else F.lit(int(left_year))
         ry = right_year if isinstance(right_year, Column) else F.lit(int(right_year))

@@ -379,7 +379,7 @@ SELECT ledger_id, '__total__', 'TOTAL', 0, NULL, CAST(ROUND(SUM(left_amount), 2)
   CAST(ROUND(SUM(delta), 2) AS DOUBLE), 0 FROM nd WHERE depth = 1 GROUP BY ledger_id""")
 def q_expense_tree(spark, sf_dir):
     L = ledger(spark, sf_dir)
-    t = tree.expense_tree(_summary(L), years=tree.expense_accounts(L.postings))
+    t = tree.expense_tree(_summary(L))
     return t.select("ledger_id", "path", "name", "depth", "parent", money("left_amount"), money("right_amount"),
                     money("delta"), "sibling_rank")
 
@@ -1308,6 +1308,5 @@ FROM e GROUP BY ALL""")
 def q_expense_tree_invert(spark, sf_dir):
     """F6 inverted: only the chosen categories."""
     L = ledger(spark, sf_dir)
-    years = tree.expense_accounts(L.postings)
-    t = tree.expense_tree(_summary(L), exclude=["LARGE"], invert=True, years=years, with_total=False)
+    t = tree.expense_tree(_summary(L), exclude=["LARGE"], invert=True, with_total=False)
     return t.select("ledger_id", "path", money("left_amount"), money("right_amount"))
