@@ -1,11 +1,11 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
 The model predicts each token (words, then one end) in the restaurant of its
-context, the token before it: every word that makes up at least CONTEXT_SHARE
-of the training tokens has a restaurant of its own, the beginning of a text
-has one, and all other words share one.  All restaurants share a parent, the
-unigram restaurant, whose own base is uniform over the V known tokens and one
-unknown.  In a restaurant with c customers for a dish at t tables,
+context, the token before it: every word has a restaurant of its own, and so
+has the beginning of a text.  All restaurants share a parent, the unigram
+restaurant, whose own base is uniform over the V known tokens and one unknown;
+a context that no training text holds is an empty restaurant, which predicts
+as the parent does.  In a restaurant with c customers for a dish at t tables,
 
     P(w | u) = (c_uw - d t_uw) / (theta + c_u) + (theta + d t_u) / (theta + c_u) P(w | parent),
 
@@ -16,17 +16,21 @@ restaurant, its number of tables given all others, which is all of a seating
 that the predictions need.  Up to EXACT customers the draw is from the exact
 conditional, with generalised Stirling numbers; beyond, the other customers
 are seated one after another by the Chinese-restaurant rule, in steps of a
-64th of those already seated.  Words are independent given the restaurants'
-totals, so a sweep runs over all words in parallel with the totals of the
-sweep before (which are all that meets on the driver: one number per
-restaurant).  Random numbers are hashes of (word, context, sweep), so a lost
-task is recomputed to the same seating.  After BURN_IN sweeps, predictive
-probabilities are averaged over the seatings of the others.
+64th of those already seated.  Pairs are independent given the totals of
+their context and of their word, so a sweep runs over all pairs in parallel:
+it joins them with the tables of contexts and of words that the sweep before
+left, draws, and sums both tables anew.  Only the sums over all words (two
+numbers a sweep) meet on the driver.  A pair with one customer has one table
+always; it counts in the sums and is not carried through the sweeps.  Random
+numbers are hashes of (word, context, sweep), so a lost task is recomputed to
+the same seating.  After BURN_IN sweeps, predictive probabilities are averaged
+over the seatings of the others.
 
 Scoring: pairs of a context and a word that make up at least HOT of the
 training tokens (at most 1 / HOT of them) are looked up in a broadcast table;
-the rest are joined with the word's restaurants by word, and the logarithms
-are summed per document.  Tokens are 64-bit hashes throughout.
+the rest are joined with the predictions of their pairs, and the logarithms
+are summed per document.  The pairs of the documents held out are in the table
+too, with no customers.  Tokens are 64-bit hashes throughout.
 
 Defined cases: a null or empty text has one token, its end; a row without
 doc_id counts as held out; repeated rows are trained on and scored each; with
@@ -46,12 +50,11 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import mix64, slices, stored, table, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
-CONTEXT_SHARE = 1 / 500
 HOT = 1e-6
 SWEEPS, BURN_IN = 3, 1
 THETA = 1.0
 EXACT = 64
-OTHER, BEGIN, FIRST = 0, 1, 2      # contexts; FIRST + k: the k-th frequent word
+BEGIN = np.uint64(1)               # the context of a first token; all others are the hash of the word before
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -65,14 +68,10 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, np.cumsum(counts), END), counts + 1
 
 
-def contexts(w: np.ndarray, counts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Context of each token; ``frequent``: sorted hashes of the words with
-    restaurants of their own."""
-    u = np.full(len(w), OTHER, np.int64)
-    if len(frequent):
-        before = w[:-1]
-        at = np.minimum(np.searchsorted(frequent, before), len(frequent) - 1)
-        u[1:] = np.where(frequent[at] == before, at + FIRST, OTHER)
+def contexts(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Context of each token: the token before it in its text."""
+    u = np.empty(len(w), np.uint64)
+    u[1:] = w[:-1]
     u[np.cumsum(counts) - counts] = BEGIN
     return u
 
@@ -94,61 +93,18 @@ def _merged(parts: list) -> list:
     return [(key[first], n, np.concatenate([p[2] for p in parts])[first], np.concatenate([p[3] for p in parts])[first])]
 
 
-def frequent_words(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the words of at least CONTEXT_SHARE of the training
-    tokens, and the number of these.  Such a word has that share in some task;
-    those candidates (at most 1 / CONTEXT_SHARE a task) are then counted."""
-
-    def candidates(batches):
-        parts, total = [], 0
-        for batch in _batches(batches):
-            w, _ = tokens(batch.column("text"))
-            key, n = np.unique(w, return_counts=True)
-            total += len(w)
-            parts.append((key, n, key, np.zeros(len(key), np.int64)))
-            if sum(len(p[0]) for p in parts) > 1_000_000:
-                parts = _merged(parts)
-                if len(parts[0][0]) > 500_000:  # too many kinds to hold: report and begin anew
-                    yield from report(parts, total)
-                    parts, total = [], 0
-        if parts:
-            yield from report(_merged(parts), total)
-
-    def report(parts, total):
-        key, n = parts[0][:2]
-        keep = n >= total * CONTEXT_SHARE
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64))], names=["w"])
-
-    train = docs.where(training(F.col("doc_id"))).select("text")
-    found = train.mapInArrow(candidates, "w long").distinct()
-    names = np.sort(np.array([r["w"] for r in found.collect()], np.int64).view(np.uint64))
-
-    def count(batches):
-        n, total = np.zeros(len(names) + 1, np.int64), 0
-        for batch in _batches(batches):
-            w, _ = tokens(batch.column("text"))
-            total += len(w)
-            at = np.minimum(np.searchsorted(names, w), max(0, len(names) - 1))
-            n[:-1] += np.bincount(at[names[at] == w], minlength=len(names))[:len(names)] if len(names) else 0
-        n[-1] = total
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["k", "n"])
-
-    n = {r["k"]: r["n"] for r in train.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    total = n.get(len(names), 0)
-    return names[[k for k in range(len(names)) if n[k] >= total * CONTEXT_SHARE and names[k] != END]], total
-
-
-def word_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """w, us, cs: for each training token its contexts and counts in them (at
-    most one entry for each restaurant)."""
+def pair_table(docs: DataFrame) -> DataFrame:
+    """u, w, c: each pair of a context and a token of ``docs``, with its number
+    in the training texts (0 if only texts held out have it)."""
 
     def run(batches):
         parts = []
         for batch in _batches(batches):
             w, counts = tokens(batch.column("text"))
-            u = contexts(w, counts, frequent)
-            key, first, n = np.unique(pair_hash(w, u), return_index=True, return_counts=True)
-            parts.append((key, n, w[first], u[first]))
+            u = contexts(w, counts)
+            trained = np.repeat(batch.column("trained").to_numpy(zero_copy_only=False), counts)
+            key, first, where = np.unique(pair_hash(w, u), return_index=True, return_inverse=True)
+            parts.append((key, np.bincount(where, trained, len(key)).astype(np.int64), w[first], u[first]))
             if sum(len(p[0]) for p in parts) > 1_000_000:
                 parts = _merged(parts)
                 if len(parts[0][0]) > 500_000:
@@ -159,13 +115,13 @@ def word_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def emit(parts):
         _, n, w, u = parts[0]
-        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(u.astype(np.int16)), pa.array(n)],
-                                          names=["w", "u", "n"])
+        order = np.argsort(u)  # equal contexts side by side compress well
+        return pa.RecordBatch.from_arrays([pa.array(u[order].view(np.int64)), pa.array(w[order].view(np.int64)),
+                                           pa.array(n[order])], names=["u", "w", "c"])
 
-    counts = docs.where(training(F.col("doc_id"))).select("text").mapInArrow(run, "w long, u short, n long")
-    pairs = counts.repartition("w").groupBy("w", "u").agg(F.sum("n").alias("n"))
-    pairs = pairs.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("u", "n"))).alias("p"))
-    return pairs.select("w", F.transform("p", lambda p: p["u"]).alias("us"), F.transform("p", lambda p: p["n"]).alias("cs"))
+    counts = docs.select("text", training(F.col("doc_id")).alias("trained")).mapInArrow(run, "u long, w long, c long")
+    # merged in the tasks already: a partial aggregate would find little
+    return counts.repartition("u", "w").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
 def stirling(d: float, n: int = EXACT) -> np.ndarray:
@@ -214,53 +170,19 @@ def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, l
     return t
 
 
-class Seating:
-    """Seatings of a batch of words: sweeps over it, given the totals."""
-
-    def __init__(self, batch, model: dict):
-        self.m = model
-        column = lambda c: batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c)
-        self.w = column("w").to_numpy().view(np.uint64)
-        self.n_pairs = np.array(column("us").value_lengths(), np.int64)
-        self.first = np.cumsum(self.n_pairs) - self.n_pairs
-        self.word = np.repeat(np.arange(len(self.w)), self.n_pairs)
-        self.u = column("us").flatten().to_numpy().astype(np.int64)
-        self.c = column("cs").flatten().to_numpy().astype(np.int64)
-        self.t = np.ones(len(self.u), np.int64)
-        self.tau = np.ones(len(self.w), np.int64)
-        self.seed = pair_hash(self.w[self.word], self.u + 1_000_000)
-
-    def customers(self) -> np.ndarray:
-        return np.add.reduceat(self.t, self.first) if len(self.first) else np.zeros(0, np.int64)
-
-    def sweep(self, k: int, totals: dict) -> None:
-        """One Gibbs sweep, given the totals after sweep k - 1."""
-        m, n0, tables0 = self.m, totals["customers"], totals["tables"]
-        n = self.customers()
-        own = (n - m["d0"] * self.tau)[self.word] - self.t + m["d0"] * np.minimum(self.tau[self.word], self.t)
-        base = (np.maximum(own, 0) + (THETA + m["d0"] * tables0) * m["uniform"]) / (THETA + n0)
-        some = np.flatnonzero(self.c > 1)
-        self.t[some] = draw_tables(self.c[some], base[some], totals["children"][self.u[some]] - self.t[some], m["d1"],
-                                   m["log1"], self.seed[some], k)
-        n = self.customers()
-        some = np.flatnonzero(n > 1)
-        tau = np.ones(len(n), np.int64)
-        tau[some] = draw_tables(n[some], np.full(len(some), m["uniform"]), tables0 - self.tau[some], m["d0"], m["log0"],
-                                mix64(self.w[some]), k)
-        self.tau = tau
-
-    def predictive(self, totals: dict) -> tuple[np.ndarray, np.ndarray]:
-        """P(w | u) of the pairs and P(w) of the words, after a sweep."""
-        m = self.m
-        p0 = (self.customers() - m["d0"] * self.tau + (THETA + m["d0"] * totals["tables"]) * m["uniform"]) \
-            / (THETA + totals["customers"])
-        keep = (self.c - m["d1"] * self.t) / (THETA + m["c_u"][self.u])
-        return keep + back_off(m, totals)[self.u] * p0[self.word], p0
-
-
-def back_off(m: dict, totals: dict) -> np.ndarray:
-    """Weight of the parent in each restaurant."""
-    return (THETA + m["d1"] * totals["children"]) / (THETA + m["c_u"])
+class BackOff:
+    """Weight of the parent in each restaurant after a sweep, by context."""
+
+    def __init__(self, m: dict, totals: dict):
+        self.m, self.contexts = m, totals["contexts"]
+
+    def __getitem__(self, u: int) -> float:
+        r = self.contexts.where(F.col("u") == int(u)).first()
+        return (THETA + self.m["d1"] * r["children"]) / (THETA + r["c_u"]) if r else 1.0
+
+
+def back_off(m: dict, totals: dict) -> BackOff:
+    return BackOff(m, totals)
 
 
 def _wide(batches, rows: int = 50_000):
@@ -275,26 +197,52 @@ def _wide(batches, rows: int = 50_000):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _totals(words: DataFrame, model: dict, history: list) -> dict:
-    """Totals of the restaurants after one sweep more than ``history``."""
-    size = model["contexts"]
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def _summed(base: DataFrame, state: DataFrame, key: str, name: str) -> DataFrame:
+    """``base`` with the number of tables of all pairs of its key."""
+    tables = state.groupBy(key).agg(F.sum("t").alias("_t"))
+    return base.join(tables, key, "left").withColumn(name, F.col("ones") + F.coalesce("_t", F.lit(0))).drop("_t")
+
+
+def _sweep_pairs(state: DataFrame, contexts: DataFrame, words: DataFrame, m: dict, totals: dict, k: int) -> DataFrame:
+    """u, w, c, t, kept: a Gibbs sweep over the pairs of two customers or more;
+    kept is the sum of t over the sweeps that count."""
+    n0, tables0 = totals["customers"], totals["tables"]
 
     def run(batches):
-        children, rest = np.zeros(size, np.int64), np.zeros(2, np.int64)
-        for t in _wide(batches):
-            s = Seating(t, model)
-            for k, totals in enumerate(history):
-                s.sweep(k, totals)
-            children += np.bincount(s.u, s.t, size).astype(np.int64)
-            rest += [s.t.sum(), s.tau.sum()]
-        out = np.concatenate([children, rest])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["k", "n"])
-
-    got = words.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(size + 2, np.int64)
-    for r in got:
-        out[r["k"]] = r["n"]
-    return {"children": out[:size], "customers": int(out[size]), "tables": int(out[size + 1])}
+        for b in _wide(batches):
+            u, w, c, t = (_column(b, x) for x in ("u", "w", "c", "t"))
+            tau = _column(b, "tau")
+            own = _column(b, "customers") - m["d0"] * tau - t + m["d0"] * np.minimum(tau, t)
+            base = (np.maximum(own, 0) + (THETA + m["d0"] * tables0) * m["uniform"]) / (THETA + n0)
+            seed = pair_hash(w.view(np.uint64), u.view(np.uint64) + np.uint64(1_000_000))
+            t = draw_tables(c, base, _column(b, "children") - t, m["d1"], m["log1"], seed, k)
+            kept = _column(b, "kept") + (t if k >= BURN_IN else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c, t, kept)], names=["u", "w", "c", "t", "kept"])
+
+    met = state.join(contexts.select("u", "children"), "u").join(words.select("w", "customers", "tau"), "w")
+    return met.select("u", "w", "c", "t", "kept", "children", "customers", "tau") \
+        .mapInArrow(run, "u long, w long, c long, t long, kept long")
+
+
+def _sweep_words(words: DataFrame, m: dict, totals: dict, k: int) -> DataFrame:
+    """The words with new numbers of tables in the unigram restaurant."""
+    tables0 = totals["tables"]
+
+    def run(batches):
+        for b in _wide(batches):
+            n, tau, w = (_column(b, x) for x in ("customers", "tau", "w"))
+            some = np.flatnonzero(n > 1)
+            new = np.ones(len(n), np.int64)
+            new[some] = draw_tables(n[some], np.full(len(some), m["uniform"]), tables0 - tau[some], m["d0"], m["log0"],
+                                    mix64(w[some].view(np.uint64)), k)
+            out = b.set_column(b.schema.get_field_index("tau"), "tau", pa.array(new))
+            yield from out.to_batches()
+
+    return words.mapInArrow(run, words.schema)
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -302,63 +250,85 @@ def _discount(ones: int, twos: int) -> float:
 
 
 def learn(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """The written word table and the model: discounts, counts and the totals
-    after each sweep."""
-    frequent, n_tokens = frequent_words(docs)
-    words = stored(word_table(docs, frequent), "lm-words")
-    size = len(frequent) + FIRST
-    pairs = words.select(F.explode(F.arrays_zip("us", "cs")).alias("p")).select(
-        F.col("p.us").alias("u"), F.col("p.cs").alias("c"))
-    c_u = np.zeros(size, np.int64)
-    ones = twos = 0
-    for r in pairs.groupBy("u").agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") == 1, 1)).alias("one"),
-                                    F.count(F.when(F.col("c") == 2, 1)).alias("two")).collect():
-        c_u[r["u"]], ones, twos = r["c"], ones + r["one"], twos + r["two"]
-    kinds = words.agg(F.count("*").alias("v"), F.count(F.when(F.size("us") == 1, 1)).alias("one"),
-                      F.count(F.when(F.size("us") == 2, 1)).alias("two")).first()
-    model = {"frequent": frequent, "n": n_tokens, "v": kinds["v"], "contexts": size, "c_u": c_u,
-             "d1": _discount(ones, twos), "d0": _discount(kinds["one"], kinds["two"]), "uniform": 1 / (kinds["v"] + 1)}
-    model |= {"log1": stirling(model["d1"]), "log0": stirling(model["d0"])}
-    history = [_totals(words, model, [])]
-    for _ in range(SWEEPS):
-        history.append(_totals(words, model, history))
-    return words, model | {"history": history}
-
-
-def predictions(words: DataFrame, model: dict) -> DataFrame:
-    """w, n (its count), us, cs, ps (averaged P(w | u)) and p0 (P(w) in each
-    kept seating)."""
-    history = model["history"]
+    """The written table of pairs and the model: discounts, counts, the pairs'
+    tables of customers after the last sweep and the totals after each sweep."""
+    pairs = stored(pair_table(docs), "lm-pairs")
+    known = pairs.where("c > 0")
+    one, two = (F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))
+    counts = known.agg(F.sum("c").alias("n"), one.alias("one"), two.alias("two")).first()
+    ones = F.count(F.when(F.col("c") == 1, 1)).alias("ones")
+    contexts = stored(known.groupBy("u").agg(F.sum("c").alias("c_u"), ones, F.count("*").alias("children")), "lm-contexts")
+    words = stored(known.groupBy("w").agg(F.sum("c").alias("n"), ones, F.count("*").alias("customers"))
+                   .withColumn("tau", F.lit(1).cast("long")), "lm-words")
+    kinds = words.agg(F.count("*").alias("v"), F.count(F.when(F.col("customers") == 1, 1)).alias("one"),
+                      F.count(F.when(F.col("customers") == 2, 1)).alias("two"), F.sum("customers").alias("all")).first()
+    model = {"docs": docs, "n": counts["n"] or 0, "v": kinds["v"], "contexts": contexts.count(),
+             "d1": _discount(counts["one"], counts["two"]), "d0": _discount(kinds["one"], kinds["two"]),
+             "uniform": 1 / (kinds["v"] + 1)}
+    inner = {k: model[k] for k in ("d1", "d0", "uniform")}  # what the workers need
+    inner |= {"log1": stirling(model["d1"]), "log0": stirling(model["d0"])}
+    history = [{"customers": kinds["all"] or 0, "tables": kinds["v"], "contexts": contexts, "words": words}]
+    state = known.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept"))
+    for k in range(SWEEPS):
+        last = history[-1]
+        state = stored(_sweep_pairs(state, last["contexts"], last["words"], inner, last, k), "lm-state")
+        contexts = stored(_summed(last["contexts"].drop("children"), state, "u", "children"), "lm-contexts")
+        summed = _summed(last["words"].drop("customers"), state, "w", "customers").select(*last["words"].columns)
+        words = stored(_sweep_words(summed, inner, last, k), "lm-words")
+        sums = words.agg(F.sum("customers").alias("customers"), F.sum("tau").alias("tables")).first()
+        history.append({"customers": sums["customers"] or 0, "tables": sums["tables"] or 0, "contexts": contexts,
+                        "words": words})
+    kept = history[BURN_IN + 1:]
+    seats = lambda name, key, also, *columns: _side_by_side([h[name] for h in kept], key, also, columns)
+    model |= {"history": history, "state": state,
+              "by_context": stored(seats("contexts", "u", "c_u", "children"), "lm-contexts"),
+              "by_word": stored(seats("words", "w", "n", "customers", "tau"), "lm-words")}
+    return pairs, model
+
+
+def _side_by_side(tables: list[DataFrame], key: str, also: str, columns: tuple[str, ...]) -> DataFrame:
+    """``key``, ``also`` and each column in all tables, numbered."""
+    out = None
+    for k, t in enumerate(tables):
+        t = t.select(key, *([] if k else [also]), *(F.col(c).alias(f"{c}{k}") for c in columns))
+        out = t if out is None else out.join(t, key)
+    return out
+
+
+def pair_predictions(pairs: DataFrame, model: dict) -> DataFrame:
+    """u, w, c, n (the word's count), p (averaged P(w | u)) and p0 (P(w) in
+    each kept seating) of all ``pairs``."""
+    kept, count = model["history"][BURN_IN + 1:], SWEEPS - BURN_IN
+    rows = pairs.where("c <= 1").select("u", "w", "c", (F.col("c") * count).alias("kept")) \
+        .unionByName(model["state"].select("u", "w", "c", "kept"))
+    rows = rows.join(model["by_context"], "u", "left").join(model["by_word"], "w", "left")
+    of = lambda c: F.coalesce(F.col(c), F.lit(0))
+    weight = [(THETA + model["d1"] * of(f"children{k}")) / (THETA + of("c_u")) for k in range(count)]
+    p0 = [(of(f"customers{k}") - model["d0"] * of(f"tau{k}") + (THETA + model["d0"] * h["tables"]) * model["uniform"])
+          / (THETA + h["customers"]) for k, h in enumerate(kept)]
+    p = (F.col("c") - model["d1"] * F.col("kept") / count) / (THETA + of("c_u")) \
+        + sum((a * b for a, b in zip(weight, p0)), F.lit(0.0)) / count
+    return rows.select("u", "w", "c", of("n").alias("n"), p.alias("p"), F.array(*p0).alias("p0"))
 
-    def run(batches):
-        for t in _wide(batches):
-            s, ps, p0 = Seating(t, model), 0, []
-            for k in range(SWEEPS):
-                s.sweep(k, history[k])
-                if k >= BURN_IN:
-                    p, q = s.predictive(history[k + 1])
-                    ps, p0 = ps + p / (SWEEPS - BURN_IN), [*p0, q]
-            offsets = pa.array(np.append(s.first, len(s.u)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(s.w.view(np.int64)), pa.array(np.add.reduceat(s.c, s.first)),
-                pa.ListArray.from_arrays(offsets, pa.array(s.u.astype(np.int16))),
-                pa.ListArray.from_arrays(offsets, pa.array(s.c)), pa.ListArray.from_arrays(offsets, pa.array(ps)),
-                pa.ListArray.from_arrays(pa.array((np.arange(len(s.w) + 1) * len(p0)).astype(np.int32)),
-                                         pa.array(np.stack(p0, axis=1).reshape(-1)))],
-                names=["w", "n", "us", "cs", "ps", "p0"])
 
-    return words.mapInArrow(run, "w long, n long, us array<short>, cs array<long>, ps array<double>, p0 array<double>")
+def predictions(pairs: DataFrame, model: dict) -> DataFrame:
+    """One row for each known word: w, n, us, cs, ps (its contexts, counts and
+    predictions in them) and p0."""
+    return pair_predictions(pairs, model).where("c > 0").groupBy("w", "n", "p0") \
+        .agg(F.collect_list(F.struct("u", "c", "p")).alias("r")) \
+        .select("w", "n", F.col("r.u").alias("us"), F.col("r.c").alias("cs"), F.col("r.p").alias("ps"), "p0")
 
 
-def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
+def score(docs: DataFrame, pairs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    n, v, frequent = model["n"], model["v"], model["frequent"]
-    stats = predictions(words, model)
-    hot = stats.where(F.col("n") >= max(1.0, n * HOT)).select(
-        "w", "n", F.explode(F.arrays_zip("us", "cs", "ps")).alias("p")).where(F.col("p.cs") >= n * HOT) \
-        .select("w", "n", F.col("p.us").alias("u"), F.col("p.ps").alias("p")).toPandas()  # at most 1 / HOT rows
-    key = pair_hash(hot["w"].to_numpy(np.int64).view(np.uint64), hot["u"].to_numpy(np.int64))
+    n, v = model["n"], model["v"]
+    if not docs.sameSemantics(model["docs"]):  # pairs that the model has not met
+        pairs = pairs.unionByName(pair_table(docs).withColumn("c", F.lit(0).cast("long"))) \
+            .groupBy("u", "w").agg(F.max("c").alias("c"))
+    stats, often = pair_predictions(pairs, model), max(1.0, n * HOT)
+    hot = stats.where(F.col("c") >= often).select("w", "n", "u", "p").toPandas()  # at most 1 / HOT rows
+    key = pair_hash(hot["w"].to_numpy(np.int64).view(np.uint64), hot["u"].to_numpy(np.int64).view(np.uint64))
     order = np.argsort(key)
     log_base = lambda c: np.log10((c + 1) / (n + v + 1))
     known = spark.sparkContext.broadcast((key[order], np.log10(hot["p"].to_numpy(float))[order],
@@ -369,7 +339,7 @@ def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
     def split(batch):
         keys, p, base = known.value
         w, counts = tokens(batch.column("text"))
-        u = contexts(w, counts, frequent)
+        u = contexts(w, counts)
         pair = pair_hash(w, u)
         at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
         is_hot = keys[at] == pair if len(keys) else np.zeros(len(w), bool)
@@ -393,21 +363,16 @@ def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
             i = np.sort(rest[first])
             times = times[np.argsort(rest[first], kind="stable")]
             yield pa.RecordBatch.from_arrays([
-                batch.column("key").take(pa.array(doc[i])), pa.array(w[i].view(np.int64)), pa.array(u[i].astype(np.int16)),
+                batch.column("key").take(pa.array(doc[i])), pa.array(w[i].view(np.int64)), pa.array(u[i].view(np.int64)),
                 pa.array(times.astype(np.int32))], names=["key", "w", "u", "times"])
 
-    weights = np.stack([back_off(model, model["history"][k + 1]) for k in range(BURN_IN, SWEEPS)])
-    literal = lambda x: F.split(F.lit(",".join(map(repr, map(float, x)))), ",").cast("array<double>")
-    unknown = [(THETA + model["d0"] * h["tables"]) * model["uniform"] / (THETA + h["customers"])
-               for h in model["history"][BURN_IN + 1:]]
-    spot = F.array_position("us", F.col("u"))
-    backed = sum((F.get(literal(weights[k]), F.col("u").cast("int")) * F.coalesce(F.get("p0", F.lit(k)), F.lit(unknown[k]))
-                  for k in range(len(weights))), F.lit(0.0)) / len(weights)
-    p = F.when(F.coalesce(spot, F.lit(0)) > 0, F.get("ps", (spot - 1).cast("int"))).otherwise(backed)
-    base = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
-    rare = rows.mapInArrow(hard, "key long, w long, u short, times int").join(stats.drop("cs"), "w", "left") \
-        .groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("r_known"),
-                            F.sum(F.col("times") * base).alias("r_base"), F.sum(F.col("times") * F.log10(p)).alias("r_score"))
+    base = F.log10((F.col("n") + 1) / F.lit(float(n + v + 1)))
+    rest = stats.where(F.col("c") < often).select(
+        "u", "w", (F.col("n") > 0).alias("known"), base.alias("base"), F.log10("p").alias("log_p"))
+    rare = rows.mapInArrow(hard, "key long, w long, u long, times int").join(rest, ["u", "w"]) \
+        .groupBy("key").agg(F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("r_known"),
+                            F.sum(F.col("times") * F.col("base")).alias("r_base"),
+                            F.sum(F.col("times") * F.col("log_p")).alias("r_score"))
     done = stored(rows.mapInArrow(easy, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double"),
                   "lm-easy")
     copies = done.groupBy("key").agg(F.count("*").alias("copies"))

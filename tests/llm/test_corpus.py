@@ -534,6 +534,32 @@ def test_predictions_are_a_distribution(spark):
         assert math.isclose(total, 1, rel_tol=1e-9)
 
 
+def test_every_word_is_a_context(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    pairs, model = pitman_yor.learn(docs)
+    hashed = {}
+    want, seen = collections.Counter(), set()
+    for i, text in rows(SF_SMALL, "SELECT doc_id, text FROM '$/documents.parquet'"):
+        ws = pitman_yor.tokens(pa.array([text]))[0].view(np.int64).tolist()
+        hashed[i] = list(zip([int(pitman_yor.BEGIN), *ws], ws))
+        seen.update(hashed[i])
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            want.update(hashed[i])
+    assert {(r["u"], r["w"]): r["c"] for r in pairs.collect()} == {x: want[x] for x in seen}
+    assert model["contexts"] == len({u for u, _ in want}) > 502
+    p = {(r["u"], r["w"]): r["p"] for r in pitman_yor.pair_predictions(pairs, model).collect()}
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, pairs, model).collect()}
+    assert all(math.isclose(got[i], sum(math.log10(p[x]) for x in xs), rel_tol=1e-9) for i, xs in hashed.items())
+    st, kept = pitman_yor.predictions(pairs, model).collect(), pitman_yor.SWEEPS - pitman_yor.BURN_IN
+    for u in sorted({u for u, _ in want})[:4] + [u for (u, _), _ in want.most_common(2)]:
+        total = sum(dict(zip(r["us"], r["ps"])).get(u, 0) for r in st)
+        for k in range(kept):
+            h = model["history"][pitman_yor.BURN_IN + 1 + k]
+            unknown = (1 + model["d0"] * h["tables"]) * model["uniform"] / (1 + h["customers"])
+            total += pitman_yor.back_off(model, h)[u] / kept * (unknown + sum(r["p0"][k] for r in st if u not in r["us"]))
+        assert math.isclose(total, 1, rel_tol=1e-9)
+
+
 def test_tables_follow_the_seating_rule():
     d, base, others, n = 0.5, 0.01, 30, 5000
     exact = np.array([1.0])  # seat customers one by one, weights of the number of tables
