@@ -17,9 +17,10 @@ their hubs by HUB_ORDERS different orders, so a group has several); then every
 pair of members that the first round left in different components.  The second
 round compares members where they meet, in blocks of CHUNK, by their bottom-k
 sketches (the LOW smallest shingle hashes; the whole set if it has no more),
-and only pairs that the sketches do not refute are confirmed.  A pair at a
-similarity of 0.75 is refuted wrongly with probability 0.0003 if its texts have
-more than LOW shingles, never if they have fewer.
+and only pairs that the sketches do not refute are confirmed.  The sketches
+decide clear cases only, six standard deviations away: a pair at a similarity
+of 0.75 is refuted wrongly with probability 7e-9 if its texts have more than
+LOW shingles, never if they have fewer.
 
 Defined cases: a null or empty text has no shingles and links with nothing; a
 text of 1 to 4 words is one shingle; rows without doc_id link with nothing and
@@ -44,7 +45,7 @@ DISTANCE = 2 * CHUNKS - 1      # one error may be allowed in each chunk
 SIMILAR = 75                   # percent
 CHUNK = 2048                   # members compared in one block
 HUB_ORDERS = 8
-LOW, LEAST, MARGIN = 256, SIMILAR / 100 - 3.5 * (0.75 * 0.25 / 256) ** 0.5, 0.01
+LOW, LEAST, MARGIN = 256, SIMILAR / 100 - 6 * (0.75 * 0.25 / 256) ** 0.5, 0.01
 _rng = np.random.default_rng(20240229)
 _ORDER = _rng.integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _rng.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

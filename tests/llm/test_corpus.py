@@ -502,6 +502,19 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd, none):
     assert near_dup.deduplicate(none).count() == 0
 
 
+def test_sketches_refute_no_similar_pair():
+    rng, n = np.random.default_rng(1), 50_000
+    refuted = 0
+    for _ in range(10):  # sets of 700 with 600 of 800 in common: a similarity of 0.75
+        union = rng.integers(0, 1 << 32, (n // 10, 800), dtype=np.uint32)
+        low = lambda x: np.sort(x, axis=1)[:, :near_dup.LOW]
+        size = np.full(len(union), 700)
+        refuted += (~near_dup.sketch_allows(low(union[:, :700]), low(union[:, 100:]), size, size)).sum()
+    assert refuted == 0
+    apart = rng.integers(0, 1 << 32, (1000, 1400), dtype=np.uint32)
+    assert not near_dup.sketch_allows(low(apart[:, :700]), low(apart[:, 500:1200]), size[:1000], size[:1000]).any()
+
+
 # -------------------------------------------------------------------- op10
 
 
