@@ -39,12 +39,12 @@ from tallyframe.llm.common import pairs_in_groups, slices, stored, table
 LEAST_DOCS = 10      # documents of a language that a kept term occurs in
 TOP_TERMS = 10       # terms reported for each source (a top-k report)
 UNIT = 1_000_000_000
-MOST_CELLS = 400_000  # cells of a task's hash table, about 60 MB, before it is spilled
+MOST_CELLS = 250_000  # cells of a task's hash table, about 80 MB, before it is spilled
 PIECE = 1 << 20
 MOST_GROUPS = 100_000  # (lang, source) totals are broadcast up to this many, else joined by shuffle
 # letters stay, A-Z in lower case, bytes of other alphabets too; all else ends a term
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-CELLS = "lang string, term string, source string, n long"
+CELLS = "lang string, term string, source string, n long, df long"
 
 
 # ------------------------------------------------------------------- stripes
@@ -66,18 +66,31 @@ def terms(text: bytes) -> Counter:
 
 def fold(batches, most: int) -> Iterator[pa.RecordBatch]:
     """Documents (lang, source, text) to the cells of partial stripes: a term's
-    count in a source, or its document frequency where source is null."""
+    count n in a source; its document frequency stands in the first of them."""
     stripes: dict[str, dict[bytes, dict]] = {}
     names: dict[str, str] = {}
     cells = 0
 
+    def batch_of(lang, *columns):
+        types = (pa.binary(), pa.string(), pa.int64(), pa.int64())
+        term, *rest = (pa.array(c, t) for c, t in zip(columns, types))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(term)), term.cast(pa.string()), *rest],
+                                          ["lang", "term", "source", "n", "df"])
+
     def spill():
-        for lang, table_ in stripes.items():
-            held = [(t, s, n) for t, stripe in table_.items() for s, n in stripe.items()]
-            for at in range(0, len(held), 1 << 16):
-                t, s, n = zip(*held[at:at + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(t)), pa.array(t, pa.binary()).cast(pa.string()),
-                                                  pa.array(s, pa.string()), pa.array(n, pa.int64())], ["lang", "term", "source", "n"])
+        for lang, mine in stripes.items():
+            term, source, count, docs = [], [], [], []
+            for t, stripe in mine.items():
+                docs.append(stripe.pop(None))
+                docs.extend([0] * (len(stripe) - 1))
+                term.extend([t] * len(stripe))
+                source.extend(stripe)
+                count.extend(stripe.values())
+                if len(term) >= 1 << 16:
+                    yield batch_of(lang, term, source, count, docs)
+                    term, source, count, docs = [], [], [], []
+            if term:
+                yield batch_of(lang, term, source, count, docs)
 
     for batch in batches:
         for part in slices(batch):
@@ -87,12 +100,15 @@ def fold(batches, most: int) -> Iterator[pa.RecordBatch]:
                 for term, n in terms(text).items():
                     stripe = mine.get(term)
                     if stripe is None:
-                        stripe = mine[term] = {None: 0}
-                        cells += 1
-                    if source not in stripe:
+                        mine[term] = {None: 1, source: n}
                         cells += 1
+                        continue
                     stripe[None] += 1
-                    stripe[source] = stripe.get(source, 0) + n
+                    if source in stripe:
+                        stripe[source] += n
+                    else:
+                        stripe[source] = n
+                        cells += 1
                 if cells >= most:
                     yield from spill()
                     stripes, names, cells = {}, {}, 0
@@ -104,12 +120,10 @@ def merged_stripes(docs: DataFrame, least_docs: int = LEAST_DOCS, most_cells: in
     texts = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
     partial = texts.mapInArrow(lambda batches: fold(batches, most_cells), CELLS)
     # one exchange by stripe serves both aggregates
-    merged = partial.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    cell = F.when(F.col("source").isNotNull(), F.struct("source", "n"))
+    merged = partial.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     return merged.groupBy("lang", "term").agg(
-        F.max(F.when(F.col("source").isNull(), F.col("n"))).alias("df"),
-        F.sum(F.when(F.col("source").isNotNull(), F.col("n"))).alias("total"),
-        F.collect_list(cell).alias("cells")).where(F.col("df") >= least_docs)
+        F.sum("df").alias("df"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells")) \
+        .where(F.col("df") >= least_docs)
 
 
 # --------------------------------------------------------------- divergences
