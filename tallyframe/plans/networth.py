@@ -72,6 +72,15 @@ def networth_series(
     )
 
 
+def networth_held(units: DataFrame, prices: DataFrame, date, target: str = "USD", *,
+                  keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
+    """(keys, date, net_worth) of given units (keys, currency, units), e.g. of a
+    stored balance, at the prices of a date, as :func:`networth_series`."""
+    v = _priced_units(units.withColumn("date", F.lit(date).cast("date")), prices, [date], target, keys)
+    value = F.when((F.col("units") != 0) & F.col("price").isNotNull(), F.col("units") * F.col("price"))
+    return v.groupBy(*keys, "date").agg(F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("net_worth"))
+
+
 def networth_detail(
     postings: DataFrame,
     prices: DataFrame,

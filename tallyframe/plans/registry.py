@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TARGET = "USD"
+BALANCE_SHEET = "Assets|Liabilities"
 START, END = "1995-01-01", "2001-08-31"
 
 # DuckDB: month ends of the report span, built from month starts.
@@ -55,19 +56,23 @@ def ledger(spark, sf_dir):
     return read_star_ledger(spark, ledger_path(spark, sf_dir))
 
 
+LEDGER_TABLES = ["region", "nation", "customer", "part", "orders", "lineitem"]
+
+
 def ledger_path(spark, sf_dir) -> str:
-    """Folder of the ingested tables of ``sf_dir``."""
+    """Folder of the ingested tables of ``sf_dir``; tables that were replaced
+    under the same path are ingested again."""
     import hashlib
-    import os
 
-    from tallyframe.session import path_exists, scratch_path
+    from tallyframe.session import file_stamps, path_exists, scratch_path
     from tallyframe.sources.star import materialize_star_ledger
 
     app = spark.sparkContext.applicationId
-    key = (app, os.path.abspath(sf_dir))
+    stamp = file_stamps(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in LEDGER_TABLES])
+    key = (app, stamp)
     path = _INGESTED.get(key)
     if path is None or not path_exists(spark, f"{path}/postings/_SUCCESS"):
-        digest = hashlib.sha1(f"{app}:{key[1]}".encode()).hexdigest()[:16]
+        digest = hashlib.sha1(f"{app}:{stamp}".encode()).hexdigest()[:16]
         path = scratch_path(spark, f"ledger-{digest}")
         materialize_star_ledger(spark, sf_dir, path)
         _INGESTED[key] = path
@@ -90,7 +95,7 @@ SELECT ledger_id, date,
 FROM j GROUP BY ledger_id, date
 """)
 def q_networth_series(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of(BALANCE_SHEET)
     out = nw.networth_series(L.postings, L.prices, month_end_spine(START, END), TARGET)
     return out.select("ledger_id", "date", money("net_worth"))
 
@@ -160,7 +165,7 @@ SELECT ledger_id, date, account, currency, CAST(ROUND(units, 2) AS DOUBLE) AS un
 FROM j WHERE units <> 0 AND price IS NOT NULL
 """)
 def q_networth_detail(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of(BALANCE_SHEET)
     d = nw.networth_detail(L.postings, L.prices, month_end_spine(START, END), TARGET)
     return d.select("ledger_id", "date", "account", "currency", money("units"),
                     F.col("price").cast("double").alias("price"), money("value"), "category")
@@ -170,7 +175,7 @@ def q_networth_detail(spark, sf_dir):
 @register("networth_daily", sql_networth(SQL_DAYS.format(a=START, b=DAILY_END_EXCL), SQL_ASSETS_LIAB)
           + "SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth FROM n")
 def q_networth_daily(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of(BALANCE_SHEET)
     out = nw.networth_daily(L.postings, L.prices, START, END, TARGET)
     return out.select("ledger_id", "date", money("net_worth"))
 
@@ -181,7 +186,7 @@ def q_networth_daily(spark, sf_dir):
   ROUND(CAST(v AS DOUBLE) / NULLIF(CAST(LAG(v) OVER (PARTITION BY ledger_id ORDER BY date) AS DOUBLE), 0) - 1, 6) AS percent_change
 FROM n""")
 def q_networth_monthly(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of(BALANCE_SHEET, ignore_case=True)
     out = nw.networth_monthly(L.postings, L.prices, 1995, 2001, TARGET)
     return out.select("ledger_id", "date", money("amount"), ratio("percent_change"))
 
@@ -190,7 +195,7 @@ def q_networth_monthly(spark, sf_dir):
 @register("networth_summator", sql_networth(SQL_DAYS.format(a=START, b=DAILY_END_EXCL), SQL_ASSETS_LIAB)
           + "SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth FROM n")
 def q_networth_summator(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of(BALANCE_SHEET)
     out = nw.networth_summator(L.postings, L.prices, START, END, TARGET)
     return out.select("ledger_id", "date", money("net_worth"))
 
@@ -204,7 +209,7 @@ SELECT ledger_id, CAST(ROUND(SUM(CASE WHEN h.currency = 'USD' THEN CAST(units AS
 FROM h LEFT JOIN lp USING (currency) GROUP BY ledger_id
 """)
 def q_networth_at(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of("Assets:", ignore_case=True)
     return nw.networth_at(L.postings, L.prices, TODAY, TARGET).select("ledger_id", money("net_worth"))
 
 
@@ -221,7 +226,7 @@ def _inv_out(df):
 
 
 def _root_at(L, as_of):
-    return inv.sum_by_root(L.postings, as_of, "Assets|Liabilities", 2)
+    return inv.sum_by_root(L.of(BALANCE_SHEET, end=as_of).postings, as_of, BALANCE_SHEET, 2)
 
 
 SQL_ROOT_AT = SQL_INV_AT.format(acct=SQL_ROOT2, where=f"{SQL_ASSETS_LIAB} AND date <= DATE '{{d}}'")
@@ -237,6 +242,46 @@ def q_sum_by_root(spark, sf_dir):
     return _inv_out(_root_at(ledger(spark, sf_dir), AS_OF))
 
 
+SNAPSHOT_DATES = ["1995-12-31", "1997-05-17", "2001-02-11"]
+
+
+def balance_store(spark, sf_dir):
+    """The ledger's posting store, its year-end balances written once."""
+    store = ledger(spark, sf_dir).store
+    if not store.snapshot_years():
+        store.write_snapshots()
+    return store
+
+
+@register("sum_by_root_any_date", " UNION ALL ".join(
+    f"SELECT DATE '{d}' AS date, {INV_OUT} FROM ({SQL_ROOT_AT.format(d=d)})" for d in SNAPSHOT_DATES))
+def q_sum_by_root_any_date(spark, sf_dir):
+    """A13 from stored history: the balances of the year end before each date
+    and the postings after it."""
+    store, out = balance_store(spark, sf_dir), None
+    for d in SNAPSHOT_DATES:
+        one = _inv_out(store.inventory_at(d, BALANCE_SHEET, root_n=2)).withColumn("date", F.lit(d).cast("date"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("networth_any_date", "".join(f""", u{i} AS (SELECT ledger_id, currency, SUM(number) AS units FROM postings
+  WHERE {SQL_ASSETS_LIAB} AND date <= DATE '{d}' GROUP BY ALL),
+p{i} AS (SELECT currency, arg_max(amount, date) AS amount FROM prices WHERE quote = 'USD' AND currency <> 'USD' AND date <= DATE '{d}' GROUP BY currency),
+n{i} AS (SELECT ledger_id, DATE '{d}' AS date, CAST(ROUND(COALESCE(SUM(CASE WHEN currency = 'USD' THEN CAST(units AS DECIMAL(38,6)) WHEN units <> 0 AND amount IS NOT NULL
+  THEN CAST(CAST(units AS DECIMAL(20,2)) * amount AS DECIMAL(38,6)) END), 0), 2) AS DOUBLE) AS net_worth FROM u{i} LEFT JOIN p{i} USING (currency) GROUP BY ledger_id)"""
+    for i, d in enumerate(SNAPSHOT_DATES)) + "\n" + " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(len(SNAPSHOT_DATES))))
+def q_networth_any_date(spark, sf_dir):
+    """N3 for single dates from stored history."""
+    L, store = ledger(spark, sf_dir), balance_store(spark, sf_dir)
+    out = None
+    for d in SNAPSHOT_DATES:
+        held = store.balances_at(d, BALANCE_SHEET, lots=False)
+        one = nw.networth_held(held.groupBy("ledger_id", "currency").agg(F.sum("number").alias("units")), L.prices, d, TARGET)
+        out = one if out is None else out.unionByName(one)
+    return out.select("ledger_id", "date", money("net_worth"))
+
+
 SQL_CONVERTED_AT = f"""
 , inv AS ({SQL_ROOT_AT.format(d=AS_OF)}),
 lp AS (SELECT currency, arg_max(amount, date) AS amount FROM prices WHERE quote = 'USD' AND date <= DATE '{AS_OF}' GROUP BY currency),
@@ -336,7 +381,7 @@ dflt AS (SELECT ledger_id, cur,
 
 
 def _summary(L):
-    return tree.expense_by_year_account(L.postings, L.prices, TARGET)
+    return tree.expense_by_year_account(L.of("^Expenses", ignore_case=True).postings, L.prices, TARGET)
 
 
 @register("expense_by_year_account", SQL_SUMMARY + """
@@ -351,14 +396,14 @@ SELECT y.ledger_id, CAST(y.year AS INTEGER) AS year, y.year = d.cur AS is_curren
   CAST(d.ly AS INTEGER) AS default_left_year, CAST(d.ry AS INTEGER) AS default_right_year
 FROM yrs y JOIN dflt d USING (ledger_id)""")
 def q_available_years(spark, sf_dir):
-    return tree.available_years(tree.expense_accounts(ledger(spark, sf_dir).postings))
+    return tree.available_years(tree.expense_accounts(ledger(spark, sf_dir).of("^Expenses", ignore_case=True).postings))
 
 
 @register("expense_categories", SQL_SUMMARY + """
 SELECT DISTINCT ledger_id, string_split(account, ':')[2] AS category FROM summary
 WHERE starts_with(account, 'Expenses:') AND len(string_split(account, ':')) > 1""")
 def q_expense_categories(spark, sf_dir):
-    return tree.expense_categories(tree.expense_accounts(ledger(spark, sf_dir).postings))
+    return tree.expense_categories(tree.expense_accounts(ledger(spark, sf_dir).of("^Expenses", ignore_case=True).postings))
 
 
 @register("expense_tree", SQL_SUMMARY + """,
@@ -392,6 +437,7 @@ FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency
 WHERE p.account = '{LEAF}' AND year(p.date) IN (1999, 2000)""")
 def q_drill_down(spark, sf_dir):
     L = ledger(spark, sf_dir)
+    L = L.of("^Expenses", ignore_case=True)
     tx = flows.expense_postings(L.postings, L.prices, TARGET)
     leaves = tree.leaf_accounts(tree.expense_accounts(L.postings))
     return tree.drill_down(tx, leaves, LEAF, (1999, 2000)).select(
@@ -405,6 +451,7 @@ SELECT p.ledger_id, p.date, CAST(year(p.date) AS INTEGER) AS year, p.account, p.
 FROM postings p LEFT JOIN lpx ON lpx.currency = p.currency WHERE regexp_matches(p.account, '(?i)^Expenses')""")
 def q_expense_postings(spark, sf_dir):
     L = ledger(spark, sf_dir)
+    L = L.of("^Expenses", ignore_case=True)
     tx = flows.expense_postings(L.postings, L.prices, TARGET)
     return tx.select("ledger_id", "date", "year", "account", "payee", "narration", money("amount"))
 
@@ -414,7 +461,7 @@ SELECT ledger_id, txn_id, line_no, date, CAST(year(date) AS INTEGER) AS year, ac
   CAST(number AS DOUBLE) AS number, currency FROM postings
 WHERE regexp_matches(account, '(?i)Income') AND date >= DATE '1999-01-01' AND date < DATE '2001-01-01'""")
 def q_income_postings(spark, sf_dir):
-    p = flows.income_postings(ledger(spark, sf_dir).postings, (1999, 2000))
+    p = flows.income_postings(ledger(spark, sf_dir).of("Income", "1999-01-01", "2000-12-31", ignore_case=True).postings, (1999, 2000))
     return p.select("ledger_id", "txn_id", "line_no", "date", "year", "account", "payee", "narration",
                     F.col("number").cast("double").alias("number"), "currency")
 
@@ -434,19 +481,19 @@ GROUP BY ALL"""
 
 @register("expenses_by_period", _sql_period("month"))
 def q_expenses_by_period(spark, sf_dir):
-    e = flows.expenses_by_period(ledger(spark, sf_dir).postings, "Month", TARGET, years=(1995, 2001))
+    e = flows.expenses_by_period(ledger(spark, sf_dir).of("Expenses", "1995-01-01", "2001-12-31", ignore_case=True).postings, "Month", TARGET, years=(1995, 2001))
     return e.select("ledger_id", "date", money("amount"))
 
 
 @register("expenses_by_period_week", _sql_period("week"))
 def q_expenses_by_week(spark, sf_dir):
-    e = flows.expenses_by_period(ledger(spark, sf_dir).postings, "Week", TARGET, years=(1995, 2001))
+    e = flows.expenses_by_period(ledger(spark, sf_dir).of("Expenses", "1995-01-01", "2001-12-31", ignore_case=True).postings, "Week", TARGET, years=(1995, 2001))
     return e.select("ledger_id", "date", money("amount"))
 
 
 @register("expenses_by_period_quarter", _sql_period("quarter"))
 def q_expenses_by_quarter(spark, sf_dir):
-    e = flows.expenses_by_period(ledger(spark, sf_dir).postings, "Quarter", TARGET, years=(1995, 2001))
+    e = flows.expenses_by_period(ledger(spark, sf_dir).of("Expenses", "1995-01-01", "2001-12-31", ignore_case=True).postings, "Quarter", TARGET, years=(1995, 2001))
     return e.select("ledger_id", "date", money("amount"))
 
 
@@ -467,14 +514,14 @@ SQL_CONV = "CASE WHEN rate IS NOT NULL THEN number * rate END"
 SELECT ledger_id, CAST(ROUND(SUM({SQL_CONV}), 2) AS DOUBLE) AS balance FROM pp GROUP BY ledger_id""")
 def q_total_spend(spark, sf_dir):
     L = ledger(spark, sf_dir)
-    return flows.total_spend(L.postings, L.prices, "2000-01-01", TARGET).select("ledger_id", money("balance"))
+    return flows.total_spend(L.of("Expenses:", "2000-01-01", ignore_case=True).postings, L.prices, "2000-01-01", TARGET).select("ledger_id", money("balance"))
 
 
 @register("income_total", _sql_cost_src(f"account IN {SQL_INCOME_ACCOUNTS} AND year(date) = {YEAR}") + f"""
 SELECT ledger_id, CAST(ROUND(abs(SUM({SQL_CONV})), 2) AS DOUBLE) AS income FROM pp GROUP BY ledger_id""")
 def q_income_total(spark, sf_dir):
     L = ledger(spark, sf_dir)
-    return flows.income_total(L.postings, L.prices, INCOME_ACCOUNTS, YEAR, TARGET).select("ledger_id", money("income"))
+    return flows.income_total(L.of("^Income:", f"{YEAR}-01-01", f"{YEAR}-12-31").postings, L.prices, INCOME_ACCOUNTS, YEAR, TARGET).select("ledger_id", money("income"))
 
 
 @register("income_by_day", _sql_cost_src(f"account IN {SQL_INCOME_ACCOUNTS} AND year(date) = {YEAR}") + f""",
@@ -511,7 +558,7 @@ SELECT ledger_id, account, l.currency, CAST(ROUND(units, 2) AS DOUBLE) AS units,
   cost_date AS acquisition_date
 FROM lots l LEFT JOIN lr ON lr.currency = l.currency AND lr.quote = l.cost_currency""")
 def q_holdings(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of("^(Assets|Liabilities)(:|$)")
     h = hold.holdings(L.postings, L.prices)
     return h.select("ledger_id", "account", "currency", money("units"), F.col("cost").cast("double").alias("cost"),
                     F.col("price").cast("double").alias("price"), money("book_value"), "book_currency",
@@ -522,7 +569,7 @@ def q_holdings(spark, sf_dir):
 SELECT ledger_id, currency, CAST(ROUND(SUM(number), 2) AS DOUBLE) AS units FROM postings
 WHERE regexp_matches(account, '(?i)Assets:') GROUP BY ALL HAVING SUM(number) <> 0""")
 def q_units_by_commodity(spark, sf_dir):
-    u = hold.units_by_commodity(ledger(spark, sf_dir).postings)
+    u = hold.units_by_commodity(ledger(spark, sf_dir).of("Assets:", ignore_case=True).postings)
     return u.select("ledger_id", "currency", money("units"))
 
 
@@ -570,7 +617,7 @@ FROM n GROUP BY ledger_id, date"""
 def q_networth_eur(spark, sf_dir):
     """Target EUR: USD by the inverse of EUR/USD, commodities through their
     cost currency (CM to USD to EUR)."""
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of(BALANCE_SHEET)
     out = nw.networth_converted(L.postings, L.prices, month_end_spine(START, END), "EUR")
     return out.select("ledger_id", "date", cents("net_worth"))
 
@@ -659,14 +706,14 @@ cv AS (SELECT *, {sql_target('pmt')} AS target, {sql_target('pmt_portfolio_tilt'
 
 
 def _curves(L):
-    n = nw.networth_summator(L.postings, L.prices, FIN_START, FIN_END, TARGET)
+    n = nw.networth_summator(L.of(BALANCE_SHEET).postings, L.prices, FIN_START, FIN_END, TARGET)
     return fin.withdrawal_curves(n)
 
 
 @register("pmt_withdrawal", SQL_CURVES + """
 SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth, CAST(pmt AS DOUBLE) AS pmt, CAST(day_of_year AS INTEGER) AS day_of_year FROM b""")
 def q_pmt_withdrawal(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of(BALANCE_SHEET)
     n = nw.networth_summator(L.postings, L.prices, FIN_START, FIN_END, TARGET)
     b = fin.pmt_withdrawal(n)
     return b.select("ledger_id", "date", money("net_worth"), F.col("pmt").cast("double").alias("pmt"), "day_of_year")
@@ -720,7 +767,7 @@ FROM cv JOIN inc USING (ledger_id, date) JOIN spd USING (ledger_id, date)""")
 def q_delta_trend(spark, sf_dir):
     L = ledger(spark, sf_dir)
     c = _curves(L)
-    both = flows.daily_income_spending(L.postings, L.prices, YEAR, TARGET, income_accounts=INCOME_ACCOUNTS)
+    both = flows.daily_income_spending(L.of("Income|Expenses:", f"{YEAR}-01-01", f"{YEAR}-12-31", ignore_case=True).postings, L.prices, YEAR, TARGET, income_accounts=INCOME_ACCOUNTS)
     t = fin.delta_trend(c, both)
     return t.select("ledger_id", "date", *[money(x) for x in
                                            ("tilt_trend", "tilt_income_trend", "notilt_income_trend")])
@@ -931,16 +978,16 @@ SELECT ledger_id, account, currency, CAST(cost_number AS DOUBLE) AS cost_number,
   CAST(ROUND(number, 2) AS DOUBLE) AS number
 FROM ({SQL_INV_AT.format(acct=SQL_ROOT2, where=SQL_ASSETS_LIAB)})""")
 def q_incremental_balances(spark, sf_dir):
-    """The ingested folder itself is the stream's source, a quarter of its
-    files per batch."""
+    """The ingested folder itself is the stream's source, some of its files
+    per batch; the balances are compacted every second batch."""
     from tallyframe.streaming.balances import balances_stream, latest_state, run_to_table
 
     out, ckpt = _stream_dirs(spark, "incremental_balances")
-    src = f"{ledger_path(spark, sf_dir)}/postings"
-    each = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", each).parquet(src)
-    run_to_table(balances_stream(stream, root_n=2, account_re="Assets|Liabilities"), out, ckpt)
+    store = ledger(spark, sf_dir).store
+    each = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = spark.readStream.schema(store.schema).option("maxFilesPerTrigger", each).parquet(f"{store.path}/postings")
     key = ["ledger_id", "account", "currency", "cost_number", "cost_currency", "cost_date"]
+    run_to_table(balances_stream(stream, root_n=2, account_re=BALANCE_SHEET), out, ckpt, key, every=2)
     return _inv_out(latest_state(spark, out, key).where(F.col("number") != 0))
 
 
@@ -950,20 +997,17 @@ SELECT user_id AS ledger_id, event_type AS account, CAST(date_trunc('month', ts)
 FROM events GROUP BY ALL""")
 def q_streaming_period_expenses(spark, sf_dir):
     """The events table itself is the stream's source.  What is there when
-    a run starts is one batch, so the watermark (which releases closed months)
+    a run starts is one batch, so the watermark (which releases closed days)
     only drops rows that come more than 31 days behind an earlier run."""
-    from tallyframe.streaming.balances import latest_state, period_expenses_stream, run_to_table
+    from tallyframe.streaming.balances import DAY_KEY, latest_state, period_expenses_stream, period_report, run_to_table
 
     out, ckpt = _stream_dirs(spark, "period_expenses")
-    src = f"{sf_dir}/events.parquet"
     # (a pattern, because the table may be one file, and a stream's path must else be a folder)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(f"{src}*").select(
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]").select(
         F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.col("value").cast("decimal(18,6)").alias("value"))
-    agg = period_expenses_stream(stream, "month", ts="ts", ledger="user_id", account="event_type", value="value")
-    run_to_table(agg, out, ckpt)
-    res = latest_state(spark, out, ["ledger_id", "account", "period"])
-    return res.select("ledger_id", "account", F.to_date("period").alias("period"),
-                      F.col("amount").cast("double").alias("amount"))
+    agg = period_expenses_stream(stream, ts="ts", ledger="user_id", account="event_type", value="value")
+    run_to_table(agg, out, ckpt, DAY_KEY)
+    return period_report(latest_state(spark, out, DAY_KEY), "month").withColumn("amount", F.col("amount").cast("double"))
 
 
 # ------------------------------------------------------------ reshaping / display
@@ -971,7 +1015,7 @@ def q_streaming_period_expenses(spark, sf_dir):
 SELECT ledger_id, date, CAST(ROUND(v, 2) AS DOUBLE) AS net_worth FROM n
 QUALIFY rank() OVER (PARTITION BY ledger_id ORDER BY date DESC) = 1""")
 def q_latest_points(spark, sf_dir):
-    L = ledger(spark, sf_dir)
+    L = ledger(spark, sf_dir).of(BALANCE_SHEET)
     d = nw.networth_daily(L.postings, L.prices, START, END, TARGET)
     return fin.latest_points(d).select("ledger_id", "date", money("net_worth"))
 
@@ -1019,6 +1063,7 @@ def q_drill_down_display(spark, sf_dir):
 
 def q_drill_down_raw(spark, sf_dir):
     L = ledger(spark, sf_dir)
+    L = L.of("^Expenses", ignore_case=True)
     tx = flows.expense_postings(L.postings, L.prices, TARGET)
     leaves = tree.leaf_accounts(tree.expense_accounts(L.postings))
     return tree.drill_down(tx, leaves, LEAF, (1999, 2000))
@@ -1034,14 +1079,13 @@ def _text_ledger(spark, sf_dir):
     """Render the ledger tables as plaintext ledger files (one folder per
     ledger, several files each) once per session, and parse them back with
     the text ingest.  Returns (parsed tables, ledger id column)."""
-    import os
     import uuid
 
     from tallyframe.session import path_exists, scratch_path
     from tallyframe.sources.ledger_text import load_ledger
     from tallyframe.sources.star import star_bad_lines, star_ledger_directives, star_ledger_opens, star_ledger_text
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, ledger_path(spark, sf_dir))
     src = _RENDERED.get(key)
     if src is None or not path_exists(spark, f"{src}/_SUCCESS"):
         src = scratch_path(spark, f"ledger-text-{uuid.uuid4().hex[:12]}")
@@ -1058,18 +1102,50 @@ def _text_ledger(spark, sf_dir):
     return t, lid
 
 
-@register("load_ledger", """
+SQL_LOAD = """
 SELECT ledger_id, date, payee, narration, account, CAST(number AS DOUBLE) AS number, currency,
-  CAST(cost_number AS DOUBLE) AS cost_number, cost_currency, cost_date FROM postings""")
-def q_load_ledger(spark, sf_dir):
-    """Plaintext ledgers derived from the given tables, ingested with the
-    text parser; the parsed postings equal the postings they came from."""
-    t, lid = _text_ledger(spark, sf_dir)
+  CAST(cost_number AS DOUBLE) AS cost_number, cost_currency, cost_date FROM postings"""
+
+
+def _parsed_postings(t, lid):
     return t.postings.select(lid, "date", "payee", "narration", "account",
                              F.col("number").cast("double").alias("number"), "currency",
                              F.col("cost_number").cast("double").alias("cost_number"), "cost_currency", "cost_date")
 
 
+@register("load_ledger", SQL_LOAD)
+def q_load_ledger(spark, sf_dir):
+    """Plaintext ledgers derived from the given tables, ingested with the
+    text parser; the parsed postings equal the postings they came from."""
+    return _parsed_postings(*_text_ledger(spark, sf_dir))
+
+
+@register("load_ledger_incremental", SQL_LOAD)
+def q_load_ledger_incremental(spark, sf_dir):
+    """S1, continuous: the same files read as a stream, some per batch, and
+    merged into the tables of a ledger store."""
+    from tallyframe.streaming.ledger_files import LedgerStore
+
+    _, lid = _text_ledger(spark, sf_dir)
+    store = LedgerStore(spark, _stream_dirs(spark, "ledger_store")[0])
+    store.ingest(_RENDERED[spark.sparkContext.applicationId, ledger_path(spark, sf_dir)],
+                 files_per_batch=4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _parsed_postings(store.tables(), lid)
+
+
+@register("load_ledger_text", SQL_LOAD)
+def q_load_ledger_text(spark, sf_dir):
+    """Texts held in a table, one ledger a payee, parsed without files."""
+    from tallyframe.sources.ledger_text import load_ledger_text
+    from tallyframe.sources.star import star_ledger_text
+
+    L = ledger(spark, sf_dir)
+    payee = F.regexp_extract("block", r'\* "([^"]*)"', 1)
+    texts = star_ledger_text(L.postings).groupBy("ledger_id", payee.alias("payee")).agg(F.array_join(F.collect_list("block"), "\n").alias("text"))
+    t = load_ledger_text(spark, texts.select(F.concat(F.lit("ledger_id="), F.col("ledger_id").cast("string"), F.lit("/"), F.col("payee")).alias("ledger_id"), "text"))
+    return _parsed_postings(t, F.regexp_extract(F.col("ledger_id"), r"ledger_id=(-?\d+)", 1).cast("int").alias("ledger_id"))
+
+
 @register("scan_prices", """
 SELECT -1 AS ledger_id, date, currency, CAST(amount AS DOUBLE) AS amount, quote FROM prices""")
 def q_scan_prices(spark, sf_dir):
@@ -1293,7 +1369,7 @@ def q_round_thousand(spark, sf_dir):
 
 @register("expenses_by_period_year", _sql_period("year"))
 def q_expenses_by_year(spark, sf_dir):
-    e = flows.expenses_by_period(ledger(spark, sf_dir).postings, "Year", TARGET, years=(1995, 2001))
+    e = flows.expenses_by_period(ledger(spark, sf_dir).of("Expenses", "1995-01-01", "2001-12-31", ignore_case=True).postings, "Year", TARGET, years=(1995, 2001))
     return e.select("ledger_id", "date", money("amount"))
 
 

@@ -80,3 +80,30 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete sub-folders of a folder: those with _SUCCESS."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    fs = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getParent().getName() for s in fs.globStatus(found) or [])
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def file_stamps(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and times of the files of tables (files or folders): they
+    change when a table is replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        for pattern in (path, f"{path}/*"):
+            p = jvm.org.apache.hadoop.fs.Path(pattern)
+            for s in p.getFileSystem(conf).globStatus(p) or []:
+                out.append(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}")
+    return "|".join(sorted(out))

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.sources.store import PostingStore, write_store
+
 M2 = "decimal(18,2)"
 M4 = "decimal(18,4)"
 
@@ -181,6 +183,12 @@ def star_households(spark: SparkSession, sf_dir: str) -> DataFrame:
 class StarLedger:
     postings: DataFrame
     prices: DataFrame
+    store: PostingStore
+
+    def of(self, accounts: str | None = None, start=None, end=None, *, ignore_case: bool = False) -> StarLedger:
+        """The same ledger with the postings of matching accounts and dates
+        only; files of other account types and years are not read."""
+        return StarLedger(self.store.postings(accounts, start, end, ignore_case=ignore_case), self.prices, self.store)
 
 
 def materialize_star_ledger(spark: SparkSession, sf_dir: str, path: str, *, files: int | None = None,
@@ -190,27 +198,20 @@ def materialize_star_ledger(spark: SparkSession, sf_dir: str, path: str, *, file
 
     This mirrors the reference's lifecycle - load the ledger once, then run
     many queries on the loaded entries - and gives later queries a columnar
-    table with pruning instead of a star join per query.
-
-    Layout: a round-robin repartition into ``files`` parts (default
-    ``spark.sql.shuffle.partitions``, i.e. what the deployment sized for the
-    data; round-robin cannot skew), rows sorted by date inside each part so
-    row-group statistics prune date ranges, and at most
-    ``max_rows_per_file`` rows per file.  A failed write is simply redone
-    (overwrite).
+    table with pruning instead of a star join per query.  The layout of the
+    postings is that of :mod:`tallyframe.sources.store`.  A failed write is
+    simply redone (overwrite).
     """
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    (star_postings(star_base(spark, sf_dir)).repartition(files).sortWithinPartitions("date")
-     .write.option("maxRecordsPerFile", max_rows_per_file).mode("overwrite").parquet(f"{path}/postings"))
-    postings = spark.read.parquet(f"{path}/postings")
-    (star_prices(spark, sf_dir, postings).repartition(max(1, files // 4)).sortWithinPartitions("currency", "date")
+    store = write_store(star_postings(star_base(spark, sf_dir)), path, files=files, max_rows_per_file=max_rows_per_file)
+    (star_prices(spark, sf_dir, store.postings()).repartition(max(1, files // 4)).sortWithinPartitions("currency", "date")
      .write.option("maxRecordsPerFile", max_rows_per_file).mode("overwrite").parquet(f"{path}/prices"))
     return read_star_ledger(spark, path)
 
 
 def read_star_ledger(spark: SparkSession, path: str) -> StarLedger:
-    return StarLedger(postings=spark.read.parquet(f"{path}/postings"),
-                      prices=spark.read.parquet(f"{path}/prices"))
+    store = PostingStore(spark, path)
+    return StarLedger(postings=store.postings(), prices=spark.read.parquet(f"{path}/prices"), store=store)
 
 
 def star_ledger_text(postings: DataFrame) -> DataFrame:
