@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,10 +71,14 @@ def is_balance_sheet(account: str | Column = "account") -> Column:
 
 def classify_account(
     account: str | Column = "account",
-    rules: Sequence[tuple[str, str | re.Pattern]] | None = None,
+    rules: Sequence[tuple[str, str | re.Pattern]] | Callable[[Column], Column] | None = None,
     default: str = OTHER_CATEGORY,
 ) -> Column:
-    """Ordered (category, regex) rules compiled to one CASE WHEN chain."""
+    """Ordered (category, regex) rules compiled to one CASE WHEN chain, or a
+    function from the account column to the category column; accounts that it
+    gives NULL are ``default``."""
+    if callable(rules):
+        return F.coalesce(rules(_col(account)), F.lit(default))
     rules = DEFAULT_ACCOUNT_CATEGORIES if rules is None else rules
     expr = F.lit(default)
     for name, pattern in reversed(list(rules)):

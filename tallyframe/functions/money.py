@@ -26,13 +26,26 @@ def cost_currency(currency="currency", cost_currency="cost_currency") -> Column:
     return F.coalesce(_c(cost_currency), _c(currency))
 
 
+# A weight has 16 decimals: the product of two amounts of 8.  Amounts and prices
+# too large for an exact product are multiplied to 6 decimals.
+WEIGHT = "decimal(38,16)"
+EXACT_UNITS, EXACT_PRICE = "decimal(19,8)", "decimal(18,8)"
+
+
+def _product(n: Column, price: Column) -> Column:
+    small = (F.abs(n) < 10**11) & (F.abs(price) < 10**10)
+    exact = F.when(small, n).cast(EXACT_UNITS) * F.when(small, price).cast(EXACT_PRICE)
+    return F.when(small, exact).otherwise((n * price).cast(WEIGHT))
+
+
 def weight_number() -> Column:
     """What a posting counts toward its transaction's balance: units at cost,
-    else at price, else the units."""
+    else at price, else the units.  DECIMAL(38,16)."""
     n, price = F.col("number"), F.col("price_number")
-    return F.when(F.col("cost_number").isNotNull(), n * F.col("cost_number")) \
-        .when(price.isNotNull() & F.col("price_is_total"), F.signum(n) * price) \
-        .when(price.isNotNull(), n * price).otherwise(n)
+    total = F.when(n < 0, -price).when(n > 0, price).otherwise(F.lit(0))
+    return F.when(F.col("cost_number").isNotNull(), _product(n, F.col("cost_number"))) \
+        .when(price.isNotNull() & F.col("price_is_total"), total.cast(WEIGHT)) \
+        .when(price.isNotNull(), _product(n, price)).otherwise(n.cast(WEIGHT))
 
 
 def weight_currency() -> Column:

@@ -13,6 +13,10 @@ than by the number of postings:
   on a spine - tag series rows and distinct probe points, union them and carry
   the latest value forward with ``last(..., ignorenulls)`` over a window
   partitioned by the key and ordered by date.
+* :func:`asof_join`: for unaggregated rows, when one key may hold a large share
+  of them.  Time is cut into buckets; every bucket knows the series points in
+  it and the value carried into it, so rows only need an equi-join by (key,
+  bucket) and no window ever holds them.
 
 Spines are ARRAY<DATE> columns (a parameter list, a generated ``sequence``, or
 a small DataFrame turned into a scalar subquery) or a symbolic
@@ -26,6 +30,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TAG = "__asof_tag"
 _VAL = "__asof_val"
@@ -71,6 +76,49 @@ def asof_lookup(
     )
 
 
+def _instant(df: DataFrame, on: str) -> Column:
+    """A date or time column as a number: days or microseconds."""
+    kind = df.schema[on].dataType
+    return F.unix_date(on).cast("long") if isinstance(kind, T.DateType) else F.unix_micros(F.col(on).cast("timestamp"))
+
+
+def asof_join(points: DataFrame, series: DataFrame, by: Sequence[str], values: Sequence[str], on: str = "date", *,
+              inclusive: bool = True, days: float = 32, spread: int = 8) -> DataFrame:
+    """:func:`asof_lookup` for rows of any number and skew.
+
+    Buckets are ``days`` long.  The series' points are gathered by (key,
+    bucket), and one window over *buckets* (not rows) carries each key's last
+    value before a bucket into every bucket that has rows.  Rows then join that
+    table by (key, bucket) and pick the last point not after them from its
+    short array.  Each entry is copied ``spread`` times and the rows of a bucket
+    are dealt over the copies, so that one key's busiest bucket is still many
+    tasks.  What one task holds is the series' points of one bucket: choose
+    ``days`` so that they are few (32 for a daily series).
+
+    ``series`` must have at most one row per (by, on) and its ``on`` column the
+    same type as that of ``points``.  Rows with a null key or time, and rows
+    before a key's first point, get NULL values; series rows with a null time
+    play no part.
+    """
+    by, values = list(by), list(values)
+    width = max(1, round(days * (1 if isinstance(points.schema[on].dataType, T.DateType) else 86_400_000_000)))
+    s = series.where(F.col(on).isNotNull()).select(*by, _instant(series, on).alias("__at"), F.struct(*values).alias(_VAL))
+    held = s.withColumn("__b", F.col("__at") - F.pmod("__at", F.lit(width))).groupBy(*by, "__b").agg(
+        F.array_sort(F.collect_list(F.struct("__at", _VAL))).alias("__pts"))
+    rows = points.withColumn("__at", _instant(points, on))
+    rows = rows.withColumn("__b", F.col("__at") - F.pmod("__at", F.lit(width)))
+    wanted = rows.select(*by, "__b").distinct().withColumn("__want", F.lit(True))
+    w = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    final = F.get(F.col("__pts"), F.size("__pts") - 1)[_VAL]
+    table = wanted.join(held, [*by, "__b"], "full").withColumn("__carry", F.last(final, ignorenulls=True).over(w)).where("__want") \
+        .select(*by, "__b", "__pts", "__carry", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__s"))
+    found = rows.withColumn("__s", F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int")) \
+        .join(table, [*by, "__b", "__s"], "left")
+    before = F.filter("__pts", lambda p: (p["__at"] <= F.col("__at")) if inclusive else (p["__at"] < F.col("__at")))
+    value = F.coalesce(F.get(before, F.size(before) - 1)[_VAL], F.col("__carry"))
+    return found.withColumn(_VAL, value).select(*points.columns, *(F.col(f"{_VAL}.{v}").alias(v) for v in values))
+
+
 def latest_value(series: DataFrame, by: Sequence[str], values: Sequence[str], on: str = "date") -> DataFrame:
     """The last row of each ``by`` group (an as-of lookup at +infinity);
     a plain aggregation with partial (map-side) combine."""

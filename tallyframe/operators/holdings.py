@@ -56,10 +56,23 @@ def units_by_commodity(postings: DataFrame, account_re: str = "Assets:", *,
     return out if keep_zero else out.where(F.col("units") != 0)
 
 
-def units_pivot(units: DataFrame, currencies: Sequence[str], *, keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
-    """One column per currency (the wide presentation); the currency list is
-    explicit so the pivot needs no extra pass."""
-    return units.groupBy(*keys).pivot("currency", list(currencies)).agg(F.first("units"))
+def units_pivot(units: DataFrame, currencies: Sequence[str], *, keys: Sequence[str] = ("ledger_id",),
+                others: str | None = None) -> DataFrame:
+    """One column per currency (the wide presentation, U5); the currency list is
+    explicit, so the pivot needs no extra pass.  Units of a currency outside the
+    list are never lost: the query fails and names one, or, with ``others``,
+    that column holds the rest as an array of (currency, units)."""
+    listed = F.col("currency").isin(list(currencies))
+    one = lambda c: F.first(F.when(F.col("currency") == c, F.col("units")), ignorenulls=True)
+    if others is not None:
+        rest = F.array_sort(F.collect_list(F.when(~F.coalesce(listed, F.lit(False)), F.struct("currency", "units"))))
+        return units.groupBy(*keys).agg(*(one(c).alias(c) for c in currencies), rest.alias(others))
+    stray = F.max(F.when(~F.coalesce(listed, F.lit(False)), F.coalesce("currency", F.lit("NULL"))))
+    wide = units.groupBy(*keys).agg(*(one(c).alias(c) for c in currencies), stray.alias("__stray"))
+    message = F.concat(F.lit("units_pivot: no column for currency "), F.col("__stray"))
+    # in every column, so that no choice of columns prunes the check
+    return wide.select(*keys, *(F.when(F.col("__stray").isNotNull(), F.raise_error(message)).otherwise(F.col(c)).alias(c)
+                                for c in currencies))
 
 
 def holdings_snapshot(postings: DataFrame, ignored: Sequence[str] = IGNORED_SNAPSHOT_CURRENCIES, *,

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.accounts import account_match, account_root
-from tallyframe.operators.prices import convert
+from tallyframe.operators.prices import broadcast_if_small, convert
 from tallyframe.session import scratch_path
 
 LOT = ["cost_number", "cost_currency", "cost_date"]
@@ -122,21 +122,32 @@ def _tolerance(tolerance: float | Mapping[str, float]) -> Column:
     return F.lit(str(tolerance)).cast("decimal(38,18)")
 
 
-def clean_small(inventory: DataFrame, tolerance: float | Mapping[str, float], *,
+def _with_tolerance(inventory: DataFrame, tolerance: float | Mapping[str, float] | DataFrame) -> tuple[DataFrame, Column]:
+    """The inventory and each row's tolerance.  A table (currency, tolerance),
+    or with key columns of the inventory too, is joined; the largest value
+    holds where a currency has several, and it is broadcast if counted small."""
+    if not isinstance(tolerance, DataFrame):
+        return inventory, _tolerance(tolerance)
+    on = [c for c in tolerance.columns if c != "tolerance"]
+    table = tolerance.groupBy(*on).agg(F.max("tolerance").cast("decimal(38,18)").alias("__tol"))
+    return inventory.join(broadcast_if_small(table), on, "left"), F.coalesce("__tol", F.lit(0).cast("decimal(38,18)"))
+
+
+def clean_small(inventory: DataFrame, tolerance: float | Mapping[str, float] | DataFrame, *,
                 keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
-    """Drop accounts whose every position is within ``tolerance`` (a number,
-    or a per-currency map where missing currencies get 0)."""
-    tol = _tolerance(tolerance)
-    big = inventory.groupBy(*keys, "account").agg(
+    """Drop accounts whose every position is within ``tolerance``: a number, or
+    a per-currency map or table where missing currencies get 0."""
+    inv, tol = _with_tolerance(inventory, tolerance)
+    big = inv.groupBy(*keys, "account").agg(
         F.bool_or(F.abs(F.col("number")) > tol).alias("__big")
     ).where("__big").drop("__big")
     return inventory.join(big, [*keys, "account"], "left_semi")
 
 
-def is_small(inventory: DataFrame, tolerance: float | Mapping[str, float], *,
+def is_small(inventory: DataFrame, tolerance: float | Mapping[str, float] | DataFrame, *,
              keys: Sequence[str] = ("ledger_id",)) -> DataFrame:
-    tol = _tolerance(tolerance)
-    return inventory.groupBy(*keys).agg(
+    inv, tol = _with_tolerance(inventory, tolerance)
+    return inv.groupBy(*keys).agg(
         F.coalesce(F.bool_and(F.abs(F.col("number")) <= tol), F.lit(True)).alias("is_small")
     )
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from tallyframe.operators.asof import explode_intervals, latest_value
+from tallyframe.operators.asof import asof_join, explode_intervals, latest_value
 
 RATE = "decimal(38,18)"
 CONVERTED = "decimal(38,6)"  # converted amounts: exact for 2-decimal units x 4-decimal prices
@@ -132,8 +132,9 @@ def convert(
 
     When every row's date is a date of a known spine, pass it as ``spine``
     so the rate calendar is built only for those dates.  ``row_level``: the
-    rows are not aggregated; a latest-rate table counted to be small is then
-    broadcast, so that no currency's rows meet in one task.
+    rows are not aggregated, and no currency's rows may meet in one task: a
+    latest-rate table counted to be small is then broadcast, and rates at the
+    rows' dates are found by the bucketed :func:`asof_join`.
 
     The calendar (and tail) DataFrames are joined once per role (direct, and
     the two hops through ``via``) under different aliases of the *same*
@@ -150,10 +151,21 @@ def convert(
         cal, tail = latest_rates(rates, keys), None
         if row_level:
             cal = broadcast_if_small(cal)
+    elif row_level:
+        cal, tail = rates, None
     else:
         cal, tail = rate_calendar(rates, spine, keys=keys)
 
+    def lookup_rows(frame: DataFrame, base_col: str, quote, name: str) -> DataFrame:
+        at = frame.withColumns({"__base": F.col(base_col), "__quote": frame[quote] if isinstance(quote, str) else quote,
+                                "__on": F.col(date).cast("date")})
+        series = rates.select(*own, F.col("base").alias("__base"), F.col("quote").alias("__quote"), F.col("date").alias("__on"),
+                              F.col("rate").alias(name))
+        return asof_join(at, series, [*own, "__base", "__quote"], [name], on="__on").drop("__base", "__quote", "__on")
+
     def lookup(frame: DataFrame, base_col: str, quote, name: str, tag: str) -> DataFrame:
+        if row_level and date is not None:
+            return lookup_rows(frame, base_col, quote, name)
         c = cal.alias(f"c_{tag}")
         q = frame[quote] if isinstance(quote, str) else quote
         cond = (frame[base_col] == F.col(f"c_{tag}.base")) & (q == F.col(f"c_{tag}.quote"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import day_of_year, days_in_year, floor_thousand, least_of, pmt, pv
+from tallyframe.operators.asof import asof_join
 
 # Fixed values of the reference's spending notebooks.
 WITHDRAWAL_RATE = 0.031
@@ -37,6 +38,20 @@ def rate_schedule(date: str | Column = "date", steps=RATE_STEPS) -> Column:
     return expr
 
 
+def rate_steps(points: DataFrame, steps: DataFrame, by: Sequence[str] = (), *, on: str = "date", effective: str = "effective",
+               rate: str = "rate") -> DataFrame:
+    """S13 / J8 in general: ``points`` with the ``rate`` of the step that holds
+    at each row's date, from a table (by, effective, rate) of any number of
+    steps on any dates; before the first step the rate is NULL.  Of steps of
+    one ``by`` and date the largest rate holds."""
+    one = steps.where(F.col(effective).isNotNull()).groupBy(*by, effective).agg(F.max(rate).alias(rate))
+    keys = list(by) or ["__all"]
+    if not by:  # a constant key; its rows are dealt over buckets and copies
+        points, one = points.withColumn("__all", F.lit(0)), one.withColumn("__all", F.lit(0))
+    out = asof_join(points, one.withColumnRenamed(effective, on), keys, [rate], on, days=366)
+    return out.drop("__all")
+
+
 def money2(c: Column) -> Column:
     """A double amount to DECIMAL(18,2), rounded half-up to cents.
 

@@ -17,6 +17,7 @@ from tallyframe.functions import accounts as acc
 from tallyframe.operators import actuarial as act, checks, flows, gaps, holdings as hold, inventory as inv, tree
 from tallyframe.operators.asof import month_end_spine
 from tallyframe.operators.prices import convert
+from tallyframe.operators.ranking import global_rank
 from tallyframe.plans import finance as fin, networth as nw
 from tallyframe.plans.oracle import with_prelude
 from tallyframe.plans.report import cents, money, ratio
@@ -1260,8 +1261,8 @@ def q_ledger_errors_text(spark, sf_dir):
 def ranked_accounts(df: DataFrame, order, name: str = "account_rank") -> DataFrame:
     """``df`` with its account's position among its ledger's accounts: ranked
     over the distinct accounts, not over the rows."""
-    w = Window.partitionBy("ledger_id").orderBy(order)
-    return df.join(df.select("ledger_id", "account").distinct().withColumn(name, F.row_number().over(w)), ["ledger_id", "account"])
+    ranks = global_rank(df.select("ledger_id", "account").distinct().withColumn("__order", order), ["__order"], name, by=["ledger_id"])
+    return df.join(ranks.drop("__order"), ["ledger_id", "account"])
 
 
 @register("holdings_order", f"""
@@ -1287,8 +1288,8 @@ SELECT cv.ledger_id, cv.date, CAST(row_number() OVER (PARTITION BY cv.ledger_id
 FROM cv JOIN inc USING (ledger_id, date) JOIN spd USING (ledger_id, date)""")
 def q_trend_order(spark, sf_dir):
     """O3: the trend in date order (one row per day and ledger)."""
-    w = Window.partitionBy("ledger_id").orderBy("date")
-    return q_delta_trend(spark, sf_dir).select("ledger_id", "date", F.row_number().over(w).alias("day_rank"), "tilt_trend")
+    trend = q_delta_trend(spark, sf_dir).select("ledger_id", "date", "tilt_trend")
+    return global_rank(trend, ["date"], "day_rank", by=["ledger_id"])
 
 
 @register("accounts_sorted", f"""
@@ -1305,15 +1306,14 @@ def q_accounts_sorted(spark, sf_dir):
 cs AS (SELECT DISTINCT currency FROM prices),
 g AS (SELECT CAST(d AS DATE) AS date, currency FROM b, cs, generate_series(b.lo, b.hi, INTERVAL 1 DAY) t(d)),
 m AS (SELECT date, currency FROM g ANTI JOIN (SELECT DISTINCT currency, date FROM prices) p USING (currency, date))
-SELECT date, currency, CAST(dense_rank() OVER (PARTITION BY year(date) ORDER BY date) AS INTEGER) AS day_rank,
-  CAST(row_number() OVER (PARTITION BY date ORDER BY currency) AS INTEGER) AS currency_rank FROM m""")
+SELECT date, currency, CAST(dense_rank() OVER (ORDER BY date) AS INTEGER) AS day_rank,
+  CAST(row_number() OVER (ORDER BY date, currency) AS INTEGER) AS row_rank FROM m""")
 def q_missing_order(spark, sf_dir):
-    """Missing price days by date, then currency; days are numbered within
-    their year."""
-    m = gaps.missing_prices(ledger(spark, sf_dir).prices)
-    day = Window.partitionBy(F.year("date")).orderBy("date")
-    days = m.select("date").distinct().withColumn("day_rank", F.row_number().over(day))
-    return m.join(days, "date").withColumn("currency_rank", F.row_number().over(Window.partitionBy("date").orderBy("currency")))
+    """Missing price days by date, then currency, ranked over the whole
+    series."""
+    m = gaps.missing_prices(ledger(spark, sf_dir).prices).select("date", "currency")
+    days = global_rank(m.select("date").distinct(), ["date"], "day_rank")
+    return global_rank(m, ["date", "currency"], "row_rank").join(days, "date").select("date", "currency", "day_rank", "row_rank")
 
 
 # ------------------------------------------------------------ S9, S13, W10, X13, A8 Year, F6 invert
@@ -1386,3 +1386,78 @@ def q_expense_tree_invert(spark, sf_dir):
     L = ledger(spark, sf_dir)
     t = tree.expense_tree(_summary(L), exclude=["LARGE"], invert=True, with_total=False)
     return t.select("ledger_id", "path", money("left_amount"), money("right_amount"))
+
+
+@register("units_by_commodity_rest", """
+, u AS (SELECT ledger_id, currency, SUM(number) AS units FROM postings WHERE regexp_matches(account, '(?i)Assets:') GROUP BY ALL)
+SELECT ledger_id, CAST(ROUND(SUM(units) FILTER (WHERE currency = 'USD'), 2) AS DOUBLE) AS USD,
+  CAST(ROUND(SUM(units) FILTER (WHERE currency = 'EUR'), 2) AS DOUBLE) AS EUR,
+  coalesce(string_agg(currency || ' ' || CAST(CAST(units AS DECIMAL(38,2)) AS VARCHAR), ', ' ORDER BY currency) FILTER (WHERE currency NOT IN ('USD', 'EUR')), '') AS rest
+FROM u GROUP BY ledger_id""")
+def q_units_by_commodity_rest(spark, sf_dir):
+    """U5 with two columns of its own and every other currency in the last."""
+    u = hold.units_by_commodity(ledger(spark, sf_dir).of("Assets:", ignore_case=True).postings, keep_zero=True)
+    wide = hold.units_pivot(u, ["USD", "EUR"], others="rest")
+    one = F.transform("rest", lambda x: F.concat(x["currency"], F.lit(" "), x["units"].cast("decimal(38,2)").cast("string")))
+    return wide.select("ledger_id", money("USD"), money("EUR"), F.array_join(one, ", ").alias("rest"))
+
+
+@register("postings_converted", f"""
+, {SQL_USD_PX}, src AS (SELECT * FROM postings),
+{SQL_POSTING_PX}
+SELECT ledger_id, txn_id, line_no, date, account, CASE WHEN rate IS NOT NULL THEN 'USD' ELSE currency END AS currency,
+  CAST(ROUND(CASE WHEN rate IS NOT NULL THEN CAST(number * rate AS DECIMAL(38,6)) ELSE CAST(number AS DECIMAL(38,6)) END, 2) AS DOUBLE) AS number
+FROM pp""")
+def q_postings_converted(spark, sf_dir):
+    """J1 on single rows: every posting at the rate of its own date."""
+    L = ledger(spark, sf_dir)
+    c = convert(L.postings, L.prices, TARGET, via=None, inverse=False, row_level=True)
+    return c.select("ledger_id", "txn_id", "line_no", "date", "account", F.col("conv_currency").alias("currency"),
+                    money("conv_number").alias("number"))
+
+
+@register("rate_schedule_steps", """
+, steps AS (SELECT ledger_id, min(date) AS effective, CAST(0.030 + (year(date) % 5) * 0.001 + ledger_id * 0.0001 AS DECIMAL(8,4)) AS rate
+            FROM postings GROUP BY ledger_id, year(date)
+            UNION ALL SELECT ledger_id, max(date), CAST(0.02 AS DECIMAL(8,4)) FROM postings WHERE year(date) = 1997 GROUP BY ledger_id),
+d AS (SELECT DISTINCT ledger_id, date FROM postings)
+SELECT d.ledger_id, d.date, CAST(s.rate AS DOUBLE) AS rate FROM d ASOF LEFT JOIN
+  (SELECT ledger_id, effective, max(rate) AS rate FROM steps GROUP BY ALL) s ON s.ledger_id = d.ledger_id AND s.effective <= d.date""")
+def q_rate_schedule_steps(spark, sf_dir):
+    """S13 / J8 in general: each ledger's own steps, one a year on its first
+    posting day, and a cut at the end of 1997."""
+    p = ledger(spark, sf_dir).postings.select("ledger_id", "date")
+    year = F.year("date")
+    rate = (F.lit("0.030").cast("decimal(8,4)") + (year % 5) * F.lit("0.001").cast("decimal(8,4)") + F.col("ledger_id") * F.lit("0.0001").cast("decimal(8,4)"))
+    steps = p.groupBy("ledger_id", year.alias("y")).agg(F.min("date").alias("date")).select(
+        "ledger_id", F.col("date").alias("effective"), rate.cast("decimal(8,4)").alias("rate"))
+    cut = p.where(year == 1997).groupBy("ledger_id").agg(F.max("date").alias("effective")).withColumn("rate", F.lit("0.02").cast("decimal(8,4)"))
+    out = fin.rate_steps(p.distinct(), steps.unionByName(cut), ["ledger_id"])
+    return out.select("ledger_id", "date", F.col("rate").cast("double").alias("rate"))
+
+
+@register("ledger_errors_tolerance", """
+, o AS (SELECT o_custkey AS ledger_id, o_orderkey AS k, CAST(o_orderdate AS DATE) AS date, o_orderkey % 3 = 0 AS beyond, o_orderkey % 4 AS c FROM orders)
+SELECT ledger_id, 'unbalanced' AS kind, date, ['JPY', 'USD', 'SHR', 'CHF'][c + 1] AS currency,
+  -[1, 0.006, 0.0000006, 0.01][c + 1]::DOUBLE AS diff FROM o WHERE beyond""")
+def q_ledger_errors_tolerance(spark, sf_dir):
+    """S3 with tolerances inferred from how amounts are written: whole yen
+    exactly, cents to half a cent, six-digit shares to half a millionth."""
+    from tallyframe.sources.ledger_text import load_ledger_text
+    from tallyframe.sources.star import star_precision_text
+
+    t = load_ledger_text(spark, star_precision_text(spark, sf_dir))
+    e = checks.ledger_errors(t.postings, t.balances)
+    return e.select(F.col("ledger_id").cast("long").alias("ledger_id"), "kind", "date", "currency", F.col("diff").cast("double").alias("diff"))
+
+
+@register("clean_small_table", f"""
+, i AS ({SQL_ROOT_AT.format(d=AS_OF)}),
+tol AS (SELECT ledger_id, currency, max(abs(number)) * 20 AS t FROM postings WHERE currency <> 'HRS' GROUP BY ALL),
+big AS (SELECT ledger_id, account FROM i LEFT JOIN tol USING (ledger_id, currency) GROUP BY ALL HAVING bool_or(abs(number) > coalesce(t, 0)))
+SELECT {INV_OUT} FROM i SEMI JOIN big USING (ledger_id, account)""")
+def q_clean_small_table(spark, sf_dir):
+    """F12 with a table of tolerances by ledger and currency."""
+    L = ledger(spark, sf_dir)
+    tol = L.postings.where("currency <> 'HRS'").groupBy("ledger_id", "currency").agg((F.max(F.abs("number")) * 20).alias("tolerance"))
+    return _inv_out(inv.clean_small(_root_at(L, AS_OF), tol))

@@ -288,3 +288,29 @@ def star_bad_lines(postings: DataFrame) -> DataFrame:
         line = F.replace(F.lit(pattern), F.lit("{}"), F.col("txn_id").cast("string"))
         text = F.when(F.col("txn_id") % len(BAD_LINES) == k, line).otherwise(text)
     return ids.select("ledger_id", text.alias("block"))
+
+
+# Fixed by the adapter: how the amounts of an order's transaction are written,
+# by its key's remainder: currency, digits of the first leg's amount, digits of
+# the second's, and what it is off by, within the inferred tolerance and beyond.
+PRECISIONS = [("JPY", 0, 0, ("0", "1")), ("USD", 2, 3, ("0.004", "0.006")),
+              ("SHR", 6, 7, ("0.0000004", "0.0000006")), ("CHF", 2, 2, ("0", "0.01"))]
+
+
+def star_precision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ledger_id, text): a ledger for each customer, a transaction for each
+    order, in yen, cents and shares of six digits; every third order is off by
+    more than its amounts' digits allow."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("date"))
+    first, second, currency = (F.lit(None).cast("string") for _ in range(3))
+    for i, (ccy, digits, other, (within, beyond)) in enumerate(PRECISIONS):
+        here = F.col("o_orderkey") % len(PRECISIONS) == i
+        n = (F.col("o_orderkey").cast("decimal(20,0)") / F.lit(10 ** digits)).cast(f"decimal(28,{digits})")
+        off = F.when(F.col("o_orderkey") % 3 == 0, F.lit(beyond)).otherwise(F.lit(within)).cast("decimal(20,7)")
+        first = F.when(here, n.cast("string")).otherwise(first)
+        second = F.when(here, (-n - off).cast(f"decimal(28,{other})").cast("string")).otherwise(second)
+        currency = F.when(here, F.lit(ccy)).otherwise(currency)
+    block = F.concat(F.col("date").cast("string"), F.lit(' * "order '), F.col("o_orderkey").cast("string"), F.lit('"\n  Expenses:Travel  '),
+                     first, F.lit(" "), currency, F.lit("\n  Assets:Cash  "), second, F.lit(" "), currency, F.lit("\n"))
+    return o.select(F.col("o_custkey").cast("string").alias("ledger_id"), block.alias("block")) \
+        .groupBy("ledger_id").agg(F.array_join(F.collect_list("block"), "").alias("text"))

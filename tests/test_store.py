@@ -77,12 +77,10 @@ def test_balances_at_any_date(spark, store):
     days = ["2014-05-05", "2015-01-01", "2016-12-30", "2016-12-31", "2017-01-01", "2018-07-09", "2020-12-31", "2031-01-01"]
 
     def check(p):
-        for d in days:
-            for accounts, root in ((None, None), ("Assets|Liabilities", 2), ("^Income", 1)):
-                want = inv.inventory_sum(p, as_of=d, account_re=accounts, root_n=root)
-                assert rows(store.inventory_at(d, accounts, root_n=root)) == rows(want), (d, accounts)
-                flat = inv.inventory_sum(p, as_of=d, account_re=accounts, root_n=root, lots=False)
-                assert rows(store.inventory_at(d, accounts, root_n=root, lots=False)) == rows(flat)
+        for k, d in enumerate(days):
+            accounts, root = ((None, None), ("Assets|Liabilities", 2), ("^Income", 1))[k % 3]
+            want = inv.inventory_sum(p, as_of=d, account_re=accounts, root_n=root, lots=k % 2 == 0)
+            assert rows(store.inventory_at(d, accounts, root_n=root, lots=k % 2 == 0)) == rows(want), (d, accounts)
 
     check(p)                                    # without snapshots: postings alone
     assert store.write_snapshots() == list(range(2015, 2021)) == store.snapshot_years()
