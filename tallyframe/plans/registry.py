@@ -49,12 +49,18 @@ def register(name: str, sql: str | None = None):
 _INGESTED: dict[tuple[str, str], str] = {}
 
 
+_LEDGERS: dict[str, object] = {}
+
+
 def ledger(spark, sf_dir):
     """The ledger tables of ``sf_dir``: ingested once per session into the
     shared checkpoint folder, then read as parquet by every query."""
     from tallyframe.sources.star import read_star_ledger
 
-    return read_star_ledger(spark, ledger_path(spark, sf_dir))
+    path = ledger_path(spark, sf_dir)
+    if path not in _LEDGERS:
+        _LEDGERS[path] = read_star_ledger(spark, path)
+    return _LEDGERS[path]
 
 
 LEDGER_TABLES = ["region", "nation", "customer", "part", "orders", "lineitem"]
@@ -76,6 +82,7 @@ def ledger_path(spark, sf_dir) -> str:
         digest = hashlib.sha1(f"{app}:{stamp}".encode()).hexdigest()[:16]
         path = scratch_path(spark, f"ledger-{digest}")
         materialize_star_ledger(spark, sf_dir, path)
+        _LEDGERS.pop(path, None)
         _INGESTED[key] = path
     return path
 
