@@ -34,7 +34,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +42,7 @@ from tallyframe.llm.common import pack, slices, stored, table, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 32_768, 256
+EDGE = 64  # characters that a chunk sees of its neighbours, at least the longest piece
 SPACE = "▁"
 
 
@@ -57,6 +57,8 @@ class Pieces:
         self.id = {sp.id_to_piece(i): i for i in ids}
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
         self.longest = max(map(len, self.id))
+        if self.longest > EDGE:
+            raise ValueError(f"a piece of the model has {self.longest} characters, more than {EDGE}")
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("pieces that cross the beginning of a run of spaces are not supported")
         self.split: dict[str, tuple[str, ...]] = {}
@@ -271,8 +273,8 @@ def _encode_giants(giants: DataFrame, proto: bytes) -> DataFrame:
                 starts = list(range(0, max(1, len(norm) - CHUNK // 2), CHUNK))  # the last chunk takes a short rest
                 for i, s in enumerate(starts):
                     e = starts[i + 1] if i + 1 < len(starts) else len(norm)
-                    yield pa.RecordBatch.from_pylist([{"row": row, "i": i, "lead": norm[max(0, s - 64):s], "body": norm[s:e],
-                                                       "tail": norm[e:e + 64]}], schema=chunk_schema)
+                    yield pa.RecordBatch.from_pylist([{"row": row, "i": i, "lead": norm[max(0, s - EDGE):s], "body": norm[s:e],
+                                                       "tail": norm[e:e + EDGE]}], schema=chunk_schema)
 
     chunk_schema = pa.schema([("row", pa.int64()), ("i", pa.int64()), ("lead", pa.string()), ("body", pa.string()),
                               ("tail", pa.string())])
@@ -322,33 +324,56 @@ def _encode_giants(giants: DataFrame, proto: bytes) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda s: s["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """``docs`` with ids (array<int>; a column of this name is replaced)."""
+def _texts_of(ids: pa.Array, piece) -> list[str]:
+    """The texts that arrays of ids decode to."""
+    ends = np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
+    parts = list(map(piece, ids.flatten().to_pylist() if ids.null_count else ids.flatten().to_numpy().tolist()))
+    return [b"".join(parts[a:b]).decode(errors="replace").removeprefix(" ") for a, b in zip(ends, ends[1:])]
+
+
+def _coded(docs: DataFrame, model: str, check: bool) -> DataFrame:
+    """Packed documents (_in, text) as (_in, ids, same): with ``check``, whether
+    the ids decode to the text, told by the worker that made them, so that a
+    text crosses to a worker once and does not come back; else null."""
     with open(model, "rb") as f:
         proto = f.read()
-    columns = [c for c in docs.columns if c != "ids"]
-    docs = pack(docs)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    text = F.col("_in").getField("text")
+    schema = T.StructType([docs.schema["_in"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
 
     def run(batches):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        piece = piece_bytes(proto).__getitem__ if check else None
         for whole in batches:
-            packed = whole.column("_in")
-            whole = pa.RecordBatch.from_arrays([packed, pc.struct_field(packed, "text")], names=["_in", "text"])
             for batch in slices(whole, most=1 << 20):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 ids = pa.array(sp.encode(texts, num_threads=1), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("_in"), ids], names=["_in", "ids"])
+                same = [a == b for a, b in zip(texts, _texts_of(ids, piece))] if check else [None] * len(texts)
+                yield pa.RecordBatch.from_arrays([batch.column("_in"), ids, pa.array(same, pa.bool_())], names=["_in", "ids", "same"])
 
-    long = F.length(text) > CHUNK
+    long = F.length("text") > CHUNK
     short = docs.where(~F.coalesce(long, F.lit(False))).mapInArrow(run, schema)
     giants = stored(docs.where(long).withColumn("_row", F.monotonically_increasing_id()), "giants")
-    ids = _encode_giants(giants.select(F.col("_row").alias("row"), text.alias("text")), proto)
-    return unpack(short.unionByName(giants.join(ids, F.col("_row") == F.col("row")).drop("_row", "row")), [*columns, "ids"],
-                  ids=F.col("ids"))
+    ids = _encode_giants(giants.select(F.col("_row").alias("row"), "text"), proto)
+    found = giants.join(ids, F.col("_row") == F.col("row")).drop("_row", "row")
+    same = F.lit(None).cast("boolean")
+    if check:
+        found, same = decode(found, model), F.col("decoded") == F.col("text")
+    return short.unionByName(found.select("_in", "ids", same.alias("same")))
+
+
+def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """``docs`` with ids (array<int>; a column of this name is replaced)."""
+    columns = [c for c in docs.columns if c != "ids"]
+    return unpack(_coded(pack(docs, "text"), model, False), [*columns, "ids"], ids=F.col("ids"))
+
+
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """``docs`` without text, with ids and same, whether they decode to the
+    text (columns of these names are replaced)."""
+    columns = [c for c in docs.columns if c not in ("text", "ids", "same")]
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_in"))
+    return unpack(_coded(packed, model, True), [*columns, "ids", "same"], ids=F.col("ids"), same=F.col("same"))
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -364,10 +389,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
         piece = piece_bytes(proto).__getitem__
         for whole in batches:
             for batch in slices(whole, "ids", 1 << 20):
-                ids = batch.column("ids")
-                ends = np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
-                parts = list(map(piece, ids.flatten().to_pylist() if ids.null_count else ids.flatten().to_numpy().tolist()))
-                out = [b"".join(parts[a:b]).decode(errors="replace").removeprefix(" ") for a, b in zip(ends, ends[1:])]
+                out = _texts_of(batch.column("ids"), piece)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())],
                                                  names=[*keep, "decoded"])
 
@@ -376,6 +398,5 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and whether they decode to its text."""
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("same").alias("round_trip"))

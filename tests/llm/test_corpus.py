@@ -401,6 +401,22 @@ def test_giants_through_spark(spark, odd, none):
     assert pieces.encode(none).count() == 0
 
 
+def test_round_trip(spark, odd, none):
+    """Ids and the flag from one pass, for short texts and giants; a text with
+    U+2581 does not come back."""
+    long = ["the quick brown fox jumps  " * 2000, "the \u2581 quick " * 4000]
+    data = [(100 + k, t, None, None, None, *["keep"] * 8) for k, t in enumerate([*long, "a\u2581b"])]
+    got = pieces.round_trip(odd.unionByName(spark.createDataFrame(data, odd.schema)))
+    assert got.columns == [c for c in odd.columns if c not in ("text", "ids")] + ["ids", "same"]
+    want = collections.Counter(tuple(library().encode(t or "")) for _, t, *_ in data) + collections.Counter(
+        tuple(library().encode(r["text"] or "")) for r in odd.collect())
+    out = got.collect()
+    assert collections.Counter(tuple(r["ids"]) for r in out) == want
+    assert {r["doc_id"]: r["same"] for r in out if (r["doc_id"] or 0) >= 100} == {100: True, 101: False, 102: False}
+    assert all(r["same"] and r["key"] == "keep" for r in out if (r["doc_id"] or 0) < 100)
+    assert pieces.round_trip(none).count() == 0
+
+
 # -------------------------------------------------------------------- op8
 
 
