@@ -22,9 +22,13 @@ block is one group, which yields its best k per query.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components, and rows without vec_id, take no part; a query's own vec_id is no
-candidate for it; repeated rows are candidates each; ties in score go to the
-smaller vec_id; vectors must all have one dimension (others than the most
-frequent take no part); an empty table gives an empty result.
+candidate for it; repeated rows are candidates each, but rows equal in vec_id
+and vector are one query, and rows of one vec_id with different vectors are
+queries each, ranked on their own; ties in score go to the smaller vec_id;
+vectors of different dimensions are not compared: each dimension has its own
+model and index; components may be of any magnitude (codes and the first rerank
+are made of vectors scaled to length 1 at most); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -82,7 +86,7 @@ class Index:
     the rows that have them, and the value of each row."""
 
     def __init__(self, codes: np.ndarray, vectors: np.ndarray):
-        self.codes, self.vectors = codes, vectors.astype(np.float32)
+        self.codes, self.vectors = codes, vectors.astype(np.float32)  # scaled: products of at most 1
         self.words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 4)))).view(np.uint64)
         self.tables = []
         for k in range(codes.shape[1]):
@@ -110,14 +114,15 @@ class Index:
 
 
 def search(x: np.ndarray, ids: np.ndarray, index: Index, q: np.ndarray, q_id: int, code: np.ndarray, bits: int,
-           largest: float, k: int, radius: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+           k: int, radius: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     """Row numbers and scores of the best k found for one query, and the radius
     that was needed.  ``radius``: where to begin; beginning too high costs
     time, never a neighbour."""
     seen = ids == q_id
     rows, rough = np.zeros(0, np.int64), np.zeros(0, np.float32)
-    steps, norm = len(index.tables), np.sqrt((q * q).sum())
-    x32, q32 = index.vectors, q.astype(np.float32)
+    steps = len(index.tables)
+    unit = q / np.abs(q).max()
+    x32, q32 = index.vectors, (unit / np.sqrt((unit * unit).sum())).astype(np.float32)
     while True:
         radius = min(radius, bits)
         new = index.within(code, radius, seen)
@@ -130,13 +135,13 @@ def search(x: np.ndarray, ids: np.ndarray, index: Index, q: np.ndarray, q_id: in
         needed = bits
         if len(rough) >= k:
             worst = np.partition(rough, len(rough) - k)[len(rough) - k]
-            p = math.acos(min(1.0, max(-1.0, worst / norm / largest))) / math.pi
+            p = math.acos(min(1.0, max(-1.0, worst))) / math.pi
             needed = min(bits, math.ceil(p * bits + CONFIDENT * math.sqrt(p * (1 - p) * bits)))
         if radius >= needed:
             break
         radius = radius + steps if len(rough) < k else min(needed, radius + steps)
     if len(rough) > k:  # single precision leaves out what is clearly worse than the k-th best
-        rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-4 * norm * largest]
+        rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-4]
     scores = (x[rows] * q).sum(axis=1)
     best = np.lexsort((ids[rows], -scores))[:k]
     return rows[best], scores[best], needed
@@ -144,16 +149,20 @@ def search(x: np.ndarray, ids: np.ndarray, index: Index, q: np.ndarray, q_id: in
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score."""
-    rows = vectors.select("vec_id", F.transform("embedding", lambda c: c.cast("double")).alias("v")) \
-        .where("vec_id IS NOT NULL").where(usable(F.col("v"))) \
-        .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)))
-    facts = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("norm").alias("largest"),
-                                                     F.count(F.when(is_query, 1)).alias("queries")) \
-        .orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if facts is None or not facts["queries"]:
-        return vectors.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == facts["d"])
+    rows = vectors.select("vec_id", F.transform("embedding", lambda c: c.cast("double")).alias("v"), is_query.alias("query")) \
+        .where("vec_id IS NOT NULL").where(usable(F.col("v"))).withColumn("d", F.size("v"))
+    top = F.array_max(F.transform("v", F.abs))  # the norm without overflow
+    norm = top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + (c / top) * (c / top)))
+    facts = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("largest"), F.count(F.when(F.col("query"), 1)).alias("queries")) \
+        .where("queries > 0").orderBy("d").collect()  # one row a dimension
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for one in facts:
+        out = out.unionByName(_nearest(rows.where(F.col("d") == one["d"]), one, k))
+    return out
+
+
+def _nearest(rows: DataFrame, facts, k: int) -> DataFrame:
+    """:func:`nearest` of usable vectors v of one dimension."""
     ids = rows.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     picked = rows.join(F.broadcast(ids), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
     model = learn(np.array([r["v"] for r in picked.select("v").toLocalIterator()]), facts["largest"])
@@ -167,31 +176,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                     [batch.column("vec_id"), batch.column("query"), pa.array([r.tobytes() for r in x], pa.binary()),
                      pa.array([r.tobytes() for r in code], pa.binary())], names=["vec_id", "query", "vec", "code"])
 
-    index = stored(rows.select("vec_id", is_query.alias("query"), "v")
+    index = stored(rows.select("vec_id", "query", "v")
                    .mapInArrow(coded, "vec_id long, query boolean, vec binary, code binary"), "ann-index")
     shards, blocks = math.ceil(facts["n"] / SHARD), math.ceil(facts["queries"] / QUERIES)
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = index.select("vec_id", "vec", "code", deal(shards, 1).alias("s")).withColumn("b", spread(blocks))
-    right = index.where("query").select("vec_id", "vec", "code", deal(blocks, 2).alias("b")).withColumn("s", spread(shards))
+    queries_ = index.where("query").select("vec_id", "vec", "code").dropDuplicates(["vec_id", "vec"])
+    right = queries_.select("vec_id", "vec", "code", F.xxhash64("vec").alias("row"), deal(blocks, 2).alias("b")).withColumn("s", spread(shards))
 
     def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
-            return pd.DataFrame({c: [] for c in ("query_id", "vec_id", "score")})
+            return pd.DataFrame({c: [] for c in ("query_id", "row", "vec_id", "score")})
         stack = lambda f, c, kind: np.frombuffer(b"".join(f[c]), kind).reshape(len(f), -1)
         x, codes, ids = stack(shard, "vec", np.float64), stack(shard, "code", np.uint16), shard["vec_id"].to_numpy()
         qx, qc = stack(queries, "vec", np.float64), stack(queries, "code", np.uint16)
-        at, out, needed = Index(codes, x), [], []
+        at, out, needed = Index(codes, x / model["largest"]), [], []
         for n in np.argsort(queries["vec_id"].to_numpy(), kind="stable"):
             q_id = queries["vec_id"].iloc[n]
             begin = int(np.median(needed[-64:])) if needed else 0  # what the queries before needed
-            found, scores, radius = search(x, ids, at, qx[n], q_id, qc[n], model["bits"], model["largest"], k, begin)
+            found, scores, radius = search(x, ids, at, qx[n], q_id, qc[n], model["bits"], k, begin)
             needed.append(radius)
-            out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[found], "score": scores}))
+            out.append(pd.DataFrame({"query_id": q_id, "row": queries["row"].iloc[n], "vec_id": ids[found], "score": scores}))
         return pd.concat(out)
 
-    best = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(run, "query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 

@@ -304,6 +304,38 @@ def test_nearest_against_brute_force(spark):
     assert hamming_ann.nearest(df.where("vec_id >= 1000 AND vec_id < 1005"), F.lit(True)).count() == 0
 
 
+def by_dot(good, q, k):
+    """Best k of (vec_id, vector) rows for a query row, in double precision."""
+    best = sorted((-float(np.dot(v, q[1])), i) for i, v in good if i != q[0] and len(v) == len(q[1]))
+    return [i for _, i in best[:k]]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e20, 1e37, 1e150, 1e-30])
+def test_nearest_at_any_magnitude(spark, scale):
+    rng = np.random.default_rng(8)
+    good = [(i, rng.normal(size=8) * scale) for i in range(60)]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in good], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in hamming_ann.nearest(df, F.col("vec_id") % 20 == 0, 59).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {i: by_dot(good, (i, v), 59) for i, v in good if i % 20 == 0}
+
+
+def test_nearest_of_several_dimensions_and_repeated_queries(spark):
+    rng = np.random.default_rng(9)
+    good = [(i, rng.normal(size=3 if i % 20 < 5 else 8)) for i in range(200)]
+    good += [(20, good[20][1]), (40, rng.normal(size=8)), (40, rng.normal(size=3))]   # a query row again; one id, other vectors
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in good], "vec_id long, embedding array<double>")
+    got = hamming_ann.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
+    queries = {(i, tuple(v)) for i, v in good if i % 20 == 0}
+    want = collections.Counter((q[0], r + 1, i) for q in queries for r, i in enumerate(by_dot(good, q, 5)))
+    assert len(queries) == 12 and len(got) == 60
+    assert sum((collections.Counter((r["query_id"], r["rank"], r["vec_id"]) for r in got) & want).values()) >= 54
+    lists = collections.Counter(r["query_id"] for r in got)
+    assert lists[20] == 5 and lists[40] == 15
+    assert len({r["vec_id"] for r in got if r["query_id"] == 20}) == 5
+
+
 def test_recall_on_the_table(spark):
     vectors = rows(SF_MID, "SELECT vec_id, embedding FROM '$/embeddings.parquet' ORDER BY 1")
     x, ids = np.array([v for _, v in vectors], float), np.array([i for i, _ in vectors])
