@@ -1,12 +1,13 @@
-"""Text ingest and end-to-end goldens on the demo ledger (FIXTURES.md §3).
-
-Set ``DEMO_LEDGER`` to the demo ledger file; the tests that need it are
-skipped otherwise."""
+"""Text ingest and end-to-end goldens: on a ledger of the demo ledger's shape
+(demo_ledger.py), whose values are summed from what it was written from, and on
+the demo ledger itself (FIXTURES.md §3) where ``DEMO_LEDGER`` names its file."""
 
 import datetime as dt
 import os
+import tempfile
 from decimal import Decimal
 
+import demo_ledger
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,100 +16,111 @@ from tallyframe.operators import checks, gaps, holdings, tree
 from tallyframe.plans import networth as nw
 from tallyframe.sources.ledger_text import directive_census, load_ledger, load_ledger_text, operating_currencies
 
-needs_ledger = pytest.mark.skipif(not (EXAMPLE_LEDGER and os.path.exists(EXAMPLE_LEDGER)),
-                                  reason="DEMO_LEDGER not set")
 D = dt.date
 
-
-@pytest.fixture(scope="module")
-def ledger(spark):
-    t = load_ledger(spark, EXAMPLE_LEDGER)
+# FIXTURES.md §3.
+DEMO = {
+    "transactions": 1044, "postings": 3209, "lots": 212, "priced": 5, "accounts": 58, "prices": 846, "directives": (60, 82, 10, 9, 0),
+    "networth": [(D(2015, 1, 1), "6041.12"), (D(2015, 12, 31), "43483.50570"), (D(2016, 6, 30), "67404.65883"), (D(2017, 9, 8), "117649.48828")],
+    "units_day": D(2017, 9, 8),
+    "units": {"GLD": "17", "ITOT": "104", "RGAGX": "597.748", "USD": "906.58", "VACHR": "-13", "VBMPX": "193.442", "VEA": "36", "VHT": "64",
+              "IRAUSD": "0"},
+    "spent": {2015: "95282.85", 2016: "94182.42", 2017: "65143.78"}, "food": ("6614.67", "6859.72"), "taxes": "53187.86",
+    "gaps": (6, D(2015, 1, 2), D(2017, 9, 8), 5040), "holding_lots": (115, 110, 5), "left_out": 0,
+}
+
+
+@pytest.fixture(scope="module", params=["made", "demo"] if EXAMPLE_LEDGER and os.path.exists(EXAMPLE_LEDGER) else ["made"])
+def books(request, spark):
+    """(tables, expected values)"""
+    if request.param == "demo":
+        path, gold = EXAMPLE_LEDGER, DEMO
+    else:
+        text, gold = demo_ledger.make()
+        path = os.path.join(tempfile.mkdtemp(prefix="tf-demo-"), "made.ledger")
+        with open(path, "w") as f:
+            f.write(text)
+    t = load_ledger(spark, path)
     t.postings.cache()
-    return t
+    return t, gold
+
+
+@pytest.fixture()
+def ledger(books):
+    return books[0]
+
+
+@pytest.fixture()
+def gold(books):
+    return books[1]
 
 
-@needs_ledger
-def test_directive_counts(ledger):
-    assert ledger.transactions.count() == 1044
-    assert ledger.postings.count() == 3209
-    assert ledger.postings.where("cost_number IS NOT NULL").count() == 212
-    assert ledger.postings.where("price_number IS NOT NULL").count() == 5
-    assert ledger.postings.select("account").distinct().count() == 58
-    assert ledger.prices.count() == 846
+def test_directive_counts(ledger, gold):
+    assert ledger.transactions.count() == gold["transactions"] > 900
+    assert ledger.postings.count() == gold["postings"]
+    assert ledger.postings.where("cost_number IS NOT NULL").count() == gold["lots"] > 100
+    assert ledger.postings.where("price_number IS NOT NULL").count() == gold["priced"] > 3
+    assert ledger.postings.where("digits IS NULL").count() == gold["left_out"]
+    assert ledger.postings.select("account").distinct().count() == gold["accounts"]
+    assert ledger.prices.count() == gold["prices"]
     assert (ledger.opens.count(), ledger.balances.count(), ledger.commodities.count(),
-            ledger.events.count(), ledger.customs.count()) == (60, 82, 10, 9, 0)
+            ledger.events.count(), ledger.customs.count()) == gold["directives"]
     assert ledger.errors.count() == 0
     census = {r.directive: r["count"] for r in directive_census(ledger).collect()}
-    assert census["transaction"] == 1044 and census["price"] == 846
+    assert census["transaction"] == gold["transactions"] and census["price"] == gold["prices"]
 
 
-@needs_ledger
 def test_options(ledger):
     r = operating_currencies(ledger.options).first()
     assert r.default_currency == "USD"
 
 
-@needs_ledger
-def test_balance_assertions_hold(ledger):
+def test_balance_assertions_hold(ledger, gold):
+    assert ledger.balances.count() >= 80
     assert checks.balance_failures(ledger.postings, ledger.balances).count() == 0
     assert checks.unbalanced_transactions(ledger.postings).count() == 0
 
 
-@needs_ledger
-@pytest.mark.parametrize("day,expected", [
-    (D(2015, 1, 1), "6041.12"), (D(2015, 12, 31), "43483.50570"),
-    (D(2016, 6, 30), "67404.65883"), (D(2017, 9, 8), "117649.48828"),
-])
-def test_networth_goldens(ledger, day, expected):
+@pytest.mark.parametrize("k", range(4))
+def test_networth_goldens(ledger, gold, k):
+    day, expected = gold["networth"][k]
     r = nw.networth_series(ledger.postings, ledger.prices, [day], "USD").first()
     assert r.net_worth == Decimal(expected)
 
 
-@needs_ledger
-def test_units_golden(ledger):
+def test_units_golden(ledger, gold):
     from tallyframe.operators.balances import asof_balances
 
     p = ledger.postings.where(F.col("account").rlike("Assets|Liabilities"))
-    got = {r.currency: r.units for r in asof_balances(p, [D(2017, 9, 8)]).collect()}
-    exp = {"GLD": "17", "ITOT": "104", "RGAGX": "597.748", "USD": "906.58", "VACHR": "-13",
-           "VBMPX": "193.442", "VEA": "36", "VHT": "64", "IRAUSD": "0"}
-    assert {k: Decimal(v) for k, v in exp.items()} == got
+    got = {r.currency: r.units for r in asof_balances(p, [gold["units_day"]]).collect()}
+    assert {k: Decimal(v) for k, v in gold["units"].items()} == got
 
 
-@needs_ledger
-def test_expense_goldens(ledger):
+def test_expense_goldens(ledger, gold):
     s = tree.expense_by_year_account(ledger.postings, ledger.prices, "USD")
     by_year = {r.year: r.total for r in s.groupBy("year").agg(F.sum("amount").alias("total")).collect()}
-    assert (round(by_year[2015], 2), round(by_year[2016], 2), round(by_year[2017], 2)) == (
-        Decimal("95282.85"), Decimal("94182.42"), Decimal("65143.78"))
+    assert {y: round(v, 2) for y, v in by_year.items()} == {y: Decimal(v) for y, v in gold["spent"].items()}
     t = {r.path: r for r in tree.expense_tree(s, 2015, 2016, exclude=[]).collect()}
-    assert (round(t["Expenses:Food"].left_amount, 2), round(t["Expenses:Food"].right_amount, 2)) == (
-        Decimal("6614.67"), Decimal("6859.72"))
-    assert round(t["Expenses:Taxes"].left_amount, 2) == Decimal("53187.86")
+    assert (round(t["Expenses:Food"].left_amount, 2), round(t["Expenses:Food"].right_amount, 2)) == tuple(map(Decimal, gold["food"]))
+    assert round(t["Expenses:Taxes"].left_amount, 2) == Decimal(gold["taxes"])
     total = t["__total__"]
     assert total.left_amount == sum(r.left_amount for r in t.values() if r.depth == 1)
     t2 = {r.path for r in tree.expense_tree(s, 2016, 2017).collect()}
     assert "Expenses:Taxes" not in t2 and "Expenses:Food" in t2
 
 
-@needs_ledger
-def test_missing_prices_golden(ledger):
-    commodities = ledger.prices.select("currency").distinct().count()
-    assert commodities == 6
-    m = gaps.missing_prices(ledger.prices, "2015-01-02", "2017-09-08")
-    assert m.count() == 5040
+def test_missing_prices_golden(ledger, gold):
+    commodities, first, last, missing = gold["gaps"]
+    assert ledger.prices.select("currency").distinct().count() == commodities
+    assert gaps.missing_prices(ledger.prices, str(first), str(last)).count() == missing
 
 
-@needs_ledger
-def test_holdings_lots(ledger):
+def test_holdings_lots(ledger, gold):
     h = holdings.holdings(ledger.postings, ledger.prices).where(F.col("account").startswith("Assets"))
     lots = h.where("cost IS NOT NULL")
-    assert lots.count() == 115
-    assert lots.where("units <> 0").count() == 110
-    assert h.where("cost IS NULL").count() == 5  # plain cash / units positions
+    assert (lots.count(), lots.where("units <> 0").count(), h.where("cost IS NULL").count()) == gold["holding_lots"]
 
 
-@needs_ledger
 def test_networth_detail_sums_to_series(ledger):
     days = [D(2015, 6, 30), D(2016, 12, 31), D(2017, 9, 8)]
     series = {r.date: r.net_worth for r in nw.networth_series(ledger.postings, ledger.prices, days).collect()}
