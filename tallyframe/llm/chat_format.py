@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import running_ends, table
+from tallyframe.llm.common import cut_out, let, running_ends, table
 
 CONTROL = r"(<|\[)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|PART\])"
 
@@ -41,18 +41,23 @@ def unescape(text: Column) -> Column:
 
 def merge_turns(turns: Column) -> Column:
     """array<struct<role, text>> -> array<struct<role, parts>>: adjacent turns
-    of the same role become the parts of one block."""
-    empty = F.expr("cast(array() as array<struct<role: string, parts: array<string>>>)")
-    block = lambda role, parts: F.array(F.struct(role.alias("role"), parts.alias("parts")))
+    of the same role become the parts of one block.  A block begins where a
+    turn's role differs from the one before; its turns are a slice, so each
+    turn is handled once, however many there are."""
+    def merged(ts: Column) -> Column:
+        first = F.filter(F.transform(ts, lambda t, i: F.when((i == 0) | (F.get(ts, i - 1)["role"] != t["role"]), i)),
+                         lambda i: i.isNotNull())
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1),
-                          block(t["role"], F.concat(last["parts"], F.array(t["text"]))))
-        return F.when((F.size(acc) > 0) & (last["role"] == t["role"]), merged) \
-            .otherwise(F.concat(acc, block(t["role"], F.array(t["text"]))))
+        def blocks(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ts)))
+            return F.zip_with(at, ends, lambda a, e: F.struct(
+                F.get(ts, a)["role"].alias("role"),
+                F.transform(F.slice(ts, a + 1, e - a), lambda t: t["text"]).alias("parts")))
 
-    return F.aggregate(turns, empty, step)
+        empty = F.expr("cast(array() as array<struct<role: string, parts: array<string>>>)")
+        return F.when(F.size(ts) == 0, empty).otherwise(let(first, blocks))
+
+    return let(turns, merged)
 
 
 def _segments(b: Column) -> Column:
@@ -110,8 +115,7 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(
-        formatted, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
+    return F.array_join(F.transform(cut_out(formatted, spans), unescape), "")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,48 @@ def running_ends(lengths: Column) -> Column:
     return F.transform(F.array(lengths), lambda ls: F.transform(F.array(blocks(ls)), body)[0])[0]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_max(values: Column) -> Column:
+    """Running maxima of an array<bigint>, in blocks like :func:`running_ends`."""
+    low = F.lit(-(1 << 62)).cast("bigint")
+
+    def maxima(block: Column, start: Column) -> Column:
+        init = F.struct(start.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        step = lambda a, n: F.struct(F.greatest(a["at"], n).alias("at"), F.concat(a["out"], F.array(F.greatest(a["at"], n))).alias("out"))
+        return F.aggregate(block, init, step, lambda a: a["out"])
+
+    def body(bs: Column) -> Column:
+        tops = F.transform(bs, lambda b: F.coalesce(F.array_max(b), low))
+        starts = lambda ts: F.concat(F.array(low), maxima(ts, low))
+        return F.flatten(F.zip_with(bs, let(tops, lambda ts: F.slice(starts(ts), F.lit(1), F.size(ts))), maxima))
+
+    return let(values, lambda vs: let(blocks_of_array(vs), body))
+
+
+def blocks_of_array(values: Column, size: int = _BLOCK) -> Column:
+    """An array cut into arrays of ``size`` (one empty array if it is empty)."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / size).cast("int"), F.lit(0))),
+                       lambda b: F.slice(values, b * size + 1, size))
+
+
+def cut_out(text: Column, spans: Column) -> Column:
+    """The texts of ascending, disjoint spans (start, stop; code points).  Each
+    block of spans takes its stretch of the text once, so that the work is
+    near-linear for long texts with many spans."""
+    def block(bs: Column) -> Column:
+        first, last = F.get(bs, F.lit(0))["start"], F.get(bs, F.size(bs) - 1)["stop"]
+        piece = F.substring(text, (first + 1).cast("int"), (last - first).cast("int"))
+        return let(F.struct(piece.alias("t"), first.alias("at")), lambda p: F.transform(bs, lambda s: F.substring(
+            p["t"], (s["start"] - p["at"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
+
+    empty = F.expr("cast(array() as array<string>)")
+    return let(spans, lambda ss: F.when(F.size(ss) == 0, empty).otherwise(F.flatten(F.transform(blocks_of_array(ss), block))))
+
+
 # -------------------------------------------------------- vectorised hashing
 
 

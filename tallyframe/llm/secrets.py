@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import running_ends, stored, table
+from tallyframe.llm.common import cut_out, let, running_ends, running_max, stored, table
 
 # fixed values: the format rules
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -122,9 +122,22 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     array<struct<start, kind (index in KINDS), stop>> of all of them."""
     text = F.coalesce("text", F.lit(""))
     found = base_spans(docs).withColumn("_runs", find(text, CANDIDATE))
-    base = F.concat("assign", "access", "hex")
-    covered = lambda s: F.exists(base, lambda x: (x["start"] <= s["start"]) & (x["stop"] >= s["stop"]))
-    found = found.withColumn("markov", F.filter("_runs", lambda s: ~covered(s) & (log_ratio(s["txt"], model) >= threshold)))
+    # a run lies in a base span if of those that begin no later one ends no earlier:
+    # in order of their starts (a base span before a run), by the running maximum of ends
+    mark = lambda spans, run: F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), F.lit(run).alias("run"), s["stop"].alias("stop"), (s["txt"] if run else F.lit(None).cast("string")).alias("txt")))
+    both = F.array_sort(F.concat(mark(F.concat("assign", "access", "hex"), False), mark(F.col("_runs"), True)))
+
+    def uncovered(zs: Column) -> Column:
+        ends = running_max(F.transform(zs, lambda z: F.when(z["run"], F.lit(-1)).otherwise(z["stop"]).cast("bigint")))
+        runs = F.filter(F.zip_with(zs, ends, lambda z, e: F.when(z["run"] & (e < z["stop"]), z)), lambda z: z.isNotNull())
+        return F.filter(runs, lambda s: log_ratio(s["txt"], model) >= threshold)
+
+    # most texts have no base span, or no run outside one
+    found = found.withColumn("markov", F.when(F.size(F.concat("assign", "access", "hex")) == 0, F.transform(
+        F.filter("_runs", lambda s: log_ratio(s["txt"], model) >= threshold),
+        lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))).otherwise(
+        F.transform(let(both, uncovered), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))))
 
     def tagged(i: int) -> Column:
         return F.transform(KINDS[i], lambda s: F.struct(
@@ -136,18 +149,21 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` (scanned) with every span, overlapping ones as one, replaced by
     ``mark``; n_chars, where present, is brought up to date."""
-    init = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"),
-                        F.when((s["start"] < acc["at"]) & (acc["at"] > 0), acc["out"])
-                        .otherwise(F.concat(acc["out"], F.array(gap, F.lit(mark)))).alias("out"))
+    def clean(ss: Column) -> Column:
+        # spans are sorted by start: where the text up to a span's start is not all covered, a gap ends there
+        ends = F.concat(F.array(F.lit(0).cast("bigint")), running_max(F.transform(ss, lambda s: s["stop"].cast("bigint"))))
 
-    clean = F.aggregate("spans", init, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    out = docs.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
+        def gaps(es: Column) -> Column:
+            between = F.transform(ss, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(es, i)), F.struct(
+                F.get(es, i).alias("start"), s["start"].cast("bigint").alias("stop"))))
+            last = F.array(F.struct(F.get(es, F.size(es) - 1).alias("start"), F.length(text).cast("bigint").alias("stop")))
+            return F.array_join(cut_out(text, F.concat(F.filter(between, lambda g: g.isNotNull()), last)), mark)
+
+        return let(ends, gaps)
+
+    out = docs.withColumn("text", F.when(F.size("spans") > 0, let(F.col("spans"), clean)).otherwise(text))
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -161,6 +162,34 @@ def test_redaction(spark, odd):
     assert secrets.labelled_samples(odd).count() > 0
 
 
+def test_running_max_and_cut_out(spark):
+    rng = random.Random(2)
+    n = [[rng.randrange(-50, 5000) for _ in range(k)] for k in (0, 1, 127, 128, 129, 700)]
+    df = spark.createDataFrame([(x,) for x in n], "a array<long>")
+    assert [r[0] for r in df.select(common.running_max(F.col("a"))).collect()] == [np.maximum.accumulate(x).tolist() if x else [] for x in n]
+    text = "é𝒜b" * 500
+    ends = sorted(rng.sample(range(1500), 600))
+    spans = list(zip(ends[::2], ends[1::2]))
+    df = spark.createDataFrame([(text, spans), (text, []), ("", [(0, 0)])], "t string, s array<struct<start:long,stop:long>>")
+    assert [r[0] for r in df.select(common.cut_out(F.col("t"), F.col("s"))).collect()] == [[text[a:b] for a, b in spans], [], [""]]
+
+
+def test_many_spans_take_linear_time(spark):
+    """50,000 secrets in one text, some inside others' spans, between runs that are none."""
+    parts = [f"é token={'%08x' % i * 4} plain_words_and_more{i} AKIA{i:012d}0000 " for i in range(25_000)]
+    df = spark.createDataFrame([("".join(parts), 1), ("".join(parts[:5]), 1)], "text string, n_chars long")
+    model = [-1.0] * secrets.SIZE ** 2
+    t = time.time()
+    long, short = secrets.redact(secrets.scan(df, model)).select("text", "n_chars").collect()
+    assert time.time() - t < 60
+    want = lambda k: "".join(f"é [SECRET] plain_words_and_more{i} [SECRET] " for i in range(k))
+    assert long["text"] == want(25_000) and long["n_chars"] == len(want(25_000)) and short["text"] == want(5)
+    every = [1.0] * secrets.SIZE ** 2
+    got = secrets.scan(df.where("length(text) < 1000"), every).select("markov", "hex", "assign").first()
+    text = "".join(parts[:5])
+    assert [text[s["start"]:s["stop"]] for s in got["markov"]] == [f"plain_words_and_more{i}" for i in range(5)] and len(got["hex"]) == 5
+
+
 # -------------------------------------------------------------------- op2
 
 
@@ -241,6 +270,19 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(df.where("false")).count() == 0
 
 
+def test_long_conversations_take_linear_time(spark):
+    rng = random.Random(6)
+    turns = [(rng.choice(["user", "assistant", "assistant", "tool"]), rng.choice(["x", "é𝒜", "[PART] </s>", "\\"]) * rng.randrange(4)) for _ in range(50_000)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    t0 = time.time()
+    f = chat_format.format_conversations(df)
+    got = f.select(chat_format.read_turns(F.col("formatted")).alias("turns"),
+                   chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t["role"], t["text"]) for t in got["turns"]] == turns
+    assert got["loss"] == "".join(t for r, t in turns if r == "assistant")
+    assert time.time() - t0 < 60
+
+
 # -------------------------------------------------------------------- op4
 
 
