@@ -1,19 +1,20 @@
 """Life tables and joint life expectancy.
 
-Life tables are tiny (about 150 rows per table) and bounded by construction,
-so they are broadcast.  Household work is de-duplicated first: the survival
+Life tables are tiny (about 150 rows per table); they are broadcast if counted
+to have at most SMALL_TABLE rows, else joined as they are.  Household work is de-duplicated first: the survival
 curves depend only on the (age_1, age_2) pair, so they are computed once per
 distinct pair and joined back to the households.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_AGE = 149
+SMALL_TABLE = 1_000  # rows of a life table (all its table_ids) that may be broadcast
 RADIX = 100_000
 BASE_TABLE_YEAR = 2012
 
@@ -25,6 +26,12 @@ SYNTHETIC_IMPROVEMENT = 0.01
 SYNTHETIC_IMPROVEMENT_LAST_AGE = 105
 
 
+def _hint(*tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``broadcast`` if every table is counted small, else nothing."""
+    small = all(t.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE for t in tables)
+    return F.broadcast if small else lambda df: df
+
+
 def synthetic_life_tables(spark: SparkSession) -> DataFrame:
     """(table_id, row_idx, age, qx) generated from the fixture rule."""
     ages = spark.range(0, SYNTHETIC_LAST_AGE + 1).select(F.col("id").alias("age"))
@@ -84,7 +91,7 @@ def improve(base: DataFrame, improvement: DataFrame, years: int, *, compat: bool
     factor is computed but dropped, so the table is unchanged (the join on
     age still applies)."""
     g = improvement.select("age", F.col("qx").alias("g"))
-    j = base.join(F.broadcast(g), "age")
+    j = base.join(_hint(g)(g), "age")
     if compat:
         return j.select("table_id", "row_idx", "age", "qx", "px")
     qx = F.col("qx") * F.pow(1 - F.col("g"), F.lit(years))
@@ -126,7 +133,7 @@ def survival_curves(table: DataFrame, start_ages: DataFrame) -> DataFrame:
     w = Window.partitionBy("start_age").orderBy("row_idx")
     t = start_ages.select(
         "start_age", F.explode(F.sequence(F.col("start_age"), F.lit(MAX_AGE).cast("long"))).alias("age")).join(
-        F.broadcast(table), "age")  # a life table has 150 rows
+        _hint(table)(table), "age")
     return t.select(
         "start_age", "age", (F.row_number().over(w) - 1).alias("t"),
         F.coalesce(F.product("px").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)).alias("surv_prob"))
@@ -143,11 +150,12 @@ def joint_life_percentile(households: DataFrame, table_1: DataFrame, table_2: Da
     join back to the households.  Each survival curve starts at the first
     row of that age, rows aligned by index.
     """
+    hint = _hint(table_1, table_2)
+
     def indexed(tbl, suffix):
-        # row position within the table and the table's length; one table is
-        # ~150 rows (bounded), so these windows and the broadcasts are small
+        # row position within the table and the table's length
         w = Window.partitionBy("table_id").orderBy("row_idx")
-        return F.broadcast(tbl.select(
+        return hint(tbl.select(
             F.row_number().over(w).alias(f"pos{suffix}"), F.col("age").alias(f"a{suffix}"),
             F.col("px").alias(f"px{suffix}"), F.count("*").over(Window.partitionBy("table_id")).alias(f"n{suffix}")))
 
@@ -156,7 +164,7 @@ def joint_life_percentile(households: DataFrame, table_1: DataFrame, table_2: Da
     start2 = t2.groupBy("a2").agg(F.min("pos2").alias("s2"), F.max("n2").alias("n2")).withColumnRenamed("a2", age_2)
     pairs = households.select(F.col(age_1).cast("long").alias(age_1),
                               F.col(age_2).cast("long").alias(age_2)).distinct()
-    pairs = pairs.join(F.broadcast(start1), age_1).join(F.broadcast(start2), age_2)
+    pairs = pairs.join(hint(start1), age_1).join(hint(start2), age_2)
     length = F.least(F.col("n1") - F.col("s1"), F.col("n2") - F.col("s2"))
     steps = pairs.select(age_1, age_2, "s1", "s2",
                          F.explode(F.sequence(F.lit(0).cast("long"), length.cast("long"))).alias("t"))
@@ -168,10 +176,10 @@ def joint_life_percentile(households: DataFrame, table_1: DataFrame, table_2: Da
     joint = steps.select(age_1, age_2, "t", (1 - (1 - s1) * (1 - s2)).alias("joint"))
     first = joint.where(F.col("joint") <= 1 - percentile).groupBy(age_1, age_2).agg(F.min("t").alias("t"))
     hh = households.select(*keys, F.col(age_1).cast("long").alias(age_1), F.col(age_2).cast("long").alias(age_2))
-    # ``first`` has at most one row per age pair of the life tables (<= 150^2),
-    # a bound fixed by construction, so it is broadcast: a hot age pair among
-    # billions of households then causes no skewed shuffle partition.
-    return hh.join(F.broadcast(first), [age_1, age_2], "left").select(
+    # ``first`` has at most one row per age pair of the life tables, so it is
+    # small where they are: a hot age pair among billions of households then
+    # causes no skewed shuffle partition.
+    return hh.join(hint(first), [age_1, age_2], "left").select(
         *keys, age_1, age_2, F.col("t").cast("int").alias("years"))
 
 

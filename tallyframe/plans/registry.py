@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import accounts as acc
 from tallyframe.operators import actuarial as act, checks, flows, gaps, holdings as hold, inventory as inv, tree
 from tallyframe.operators.asof import month_end_spine
-from tallyframe.operators.prices import convert
+from tallyframe.operators.prices import broadcast_if_small, convert
 from tallyframe.operators.ranking import global_rank
 from tallyframe.plans import finance as fin, networth as nw
 from tallyframe.plans.oracle import with_prelude
@@ -834,8 +834,8 @@ FROM households h JOIN ex a ON a.table_id = 'male' AND a.age = h.age_1 JOIN ex b
 def q_household_life_expectancy(spark, sf_dir):
     lt = act.life_table(_life(spark)).select("table_id", "age", "ex")
     hh = star_households(spark, sf_dir)
-    m = F.broadcast(lt.where(F.col("table_id") == "male").select(F.col("age").alias("age_1"), F.col("ex").alias("ex_1")))
-    f = F.broadcast(lt.where(F.col("table_id") == "female").select(F.col("age").alias("age_2"), F.col("ex").alias("ex_2")))
+    m = broadcast_if_small(lt.where(F.col("table_id") == "male").select(F.col("age").alias("age_1"), F.col("ex").alias("ex_1")))
+    f = broadcast_if_small(lt.where(F.col("table_id") == "female").select(F.col("age").alias("age_2"), F.col("ex").alias("ex_2")))
     out = hh.join(m, "age_1").join(f, "age_2")
     return out.select("household_id", "age_1", "age_2", ratio("ex_1"), ratio("ex_2"))
 
@@ -1340,7 +1340,7 @@ def q_life_table_file(spark, sf_dir):
     body = t.select((F.col("row_idx") + LIFE_HEADER).alias("k"), F.concat_ws(",", "table_id", "row_idx", "age", "qx").alias("value"))
     head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)  # 250 lines
     read = act.load_life_table(act.read_life_table(spark, path))
-    male = F.broadcast(read.where("table_id = 'male'").select(F.col("age").alias("age_1"), "qx"))
+    male = broadcast_if_small(read.where("table_id = 'male'").select(F.col("age").alias("age_1"), "qx"))
     return star_households(spark, sf_dir).join(male, "age_1").select("household_id", "age_1", F.round("qx", 9).alias("qx"))
 
 
