@@ -155,6 +155,7 @@ def _ledger(folder, n):
 
 def _same(a, b):
     for name in TABLES:
+        assert getattr(a, name).columns == getattr(b, name).columns, name
         rows = lambda t: sorted(map(repr, getattr(t, name).select(*getattr(b, name).columns).collect()))
         assert rows(a) == rows(b), name
 
@@ -198,6 +199,34 @@ def test_changed_and_removed_files(spark):
     _same(store.tables(), load_ledger(spark, src))
 
 
+def test_compacted_store(spark):
+    """Many small parts become one; ingest and refresh go on from there."""
+    src, store_path, _ = _dirs("compact-store")
+    for n in range(4):
+        _ledger(src, n)
+    store = LedgerStore(spark, store_path)
+    store.compact()                                             # nothing yet
+    store.ingest(src, files_per_batch=1)
+    with open(os.path.join(src, "l 1.ledger"), "a") as f:
+        f.write('2020-03-01 * "later"\n  Expenses:Food  7 USD\n  Assets:Bank\n')
+    assert store.refresh(src) == 1
+    store.compact()
+    parts = lambda: sorted(x for x in os.listdir(os.path.join(store_path, "postings")) if "part=" in x)
+    assert len(parts()) == 1
+    _same(store.tables(), load_ledger(spark, src))
+    _ledger(src, 7)
+    os.remove(os.path.join(src, "l 0.ledger"))
+    with open(os.path.join(src, "l 2.ledger"), "a") as f:
+        f.write("2020-03-01 price EUR 9 USD\n")
+    store.ingest(src)
+    assert store.refresh(src) == 2 and len(parts()) == 3
+    _same(store.tables(), load_ledger(spark, src))
+    store.compact()
+    assert len(parts()) == 1
+    _same(store.tables(), load_ledger(spark, src))
+    assert store.refresh(src) == 0
+
+
 def test_interrupted_batch_leaves_nothing_behind(spark, monkeypatch):
     """A batch that fails after some of its tables is not seen, and runs again."""
     src, store_path, _ = _dirs("fail")
