@@ -13,10 +13,9 @@ and every table of a child restaurant is a customer of the parent.
 
 Seatings are sampled by Gibbs: a sweep draws, for each dish of each
 restaurant, its number of tables given all others, which is all of a seating
-that the predictions need.  Up to EXACT customers the draw is from the exact
-conditional, with generalised Stirling numbers; beyond, the other customers
-are seated one after another by the Chinese-restaurant rule, in steps of a
-64th of those already seated.  Pairs are independent given the totals of
+that the predictions need.  The draw is from the exact conditional, with
+generalised Stirling numbers: from a table up to EXACT customers, by contour
+integrals beyond (probabilities right to 1e-4).  Pairs are independent given the totals of
 their context and of their word, so a sweep runs over all pairs in parallel:
 it joins them with the tables of contexts and of words that the sweep before
 left, draws, and sums both tables anew.  Only the sums over all words (two
@@ -53,7 +52,8 @@ FOLDS, HELD_OUT = 7, 2
 HOT = 1e-6
 SWEEPS, BURN_IN = 3, 1
 THETA = 1.0
-EXACT = 64
+EXACT = 64                         # customers up to which a table holds the Stirling numbers; integrals beyond
+NODES, STEPS = 12, 36              # of the polynomial and of the integrals
 BEGIN = np.uint64(1)               # the context of a first token; all others are the hash of the word before
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -146,30 +146,134 @@ def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, l
     probability is ``base``, in restaurants with ``others`` other tables."""
     t = np.ones(len(c), np.int64)
     draw = _uniform(seed, sweep)
-    for lo, hi in ((2, 8), (9, 10 ** 18)):
+    for lo, hi in ((2, 8), (9, EXACT)):
         rows = np.flatnonzero((c >= lo) & (c <= hi))
-        most = min(hi, EXACT)
         for at in range(0, len(rows), 20_000):
             r = rows[at:at + 20_000]
-            k = np.arange(1, most + 1)
-            weight = logs[np.minimum(c[r], EXACT)][:, 1:most + 1] + k * np.log(base[r])[:, None] \
+            k = np.arange(1, hi + 1)
+            weight = logs[c[r]][:, 1:hi + 1] + k * np.log(base[r])[:, None] \
                 + np.cumsum(np.log(THETA + d * (others[r][:, None] + k - 1)), axis=1)
-            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            t[r] = 1 + (weight < draw[r, None] * weight[:, -1:]).sum(axis=1)
+            t[r] = _inverse(weight, draw[r])
     rows = np.flatnonzero(c > EXACT)
-    seated, step_no = np.full(len(rows), EXACT), 0
-    while len(rows):
-        step = np.minimum(np.maximum(1, seated // 64), c[rows] - seated)
-        opens = (THETA + d * (others[rows] + t[rows])) * base[rows]
-        expected = step * opens / (opens + seated - d * t[rows])
-        step_no += 1
-        t[rows] += np.minimum(step, np.floor(expected + _uniform(seed[rows] ^ np.uint64(step_no), sweep))).astype(np.int64)
-        seated = seated + step
-        left = seated < c[rows]
-        rows, seated = rows[left], seated[left]
+    for at in range(0, len(rows), 2_000):
+        r = rows[at:at + 2_000]
+        t[r] = _draw_many(c[r], base[r], others[r], d, draw[r])
     return t
 
 
+def _inverse(log_weight: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Number (from 1) of the column that each row's uniform number falls in."""
+    weight = np.cumsum(np.exp(log_weight - log_weight.max(axis=1, keepdims=True)), axis=1)
+    return 1 + (weight < draw[:, None] * weight[:, -1:]).sum(axis=1)
+
+
+def _draw_many(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, draw: np.ndarray) -> np.ndarray:
+    """``draw_tables`` for more customers than the table of Stirling numbers
+    holds: weights over the window that holds all but 1e-15 of the mass."""
+    a = THETA / d + others
+    lo_z, hi_z = np.full(len(c), -9.0), np.full(len(c), 600.0)
+
+    def slope(z):  # of the log weight, and the number of tables whose saddle z is
+        log_f, m = _saddle(z, d)
+        t = c / m
+        return log_f + np.log((a + t) * base / t), t
+
+    for _ in range(45):
+        z = (lo_z + hi_z) / 2
+        up = slope(z)[0] > 0
+        lo_z, hi_z = np.where(up, lo_z, z), np.where(up, z, hi_z)
+    (s1, t1), (s0, t0) = slope(hi_z - 0.05), slope(hi_z + 0.05)
+    sd = np.sqrt(np.maximum(t1 - t0, 1e-9) / np.maximum(s0 - s1, 1e-9))
+    mode = np.minimum(slope(hi_z)[1], c)
+    lo = np.maximum(1, np.floor(mode - 9 * sd - 4)).astype(np.int64)
+    hi = np.minimum(c, np.ceil(mode + 9 * sd + 14)).astype(np.int64)
+    t = np.empty(len(c), np.int64)
+
+    def draw_rows(r, smooth):  # rows of like windows together, at most a million cells
+        r = r[np.argsort((hi - lo)[r], kind="stable")]
+        while len(r):
+            n = len(r)
+            while n > 1 and n * (hi - lo)[r[n - 1]] > 1_000_000:
+                n = (n + 1) // 2
+            now, r = r[:n], r[n:]
+            at = lo[now][:, None] + np.arange((hi - lo)[now].max() + 1)
+            k = np.minimum(at, hi[now][:, None])
+            ratio = np.log((a[now][:, None] + k - 1) * base[now][:, None] / np.maximum(k - 1, 1))
+            ratio[:, 0] = 0
+            weight = np.where(at > hi[now][:, None], -np.inf, np.cumsum(ratio, axis=1) + smooth(now, k))
+            t[now] = lo[now] - 1 + _inverse(weight, draw[now])
+
+    # the smooth part of the weight: a polynomial through Chebyshev nodes of the window, but near
+    # t = c, where the integral needs whole t, itself (such windows are some hundred wide)
+    x = np.cos(np.pi * np.arange(NODES) / (NODES - 1))
+    fit = np.linalg.inv(np.polynomial.chebyshev.chebvander(x, NODES - 1)).T
+
+    def polynomial(r, k):
+        at = (lo + hi)[r][:, None] / 2 + (hi - lo)[r][:, None] / 2 * x
+        poly = log_coefficient(np.repeat(c[r], NODES), at.ravel(), d).reshape(at.shape) @ fit
+        where = np.clip((2 * k - (lo + hi)[r][:, None]) / np.maximum(hi - lo, 1)[r][:, None], -1, 1)
+        return np.polynomial.chebyshev.chebval(where, poly.T[:, :, None], tensor=False)
+
+    def itself(r, k):
+        cells = np.repeat(c[r], k.shape[1]), k.ravel().astype(float)
+        return np.concatenate([log_coefficient(*(v[i:i + 20_000] for v in cells), d)
+                               for i in range(0, k.size, 20_000)]).reshape(k.shape)
+
+    draw_rows(np.flatnonzero(hi + 24 < c), polynomial)
+    draw_rows(np.flatnonzero(hi + 24 >= c), itself)
+    return t
+
+
+def _saddle(z: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log f(x) and x f'(x) / f(x) of f(x) = 1 - (1 - x)^d at x = 1 / (1 + e^-z)."""
+    log_y = -np.logaddexp(0, z)  # y = 1 - x
+    f = -np.expm1(d * log_y)
+    return np.log(f), d * np.exp((d - 1) * log_y) / (1 + np.exp(-z)) / f
+
+
+def log_coefficient(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log of [x^c] f(x)^t / t, f(x) = 1 - (1 - x)^d, which is the generalised
+    Stirling number S(c, t) times t! d^t / (c! t).
+
+    Cauchy's integral through the saddle point of the integrand by the
+    midpoint rule, which converges geometrically: over a circle around 0 if
+    the saddle is near, else over a parabola around the cut from 1, no nearer
+    to the cut than 3 / c."""
+    lo, hi = np.full(len(c), -9.0), np.log(c / 3)
+    for _ in range(20):  # any contour gives the integral; one close to the saddle gives it exactly enough
+        z = (lo + hi) / 2
+        far = _saddle(z, d)[1] > c / t
+        lo, hi = np.where(far, lo, z), np.where(far, z, hi)
+    (_, m1), (log_f, m) = _saddle(z + 1e-3, d), _saddle(z, d)
+    log_y = -np.logaddexp(0, z)
+    x0, y0, log_x = np.exp(z + log_y), np.exp(log_y), z + log_y
+    peak = t * log_f - c * log_x
+    bend = np.maximum(t * (m1 - m) / 1e-3 / y0, 1e-12)  # second derivative by log x, whose derivative by z is y
+    half = (np.arange(STEPS) + 0.5) / STEPS
+    out = np.empty(len(c))
+    for round_, r in ((True, np.flatnonzero(x0 < 0.5)), (False, np.flatnonzero(x0 >= 0.5))):
+        if not len(r):
+            continue
+        if round_:
+            width = 8 / np.sqrt(bend[r])
+            width = np.where(width > 2, np.pi, width)
+            x = x0[r][:, None] * np.exp(1j * width[:, None] * half)
+            log_1 = 0.5 * np.log1p(np.abs(x) ** 2 - 2 * x.real) + 1j * np.arctan2(-x.imag, 1 - x.real)
+            part, scale, at_x = -np.expm1(d * log_1), 1 / np.pi, log_x[r][:, None] + 1j * width[:, None] * half
+        else:
+            by_arm = 2 * y0[r] / x0[r]
+            width = 8 / np.sqrt(bend[r] * by_arm ** 2 + np.maximum(c[r] - t[r] * m[r], 0) * by_arm)
+            arm = 1 + 1j * width[:, None] * half
+            y = y0[r][:, None] * arm ** 2
+            part, scale = 1 - np.exp(d * (log_y[r][:, None] + 2 * np.log(arm))), 2 * y0[r] / np.pi
+            at_x = 0.5 * np.log1p(np.abs(y) ** 2 - 2 * y.real) + 1j * np.arctan2(-y.imag, 1 - y.real)
+        value = np.exp(t[r][:, None] * np.log(part) - c[r][:, None] * at_x - peak[r][:, None])
+        if not round_:
+            value = value * arm * np.exp(-at_x)
+        out[r] = peak[r] + np.log(value.real.sum(axis=1) * width / STEPS * scale) - np.log(t[r])
+    return out
+
+
 class BackOff:
     """Weight of the parent in each restaurant after a sweep, by context."""
 

@@ -676,8 +676,56 @@ def test_tables_follow_the_seating_rule():
     seeds = common.mix64(np.arange(n, dtype=np.uint64))
     got = pitman_yor.draw_tables(np.full(n, 40), np.full(n, base), np.full(n, others), d, pitman_yor.stirling(d), seeds, 0)
     assert abs(got.mean() - want) < 0.1
-    many = pitman_yor.draw_tables(np.full(50, 100_000), np.full(50, base), np.full(50, others), d, pitman_yor.stirling(d), seeds[:50], 1)
-    assert 2 < many.mean() < 4  # 1 + 0.165 ln(100000 / 1) or so
+
+
+def seated(c, base, others, d, most):
+    """Probabilities of 1 to ``most`` tables, customer by customer."""
+    weight, t = np.zeros(most), np.arange(1, most + 1)
+    weight[0] = 1
+    for n in range(1, c):
+        opens = weight * (pitman_yor.THETA + d * (others + t)) * base
+        weight = weight * np.maximum(n - d * t, 0)
+        weight[1:] += opens[:-1]
+        weight /= weight.sum()
+    return weight
+
+
+@pytest.mark.parametrize("c, base, others, d, most", [
+    (100_000, 0.01, 30, 0.5, 40), (20_000, 0.01, 1_000, 0.8, 80), (65, 0.9, 5, 0.95, 65), (300, 0.01, 1_000, 0.8, 300),
+    (1_000, 0.01, 1_000, 0.5, 100), (3_000, 0.03, 20_000, 0.8, 3_000), (1_500, 0.05, 1_000_000, 0.5, 1_500),
+    (5_000, 1e-5, 30, 0.95, 30), (2_000, 0.4, 3, 0.05, 80)])
+def test_draws_of_many_customers_are_exact(c, base, others, d, most):
+    weight, n = seated(c, base, others, d, most), 6_000
+    t = np.arange(1, most + 1)
+    mean = weight @ t
+    sd = math.sqrt(weight @ (t - mean) ** 2)
+    draw = (np.arange(n) + 0.5) / n  # the inverse of the distribution at even steps
+    many = lambda x: np.full(n, x)
+    got = pitman_yor._draw_many(many(c), many(base), many(others), d, draw)
+    want = 1 + np.searchsorted(np.cumsum(weight), draw)
+    assert (got != want).mean() < 0.002 and abs(got - want).max() <= 1
+    seeds = common.mix64(np.arange(n, dtype=np.uint64))
+    got = pitman_yor.draw_tables(many(c), many(base), many(others), d, pitman_yor.stirling(d), seeds, 1)
+    assert abs(got.mean() - mean) < 4 * sd / math.sqrt(n) + 1e-3 and abs(got.mean() - mean) < 0.02 * mean
+
+
+def test_draws_agree_with_customer_by_customer_gibbs():
+    c, base, others, d = 80, 0.05, 40, 0.6
+    rng, tables, means = np.random.default_rng(3), [c], []
+    for sweep in range(1_500):  # each customer leaves and sits down again
+        for _ in range(c):
+            at = int(rng.choice(len(tables), p=np.array(tables) / c))
+            tables[at] -= 1
+            if not tables[at]:
+                tables.pop(at)
+            weight = np.array([x - d for x in tables] + [(pitman_yor.THETA + d * (others + len(tables))) * base])
+            at = int(rng.choice(len(weight), p=weight / weight.sum()))
+            if at == len(tables):
+                tables.append(0)
+            tables[at] += 1
+        means.append(len(tables))
+    got = pitman_yor._draw_many(*(np.full(4_000, x) for x in (c, base, others)), d, (np.arange(4_000) + 0.5) / 4_000)
+    assert abs(np.mean(means[100:]) - got.mean()) < 0.03 * got.mean() + 0.05
 
 
 def test_language_model_cases(spark, odd, none):
