@@ -15,8 +15,11 @@ pairs are never listed or shuffled: a block of a bucket yields the number of
 links of each member and the edges that join its members into components.
 Buckets of more than CHUNK members are compared in blocks.
 
-With 8 tables, 2 hashes and 4 probes a pair of cosine 0.9 (64 dimensions) is
-missed in about 5 of 10,000 cases, one of 0.95 in 2 of a million.
+The number of tables follows from the dimension: a table misses a pair of
+cosine LEAST the more often, the more dimensions there are, so ``tables_for``
+measures that on random pairs of exactly that cosine and takes as many tables
+as leave MISS of them (at least TABLES).  In 64 dimensions these are 8, which
+miss about 5 of 10,000 pairs of cosine 0.9 and 2 of a million of 0.95.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components link with nothing (their component is their own vec_id); so do rows
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import blocks_of, connected_components, pair_blocks, pairs_in_groups, stored, table
 
-TABLES, HASHES, PROBES = 8, 2, 4
+TABLES, HASHES, PROBES = 8, 2, 4  # TABLES: the least
+MISS = 0.001                      # of the pairs whose cosine is just LEAST
 LEAST = 0.9
 CHUNK = 2048
 
@@ -78,6 +82,24 @@ def bucket_lists(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, prob
     return out
 
 
+def tables_for(d: int, least: float = LEAST, hashes: int = HASHES, probes: int = PROBES) -> int:
+    """Tables that vectors of d dimensions need."""
+    size = 1 << max(1, (d - 1).bit_length())
+    pairs = min(2_000, max(500, (1 << 17) // size))
+    x = np.random.default_rng([size, pairs]).standard_normal((2, pairs, size))
+    x[0] /= np.linalg.norm(x[0], axis=1, keepdims=True)
+    x[1] -= (x[0] * x[1]).sum(axis=1, keepdims=True) * x[0]
+    x[1] /= np.linalg.norm(x[1], axis=1, keepdims=True)
+    x[1] = least * x[0] + np.sqrt(max(0.0, 1 - least * least)) * x[1]
+    missed = np.zeros(pairs, bool)
+    for at in range(0, pairs, 250):
+        a, b = (bucket_lists(v[at:at + 250], 1, hashes, probes)[:, 0] for v in x)
+        missed[at:at + 250] = ~((a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1))
+    if not missed.any():
+        return TABLES
+    return max(TABLES, int(np.ceil(np.log(MISS) / np.log(min(missed.mean(), 0.99)))))
+
+
 def usable(v: Column) -> Column:
     """Whether a vector can be compared."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -101,11 +123,12 @@ PLACE = ["d", "t", "bucket"]
 PLACE_SCHEMA = "d int, t int, bucket int, probe int, cls long, copies long, lists binary, vec binary"
 
 
-def bucket_rows(classes: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
+def bucket_rows(classes: DataFrame, tables: int | None, hashes: int, probes: int, least: float = LEAST) -> DataFrame:
     """One row per class, table and probe: dimension d, table t, bucket, probe,
     cls, copies, lists (its buckets in all tables) and vec (its components)."""
 
     def run(batches):
+        needed = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 part = whole.slice(at, 512)
@@ -113,7 +136,9 @@ def bucket_rows(classes: DataFrame, tables: int, hashes: int, probes: int) -> Da
                 for d in np.unique(dims):
                     batch = part.filter(pa.array(dims == d))
                     x = matrix(batch.column("v"))
-                    lists = bucket_lists(unit_rows(x), tables, hashes, probes)
+                    if d not in needed:
+                        needed[d] = tables or tables_for(int(d), least, hashes, probes)
+                    lists = bucket_lists(unit_rows(x), needed[d], hashes, probes)
                     again = np.zeros(lists.shape, bool)  # a short list repeats its last bucket
                     again[:, :, 1:] = lists[:, :, 1:] == lists[:, :, :-1]
                     row, t, probe = np.nonzero(~again)
@@ -196,9 +221,10 @@ def links_in_blocks(rows: DataFrame, element: str, probes: int, least: float) ->
         .select(*PLACE, "_bi", "_bj", "_c", "probe", "cls", "copies", "lists", "vec").mapInArrow(run, "a long, b long, n long")
 
 
-def vector_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TABLES, hashes: int = HASHES,
+def vector_duplicates(vectors: DataFrame, least: float = LEAST, tables: int | None = None, hashes: int = HASHES,
                       probes: int = PROBES) -> DataFrame:
-    """(vec_id, embedding) -> vec_id, n_links, component_id, kept."""
+    """(vec_id, embedding) -> vec_id, n_links, component_id, kept; ``tables``
+    in all dimensions, else as many as each dimension needs."""
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     v = F.col("embedding") if kind in ("float", "double") else F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", v.alias("v")).withColumn(
@@ -206,7 +232,7 @@ def vector_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TA
     ids = stored(rows.select("vec_id", "cls"), "vec-ids")
     classes = stored(rows.where("cls IS NOT NULL").groupBy("cls").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "vec-classes")
-    found = stored(links_in_blocks(bucket_rows(classes, tables, hashes, probes), "float32" if kind == "float" else "float64",
+    found = stored(links_in_blocks(bucket_rows(classes, tables, hashes, probes, least), "float32" if kind == "float" else "float64",
                                    probes, least), "vec-links")
     n_links = found.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     comp = connected_components(found.where("b IS NOT NULL").select("a", "b")) \
