@@ -11,11 +11,15 @@ derived from content, so a rerun or a recomputed task makes the same records.
 Defined cases: a null payload counts as empty, a null URI or header block as
 absent (no WARC-Target-URI line, empty source headers); repeated rows give
 repeated records with the same ids; other columns of the responses are kept,
-those named like an output replaced; an empty table gives an empty result.
+those named like an output replaced; references without a semicolon or of no known name stay as text, numbers that
+are no character become U+FFFD; a script, style or comment that is not closed
+stays as text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +28,13 @@ from tallyframe.llm.common import table
 CRLF = "\r\n"
 CRAWL_DATE = "2024-01-01T00:00:00Z"  # the pages table has no date; the response records get this one
 
-# fixed values: named character references that are decoded (numeric ones are
-# decoded by rule; &amp; comes last)
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
-            "middot": "·", "laquo": "«", "raquo": "»", "ndash": "–", "mdash": "—",
-            "hellip": "…", "amp": "&"}
+# character references: the named ones of HTML, the commonest first, and the
+# characters that numbers of the C1 range stand for
+COMMON = ["amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "mdash", "ndash", "hellip"]
+NAMED = {n: html5[f"{n};"] for n in COMMON} | {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+C1 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+BETWEEN, AFTER = "\x01", "\x02"
 # patterns in the order in which they apply, and what replaces them
 STRIP = [(r"(?s)<!--.*?-->", " "), (r"(?is)<script\b.*?</script\s*>", " "), (r"(?is)<style\b.*?</style\s*>", " "),
          (r"(?is)<head\b.*?</head\s*>", " "),
@@ -40,16 +46,24 @@ OUT = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_d
        "block_digest", "source_payload_digest", "source_block_digest", "source_headers", "block", "warc_headers"]
 
 
-def _numeric(text: Column) -> Column:
-    """Decode &#N; and &#xH; (only evaluated for texts that hold one)."""
-    pattern = r"&#([0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"
-    char = lambda code: F.decode(F.unhex(F.lpad(
-        F.when(code.rlike("^[xX]"), F.substring(code, F.lit(2), F.length(code)))
-        .otherwise(F.hex(F.when(code.rlike("^[0-9]+$"), code).cast("bigint"))), 8, "0")), "UTF-32")
-    pieces = F.split(text, pattern)
-    chars = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), char)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, chars, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+def _character(ref: Column) -> Column:
+    """What a character reference stands for; itself if it is not one."""
+    digits = F.regexp_replace(ref, "^&#[xX]?0*|;$", "")
+    code = F.when(F.length(digits) > 7, F.lit(0x110000)).when(digits == "", F.lit(0)) \
+        .when(F.substring(ref, 3, 1).isin("x", "X"), F.conv(digits, 16, 10).cast("int")).otherwise(digits.cast("int"))
+    number = F.transform(F.array(code), lambda n: F.when((n >= 128) & (n < 160), F.element_at(
+        F.split(F.lit(AFTER.join(C1)), AFTER), n - 127))
+        .when((n == 0) | (n > 0x10FFFF) | ((n >= 0xD800) & (n < 0xE000)), F.lit("\ufffd"))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))[0]
+    names = F.str_to_map(F.lit(AFTER.join(f"&{n};{BETWEEN}{c}" for n, c in NAMED.items())), F.lit(AFTER), F.lit(BETWEEN))
+    return F.when(F.startswith(ref, F.lit("&#")), number).otherwise(F.coalesce(F.element_at(names, ref), ref))
+
+
+def _decoded(text: Column) -> Column:
+    """``text`` with its character references decoded, each once."""
+    chars = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _character)
+    joined = F.array_join(F.flatten(F.zip_with(F.split(text, REFERENCE), chars, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -58,10 +72,7 @@ def plain_text(html: Column) -> Column:
     out = html
     for pattern, by in STRIP:
         out = F.regexp_replace(out, pattern, by)
-    out = F.transform(F.array(out), _numeric)[0]
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    return F.transform(F.array(out), _decoded)[0]
 
 
 def urn(seed: Column) -> Column:
@@ -140,8 +151,18 @@ def _sql() -> str:
     text = "payload"
     for pattern, by in STRIP:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(by)}, 'g')"
-    for name, char in ENTITIES.items():
-        text = f"replace({text}, '&{name};', {quote(char)})"
+    among = lambda items, at: f"string_split({quote(AFTER.join(items))}, {quote(AFTER)})[{at}]"
+    digits = "regexp_replace(ref, '^&#[xX]?0*|;$', '', 'g')"
+    code = f"""CASE WHEN length({digits}) > 7 THEN 1114112 WHEN {digits} = '' THEN 0
+      WHEN lower(ref[3]) = 'x' THEN CAST('0x' || {digits} AS INTEGER) ELSE CAST({digits} AS INTEGER) END"""
+    name = f"list_position(string_split({quote(AFTER.join(f'&{n};' for n in NAMED))}, {quote(AFTER)}), ref)"
+    character = f"""CASE WHEN starts_with(ref, '&#') THEN list_transform([{code}], lambda n:
+      CASE WHEN n BETWEEN 128 AND 159 THEN {among(C1, 'n - 127')}
+        WHEN n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(n) END)[1]
+      ELSE coalesce({among(NAMED.values(), name)}, ref) END"""
+    text = f"""list_transform([{text}], lambda x: CASE WHEN NOT contains(x, '&') THEN x ELSE array_to_string(list_transform(
+      list_zip(string_split_regex(x, '{REFERENCE}'), list_transform(regexp_extract_all(x, '{REFERENCE}'), lambda ref: {character})),
+      lambda z: z[1] || coalesce(z[2], '')), '') END)[1]"""
     uuid = lambda seed: (
         f"'<urn:uuid:' || regexp_replace(md5({seed}), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') || '>'")
     nl = "chr(13) || chr(10)"

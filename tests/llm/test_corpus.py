@@ -3,6 +3,7 @@ and the cases their docstrings define."""
 
 import collections
 import hashlib
+import html
 import math
 import random
 import re
@@ -11,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -405,6 +407,27 @@ def test_index_returns_every_code_within_the_radius():
 # -------------------------------------------------------------------- op6
 
 
+def test_character_references(spark):
+    names = [f"&{n};" for n in warc_derive.NAMED if n not in ("Tab", "NewLine", "nbsp")]
+    numbers = [f"&#{n};" for n in (48, 233, 0x4E2D, 0x1F600, 0x10FFFF, 128, 153, 0, 55296, 1114112, 10 ** 30)] \
+        + [f"&#x{n};" for n in ("10FFFF", "00000000e9", "1f600", "D800", "110000", "92")] + ["&#X41;"]
+    whole = ["&amp;lt; &#38;lt; &amp;amp;#65; &nosuch; &copy 1 &; &#; &#x; a&b;c", "&eacute;&#x10FFFF;x&notin;&NotEqualTilde;", "no reference", "&", ""]
+    refs = [f"a{r}b" for r in names + numbers] + whole
+    # the standard library knows the same rules but drops U+10FFFF and other noncharacters, and reads references without semicolon
+    want = [html.unescape(r) for r in refs[:-len(whole)]]
+    for n in (len(names) + 4, len(names) + 11):
+        want[n] = "a\U0010ffffb"
+    want += ["&lt; &lt; &amp;#65; &nosuch; &copy 1 &; &#; &#x; a&b;c", "é\U0010ffffx∉≂̸", *whole[2:]]
+    df = spark.createDataFrame(list(enumerate(refs)), "page_id long, x string")
+    got = {r["page_id"]: r["y"] for r in df.select("page_id", warc_derive._decoded(F.col("x")).alias("y")).collect()}
+    assert [got[i] for i in range(len(refs))] == want
+    pages = pd.DataFrame({"page_id": range(len(refs)), "url": "u", "html": ["<p>" + r.replace("<", "") for r in refs]})  # noqa: F841
+    sql = duckdb.sql(warc_derive.SQL).fetchall()
+    at = warc_derive.OUT.index("block")
+    ours = warc_derive.derive(warc_derive.responses_from_pages(spark.createDataFrame(pages))).select("page_id", "record_type", "block")
+    assert sorted((r[0], r[1], r[at]) for r in sql) == sorted(map(tuple, ours.collect()))
+
+
 def test_warc_cases(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<html><head><title>t</title></head><body><p>A &lt;b&gt; &#233;&#x4E2D;&amp;amp;<br>x</p><script>s()</script></body></html>", "k"),
                                    (2, None, None, None), (None, "u", "", "k"), (2, None, None, None), (3, "u", "<p>" * 20_000 + "end", "k")],
