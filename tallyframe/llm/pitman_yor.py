@@ -15,7 +15,7 @@ Seatings are sampled by Gibbs: a sweep draws, for each dish of each
 restaurant, its number of tables given all others, which is all of a seating
 that the predictions need.  The draw is from the exact conditional, with
 generalised Stirling numbers: from a table up to EXACT customers, by contour
-integrals beyond (probabilities right to 1e-4).  Pairs are independent given the totals of
+integrals beyond (logarithms right to 2e-4).  Pairs are independent given the totals of
 their context and of their word, so a sweep runs over all pairs in parallel:
 it joins them with the tables of contexts and of words that the sweep before
 left, draws, and sums both tables anew.  Only the sums over all words (two
