@@ -37,3 +37,75 @@ def test_postings_spread_by_transaction_are_stored_where_they_are(spark):
     store = write_store(p, tempfile.mkdtemp(prefix="tf-store-"), by_transaction=True)
     held = store.all().groupBy(F.input_file_name().alias("f")).agg(F.min("txn_id").alias("a"), F.max("txn_id").alias("b"), F.count("*").alias("n")).collect()
     assert sorted((r.a, r.b, r.n) for r in held) == [(0, 999, 1000), (1000, 1999, 1000), (2000, 2999, 1000), (3000, 3999, 1000)]
+
+
+TEXT = """\
+  loose line
+option "operating_currency" "USD"
+2020-01-01 open Assets:Cash USD
+  include_in_dash: "true"
+2020-01-02 * "P" "N"; note
+  Assets:Cash  -5.00 USD
+  Expenses:Food
+\f formfeed is white space
+2020-01-03 * "Q"
+
+  Assets:Cash  1 GLD {2.5 USD}
+  Income:Pay  -2.5 USD
+2020-01-04 price GLD 3 USD"""
+
+
+def _cut(lines, size, alone=False, most=None, monkeypatch=None):
+    import pyarrow as pa
+
+    from tallyframe.sources import ledger_text as lt
+
+    if most:
+        monkeypatch.setattr(lt, "MOST_LINES", most)
+    t = pa.table({"file": [f for f, _, _ in lines], "split": pa.array([s for _, s, _ in lines], pa.int64()), "line": [x for _, _, x in lines]})
+    return [r for b in lt._cutter(["file", "split"], alone)(iter(t.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+
+
+def test_blocks_are_cut_alike_whatever_the_batches(monkeypatch):
+    lines = [(f, s, x) for f, s in [("a", 0), ("a", 9), ("b", 0)] for x in TEXT.split("\n")]
+    want = _cut(lines, 10_000)
+    assert [r["head"] is None for r in want[:2]] == [True, False] and want[0]["body"] == ["  loose line"]
+    for r in want:
+        at = [x for f, s, x in lines if (f, s) == (r["file"], r["split"])]
+        assert not r["opened"] or at[r["block"] - 1] == r["head"]
+        assert at[r["start"] - 1:r["start"] - 1 + len(r["body"])] == r["body"]
+    assert sum(r["last"] for r in want) == 3 and sum(len(r["body"]) + r["opened"] for r in want) == len(lines)
+    assert not any(r["whole"] for r in want if r["last"] or r["head"] is None)
+    for size in (1, 2, 3, 7):
+        assert _cut(lines, size) == want
+    parts = _cut(lines, 2, most=2, monkeypatch=monkeypatch)     # long blocks are several rows
+    assert len(parts) > len(want) and [x for r in parts for x in ([r["head"]] if r["opened"] else []) + r["body"]] == [x for _, _, x in lines]
+    assert {(r["block"], r["head"]) for r in parts} == {(r["block"], r["head"]) for r in want}
+    whole = [r for r in parts if r["whole"]]
+    assert whole and all(r in want for r in whole)
+
+
+def test_lines_are_not_shuffled_to_find_their_headers(spark, tmp_path):
+    from tallyframe.sources.ledger_text import cut_blocks, load_ledger, load_ledger_text, read_ledger_lines
+
+    (tmp_path / "l.ledger").write_text(TEXT)
+    plan = cut_blocks(read_ledger_lines(spark, str(tmp_path / "l.ledger")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    for t in (load_ledger(spark, str(tmp_path / "l.ledger")), load_ledger_text(spark, {"l": TEXT})):
+        got = sorted((r.txn_id, r.line_no, r.account, float(r.number), r.currency, r.payee, r.narration) for r in t.postings.collect())
+        assert got == [(5, 6, "Assets:Cash", -5.0, "USD", "P", "N"), (5, 7, "Expenses:Food", 5.0, "USD", "P", "N"),
+                       (9, 11, "Assets:Cash", 1.0, "GLD", None, "Q"), (9, 12, "Income:Pay", -2.5, "USD", None, "Q")]
+        assert sorted((r.line_no, r.kind) for r in t.errors.collect()) == [(1, "unparsed_line"), (8, "unparsed_line")]
+
+
+def test_a_transaction_over_a_split_keeps_its_amounts(spark, tmp_path):
+    from tallyframe.sources.ledger_text import load_ledger
+
+    n = 300
+    (tmp_path / "l.ledger").write_text("".join(f'2020-01-01 * "t{i}"\n  Assets:Cash  {i + 1} USD\n  Income:Pay\n' for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = sorted((r.line_no, r.txn_id, r.narration, int(r.number)) for r in load_ledger(spark, str(tmp_path / "l.ledger")).postings.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(3 * i + 2 + k, 3 * i + 1, f"t{i}", (i + 1) * (1 - 2 * k)) for i in range(n) for k in (0, 1)]
