@@ -58,12 +58,12 @@ option "operating_currency" "USD"
 def _cut(lines, size, alone=False, most=None, monkeypatch=None):
     import pyarrow as pa
 
-    from tallyframe.sources import ledger_text as lt
+    from tallyframe.sources import cutter as lt
 
     if most:
         monkeypatch.setattr(lt, "MOST_LINES", most)
     t = pa.table({"file": [f for f, _, _ in lines], "split": pa.array([s for _, s, _ in lines], pa.int64()), "line": [x for _, _, x in lines]})
-    return [r for b in lt._cutter(["file", "split"], alone)(iter(t.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    return [r for b in lt.cutter(["file", "split"], alone)(iter(t.to_batches(max_chunksize=size))) for r in b.to_pylist()]
 
 
 def test_blocks_are_cut_alike_whatever_the_batches(monkeypatch):
