@@ -2,6 +2,7 @@
 
 import datetime as dt
 import tempfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,54 @@ def test_a_transaction_over_a_split_keeps_its_amounts(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [(3 * i + 2 + k, 3 * i + 1, f"t{i}", (i + 1) * (1 - 2 * k)) for i in range(n) for k in (0, 1)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rendered_legs_meet_in_one_shuffle(spark):
+    """Nothing is collected, or sorted, before the shuffle; repeated and null rows stay."""
+    from tallyframe.sources.star import star_ledger_opens, star_ledger_text
+
+    row = lambda txn, account, number, payee="P": (1, txn, 1, dt.date(2020, 1, 2), payee, "N", account, Decimal(number), "USD", None, None, None)
+    rows = [row(1, "Assets:B", "-5.00"), row(1, "Assets:A", "5.00"), row(2, "Assets:A", "1.00"), row(2, "Assets:A", "1.00"),
+            row(3, "Assets:A", "2.00", None), row(None, "Assets:A", "3.00"), row(None, "Assets:A", "4.00")]
+    p = spark.createDataFrame(rows, "ledger_id int, txn_id long, line_no int, date date, payee string, narration string, account string, "
+                              "number decimal(18,2), currency string, cost_number decimal(18,2), cost_currency string, cost_date date")
+    head = '2020-01-02 * "P" "N"\n'
+    want = sorted([head + "  Assets:A  5.00 USD\n  Assets:B  -5.00 USD\n", head + "  Assets:A  1.00 USD\n  Assets:A  1.00 USD\n",
+                   "  Assets:A  2.00 USD\n", head + "  Assets:A  3.00 USD\n  Assets:A  4.00 USD\n"])
+    for by in ((), ("payee",)):
+        text = star_ledger_text(p, *by)
+        plan = _plan(text)
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+        assert sorted(r.block for r in text.collect()) == want
+    opens = star_ledger_opens(p)
+    assert sorted(r.block for r in opens.collect())[:2] == ["1900-01-01 open Assets:A USD\n", "1900-01-01 open Assets:B USD\n"]
+
+
+def test_lines_of_postings_are_read_once(spark):
+    """One pattern cuts a line as POSTING_RE does; sure lines are not read for errors."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.sources.ledger_text import CUT, ELIDED_RE, POSTING_RE, SURE_RE, _posted, load_ledger_text
+
+    lines = ["  Assets:Cash  5.00 USD", "\tAssets:Cash 5 USD ; c", "  ! Assets:A-b_c:9", "  Assets:Cash  5 USD \u2028", "  Assets:Cash  \u00e9 5 USD\u0085 ",
+             "  Assets:Cash\t10 GLD {100 USD, 2020-01-02}", "  Assets:Cash 1 GLD {{5 USD}} @ 3 USD", "  Assets: 5 USD", "  key: \"v\"", "Assets:Cash 5 USD",
+             "  Assets:Cash;x", "  Assets:Cash x\x01y ", "\x01Assets:Cash\x015", "  Assets:Cash  1 USD {1}", "  Assets:Cash  1.123456789 USD", ""]
+    t = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = t.select("line", _posted(F.col("line")).alias("p"), F.col("line").rlike(POSTING_RE).alias("is"), F.regexp_extract("line", POSTING_RE, 1).alias("a"),
+                   F.regexp_extract("line", POSTING_RE, 2).alias("s")).collect()
+    for r in got:
+        if r["is"]:
+            assert r.p[1:].split(CUT, 1)[0] == r.a and r.p[1:].split(CUT, 1)[1].rsplit(CUT, 1)[0] == r.s, r
+        else:
+            assert r.p == r.line
+    assert t.where(F.col("line").rlike(SURE_RE) & F.col("line").rlike(ELIDED_RE)).count() == 0
+    tables = load_ledger_text(spark, {"l": '2020-01-02 * "P" "N"\n' + "\n".join(x for x in lines if x[:1] in " \t")})
+    kinds = {r.message: r.kind for r in tables.errors.collect()}
+    assert kinds["  Assets:Cash x\x01y "] == kinds["  Assets:Cash  1.123456789 USD"] == "unparsed_amount"
+    assert kinds["  Assets:Cash  1 USD {1}"] == "unparsed_cost" and kinds["  Assets: 5 USD"] == "unparsed_line"
+    assert not {"  Assets:Cash  5.00 USD", "  Assets:Cash\t10 GLD {100 USD, 2020-01-02}"} & set(kinds)
+    assert "regexp_extract(line" not in _plan(tables.postings) and "RLIKE" not in _plan(tables.postings).split("Generate")[0]
