@@ -39,7 +39,11 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import math
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +51,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import mix64, slices, stored, table, word_hashes
+from tallyframe.session import delete_folder, ensure_checkpoint_dir
 
 FOLDS, HELD_OUT = 7, 2
-HOT = 1e-6
+HOT = 2.5e-7
 SWEEPS, BURN_IN = 3, 1
 THETA = 1.0
-EXACT = 64                         # customers up to which a table holds the Stirling numbers; integrals beyond
+EXACT = 512                        # customers up to which a table holds the Stirling numbers; integrals beyond
 NODES, STEPS = 12, 36              # of the polynomial and of the integrals
+SAMPLE, OFTEN = 32, 1 << 17        # documents looked at for the layout: every 32nd; words that are packed, at most
+SHARD = 2_000_000                  # tokens of a shard, about
 BEGIN = np.uint64(1)               # the context of a first token; all others are the hash of the word before
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -82,20 +89,223 @@ def pair_hash(w: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 def _batches(batches):
     for whole in batches:
-        yield from slices(whole)
+        yield from slices(whole, most=1 << 20)
+
+
+# ------------------------------------------------------------- packed shards
+#
+# A row holds many pairs or words: ``u`` and ``w`` are packed hashes (u once for each run of equal
+# ones), ``x`` columns of whole numbers from 0.
+
+KINDS = PAIRS, MESSAGE, WORDS, REPLY, STATE, APART, INFO, TOKENS, HOTTEST, EASY = range(10)
+ROW = "shard int, kind int, src int, nu int, nw int, n int, u binary, w binary, x array<binary>, sums array<long>"
+_NAMES = [c.split()[0] for c in ROW.split(", ")]
+_TYPES = [pa.int32()] * 6 + [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+
+
+def packed(h: np.ndarray, often: np.ndarray) -> bytes:
+    """Hashes, three bytes each if they are in ``often``."""
+    at, known = _found(often, h)
+    return np.packbits(known).tobytes() + at[known].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() \
+        + h[~known].tobytes()
+
+
+def unpacked(blob: bytes, n: int, often: np.ndarray) -> np.ndarray:
+    flags = (n + 7) // 8
+    known = np.unpackbits(np.frombuffer(blob, np.uint8, flags), count=n).astype(bool)
+    k = int(known.sum())
+    at = np.zeros((k, 4), np.uint8)
+    at[:, :3] = np.frombuffer(blob, np.uint8, 3 * k, flags).reshape(k, 3)
+    out = np.empty(n, np.uint64)
+    out[known] = often[at.view("<u4").ravel()]
+    out[~known] = np.frombuffer(blob, np.uint64, n - k, flags + 3 * k)
+    return out
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 (of 64 bits): all lowest bytes, all second ones, and so on."""
+    x = np.ascontiguousarray(x if x.dtype.itemsize == 8 else x.astype(np.int64))
+    k = max(1, (int(x.view(np.uint64).max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([k]) + x.view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
+
+
+def unplanes(blob: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :blob[0]] = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], n).T
+    return out.view("<i8").ravel()
+
+
+def _found(among: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash in a sorted array, and whether it is there."""
+    if not len(among):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(among, h), len(among) - 1)
+    return at, among[at] == h
+
+
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_by[0]), bool)
+    if len(new):
+        new[1:] = np.any([v[1:] != v[:-1] for v in sorted_by], axis=0)
+    return np.flatnonzero(new)
+
+
+def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes, ascending, and the number of each hash among them."""
+    order = np.argsort(h)
+    at = _starts(h[order])
+    of = np.empty(len(h), np.int64)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
+    return h[order[at]], of
+
+
+def _split(shard: np.ndarray, order: np.ndarray | None = None) -> list[np.ndarray]:
+    """Places of the rows of each shard, in their order."""
+    order = np.arange(len(shard)) if order is None else order
+    small = shard[order].astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard[order]
+    order = order[np.argsort(small, kind="stable")]
+    return np.split(order, _starts(shard[order])[1:]) if len(order) else []
+
+
+def _row(often, shard, kind, src=0, u=None, w=None, of=None, ints=(), raw=(), sums=None) -> tuple:
+    """``w``: words, ascending and each once; ``of``: numbers of the words of pairs."""
+    x, nu, nw, ub = [], 0, 0, None
+    if u is not None:
+        at = _starts(u)
+        nu, ub = len(at), packed(u[at], often)
+        x = [planes(np.diff(np.append(at, len(u)))), planes(of)]
+    n = len(of) if of is not None else len(w) if w is not None else len(ints[0])
+    if w is not None:
+        nw, w = len(w), packed(w, often)
+    return int(shard), kind, int(src), nu, nw, n, ub, w, x + [planes(v) for v in ints] + list(raw), sums
+
+
+def _emit(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+
+
+def _read(r: dict, often: np.ndarray, ints: int) -> tuple:
+    """u (None if the row has none), w, numbers of the pairs' words in w, the
+    columns of numbers and what else the row holds."""
+    x, n, u, of = list(r["x"]), r["n"], None, None
+    if r["u"] is not None:
+        u = np.repeat(unpacked(r["u"], r["nu"], often), unplanes(x.pop(0), r["nu"]))
+        of = unplanes(x.pop(0), n)
+    w = None if r["w"] is None else unpacked(r["w"], r["nw"], often)
+    return u, w, of, [unplanes(v, n) for v in x[:ints]], x[ints:]
+
+
+def _by_shard(batches):
+    """Number and rows by kind of each shard, from rows sorted by shard."""
+    held, at = {}, None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and r["shard"] != at:
+                yield at, held
+                held = {}
+            at = r["shard"]
+            held.setdefault(r["kind"], []).append(r)
+    if held:
+        yield at, held
+
+
+def _dealt(*rows: DataFrame) -> DataFrame:
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.unionByName(other)
+    return out.repartition("shard").sortWithinPartitions("shard", "kind", "src")
+
+
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """``stored``, in a folder for each kind of rows."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "llm", f"{tag}-{uuid.uuid4().hex}")
+    df.write.partitionBy("kind").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*_NAMES)
+
+
+def _drop(rows: DataFrame, *kinds: int) -> None:
+    """Deletes a stored table, or its rows of some kinds, that nothing reads any more."""
+    for folder in {os.path.dirname(f) for f in rows.inputFiles()}:
+        if not kinds or folder.endswith(tuple(f"/kind={k}" for k in kinds)):
+            delete_folder(rows.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Files of a shuffle go when the query that made them has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def outline(docs: DataFrame) -> dict:
+    """How the work is laid out, from every SAMPLE-th document (no result
+    depends on it): the number of shards of contexts and of words, words that
+    are packed, and contexts so frequent that parts of their pairs are dealt
+    to several shards."""
+
+    def run(batches):
+        for batch in _batches(batches):
+            u, n = np.unique(contexts(*tokens(batch.column("text"))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["u", "n"])
+
+    seen = stored(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+                  .mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")), "lm-sample")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    top = seen.where(F.col("n") >= max(2.0, total / OFTEN)).toPandas()  # at most OFTEN rows
+    u, n = top["u"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    u, n = u[np.argsort(u)], n[np.argsort(u)]
+    _drop(seen)
+    shards = max(32, math.ceil(total * SAMPLE / SHARD))
+    parts = np.ceil(n / max(total, 1) * shards * 4).astype(np.int64)  # none more than a quarter of a mean shard
+    many = (parts > 1) & (n >= 100)
+    return {"shards": shards, "word_shards": max(32, shards // 4), "often": u, "apart": u[many], "parts": parts[many]}
+
+
+def _shard_of(u: np.ndarray, w: np.ndarray, lay: dict) -> np.ndarray:
+    at, apart = _found(lay["apart"], u)
+    part = np.zeros(len(u), np.uint64)
+    part[apart] = mix64(w[apart]) % lay["parts"][at[apart]].astype(np.uint64)
+    return ((mix64(u) % np.uint64(1 << 40) + part) % np.uint64(lay["shards"])).astype(np.int64)
+
+
+def _word_shard(w: np.ndarray, lay: dict) -> np.ndarray:
+    return (mix64(w ^ np.uint64(0x51ED270B)) % np.uint64(lay["word_shards"])).astype(np.int64)
+
+
+def _messages(often, shard: int, w: np.ndarray, ints, lay: dict):
+    """Rows that tell the words' shards numbers of ascending words."""
+    to = _word_shard(w, lay)
+    for r in _split(to):
+        yield _row(often, to[r[0]], MESSAGE, shard, w=w[r], ints=[v[r] for v in ints])
+
+
+def _replies(replies: list[dict], w: np.ndarray, ints: int, lay: dict) -> list[np.ndarray]:
+    """The numbers that the words' shards sent back, in the order of ``w``."""
+    to, out = _word_shard(w, lay), [np.zeros(len(w), np.int64) for _ in range(ints)]
+    at = {int(to[r[0]]): r for r in _split(to)}
+    for r in replies:
+        for v, got in zip(out, r["x"]):
+            v[at[r["src"]]] = unplanes(got, r["n"])
+    return out
 
 
 def _merged(parts: list) -> list:
     """Count arrays (key, count, w, u) merged by key."""
-    key = np.concatenate([p[0] for p in parts])
-    _, first, where = np.unique(key, return_index=True, return_inverse=True)
-    n = np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
-    return [(key[first], n, np.concatenate([p[2] for p in parts])[first], np.concatenate([p[3] for p in parts])[first])]
+    key, n, w, u = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key)
+    at = _starts(key[order])
+    first = order[at]
+    return [(key[first], np.add.reduceat(n[order], at), w[first], u[first])]
 
 
-def pair_table(docs: DataFrame) -> DataFrame:
-    """u, w, c: each pair of a context and a token of ``docs``, with its number
-    in the training texts (0 if only texts held out have it)."""
+def _pair_stripes(docs: DataFrame, lay, train: bool) -> DataFrame:
+    """Rows of the pairs of each task's texts with their counts (0 unless
+    ``train``), by the shard of their context."""
 
     def run(batches):
         parts = []
@@ -103,27 +313,79 @@ def pair_table(docs: DataFrame) -> DataFrame:
             w, counts = tokens(batch.column("text"))
             u = contexts(w, counts)
             trained = np.repeat(batch.column("trained").to_numpy(zero_copy_only=False), counts)
-            key, first, where = np.unique(pair_hash(w, u), return_index=True, return_inverse=True)
-            parts.append((key, np.bincount(where, trained, len(key)).astype(np.int64), w[first], u[first]))
+            parts += _merged([(pair_hash(w, u), trained.astype(np.int64), w, u)])
             if sum(len(p[0]) for p in parts) > 1_000_000:
                 parts = _merged(parts)
                 if len(parts[0][0]) > 500_000:
-                    yield emit(parts)
+                    yield from emit(parts)
                     parts = []
         if parts:
-            yield emit(_merged(parts))
+            yield from emit(_merged(parts))
 
     def emit(parts):
         _, n, w, u = parts[0]
-        order = np.argsort(u)  # equal contexts side by side compress well
-        return pa.RecordBatch.from_arrays([pa.array(u[order].view(np.int64)), pa.array(w[order].view(np.int64)),
-                                           pa.array(n[order])], names=["u", "w", "c"])
+        shard = _shard_of(u, w, lay.value)
+        for r in _split(shard, np.argsort(u)):
+            words, of = _numbered(w[r])
+            yield _emit([_row(lay.value["often"], shard[r[0]], PAIRS, u=u[r], w=words, of=of, ints=[n[r]])])
+
+    trained = training(F.col("doc_id")) if train else F.lit(False)
+    return docs.select("text", trained.alias("trained")).mapInArrow(run, ROW)
+
+
+def _state(often, shard: int, u: np.ndarray, words: np.ndarray, of: np.ndarray, ints: list) -> tuple:
+    """The row of the pairs of two customers or more, with their words only."""
+    some, of = _numbered(of)
+    return _row(often, shard, STATE, u=u, w=words[some], of=of, ints=ints)
+
+
+def _pair_shards(stripes: DataFrame, lay) -> DataFrame:
+    """For each shard the pairs by context and word; to the shards of its words
+    their counts, pairs of one customer and of more; counts of contexts whose
+    pairs are dealt out."""
+
+    def merged(shard, rows):
+        often = lay.value["often"]
+        got = [_read(r, often, 1) for r in rows[PAIRS]]
+        names, place = _numbered(np.concatenate([u for u, *_ in got]))
+        words, of = _numbered(np.concatenate([w[of] for _, w, of, _, _ in got]))
+        key = place * len(words) + of
+        order = np.argsort(key)
+        at = _starts(key[order])
+        c = np.add.reduceat(np.concatenate([x[0] for *_, x, _ in got])[order], at)
+        place, of = np.divmod(key[order[at]], len(words))
+        u, many = names[place], c > 1
+        count = lambda x: np.bincount(of, x, len(words)).astype(np.int64)
+        told = [count(c), count(c == 1), count(many)]
+        c_u, ones, pairs = (np.bincount(place, x).astype(np.int64) for x in (c, c == 1, c > 0))
+        apart = _found(lay.value["apart"], names)[1]
+        out = [_row(often, shard, PAIRS, u=u, w=words, of=of, ints=[c], sums=[
+            int(c.sum()), int((c == 1).sum()), int((c == 2).sum()), int((~apart & (c_u > 0)).sum())])]
+        known = told[0] > 0
+        out += _messages(often, shard, words[known], [x[known] for x in told], lay.value)
+        if many.any():
+            out.append(_state(often, shard, u[many], words, of[many], [c[many], many[many], ones[place][many]]))
+        if apart.any():
+            out.append(_row(often, shard, APART, w=names[apart], ints=[v[apart] for v in (c_u, ones, pairs)]))
+        return out
+
+    def run(batches):
+        for shard, rows in _by_shard(batches):
+            yield _emit(merged(shard, rows))
 
-    counts = docs.select("text", training(F.col("doc_id")).alias("trained")).mapInArrow(run, "u long, w long, c long")
-    # merged in the tasks already: a partial aggregate would find little
-    return counts.repartition("u", "w").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    return _dealt(stripes).mapInArrow(run, ROW)
 
 
+def _apart(rows: DataFrame, lay: dict, ints: int) -> np.ndarray:
+    """Sums over the parts of the contexts that are dealt out (a few for each shard)."""
+    out = np.zeros((ints, len(lay["apart"])), np.int64)
+    for r in rows.where(F.col("kind") == APART).collect():
+        _, w, _, got, _ = _read(r.asDict(), lay["often"], ints)
+        np.add.at(out, (slice(None), _found(lay["apart"], w)[0]), np.array(got))
+    return out
+
+
+@functools.lru_cache
 def stirling(d: float, n: int = EXACT) -> np.ndarray:
     """log of the generalised Stirling numbers S(c, t), c and t up to n."""
     out = np.full((n + 1, n + 1), -np.inf)
@@ -146,12 +408,12 @@ def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, l
     probability is ``base``, in restaurants with ``others`` other tables."""
     t = np.ones(len(c), np.int64)
     draw = _uniform(seed, sweep)
-    for lo, hi in ((2, 8), (9, EXACT)):
-        rows = np.flatnonzero((c >= lo) & (c <= hi))
-        for at in range(0, len(rows), 20_000):
-            r = rows[at:at + 20_000]
+    for lo, hi in ((2, 2), (3, 4), (5, 8), (9, 16), (17, 32), (33, 64), (65, 128), (129, 256), (257, EXACT)):
+        rows, most = np.flatnonzero((c >= lo) & (c <= hi)), 320_000 // hi
+        for at in range(0, len(rows), most):
+            r = rows[at:at + most]
             k = np.arange(1, hi + 1)
-            weight = logs[c[r]][:, 1:hi + 1] + k * np.log(base[r])[:, None] \
+            weight = logs[c[r], 1:hi + 1] + k * np.log(base[r])[:, None] \
                 + np.cumsum(np.log(THETA + d * (others[r][:, None] + k - 1)), axis=1)
             t[r] = _inverse(weight, draw[r])
     rows = np.flatnonzero(c > EXACT)
@@ -289,130 +551,283 @@ def back_off(m: dict, totals: dict) -> BackOff:
     return BackOff(m, totals)
 
 
-def _wide(batches, rows: int = 50_000):
-    held = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
+def _of_context(u: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums over the pairs of each context, for each pair; pairs come by context."""
+    at = _starts(u)
+    return np.repeat(np.add.reduceat(x, at), np.diff(np.append(at, len(u))))
 
-def _column(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).to_numpy()
 
+def _sweep_pairs(state: DataFrame, m: dict, last: dict, k: int, lay) -> DataFrame:
+    """A Gibbs sweep over the pairs of two customers or more: their new state,
+    and to the shards of the words the sums of tables."""
+    n0, tables0, children_apart = last["customers"], last["tables"], last["apart"]
 
-def _summed(base: DataFrame, state: DataFrame, key: str, name: str) -> DataFrame:
-    """``base`` with the number of tables of all pairs of its key."""
-    tables = state.groupBy(key).agg(F.sum("t").alias("_t"))
-    return base.join(tables, key, "left").withColumn(name, F.col("ones") + F.coalesce("_t", F.lit(0))).drop("_t")
+    def run(batches):
+        for shard, rows in _by_shard(batches):
+            if STATE not in rows:
+                continue
+            often = lay.value["often"]
+            u, words, of, (c, t, ones, *kept), _ = _read(rows[STATE][0], often, 3 + max(0, k - BURN_IN))
+            customers, tau = (v[of] for v in _replies(rows.get(REPLY, []), words, 2, lay.value))
+            children = ones + _of_context(u, t)
+            place, apart = _found(lay.value["apart"], u)
+            children[apart] = children_apart[place[apart]]
+            own = customers - m["d0"] * tau - t + m["d0"] * np.minimum(tau, t)
+            base = (np.maximum(own, 0) + (THETA + m["d0"] * tables0) * m["uniform"]) / (THETA + n0)
+            t = draw_tables(c, base, children - t, m["d1"], stirling(m["d1"]), pair_hash(words[of], u + np.uint64(1_000_000)), k)
+            out = [_row(often, shard, STATE, u=u, w=words, of=of, ints=[c, t, ones, *kept, *([t] if k >= BURN_IN else [])])]
+            out += _messages(often, shard, words, [np.bincount(of, t, len(words)).astype(np.int64)], lay.value)
+            if apart.any():
+                names, at = np.unique(u[apart], return_inverse=True)
+                out.append(_row(often, shard, APART, w=names, ints=[np.bincount(at, t[apart]).astype(np.int64)]))
+            yield _emit(out)
 
+    return state.mapInArrow(run, ROW)
 
-def _sweep_pairs(state: DataFrame, contexts: DataFrame, words: DataFrame, m: dict, totals: dict, k: int) -> DataFrame:
-    """u, w, c, t, kept: a Gibbs sweep over the pairs of two customers or more;
-    kept is the sum of t over the sweeps that count."""
-    n0, tables0 = totals["customers"], totals["tables"]
 
-    def run(batches):
-        for b in _wide(batches):
-            u, w, c, t = (_column(b, x) for x in ("u", "w", "c", "t"))
-            tau = _column(b, "tau")
-            own = _column(b, "customers") - m["d0"] * tau - t + m["d0"] * np.minimum(tau, t)
-            base = (np.maximum(own, 0) + (THETA + m["d0"] * tables0) * m["uniform"]) / (THETA + n0)
-            seed = pair_hash(w.view(np.uint64), u.view(np.uint64) + np.uint64(1_000_000))
-            t = draw_tables(c, base, _column(b, "children") - t, m["d1"], m["log1"], seed, k)
-            kept = _column(b, "kept") + (t if k >= BURN_IN else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c, t, kept)], names=["u", "w", "c", "t", "kept"])
+def _word_row(often, shard: int, words: np.ndarray, ints: list) -> tuple:
+    _, _, customers, tau, *_ = ints
+    return _row(often, shard, WORDS, w=words, ints=ints, sums=[
+        int(customers.sum()), int(tau.sum()), len(words), int((customers == 1).sum()), int((customers == 2).sum())])
 
-    met = state.join(contexts.select("u", "children"), "u").join(words.select("w", "customers", "tau"), "w")
-    return met.select("u", "w", "c", "t", "kept", "children", "customers", "tau") \
-        .mapInArrow(run, "u long, w long, c long, t long, kept long")
 
+def _first_words(rows: DataFrame, lay) -> DataFrame:
+    """The words with counts, pairs of one customer, customers and tables, and
+    the last two to the shards of the pairs of two customers or more."""
 
-def _sweep_words(words: DataFrame, m: dict, totals: dict, k: int) -> DataFrame:
+    def run(batches):
+        for shard, rows in _by_shard(batches):
+            often = lay.value["often"]
+            told = [(r["src"], *_read(r, often, 3)[1:4:2]) for r in rows[MESSAGE]]
+            words, of = _numbered(np.concatenate([w for _, w, _ in told]))
+            n, ones, many = (np.bincount(of, np.concatenate([x[i] for *_, x in told])).astype(np.int64) for i in range(3))
+            customers, tau = ones + many, np.ones(len(words), np.int64)
+            out = [_word_row(often, shard, words, [n, ones, customers, tau])]
+            for src, w, x in told:
+                at = _found(words, w[x[2] > 0])[0]
+                if len(at):
+                    out.append(_row(often, src, REPLY, shard, ints=[customers[at], tau[at]]))
+            yield _emit(out)
+
+    return rows.mapInArrow(run, ROW)
+
+
+def _sweep_words(rows: DataFrame, m: dict, last: dict, k: int, lay) -> DataFrame:
     """The words with new numbers of tables in the unigram restaurant."""
-    tables0 = totals["tables"]
+    tables0 = last["tables"]
 
     def run(batches):
-        for b in _wide(batches):
-            n, tau, w = (_column(b, x) for x in ("customers", "tau", "w"))
-            some = np.flatnonzero(n > 1)
-            new = np.ones(len(n), np.int64)
-            new[some] = draw_tables(n[some], np.full(len(some), m["uniform"]), tables0 - tau[some], m["d0"], m["log0"],
-                                    mix64(w[some].view(np.uint64)), k)
-            out = b.set_column(b.schema.get_field_index("tau"), "tau", pa.array(new))
-            yield from out.to_batches()
-
-    return words.mapInArrow(run, words.schema)
+        for shard, rows in _by_shard(batches):
+            if WORDS not in rows:
+                continue
+            often = lay.value["often"]
+            _, words, _, (n, ones, _, tau, *kept), _ = _read(rows[WORDS][0], often, 4 + 2 * max(0, k - BURN_IN))
+            customers, told = ones.copy(), []
+            for r in rows.get(MESSAGE, []):
+                _, w, _, (t,), _ = _read(r, often, 1)
+                at = _found(words, w)[0]
+                customers[at] += t  # each word once in a row
+                told.append((r["src"], at))
+            some = np.flatnonzero(customers > 1)
+            new = np.ones(len(words), np.int64)
+            new[some] = draw_tables(customers[some], np.full(len(some), m["uniform"]), tables0 - tau[some], m["d0"], stirling(m["d0"]),
+                                    mix64(words[some]), k)
+            ints = [n, ones, customers, new, *kept, *([customers, new] if k >= BURN_IN else [])]
+            yield _emit([_word_row(often, shard, words, ints)]
+                        + [_row(often, src, REPLY, shard, ints=[customers[at], new[at]]) for src, at in told])
+
+    return rows.mapInArrow(run, ROW)
 
 
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
+def _sums(rows: DataFrame, kind: int, n: int) -> list[int]:
+    got = _kind(rows, kind).agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(n))).first()
+    return [x or 0 for x in got]
+
+
+def _kind(rows: DataFrame, *kinds: int) -> DataFrame:
+    return rows.where(F.col("kind").isin(*kinds))
+
+
 def learn(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """The written table of pairs and the model: discounts, counts, the pairs'
-    tables of customers after the last sweep and the totals after each sweep."""
-    pairs = stored(pair_table(docs), "lm-pairs")
-    known = pairs.where("c > 0")
-    one, two = (F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))
-    counts = known.agg(F.sum("c").alias("n"), one.alias("one"), two.alias("two")).first()
-    ones = F.count(F.when(F.col("c") == 1, 1)).alias("ones")
-    contexts = stored(known.groupBy("u").agg(F.sum("c").alias("c_u"), ones, F.count("*").alias("children")), "lm-contexts")
-    words = stored(known.groupBy("w").agg(F.sum("c").alias("n"), ones, F.count("*").alias("customers"))
-                   .withColumn("tau", F.lit(1).cast("long")), "lm-words")
-    kinds = words.agg(F.count("*").alias("v"), F.count(F.when(F.col("customers") == 1, 1)).alias("one"),
-                      F.count(F.when(F.col("customers") == 2, 1)).alias("two"), F.sum("customers").alias("all")).first()
-    model = {"docs": docs, "n": counts["n"] or 0, "v": kinds["v"], "contexts": contexts.count(),
-             "d1": _discount(counts["one"], counts["two"]), "d0": _discount(kinds["one"], kinds["two"]),
-             "uniform": 1 / (kinds["v"] + 1)}
+    """The table of pairs (u, w, c) and the model: discounts, counts, the
+    shards of pairs and words after the last sweep and the totals after each
+    sweep."""
+    with _shuffles_dropped(docs.sparkSession):
+        return _learn(docs)
+
+
+def _learn(docs: DataFrame) -> tuple[DataFrame, dict]:
+    lay = outline(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(lay)
+    shards = _stored(_pair_shards(_pair_stripes(docs, sent, True), sent), "lm-pairs")
+    n, one, two, alone = _sums(shards, PAIRS, 4)
+    c_u, ones, children = _apart(shards, lay, 3)
+    words = _stored(_first_words(_dealt(_kind(shards, MESSAGE)), sent), "lm-words")
+    _drop(shards, MESSAGE)
+    customers, tables, v, one0, two0 = _sums(words, WORDS, 5)
+    model = {"docs": docs, "lay": lay, "n": n, "v": v, "contexts": alone + int((c_u > 0).sum()),
+             "d1": _discount(one, two), "d0": _discount(one0, two0), "uniform": 1 / (v + 1)}
     inner = {k: model[k] for k in ("d1", "d0", "uniform")}  # what the workers need
-    inner |= {"log1": stirling(model["d1"]), "log0": stirling(model["d0"])}
-    history = [{"customers": kinds["all"] or 0, "tables": kinds["v"], "contexts": contexts, "words": words}]
-    state = known.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept"))
+    history = [{"customers": customers, "tables": tables, "apart": children}]
+    state = shards
     for k in range(SWEEPS):
-        last = history[-1]
-        state = stored(_sweep_pairs(state, last["contexts"], last["words"], inner, last, k), "lm-state")
-        contexts = stored(_summed(last["contexts"].drop("children"), state, "u", "children"), "lm-contexts")
-        summed = _summed(last["words"].drop("customers"), state, "w", "customers").select(*last["words"].columns)
-        words = stored(_sweep_words(summed, inner, last, k), "lm-words")
-        sums = words.agg(F.sum("customers").alias("customers"), F.sum("tau").alias("tables")).first()
-        history.append({"customers": sums["customers"] or 0, "tables": sums["tables"] or 0, "contexts": contexts,
-                        "words": words})
+        last, old, before = history[-1], state, words
+        state = _stored(_sweep_pairs(_dealt(_kind(state, STATE), _kind(words, REPLY)), inner, last, k, sent), "lm-state")
+        _drop(old, STATE)
+        words = _stored(_sweep_words(_dealt(_kind(words, WORDS), _kind(state, MESSAGE)), inner, last, k, sent), "lm-words")
+        _drop(before)
+        _drop(state, MESSAGE)
+        customers, tables = _sums(words, WORDS, 2)
+        history.append({"customers": customers, "tables": tables, "apart": ones + _apart(state, lay, 1)[0]})
+    _drop(words, REPLY)
     kept = history[BURN_IN + 1:]
-    seats = lambda name, key, also, *columns: _side_by_side([h[name] for h in kept], key, also, columns)
-    model |= {"history": history, "state": state,
-              "by_context": stored(seats("contexts", "u", "c_u", "children"), "lm-contexts"),
-              "by_word": stored(seats("words", "w", "n", "customers", "tau"), "lm-words")}
-    return pairs, model
-
-
-def _side_by_side(tables: list[DataFrame], key: str, also: str, columns: tuple[str, ...]) -> DataFrame:
-    """``key``, ``also`` and each column in all tables, numbered."""
-    out = None
-    for k, t in enumerate(tables):
-        t = t.select(key, *([] if k else [also]), *(F.col(c).alias(f"{c}{k}") for c in columns))
-        out = t if out is None else out.join(t, key)
+    model |= {"history": history, "shards": _kind(shards, PAIRS), "state": _kind(state, STATE), "words": _kind(words, WORDS),
+              "apart": [c_u, *(h["apart"] for h in kept)]}
+    model["info"] = _info(model, sent)
+    _drop(state)
+    model["state"] = _kind(model["info"], INFO)
+    for k, h in enumerate(kept):
+        h["contexts"] = _context_table(model, sent, k)
+    return _pair_rows(model, sent), model
+
+
+def _pair_rows(model: dict, lay) -> DataFrame:
+    """u, w, c: each pair of a context and a token of the texts, with its
+    number in the training texts (0 if only texts held out have it)."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                u, words, of, (c,), _ = _read(r, lay.value["often"], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, words[of], c)], names=["u", "w", "c"])
+
+    return model["shards"].mapInArrow(run, "u long, w long, c long")
+
+
+def _seated(rows: dict, often: np.ndarray) -> tuple:
+    """The pairs of a shard: u, words, numbers of the pairs' words, c and
+    numbers of tables in the kept sweeps."""
+    u, words, of, (c,), _ = _read(rows[PAIRS][0], often, 1)
+    count = SWEEPS - BURN_IN
+    tables = [np.minimum(c, 1) for _ in range(count)]
+    if INFO in rows:
+        seated = [unplanes(x, int((c > 1).sum())) for x in rows[INFO][0]["x"][-count:]]
+    else:
+        seated = _read(rows[STATE][0], often, 3 + count)[3][3:] if STATE in rows else []
+    for t, got in zip(tables, seated):
+        t[c > 1] = got
+    return u, words, of, c, tables
+
+
+def _context_table(model: dict, lay, k: int) -> DataFrame:
+    """u, c_u, children: the contexts after a kept sweep."""
+
+    def run(batches):
+        for _, rows in _by_shard(batches):
+            u, _, _, c, tables = _seated(rows, lay.value["often"])
+            at = _starts(u)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                u[at].view(np.int64), np.add.reduceat(c, at), np.add.reduceat(tables[k], at))], names=["u", "c_u", "children"])
+
+    return _dealt(model["shards"], model["state"]).mapInArrow(run, "u long, c_u long, children long") \
+        .groupBy("u").agg(F.sum("c_u").alias("c_u"), F.sum("children").alias("children")).where("c_u > 0")
+
+
+def _answers(model: dict, lay) -> DataFrame:
+    """To each shard of pairs the counts of its words, and their customers and
+    tables in the kept sweeps."""
+    count = 1 + 2 * (SWEEPS - BURN_IN)
+
+    def ask(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                words = unpacked(r["w"], r["nw"], lay.value["often"])
+                yield _emit(list(_messages(lay.value["often"], r["shard"], words, [], lay.value)))
+
+    def answer(batches):
+        for shard, rows in _by_shard(batches):
+            often, words, known = lay.value["often"], np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * count
+            if WORDS in rows:
+                _, words, _, (n, _, _, _, *kept), _ = _read(rows[WORDS][0], often, 3 + count)
+                known = [n, *kept]
+            for r in rows.get(MESSAGE, []):
+                at, there = _found(words, _read(r, often, 0)[1])
+                ints = [np.zeros(len(at), np.int64) for _ in known]
+                for x, v in zip(ints, known):
+                    x[there] = v[at[there]]
+                yield _emit([_row(often, r["src"], REPLY, shard, ints=ints)])
+
+    return _stored(_dealt(model["words"], model["shards"].mapInArrow(ask, ROW)).mapInArrow(answer, ROW), "lm-answers")
+
+
+def _info(model: dict, lay) -> DataFrame:
+    """For each shard what predictions need of its words and of the tables of
+    its pairs, and the pairs that make up HOT of the tokens with their predictions."""
+    count, often_c, inner = 1 + 2 * (SWEEPS - BURN_IN), max(1.0, model["n"] * HOT), _inner(model)
+
+    def run(batches):
+        for shard, rows in _by_shard(batches):
+            often = lay.value["often"]
+            u, words, of, c, tables = _seated(rows, often)
+            info, hot = _replies(rows[REPLY], words, count, lay.value), c >= often_c
+            out = [_row(often, shard, INFO, ints=info, raw=[planes(t[c > 1]) for t in tables])]
+            if hot.any():
+                p, _ = _predicted(u, c, tables, [x[of] for x in info], inner, lay.value)
+                some, at = _numbered(of[hot])
+                out.append(_row(often, shard, HOTTEST, u=u[hot], w=words[some], of=at, ints=[info[0][of[hot]]],
+                                raw=[p[hot].tobytes()]))
+            yield _emit(out)
+
+    answers = _answers(model, lay)
+    out = _stored(_dealt(model["shards"], model["state"], answers).mapInArrow(run, ROW), "lm-info")
+    _drop(answers)
     return out
 
 
+def _inner(model: dict) -> dict:
+    return {k: model[k] for k in ("d1", "d0", "uniform", "apart")} \
+        | {"history": [{k: h[k] for k in ("customers", "tables")} for h in model["history"][BURN_IN + 1:]]}
+
+
+def _predicted(u: np.ndarray, c: np.ndarray, tables: list, info: list, m: dict, lay: dict) -> tuple:
+    """Averaged P(w | u) of pairs, and P(w) in each kept seating."""
+    place, apart = _found(lay["apart"], u)
+    c_u, *children = (_of_context(u, x) for x in (c, *tables))
+    for mine, all_parts in zip((c_u, *children), m["apart"]):
+        mine[apart] = all_parts[place[apart]]
+    p0 = [(info[1 + 2 * k] - m["d0"] * info[2 + 2 * k] + (THETA + m["d0"] * h["tables"]) * m["uniform"])
+          / (THETA + h["customers"]) for k, h in enumerate(m["history"])]
+    weight = [(THETA + m["d1"] * x) / (THETA + c_u) for x in children]
+    return (c - m["d1"] * sum(tables) / len(tables)) / (THETA + c_u) \
+        + sum(a * b for a, b in zip(weight, p0)) / len(tables), p0
+
+
+def _of_final(rows: dict, m: dict, lay: dict) -> tuple:
+    """u, w, c, n, p and p0 of the pairs of a shard."""
+    u, words, of, c, tables = _seated(rows, lay["often"])
+    info = [x[of] for x in _read(rows[INFO][0], lay["often"], 1 + 2 * len(tables))[3]]
+    return u, words[of], c, info[0], *_predicted(u, c, tables, info, m, lay)
+
+
 def pair_predictions(pairs: DataFrame, model: dict) -> DataFrame:
     """u, w, c, n (the word's count), p (averaged P(w | u)) and p0 (P(w) in
-    each kept seating) of all ``pairs``."""
-    kept, count = model["history"][BURN_IN + 1:], SWEEPS - BURN_IN
-    rows = pairs.where("c <= 1").select("u", "w", "c", (F.col("c") * count).alias("kept")) \
-        .unionByName(model["state"].select("u", "w", "c", "kept"))
-    rows = rows.join(model["by_context"], "u", "left").join(model["by_word"], "w", "left")
-    of = lambda c: F.coalesce(F.col(c), F.lit(0))
-    weight = [(THETA + model["d1"] * of(f"children{k}")) / (THETA + of("c_u")) for k in range(count)]
-    p0 = [(of(f"customers{k}") - model["d0"] * of(f"tau{k}") + (THETA + model["d0"] * h["tables"]) * model["uniform"])
-          / (THETA + h["customers"]) for k, h in enumerate(kept)]
-    p = (F.col("c") - model["d1"] * F.col("kept") / count) / (THETA + of("c_u")) \
-        + sum((a * b for a, b in zip(weight, p0)), F.lit(0.0)) / count
-    return rows.select("u", "w", "c", of("n").alias("n"), p.alias("p"), F.array(*p0).alias("p0"))
+    each kept seating) of those of the model's pairs that are in ``pairs``."""
+    lay, m = pairs.sparkSession.sparkContext.broadcast(model["lay"]), _inner(model)
+
+    def run(batches):
+        for _, rows in _by_shard(batches):
+            u, w, c, n, p, p0 = _of_final(rows, m, lay.value)
+            seats = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * len(p0), pa.int32()), pa.array(np.array(p0).T.ravel()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (u.view(np.int64), w.view(np.int64), c, n, p)), seats],
+                                             names=["u", "w", "c", "n", "p", "p0"])
+
+    return _dealt(model["shards"], model["state"]) \
+        .mapInArrow(run, "u long, w long, c long, n long, p double, p0 array<double>") \
+        .join(pairs.select("u", "w"), ["u", "w"], "left_semi")
 
 
 def predictions(pairs: DataFrame, model: dict) -> DataFrame:
@@ -423,69 +838,122 @@ def predictions(pairs: DataFrame, model: dict) -> DataFrame:
         .select("w", "n", F.col("r.u").alias("us"), F.col("r.c").alias("cs"), F.col("r.p").alias("ps"), "p0")
 
 
+def _extended(docs: DataFrame, model: dict, lay) -> dict:
+    """The model with the pairs of other texts, which have no customers."""
+    both = _pair_stripes(docs, lay, False).unionByName(model["shards"])
+    with _shuffles_dropped(docs.sparkSession):
+        pairs = _stored(_pair_shards(both, lay), "lm-pairs")
+        _drop(pairs, MESSAGE, STATE, APART)
+        model = model | {"docs": docs, "shards": _kind(pairs, PAIRS)}
+        info = _info(model, lay)
+        return model | {"info": info, "state": _kind(info, INFO)}
+
+
 def score(docs: DataFrame, pairs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    n, v = model["n"], model["v"]
+    n, v, lay = model["n"], model["v"], spark.sparkContext.broadcast(model["lay"])
     if not docs.sameSemantics(model["docs"]):  # pairs that the model has not met
-        pairs = pairs.unionByName(pair_table(docs).withColumn("c", F.lit(0).cast("long"))) \
-            .groupBy("u", "w").agg(F.max("c").alias("c"))
-    stats, often = pair_predictions(pairs, model), max(1.0, n * HOT)
-    hot = stats.where(F.col("c") >= often).select("w", "n", "u", "p").toPandas()  # at most 1 / HOT rows
-    key = pair_hash(hot["w"].to_numpy(np.int64).view(np.uint64), hot["u"].to_numpy(np.int64).view(np.uint64))
+        model = _extended(docs, model, lay)
+    inner = _inner(model)
+    hot = [(u, w[of], k, np.frombuffer(p[0])) for u, w, of, (k,), p in (  # at most 1 / HOT pairs
+        _read(r.asDict(), model["lay"]["often"], 1) for r in _kind(model["info"], HOTTEST).collect())]
+    hot = [np.concatenate(x) for x in zip(*hot)] if hot else [np.zeros(0, t) for t in (np.uint64, np.uint64, float, float)]
+    key = pair_hash(hot[1], hot[0])
     order = np.argsort(key)
     log_base = lambda c: np.log10((c + 1) / (n + v + 1))
-    known = spark.sparkContext.broadcast((key[order], np.log10(hot["p"].to_numpy(float))[order],
-                                          log_base(hot["n"].to_numpy(float))[order]))
+    known = spark.sparkContext.broadcast((key[order], np.log10(hot[3])[order], log_base(hot[2].astype(float))[order]))
     # names a row's content; repeated rows share their sums
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
-    def split(batch):
+    def split(batches):
+        """A row of the sums over each text's hot pairs, and rows of its other pairs to their shards."""
         keys, p, base = known.value
-        w, counts = tokens(batch.column("text"))
-        u = contexts(w, counts)
-        pair = pair_hash(w, u)
-        at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
-        is_hot = keys[at] == pair if len(keys) else np.zeros(len(w), bool)
-        return w, u, counts, np.repeat(np.arange(len(counts)), counts), pair, at, is_hot, p, base
-
-    def easy(batches):
+        held, texts = [], 0
         for batch in _batches(batches):
-            w, u, counts, doc, pair, at, is_hot, p, base = split(batch)
+            w, counts = tokens(batch.column("text"))
+            u, doc = contexts(w, counts), np.repeat(np.arange(len(counts)), counts)
+            pair, key = pair_hash(w, u), batch.column("key").to_numpy()
+            at, is_hot = _found(keys, pair)
             sums = lambda x: np.bincount(doc[is_hot], x, len(counts)).astype(float)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("key"), pa.array(counts), pa.array(sums(None).astype(np.int64)),
-                pa.array(sums(base[at[is_hot]])), pa.array(sums(p[at[is_hot]]))],
-                names=["doc_id", "key", "n_tokens", "n_known", "base_score", "score"])
-
-    def hard(batches):
-        for batch in _batches(batches):
-            w, u, counts, doc, pair, at, is_hot, p, base = split(batch)
+            ids = batch.column("doc_id")
+            yield _emit([_row(lay.value["often"], key[0] % lay.value["shards"], EASY, ints=[counts, sums(None).astype(np.int64)], raw=[
+                ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), ids.fill_null(0).to_numpy().tobytes(), key.tobytes(),
+                sums(base[at[is_hot]]).tobytes(), sums(p[at[is_hot]]).tobytes()])])
             rest = np.flatnonzero(~is_hot)
-            _, first, times = np.unique(mix64(pair[rest]) ^ mix64(doc[rest].astype(np.uint64)), return_index=True,
-                                        return_counts=True)
-            i = np.sort(rest[first])
-            times = times[np.argsort(rest[first], kind="stable")]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("key").take(pa.array(doc[i])), pa.array(w[i].view(np.int64)), pa.array(u[i].view(np.int64)),
-                pa.array(times.astype(np.int32))], names=["key", "w", "u", "times"])
-
-    base = F.log10((F.col("n") + 1) / F.lit(float(n + v + 1)))
-    rest = stats.where(F.col("c") < often).select(
-        "u", "w", (F.col("n") > 0).alias("known"), base.alias("base"), F.log10("p").alias("log_p"))
-    rare = rows.mapInArrow(hard, "key long, w long, u long, times int").join(rest, ["u", "w"]) \
-        .groupBy("key").agg(F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("r_known"),
-                            F.sum(F.col("times") * F.col("base")).alias("r_base"),
-                            F.sum(F.col("times") * F.col("log_p")).alias("r_score"))
-    done = stored(rows.mapInArrow(easy, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double"),
-                  "lm-easy")
-    copies = done.groupBy("key").agg(F.count("*").alias("copies"))
-    rare = rare.join(copies, "key")
-    add = lambda c, r: (F.col(c) + F.coalesce(F.col(r) / F.col("copies"), F.lit(0))).alias(c)
-    return done.join(rare, "key", "left").select(
-        "doc_id", (~training(F.col("doc_id"))).alias("held_out"), "n_tokens",
-        add("n_known", "r_known").cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        add("base_score", "r_base"), add("score", "r_score"))
+            name = mix64(pair[rest]) ^ mix64(doc[rest].astype(np.uint64))
+            order = np.argsort(name)
+            first = _starts(name[order])
+            i, times = rest[order[first]], np.diff(np.append(first, len(rest)))
+            held.append((pair[i], *(x.astype(np.int32) for x in (_shard_of(u[i], w[i], lay.value), doc[i] + texts, times)), key))
+            texts += len(counts)
+            if sum(len(x[0]) for x in held) > 1_500_000:
+                yield from emit(held)
+                texts = 0
+        if held:
+            yield from emit(held)
+
+    def emit(held):
+        pair, shard, doc, times, keys = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        for r in _split(shard, np.argsort(pair)):
+            mine, at = _numbered(doc[r])
+            yield _emit([_row(lay.value["often"], shard[r[0]], TOKENS, ints=[at, times[r]], raw=[
+                planes(np.diff(pair[r], prepend=np.uint64(0)).view(np.int64)), keys[mine].tobytes()])])
+
+    def logs(rows):
+        u, w, _, c, p, _ = _of_final(rows, inner, lay.value)
+        pair = pair_hash(w, u)
+        order = np.argsort(pair)
+        return pair[order], [x[order] for x in (c > 0, log_base(c.astype(float)), np.log10(p))]
+
+    def looked_up(batches):
+        sums, held = [], 0
+        for _, rows in _by_shard(batches):
+            for r in rows.get(EASY, []):
+                _, _, _, (counts, n_known), (valid, *raw) = _read(r, lay.value["often"], 2)
+                ids, keys, base, p = (np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.int64, float, float)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, mask=~np.frombuffer(valid, bool)), pa.array(keys), pa.array(counts), pa.array(n_known),
+                    pa.array(base), pa.array(p)], names=names)
+            if TOKENS not in rows:
+                continue
+            pair, values = logs(rows)
+            for r in rows[TOKENS]:
+                *_, (doc, times), (steps, keys) = _read(r, lay.value["often"], 2)
+                at = _found(pair, np.cumsum(unplanes(steps, r["n"]).view(np.uint64)))[0]
+                keys = np.frombuffer(keys, np.int64)
+                sums.append((keys, *(np.bincount(doc, times * x[at], len(keys)) for x in values)))
+                held += len(keys)
+            if held > 1_000_000:
+                sums = [summed(sums)]
+                held = len(sums[0][0])
+                if held > 500_000:
+                    yield out(sums[0])
+                    sums, held = [], 0
+        if sums:
+            yield out(summed(sums))
+
+    def summed(parts):
+        keys, at = _numbered(np.concatenate([x[0] for x in parts]))
+        return keys, *(np.bincount(at, np.concatenate([x[i] for x in parts])) for i in (1, 2, 3))
+
+    def out(sums):
+        none = pa.nulls(len(sums[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(sums[0]), none, pa.array(sums[1].astype(np.int64)), pa.array(sums[2]),
+                                           pa.array(sums[3])], names=names)
+
+    names = ["doc_id", "key", "n_tokens", "n_known", "base_score", "score"]
+    met = _dealt(model["shards"], model["state"], rows.mapInArrow(split, ROW))
+    parts = met.mapInArrow(looked_up, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double")
+    copies = F.count("n_tokens")  # one in each row of a text's hot pairs
+    each = lambda c: (F.sum(c) / copies).alias(c)
+    return parts.groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), copies.cast("int").alias("copies"),
+        each("n_known"), each("base_score"), each("score")) \
+        .withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(
+        "doc_id", (~training(F.col("doc_id"))).alias("held_out"), "n_tokens", F.col("n_known").cast("bigint").alias("n_known"),
+        F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scored: DataFrame, *by: str) -> DataFrame:

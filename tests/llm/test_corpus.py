@@ -9,6 +9,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -22,6 +23,7 @@ from conftest import SF_MID, SF_SMALL
 from oracle_harness import compare, duckdb_con
 from tallyframe.llm import (chat_format, common, hamming_ann, mixing, near_dup, pieces, pitman_yor, quality, registry,
                             secrets, vector_dup, warc_derive)
+from tallyframe.session import ensure_checkpoint_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\t", "one", "two words", "a b c d e", "naïve ﬁ ① x", "x" * 5000, "word " * 40_000]
@@ -778,6 +780,44 @@ def test_language_model_cases(spark, odd, none):
     assert all(r["n_known"] == 0 and abs(r["score"]) < 1e-9 for r in untrained)
 
 
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(5)
+    often = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    for n in (0, 1, 7, 8, 500):
+        h = np.where(rng.random(n) < 0.5, rng.integers(0, 1 << 63, n, dtype=np.uint64), often[rng.integers(0, 300, n)])
+        assert (pitman_yor.unpacked(pitman_yor.packed(h, often), n, often) == h).all()
+        assert (pitman_yor.unpacked(pitman_yor.packed(h, often[:0]), n, often[:0]) == h).all()
+        x = rng.integers(0, 1 << 62, n) >> rng.integers(0, 62, n)
+        assert (pitman_yor.unplanes(pitman_yor.planes(x), n) == x).all()
+        assert (pitman_yor.unplanes(pitman_yor.planes((x % 1000).astype(np.int32)), n) == x % 1000).all()
+
+
+def invented(spark, n_docs=400, n_words=300):
+    rng = np.random.default_rng(11)
+    words = (rng.zipf(1.3, (n_docs, n_words)) % 20_000).tolist()
+    return spark.createDataFrame([(i, " ".join(f"w{x}" for x in ws)) for i, ws in enumerate(words)], "doc_id long, text string")
+
+
+def test_the_layout_does_not_change_the_model(spark, monkeypatch):
+    docs = invented(spark, 60).unionByName(spark.createDataFrame([(None, "w1 w2"), (900, None), (3, "w1")], "doc_id long, text string"))
+    scores = lambda: sorted(pitman_yor.score(docs, *pitman_yor.learn(docs)).collect(), key=lambda r: (str(r["doc_id"]), r["n_tokens"]))
+    want = scores()
+    for names, value in ((("SAMPLE",), 1), (("SHARD",), 400)):  # packed words, then frequent contexts dealt to many shards
+        for name in names:
+            monkeypatch.setattr(pitman_yor, name, value)
+    lay = pitman_yor.outline(docs)
+    assert len(lay["apart"]) > 3 and lay["parts"].max() > 4 and lay["shards"] > 32 and len(lay["often"]) > 100
+    for a, b in zip(scores(), want, strict=True):
+        assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[5:], b[5:]))
+
+
+def test_language_model_keeps_little_on_disk(spark):
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "llm"
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before, (pairs, _) = size(), pitman_yor.learn(invented(spark))
+    assert size() - before < 24 * pairs.count()  # before: 31 bytes a pair
+
+
 # ------------------------------------------------------------------ pipeline
 
 
