@@ -16,10 +16,12 @@ restaurant, its number of tables given all others, which is all of a seating
 that the predictions need.  The draw is from the exact conditional, with
 generalised Stirling numbers: from a table up to EXACT customers, by contour
 integrals beyond (logarithms right to 2e-4).  Pairs are independent given the totals of
-their context and of their word, so a sweep runs over all pairs in parallel:
-it joins them with the tables of contexts and of words that the sweep before
-left, draws, and sums both tables anew.  Only the sums over all words (two
-numbers a sweep) meet on the driver.  A pair with one customer has one table
+their context and of their word, so a sweep runs over all pairs in parallel.
+Pairs lie in shards by context and words in shards of their own; rows hold many
+of them, packed.  In a sweep each shard of pairs draws and tells the words'
+shards its sums of tables, which draw and answer with customers and tables.  A
+very frequent context is dealt to several shards; its sums, and the sums over
+all words, meet on the driver.  A pair with one customer has one table
 always; it counts in the sums and is not carried through the sweeps.  Random
 numbers are hashes of (word, context, sweep), so a lost task is recomputed to
 the same seating.  After BURN_IN sweeps, predictive probabilities are averaged
@@ -27,8 +29,8 @@ over the seatings of the others.
 
 Scoring: pairs of a context and a word that make up at least HOT of the
 training tokens (at most 1 / HOT of them) are looked up in a broadcast table;
-the rest are joined with the predictions of their pairs, and the logarithms
-are summed per document.  The pairs of the documents held out are in the table
+the rest go to the shards of their contexts by their pairs' hashes, and the
+logarithms are summed per document.  The pairs of the documents held out are in the table
 too, with no customers.  Tokens are 64-bit hashes throughout.
 
 Defined cases: a null or empty text has one token, its end; a row without
@@ -677,7 +679,7 @@ def _learn(docs: DataFrame) -> tuple[DataFrame, dict]:
     for k in range(SWEEPS):
         last, old, before = history[-1], state, words
         state = _stored(_sweep_pairs(_dealt(_kind(state, STATE), _kind(words, REPLY)), inner, last, k, sent), "lm-state")
-        _drop(old, STATE)
+        _drop(old, *([STATE] if old is shards else []))
         words = _stored(_sweep_words(_dealt(_kind(words, WORDS), _kind(state, MESSAGE)), inner, last, k, sent), "lm-words")
         _drop(before)
         _drop(state, MESSAGE)
@@ -902,10 +904,18 @@ def score(docs: DataFrame, pairs: DataFrame, model: dict) -> DataFrame:
                 planes(np.diff(pair[r], prepend=np.uint64(0)).view(np.int64)), keys[mine].tobytes()])])
 
     def logs(rows):
-        u, w, _, c, p, _ = _of_final(rows, inner, lay.value)
-        pair = pair_hash(w, u)
+        """Ascending hashes of a shard's pairs, numbers of their words, log P(w | u); counts of the words."""
+        u, words, of, c, tables = _seated(rows, lay.value["often"])
+        info, log_p = _read(rows[INFO][0], lay.value["often"], 1 + 2 * len(tables))[3], np.empty(len(u))
+        at = _starts(u)
+        cuts = np.unique(at[np.searchsorted(at, np.arange(0, len(u), 100_000), side="right") - 1])
+        for a, b in zip(cuts, [*cuts[1:], len(u)]):  # whole contexts at a time: less memory
+            p, _ = _predicted(u[a:b], c[a:b], [t[a:b] for t in tables], [x[of[a:b]] for x in info], inner, lay.value)
+            log_p[a:b] = np.log10(p)
+        del c, tables
+        pair = pair_hash(words[of], u)
         order = np.argsort(pair)
-        return pair[order], [x[order] for x in (c > 0, log_base(c.astype(float)), np.log10(p))]
+        return pair[order], of[order], log_p[order], info[0]
 
     def looked_up(batches):
         sums, held = [], 0
@@ -918,13 +928,15 @@ def score(docs: DataFrame, pairs: DataFrame, model: dict) -> DataFrame:
                     pa.array(base), pa.array(p)], names=names)
             if TOKENS not in rows:
                 continue
-            pair, values = logs(rows)
+            pair, of, log_p, counts = logs(rows)
+            known, base = counts > 0, log_base(counts.astype(float))
             for r in rows[TOKENS]:
                 *_, (doc, times), (steps, keys) = _read(r, lay.value["often"], 2)
                 at = _found(pair, np.cumsum(unplanes(steps, r["n"]).view(np.uint64)))[0]
                 keys = np.frombuffer(keys, np.int64)
-                sums.append((keys, *(np.bincount(doc, times * x[at], len(keys)) for x in values)))
+                sums.append((keys, *(np.bincount(doc, times * x, len(keys)) for x in (known[of[at]], base[of[at]], log_p[at]))))
                 held += len(keys)
+            del pair, of, log_p, counts, base, rows
             if held > 1_000_000:
                 sums = [summed(sums)]
                 held = len(sums[0][0])
