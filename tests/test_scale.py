@@ -161,3 +161,31 @@ def test_lines_of_postings_are_read_once(spark):
     assert kinds["  Assets:Cash  1 USD {1}"] == "unparsed_cost" and kinds["  Assets: 5 USD"] == "unparsed_line"
     assert not {"  Assets:Cash  5.00 USD", "  Assets:Cash\t10 GLD {100 USD, 2020-01-02}"} & set(kinds)
     assert "regexp_extract(line" not in _plan(tables.postings)
+
+
+def test_plain_transactions_are_read_as_they_are_cut(spark):
+    """Rows of plain transactions hold typed postings and no lines; all tables are those of the general patterns,
+    which read the same text with another flag."""
+    import dataclasses
+
+    from tallyframe.sources.ledger_text import cut_blocks, load_ledger_text, text_lines
+
+    legs = ["  Assets:Cash  5.00 USD", "\tAssets:Cash\t+5 USD  ", "  ! Assets:A-b_c:9 -1234567890.12345678 EUR", "  Assets:Lot  10 GLD {100.5 USD, 2020-01-31}",
+            "  Assets:Lot  10 GLD{7 USD}", "  Assets:Lot  1 GLD { 2 USD , 2019-02-28 }  ", "  Assets:Cash  0 USD"]
+    odd = ["  Assets:Cash  12345678901 USD", "  Assets:Cash  1.123456789 USD", "  Assets:Lot  1 GLD {2 USD, 2019-02-31}", "  Assets:Lot  1 GLD {2 USD, \"lot\"}",
+           "  Assets:Lot  1 GLD {{2 USD}}", "  Assets:Cash  1 USD @ 2 EUR", "  Assets:Cash  1 USD ; c", "  Assets:Cash  1,000 USD", "  Assets:Cash 5. USD", "  Assets:Cash", "  key: 1",
+           "  Assets:Cash x", "  Assets:Cash  1 USD \u2028", "  Assets:Cash  1 A.B"]
+    heads = ['2020-01-02 * "P" "N"', '2020-02-28 *  "N é"', '2020-12-31 * "P"  ""', '2020-02-29 * "leap"', '2021-02-29 * "no day"', '2020-1-2 * "N"', '2020-01-02 * "" "N"',
+             '2020-01-02 * "P" "N" #tag', '2020-01-02 * "P" "N;" ; c', '2020-01-02 * "a \\" b"', '2020-01-02 * "P""N"', '2020-01-02 * N', '2020-01-02 * "a\u2028b"']
+    texts = ["\n".join([h, "  ; comment", *legs, "", *x]) for h in heads for x in ([], odd[:1])] + [f"{heads[0]}\n{legs[0]}\n{x}\n{legs[1]}" for x in odd] + [heads[0]]
+    texts = {str(i): f"{x}\n2020-01-03 open Assets:Cash" for i, x in enumerate(texts)}
+    rows = cut_blocks(text_lines(spark.createDataFrame(list(texts.items()), "ledger_id string, text string"))).where("kind = 'transaction'").collect()
+    assert sorted(int(r.ledger_id) for r in rows if r.narration is not None) == [0, 2, 4, len(texts) - 1]
+    assert all((r.narration is None) != (r.head is None and not r.body) and (r.narration is None) == (r.hdr.rest is not None) for r in rows)
+    assert {len(r.legs) for r in rows if r.ledger_id in "024"} == {len(legs)}
+    got, want = load_ledger_text(spark, texts), load_ledger_text(spark, {k: x.replace(" * ", " txn ", 1) for k, x in texts.items()})
+    for f in dataclasses.fields(got):
+        a, b = getattr(got, f.name), getattr(want, f.name)
+        assert a.dtypes == b.dtypes
+        show = lambda t: sorted(str(r).replace(" * ", " txn ") for r in t.collect())
+        assert show(a) == show(b), f.name
