@@ -137,6 +137,28 @@ def test_rendered_legs_meet_in_one_shuffle(spark):
     assert sorted(r.block for r in opens.collect())[:2] == ["1900-01-01 open Assets:A USD\n", "1900-01-01 open Assets:B USD\n"]
 
 
+def test_rows_with_a_label_of_their_own_are_rendered_where_they_are(spark, shuffled, tmp_path):
+    """The text is that of the postings; repeated labels, null values and other kinds included."""
+    from tallyframe.sources.star import mark_alone, star_base_text, star_ledger_text
+
+    base = star_base(spark, SF_SMALL)
+    marked = mark_alone(base)
+    assert _plan(marked).count("Exchange") == _plan(base).count("Exchange")
+    few = base.where("txn_id < 60")
+    nulls = [few.withColumn(c, F.lit(None).cast(t)) for c, t in few.dtypes if c not in ("partkey", "ship_date", "segment", "ptype", "brand")]
+    rows = few
+    for x in [few.where("line_no < 4"), few.where("txn_id < 20").withColumn("amt", F.col("amt") + 1), few.where("txn_id < 9").withColumn("kind", F.lit("X")),
+              *(x.withColumn("txn_id", F.col("txn_id") + 1000 * (i + 1)) for i, x in enumerate(nulls) if "txn_id" in x.columns)]:
+        rows = rows.unionByName(x)
+    mark_alone(rows).write.parquet(str(tmp_path / "base"))
+    kept = spark.read.parquet(str(tmp_path / "base"))
+    assert {r.alone for r in kept.select("alone").distinct().collect()} == {True, False}
+    show = lambda t: sorted((str(r.ledger_id), r.block) for r in t.collect())
+    want = show(star_ledger_text(star_postings(rows)))
+    assert want and show(star_base_text(kept)) == want
+    assert "Exchange" not in _plan(star_base_text(kept.where("alone"))).split("Union")[1].split("Scan parquet")[0]
+
+
 def test_lines_of_postings_are_read_once(spark):
     """One pattern cuts a line as POSTING_RE does; sure lines are not read for errors."""
     from pyspark.sql import functions as F
