@@ -211,3 +211,21 @@ def test_plain_transactions_are_read_as_they_are_cut(spark):
         assert a.dtypes == b.dtypes
         show = lambda t: sorted(str(r).replace(" * ", " txn ") for r in t.collect())
         assert show(a) == show(b), f.name
+
+
+def test_only_postings_of_asserted_types_are_summed_by_day(spark):
+    from tallyframe.operators.checks import balance_failures
+
+    day = dt.date(2020, 1, 1)
+    rows = [(i, a, c, day, Decimal(n)) for i, a, c, n in [
+        (1, "Assets:Cash", "USD", "1.00"), (1, "Assets:Cash:Till", "USD", "2.00"), (1, "Assets", "USD", "4.00"), (1, "Assets:Bank", "USD", "8.00"),
+        (1, "Assets:Cash", "EUR", "16.00"), (1, "Income:Pay", "USD", "32.00"), (2, "Assets:Cash", "USD", "64.00"), (1, None, "USD", "128.00"), (1, "AssetsX", "USD", "256.00")]]
+    p = spark.createDataFrame(rows, "ledger_id int, account string, currency string, date date, number decimal(18,2)")
+    later = dt.date(2020, 1, 2)
+    b = spark.createDataFrame([(1, "Assets:Cash", "USD", later, Decimal(0)), (1, "Assets", "USD", later, Decimal(0)), (1, "Income:Pay", "EUR", later, Decimal(0)),
+                               (1, None, "USD", later, Decimal(5))], "ledger_id int, account string, currency string, date date, number decimal(18,2)")
+    e = balance_failures(p, b)
+    assert sorted((str(r.account), int(r.actual)) for r in e.collect()) == [("Assets", 15), ("Assets:Cash", 3), ("None", 0)]
+    plan = e._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    summed = next(i for i, x in enumerate(plan) if "Aggregate [ledger_id" in x and "delta" in x and "sum(number" in x)
+    assert any("Join LeftSemi" in x for x in plan[summed:])

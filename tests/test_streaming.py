@@ -260,4 +260,6 @@ def test_a_batch_reads_its_files_once(spark, tmp_path, monkeypatch):
     store._write(text_scan(spark.read.text(str(source)), *ledger_files._stats()), "stream-000000000", 0)
     assert [(r.size, r.part) for r in store.files().collect()] == [(size, "stream-000000000")]
     tables = store.tables()
-    assert tables.postings.count() == 2 and not {"_size", "_modified"} & {c for t in vars(tables).values() for c in t.columns}
+    assert {"ledger_id", "part"} & set(spark.read.parquet(f"{store.path}/postings").columns) == {"part"}  # the ledger is the file's name
+    assert [r.ledger_id == r.file for r in tables.postings.collect()] == [True, True]
+    assert not {"_size", "_modified"} & {c for t in vars(tables).values() for c in t.columns}
