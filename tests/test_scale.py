@@ -159,6 +159,23 @@ def test_rows_with_a_label_of_their_own_are_rendered_where_they_are(spark, shuff
     assert "Exchange" not in _plan(star_base_text(kept.where("alone"))).split("Union")[1].split("Scan parquet")[0]
 
 
+def test_blocks_without_a_header_run_on_the_block_that_their_shuffle_puts_before_them(spark, shuffled, tmp_path):
+    from tallyframe.plans.registry import LEDGER_TABLES, _text_files, ledger
+    from tallyframe.sources.star import star_ledger_text
+
+    for t in LEDGER_TABLES:
+        x = spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        x = x.withColumn("p_name", F.when(F.col("p_partkey") % 7 > 0, F.col("p_name"))) if t == "part" else x
+        x.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    src, _ = _text_files(spark, str(tmp_path))
+    blocks = star_ledger_text(ledger(spark, str(tmp_path)).postings).withColumn("task", F.spark_partition_id()).collect()
+    want = {}
+    for r in blocks:
+        want[r.task, r.ledger_id] = want.get((r.task, r.ledger_id), "") + r.block + "\n"
+    assert any(r.block.startswith(" ") for r in blocks)
+    assert set(want.values()) <= {r.value for r in spark.read.text(src, wholetext=True).collect()}
+
+
 def test_lines_of_postings_are_read_once(spark):
     """One pattern cuts a line as POSTING_RE does; sure lines are not read for errors."""
     from pyspark.sql import functions as F
